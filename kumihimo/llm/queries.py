@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .jaccard_join import op4_jaccard_join
+from .line_dedup import op3_line_dedup
+from .quality import op2_quality_rules
 
-QUERIES = {"op4_jaccard_join": op4_jaccard_join}
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
+}
 ORACLES: dict[str, str] = {}
