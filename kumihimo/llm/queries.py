@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from .chat import op5_chat_format
+from .decontaminate import OP6_SQL, op6_decontaminate
 from .jaccard_join import op4_jaccard_join
 from .line_dedup import op3_line_dedup
+from .pieces import op10_sentencepiece
 from .quality import op2_quality_rules
+from .token_counts import op7_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
+    "op9_toxicity": op9_toxicity,
+    "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}
