@@ -7,6 +7,7 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .jaccard_join import op4_jaccard_join
 from .line_dedup import op3_line_dedup
 from .pieces import op10_sentencepiece
+from .pii import op8_pii
 from .quality import op2_quality_rules
 from .token_counts import op7_token_counts
 from .toxicity import op9_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
