@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op5_chat_format
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .html_extract import OP1_SQL, op1_html_extract
 from .jaccard_join import op4_jaccard_join
 from .line_dedup import op3_line_dedup
 from .pieces import op10_sentencepiece
@@ -13,6 +14,7 @@ from .token_counts import op7_token_counts
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_jaccard_join": op4_jaccard_join,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_html_extract": OP1_SQL, "op6_decontaminate": OP6_SQL}
