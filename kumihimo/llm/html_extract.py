@@ -332,13 +332,17 @@ def rewritten(paragraphs: list[str], seed: int) -> str:
     body = f"<h1>{esc(pick()[:60])}</h1>" if r.integers(0, 4) else ""
     for i in range(int(r.integers(1, 7))):
         turn = int(r.integers(0, 10))
+        if turn == 3:
+            body += f"<table><tr><td>{' '.join(pick().split()[:2])}</td><td>{' '.join(pick().split()[:1])}</td></tr></table>"
+        elif turn == 4:
+            body += f"<p>{' '.join(pick().split()[: int(r.integers(1, 4))])}</p>"
         body += f"<ul><li>{pick()}</li><li>{pick()}</li></ul>" if turn == 0 else f"<blockquote>{pick()}</blockquote>" if turn == 1 else f"<h2>{pick()[:40]}</h2>" if turn == 2 else f"<p>{some(int(r.integers(1, 4)))}</p>"
         if i and not r.integers(0, 4):
             body += boxes[one_of(("ad", "aside", "form", "share", "notice"))]()
     tail = boxes["comments"]() if r.integers(0, 2) else ""
     turn = int(r.integers(0, 12))
     if turn == 0:  # a bare page: nothing but the text
-        return f'<html><body class="articlelabel">{body}</body></html>'
+        return f'<html><body class="articlelabel">{body}</body></html>' if r.integers(0, 2) else f'<body class="articlelabel"><p>{" ".join(pick().split()[: int(r.integers(1, 9))])}</p></body>'
     if turn <= 4:
         tag = one_of(("article", "main"))
         main = f"<{tag}>{body}{tail if r.integers(0, 2) else ''}</{tag}>"
@@ -406,7 +410,7 @@ cut AS (
     regexp_replace(regexp_replace(regexp_replace(b, '<br[^>]*>', ' ', 'g'), '</?(p|h1)[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts FROM body),
 plain AS (
   SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
-    replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+    regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'),
     '\\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM cut)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM plain
 """
