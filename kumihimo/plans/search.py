@@ -1 +1,156 @@
-"""To be filled."""
+"""Text search over labels: posting lists, phrases, BM25, containment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.graph import first_per
+from .aggregates import micro, micro_sql
+from .joins import trigrams
+from .registry import query
+
+c = F.col
+
+_GRAMS_SQL = """lab AS (SELECT id, lower(label) AS l FROM entities WHERE label IS NOT NULL),
+gr AS (SELECT id, l, substr(l, CAST(i AS INT), 3) AS gram FROM (SELECT id, l, unnest(range(1, length(l) - 1)) AS i FROM lab WHERE length(l) >= 3) t)"""
+
+
+def postings(entities):
+    """(gram, id, tf, length): three-character runs of folded labels. Written once, bucketed by gram, it is the text index."""
+    l = F.lower("label")  # noqa: E741
+    grams = F.transform(F.sequence(F.lit(1), F.length(l) - 2), lambda i: F.substring(l, i, 3))
+    each = entities.where(F.length("label") >= 3).select("id", F.length(l).alias("length"), F.explode(grams).alias("gram"))
+    return each.groupBy("gram", "id", "length").agg(F.count("*").alias("tf"))
+
+
+def write_postings(entities, table: str, buckets: int = 64):
+    """Save the index as a table bucketed by gram, so that searches join without a shuffle of it."""
+    postings(entities).write.bucketBy(buckets, "gram").sortBy("gram").mode("overwrite").saveAsTable(table)
+
+
+@query("text_trigram_index", f"WITH {_GRAMS_SQL} SELECT gram, id, count(*) AS tf FROM gr GROUP BY gram, id")
+def text_trigram_index(g):
+    return postings(g.entities).select("gram", "id", "tf")
+
+
+def trigram_hits(g, keyword):
+    """Entities whose label holds the keyword, of three characters or more: all its grams, then the string itself."""
+    word = keyword.lower()
+    grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
+    found = postings(g.entities).where(c("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("k")).where(c("k") == len(grams)).select("id")
+    return g.entities.join(found, "id", "left_semi").where(F.contains(F.lower("label"), F.lit(word)))
+
+
+@query("text_trigram_search", "SELECT id, label FROM entities WHERE contains(lower(label), 'able')")
+def text_trigram_search(g, keyword="able"):
+    return trigram_hits(g, keyword).select("id", "label")
+
+
+@query("text_token_search", "SELECT id FROM entities WHERE contains(' ' || array_to_string(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' of the ')")
+def text_token_search(g, phrase="of the"):
+    """The phrase as whole consecutive words."""
+    words = F.regexp_extract_all(F.lower("label"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return g.entities.where(F.contains(line, F.lit(f" {phrase.lower()} "))).select("id")
+
+
+def bm25(postings_, grams, n_docs, k1=1.2, b=0.75):
+    """Score of each id for a set of grams: sum of idf * tf saturation. n_docs: one-row frame (n, mean_length)."""
+    hit = postings_.where(c("gram").isin(grams))
+    df = hit.groupBy("gram").agg(F.count("*").alias("df"))  # as many rows as the query has grams
+    rows = hit.join(F.broadcast(df), "gram").join(F.broadcast(n_docs))
+    idf = F.log((c("n") - c("df") + 0.5) / (c("df") + 0.5) + 1.0)
+    tf = c("tf") * (k1 + 1) / (c("tf") + k1 * (1 - b + b * c("length") / c("mean_length")))
+    return rows.groupBy("id").agg(F.sum(idf * tf).alias("bm25"))
+
+
+@query(
+    "text_bm25",
+    f"""WITH {_GRAMS_SQL}, p AS (SELECT gram, id, l, count(*) AS tf FROM gr GROUP BY 1, 2, 3), nd AS (SELECT count(*) AS n, avg(length(l)) AS ml FROM lab WHERE length(l) >= 3),
+h AS (SELECT * FROM p WHERE gram IN ('abl', 'ble')), df AS (SELECT gram, count(*) AS df FROM h GROUP BY gram)
+SELECT h.id, CAST(floor(sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length(h.l) / ml))) * 10000 + 0.5) AS BIGINT) AS bm25_4
+FROM h JOIN df USING (gram) CROSS JOIN nd GROUP BY h.id""",
+)
+def text_bm25(g, keyword="able"):
+    word = keyword.lower()
+    p = postings(g.entities)
+    docs = g.entities.where(F.length("label") >= 3).agg(F.count("*").alias("n"), F.avg(F.length("label")).alias("mean_length"))
+    grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
+    return bm25(p, grams, docs).select("id", F.floor(c("bm25") * 10000 + 0.5).cast("long").alias("bm25_4"))
+
+
+def search(g, keyword):
+    """Three characters or more: by trigrams; fewer: by the folded label."""
+    if len(keyword) >= 3:
+        return trigram_hits(g, keyword)
+    return g.entities.where(F.contains(F.lower("label"), F.lit(keyword.lower())))
+
+
+@query("text_hybrid_search", "SELECT id, 'long' AS way FROM entities WHERE contains(lower(label), 'ting') UNION ALL SELECT id, 'short' FROM entities WHERE contains(lower(label), '#0')")
+def text_hybrid_search(g):
+    return search(g, "ting").select("id", F.lit("long").alias("way")).unionByName(search(g, "#0").select("id", F.lit("short").alias("way")))
+
+
+@query("text_filter_intersect", "SELECT id FROM entities WHERE contains(lower(label), 'red') AND release_year BETWEEN 1700 AND 1950")
+def text_filter_intersect(g, keyword="red", low=1700, high=1950, compat_truncate=None):
+    """Hits within a span of years; compat_truncate first cuts the hits to so many by id."""
+    hits = search(g, keyword).select("id", "release_year")
+    if compat_truncate:
+        hits = hits.orderBy("id").limit(compat_truncate)
+    return hits.where(c("release_year").between(low, high)).select("id")
+
+
+@query(
+    "text_multi_keyword",
+    """WITH k AS (SELECT unnest(['red', 'steel', 'the', 'customer']) AS w), h AS (SELECT w, id, label, row_number() OVER (PARTITION BY w ORDER BY id) AS rn FROM k JOIN entities ON contains(lower(label), w) WHERE entity_type IN ('work', 'artifact', 'person')),
+f AS (SELECT label, id, w, row_number() OVER (PARTITION BY label ORDER BY id, w) AS rn2 FROM h WHERE rn <= 8) SELECT id, label, w AS keyword FROM f WHERE rn2 = 1 ORDER BY id, w LIMIT 15""",
+)
+def text_multi_keyword(g, keywords=("red", "steel", "the", "customer"), per=8, most=15):
+    """A few hits of each keyword, each label once."""
+    hits = [F.when(F.contains(F.lower("label"), F.lit(w)), w) for w in keywords]
+    found = g.entities.where(c("entity_type").isin("work", "artifact", "person")).select("id", "label", F.explode(F.array_compact(F.array(*hits))).alias("keyword"))
+    few = first_per(found, ["keyword"], ["id"]).where(c("rn") <= per)
+    once = first_per(few, ["label"], ["id", "keyword"], "rn2").where("rn2 = 1")
+    return once.orderBy("id", "keyword").limit(most).select("id", "label", "keyword")
+
+
+@query(
+    "text_theme_fallback",
+    "SELECT entity_id FROM entity_tags WHERE axis = 'theme' AND value_code LIKE 'STANDARD%' ORDER BY entity_id LIMIT 50",
+)
+def text_theme_fallback(g, word="standard", n=50):
+    """No label holds the word: themes that it names, with all below them, then the entities tagged so."""
+    from ..functions.distance import closure
+    from .functions import theme_parents
+
+    below = closure(theme_parents(g)).where(F.lower("ancestor") == word).select(c("code").alias("value_code"))
+    tagged = g.tags.where("axis = 'theme'").join(F.broadcast(below.distinct()), "value_code", "left_semi")
+    return tagged.orderBy("entity_id").limit(n).select("entity_id")
+
+
+@query(
+    "text_title_containment",
+    "SELECT DISTINCT n.t AS part_title, e.id FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS t FROM part) n JOIN entities e ON length(n.t) >= 3 AND (contains(lower(e.label), n.t) OR contains(n.t, lower(e.label))) WHERE e.entity_type = 'work'",
+)
+def text_title_containment(g):
+    """Two title lists, where either title holds the other; candidates share a trigram of the shorter title's start."""
+    a = g.table("part").select(F.lower(F.split("p_name", " ")[0]).alias("t")).distinct().where(F.length("t") >= 3)
+    b = g.entities.where("entity_type = 'work'").select("id", F.lower("label").alias("l"))
+    head = lambda x: F.substring(x, 1, 3)
+    in_b = a.withColumn("gram", head(c("t"))).join(b.where(F.length("l") >= 3).withColumn("gram", F.explode(trigrams(c("l")))), "gram")
+    in_a = b.where(F.length("l") >= 3).withColumn("gram", head(c("l"))).join(a.withColumn("gram", F.explode(trigrams(c("t")))), "gram")
+    pairs = in_b.where(F.contains("l", "t")).select(c("t").alias("part_title"), "id").unionByName(in_a.where(F.contains("t", "l")).select(c("t").alias("part_title"), "id"))
+    return pairs.distinct()
+
+
+@query("src_tag_regex", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') AS lang, len(regexp_extract_all(html, '<li>')) AS items FROM pages")
+def src_tag_regex(g):
+    """Fields of markup by pattern, without a parser."""
+    field = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
+    return g.table("pages").select("page_id", field("<title>([^<]*)</title>").alias("title"), field('<html lang="([a-z]+)"').alias("lang"), F.size(F.regexp_extract_all("html", F.lit("(<li>)"), 1)).alias("items"))
+
+
+@query("src_claim_value", f"SELECT event_id, event_type || ':' || user_id AS claim, {micro_sql('value')} AS value6 FROM events WHERE props IS NOT NULL")
+def src_claim_value(g):
+    """A typed value as text: its kind and its target."""
+    return g.table("events").where("props is not null").select("event_id", F.concat_ws(":", "event_type", c("user_id").cast("string")).alias("claim"), micro(c("value")).alias("value6"))
