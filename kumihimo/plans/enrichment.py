@@ -1 +1,231 @@
-"""To be filled."""
+"""Integration, enrichment and curation jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import strings, years
+from ..model import era_of
+from ..sources.graph import first_per
+from .functions import KEYWORDS, rectangle_sql
+from .generators import isolated
+from .registry import query
+
+c = F.col
+
+
+def dedupe_by_key(new, existing, key, order):
+    """Rows of ``new`` whose key no row of ``existing`` has; of equal keys the first in order stays."""
+    once = first_per(new.withColumn("key", key), ["key"], order).where("rn = 1")
+    return once.join(existing.select(key.alias("key")).distinct(), "key", "left_anti").drop("rn")
+
+
+@query(
+    "job_dedupe_labels",
+    "WITH d AS (SELECT doc_id, source, trim(lower(substr(text, 1, 40))) AS key FROM documents) SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, doc_id) AS rn FROM d WHERE doc_id % 2 = 1) t WHERE rn = 1 AND key NOT IN (SELECT key FROM d WHERE doc_id % 2 = 0)",
+)
+def job_dedupe_labels(g):
+    """New records whose normalised label is unknown; of equal ones the first source's."""
+    docs = g.table("documents").select("doc_id", "source", F.substring("text", 1, 40).alias("label"))
+    key = F.trim(F.lower("label"))
+    return dedupe_by_key(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), key, ["source", "doc_id"]).select("doc_id")
+
+
+@query(
+    "job_dedupe_qid_label",
+    "SELECT o_orderkey FROM orders WHERE 'Q' || CAST(o_custkey + 700 AS VARCHAR) NOT IN (SELECT qid FROM entities WHERE qid IS NOT NULL) AND 'Supplier#' || lpad(CAST(o_orderkey % 300 AS VARCHAR), 9, '0') NOT IN (SELECT label FROM entities WHERE label IS NOT NULL)",
+)
+def job_dedupe_qid_label(g):
+    """Unknown by id, then by label."""
+    new = g.table("orders").select("o_orderkey", F.concat(F.lit("Q"), (c("o_custkey") + 700).cast("string")).alias("qid"), F.concat(F.lit("Supplier#"), F.lpad((c("o_orderkey") % 300).cast("string"), 9, "0")).alias("label"))
+    return new.join(g.entities.where("qid is not null").select("qid"), "qid", "left_anti").join(g.entities.select("label"), "label", "left_anti").select("o_orderkey")
+
+
+@query(
+    "job_dedupe_name_radius",
+    "WITH p AS (SELECT id, substr(label, 1, 3) AS name, lat, lon FROM entities WHERE lat IS NOT NULL AND entity_type = 'artifact'), h AS (SELECT b.id, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS m FROM (SELECT b.id, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM p a JOIN p b ON a.name = b.name AND a.id < b.id) b) SELECT id FROM p WHERE id NOT IN (SELECT id FROM h WHERE m <= 5000)",
+)
+def job_dedupe_name_radius(g, metres=5000.0):
+    """A record goes if an earlier one of the same name lies within the radius."""
+    from .joins import grid_pairs
+
+    p = g.entities.where("lat is not null and entity_type = 'artifact'").select("id", F.substring("label", 1, 3).alias("name"), "lat", "lon")
+    again = grid_pairs(p, p, metres).where("a_id < b_id and a_name = b_name").select(c("b_id").alias("id"))
+    return p.join(again, "id", "left_anti").select("id")
+
+
+@query("job_dedupe_work_author", "SELECT min(l_orderkey * 10 + l_linenumber) AS first_line, l_partkey, l_suppkey FROM lineitem GROUP BY l_partkey, l_suppkey")
+def job_dedupe_work_author(g):
+    return g.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(c("l_orderkey") * 10 + c("l_linenumber")).alias("first_line"))
+
+
+@query(
+    "job_autotag",
+    "WITH u AS (SELECT * FROM entities) SELECT id, 'medium' AS axis, CASE WHEN entity_type = 'place' THEN 'site' WHEN entity_type = 'person' THEN 'life' ELSE 'object' END AS value_code FROM u UNION ALL SELECT id, 'geography', coalesce(" + rectangle_sql() + ", 'unknown') FROM u UNION ALL SELECT id, 'era', coalesce(" + era_of() + ", 'unknown') FROM u UNION ALL SELECT id, 'experience', CASE WHEN entity_type = 'place' THEN 'visit' ELSE 'see' END FROM u UNION ALL SELECT id, 'theme', CASE WHEN label ILIKE '%steel%' THEN 'metal' WHEN label ILIKE '%red%' THEN 'colour' ELSE 'general' END FROM u",
+)
+def job_autotag(g):
+    """Five tags for each entity, with defaults where nothing tells."""
+    kind, label = c("entity_type"), c("label")
+    tags = {
+        "medium": F.when(kind == "place", "site").when(kind == "person", "life").otherwise("object"),
+        "geography": F.coalesce(F.expr(rectangle_sql()), F.lit("unknown")),
+        "era": F.coalesce(F.expr(era_of()), F.lit("unknown")),
+        "experience": F.when(kind == "place", "visit").otherwise("see"),
+        "theme": F.when(label.ilike("%steel%"), "metal").when(label.ilike("%red%"), "colour").otherwise("general"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("axis"), v.alias("value_code")) for k, v in tags.items()])
+    return g.entities.select("id", F.explode(rows).alias("t")).select("id", "t.axis", "t.value_code")
+
+
+@query("job_source_default_tags", "SELECT e.id, d.axis, d.value_code FROM entities e JOIN (VALUES ('supplier', 'geography', 'ASIA'), ('src0', 'medium', 'en'), ('BUILDING', 'experience', 'BUILDING')) d(source, axis, value_code) ON d.source = e.source WHERE NOT EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND t.axis = d.axis AND t.value_code = d.value_code)")
+def job_source_default_tags(g, defaults=(("supplier", "geography", "ASIA"), ("src0", "medium", "en"), ("BUILDING", "experience", "BUILDING"))):
+    """Each source's default tags, for its entities that lack them."""
+    dim = g.spark.createDataFrame(list(defaults), "source string, axis string, value_code string")
+    want = g.entities.select("id", "source").join(F.broadcast(dim), "source").select("id", "axis", "value_code")
+    return want.join(g.tags.select(c("entity_id").alias("id"), "axis", "value_code"), ["id", "axis", "value_code"], "left_anti")
+
+
+@query("job_tag_persons", "SELECT 1000000 + c_custkey AS id, lower(c_mktsegment) AS occupation, CASE WHEN c_acctbal < 0 THEN 'debtor' WHEN c_acctbal > 5000 THEN 'patron' ELSE 'public' END AS role FROM customer")
+def job_tag_persons(g):
+    role = F.when(c("c_acctbal") < 0, "debtor").when(c("c_acctbal") > 5000, "patron").otherwise("public")
+    return g.table("customer").select((1_000_000 + c("c_custkey")).alias("id"), F.lower("c_mktsegment").alias("occupation"), role.alias("role"))
+
+
+@query("job_tag_places", "SELECT 2000000 + s_suppkey AS id, n_name AS nation, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def job_tag_places(g):
+    both = g.table("supplier").join(g.table("nation"), c("s_nationkey") == c("n_nationkey")).join(g.table("region"), c("n_regionkey") == c("r_regionkey"))
+    return both.select((2_000_000 + c("s_suppkey")).alias("id"), c("n_name").alias("nation"), c("r_name").alias("region"))
+
+
+@query("job_tag_works", f"SELECT id, {era_of()} AS era, source AS medium FROM entities WHERE entity_type = 'work'")
+def job_tag_works(g):
+    return g.entities.where("entity_type = 'work'").select("id", F.expr(era_of()).alias("era"), c("source").alias("medium"))
+
+
+_KEYWORD_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in KEYWORDS.items()) + " END"
+
+
+@query("job_retag_specific", f"SELECT 3000000 + p_partkey AS id, coalesce({_KEYWORD_SQL}, p_type) AS theme FROM part")
+def job_retag_specific(g):
+    """A generic theme becomes the specific one that its words name; others stay."""
+    chain = None
+    for k, ws in KEYWORDS.items():
+        hit = F.lower("p_type").rlike("|".join(ws))
+        chain = F.when(hit, k) if chain is None else chain.when(hit, k)
+    return g.table("part").select((3_000_000 + c("p_partkey")).alias("id"), F.coalesce(chain, "p_type").alias("theme"))
+
+
+@query("job_retag_catalog", "SELECT entity_id, axis, value_code FROM entity_tags WHERE NOT (axis = 'medium' AND entity_id - 3000000 IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)) UNION ALL SELECT 3000000 + p_partkey, 'medium', 'catalogue' FROM part WHERE p_partkey % 3 = 0")
+def job_retag_catalog(g):
+    """Weak tags of matched works go, the catalogue's come."""
+    matched = g.table("part").where("p_partkey % 3 = 0").select((3_000_000 + c("p_partkey")).cast("long").alias("entity_id"), F.lit("medium").alias("axis"))
+    kept = g.tags.join(matched, ["entity_id", "axis"], "left_anti").select("entity_id", "axis", "value_code")
+    return kept.unionByName(matched.withColumn("value_code", F.lit("catalogue")))
+
+
+@query(
+    "job_release_year_tiers",
+    "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 1868 + p_partkey % 40 WHEN p_partkey % 4 = 1 THEN 1950 + p_partkey % 50 WHEN p_partkey % 4 = 2 THEN 1900 + p_partkey % 90 END AS year, CASE WHEN p_partkey % 4 = 0 THEN 'regnal' WHEN p_partkey % 4 = 1 THEN 'semicolon' WHEN p_partkey % 4 = 2 THEN 'generic' END AS tier FROM part",
+)
+def job_release_year_tiers(g):
+    """Tiers in order; each fills only what the ones before left empty."""
+    p = c("p_partkey")
+    text = lambda base, n: (base + p % n).cast("string")
+    label = F.when(p % 4 == 0, F.concat(F.lit("明治"), text(1, 40), F.lit("年"))).when(p % 4 == 1, F.concat(F.lit("x;"), text(1950, 50), F.lit("-01-02"))).when(p % 4 == 2, F.concat(F.lit("the "), text(1900, 90), F.lit("年"))).otherwise(c("p_name"))
+    t = g.table("part").select("p_partkey", label.alias("label"))
+    tiers = [("regnal", years.regnal_year(c("label"))), ("semicolon", years.semicolon_year(c("label"))), ("disambiguation", years.disambiguation_year(c("label"))), ("generic", years.generic_year(c("label")))]
+    first = F.coalesce(*[F.when(y.isNotNull(), F.struct(y.alias("year"), F.lit(n).alias("tier"))) for n, y in tiers])
+    return t.select("p_partkey", first.alias("f")).select("p_partkey", "f.year", "f.tier")
+
+
+@query("job_release_year_catalog", "SELECT e.id, coalesce(e.release_year, m.y) AS year, e.release_year IS NULL AND m.y IS NOT NULL AS filled FROM entities e LEFT JOIN (SELECT lower(s_name) AS k, min(1900 + s_suppkey % 120) AS y FROM supplier GROUP BY 1) m ON m.k = lower(e.label)")
+def job_release_year_catalog(g):
+    """A catalogue's year for matched titles, only where there is none."""
+    cat = g.table("supplier").groupBy(F.lower("s_name").alias("k")).agg(F.min(1900 + c("s_suppkey") % 120).alias("y"))
+    out = g.entities.select("id", "release_year", F.lower("label").alias("k")).join(cat, "k", "left")
+    return out.select("id", F.coalesce("release_year", "y").alias("year"), (c("release_year").isNull() & c("y").isNotNull()).alias("filled"))
+
+
+@query("job_fill_from_lookup", "SELECT e.id, coalesce(e.label_en, c.c_name) AS label_en, e.lat FROM entities e LEFT JOIN customer c ON e.qid = 'Q' || CAST(c.c_custkey AS VARCHAR)")
+def job_fill_from_lookup(g):
+    """English labels from a lookup by outside id, only where there is none."""
+    look = g.table("customer").select(F.concat(F.lit("Q"), c("c_custkey").cast("string")).alias("qid"), "c_name")
+    return g.entities.select("id", "qid", "label_en", "lat").join(look, "qid", "left").select("id", F.coalesce("label_en", "c_name").alias("label_en"), "lat")
+
+
+@query("job_heritage_rank", "SELECT l_partkey, min(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) AS prio, min_by(l_returnflag, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) AS best FROM lineitem GROUP BY l_partkey")
+def job_heritage_rank(g):
+    """The highest designation of each."""
+    prio = F.when(c("l_returnflag") == "R", 1).when(c("l_returnflag") == "A", 2).otherwise(3)
+    return g.table("lineitem").groupBy("l_partkey").agg(F.min(prio).alias("prio"), F.min_by("l_returnflag", prio).alias("best"))
+
+
+@query(
+    "job_geo_from_tag",
+    "WITH m AS (SELECT e.id, t.value_code AS v FROM entities e JOIN entity_tags t ON t.entity_id = e.id AND t.axis = 'geography' WHERE e.lat IS NULL), n AS (SELECT id, v, row_number() OVER (PARTITION BY v ORDER BY id) - 1 AS i, CAST(ceil(sqrt(count(*) OVER (PARTITION BY v))) AS BIGINT) AS side FROM m) SELECT id, CAST(floor(i / CAST(side AS DOUBLE)) AS BIGINT) AS row, CAST(i % side AS BIGINT) AS col FROM n",
+)
+def job_geo_from_tag(g):
+    """A cell around the region's centre for each tagged entity without a place."""
+    t = g.tags.where("axis = 'geography'").select(c("entity_id").alias("id"), c("value_code").alias("v"))
+    m = g.entities.where("lat is null").select("id").join(t, "id")
+    n = first_per(m, ["v"], ["id"]).withColumns({"i": c("rn") - 1, "side": F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("v"))))})
+    return n.select("id", F.floor(c("i") / c("side")).alias("row"), (c("i") % c("side")).cast("long").alias("col"))
+
+
+@query("job_geo_from_label", "SELECT doc_id, CASE WHEN contains(text, 'thing') THEN 'thing' WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'die') THEN 'die' END AS place FROM documents")
+def job_geo_from_label(g, names=("die", "thing", "the")):
+    """The first name that a text holds, longer names first."""
+    chain = None
+    for n in sorted(names, key=lambda n: (-len(n), -ord(n[0]))):
+        hit = F.contains("text", F.lit(n))
+        chain = F.when(hit, n) if chain is None else chain.when(hit, n)
+    return g.table("documents").select("doc_id", chain.alias("place"))
+
+
+@query("job_verdict_merge", "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(CASE WHEN l.quality = 1 THEN 'keep' WHEN l.quality = 0 THEN 'reject' END, 'keep') = 'keep'")
+def job_verdict_merge(g):
+    """The latest verdict of each, and only what is kept; no verdict keeps."""
+    verdict = g.table("labels").groupBy("doc_id").agg(F.max_by(F.when(c("quality") == 1, "keep").otherwise("reject"), "quality").alias("verdict"))
+    return g.table("documents").select("doc_id", "source").join(verdict, "doc_id", "left").where(F.coalesce("verdict", F.lit("keep")) == "keep").select("doc_id", "source")
+
+
+@query(
+    "job_audit_prefix",
+    "WITH s AS (SELECT s.node, s.other, substr(e.label, 1, 6) AS p FROM sym s JOIN entities e ON e.id = s.node WHERE s.node < s.other), b AS (SELECT p FROM s GROUP BY p HAVING regexp_matches(p, '^[0-9０-９]+$') OR len(list_distinct(string_split(p, ''))) <= 2 OR count(*) > 55000) SELECT node AS a_id, other AS b_id FROM s WHERE p NOT IN (SELECT p FROM b)",
+)
+def job_audit_prefix(g, most=55000):
+    """Edges of prefix groups that are numeric, monotonous or too large go."""
+    labels = g.entities.select(c("id").alias("a_id"), F.substring("label", 1, 6).alias("p"))
+    e = g.edges.select("a_id", "b_id").join(labels, "a_id")
+    bad = e.groupBy("p").agg(F.count("*").alias("n")).where(strings.all_digits(c("p")) | strings.low_unique(c("p")) | (c("n") > most)).select("p")
+    return e.join(bad, "p", "left_anti").select("a_id", "b_id")
+
+
+@query("job_filter_granularity", "SELECT a_id, b_id FROM connections WHERE connection_type <> 'pilgrimage_spot' OR (a_id - 2000000) % 8 IN (4, 5)")
+def job_filter_granularity(g):
+    """Same-place edges stay only where the place is a venue or a spot."""
+    from .functions import _PLACES
+
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), ((c("a_id") - 2_000_000) % 8 + 1).cast("int"))
+    fine = strings.granularity(place).startswith("L5")
+    return g.edges.where((c("connection_type") != "pilgrimage_spot") | fine).select("a_id", "b_id")
+
+
+@query("job_filter_blocklist", "SELECT id FROM entities WHERE label NOT IN ('red widget', 'small ring') AND NOT regexp_matches(label, '^(Supplier|Customer)#0+[1-3]$')")
+def job_filter_blocklist(g, exact=("red widget", "small ring"), pattern="^(Supplier|Customer)#0+[1-3]$"):
+    return g.entities.where(~c("label").isin(*exact) & ~c("label").rlike(pattern)).select("id")
+
+
+@query("job_dormant", "SELECT id, CASE WHEN qid IS NULL AND lat IS NULL AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = e.id) AND NOT EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND t.confidence >= 0.7) THEN 1 ELSE 0 END AS dormant FROM entities e")
+def job_dormant(g):
+    """1 for what has no edge, no outside id, no place and no firm tag."""
+    tagged = g.tags.where("confidence >= 0.7").select(c("entity_id").alias("id"))
+    out = isolated(g).where("qid is null and lat is null").join(tagged, "id", "left_anti").select("id", F.lit(1).alias("d"))
+    return g.entities.select("id").join(out, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("dormant"))
+
+
+@query("src_external_ids", "SELECT entity_type, count(qid) AS with_qid, count(label_en) AS with_english, count(lat) AS with_place, count(*) AS n FROM entities GROUP BY entity_type")
+def src_external_ids(g):
+    return g.entities.groupBy("entity_type").agg(F.count("qid").alias("with_qid"), F.count("label_en").alias("with_english"), F.count("lat").alias("with_place"), F.count("*").alias("n"))
+
