@@ -1,0 +1,3 @@
+"""Queries of the library, registered by name as their modules load."""
+
+from . import aggregates, analytics, enrichment, functions, generators, joins, search, selections, windows  # noqa: F401

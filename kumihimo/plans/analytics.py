@@ -1 +1,391 @@
-"""To be filled."""
+"""Analytic queries, in batch form: all regions, start nodes or keywords at once."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.routes import nearest_first
+from ..model import PREFECTURES, REGIONS, boxes, boxes_sql, era_midpoint
+from ..sources.graph import both_ways, first_per
+from .aggregates import micro, micro_sql
+from .registry import query
+from .search import search
+from .selections import degree_box
+from .windows import hash_order
+
+c = F.col
+n_rows = F.count("*").alias("n")
+
+
+# ---- regions
+
+
+def in_boxes(points, dim, cell=0.5):
+    """Points with each box that holds them. Boxes are cut to cells, so it is an equi-join; the dictionary has at most some hundred rows."""
+    at = lambda x: F.floor(x / cell)
+    span = lambda a, b: F.explode(F.sequence(at(c(a)), at(c(b))))
+    cells = dim.withColumn("cy", span("lat_min", "lat_max")).withColumn("cx", span("lon_min", "lon_max"))
+    p = points.withColumns({"cy": at(c("lat")), "cx": at(c("lon"))})
+    inside = c("lat").between(c("lat_min"), c("lat_max")) & c("lon").between(c("lon_min"), c("lon_max"))
+    return p.join(F.broadcast(cells), ["cy", "cx"]).where(inside).drop("cy", "cx", "lat_min", "lat_max", "lon_min", "lon_max")
+
+
+def region_profile(g, places):
+    """Of each region: entities by type, edges of a-ends, distinct pilgrimage places, density and rank."""
+    at = in_boxes(g.entities.where("lat is not null").select("id", "entity_type", "lat", "lon"), boxes(g.spark, places))
+    degree = g.edges.groupBy(c("a_id").alias("id")).agg(F.count("*").alias("k"))
+    spots = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).select(c("node").alias("id")).distinct().withColumn("spot", F.lit(1))
+    joined = at.join(degree, "id", "left").join(spots, "id", "left")
+    kinds = [F.count_if(c("entity_type") == k).alias(k) for k in ("person", "place", "work", "artifact")]
+    return joined.groupBy("code").agg(n_rows, *kinds, F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count("spot").alias("spots"))
+
+
+def _profile_sql(places):
+    return f"""WITH b AS {boxes_sql(places)}, deg AS (SELECT a_id AS id, count(*) AS k FROM connections GROUP BY 1), sp AS (SELECT DISTINCT node AS id FROM sym WHERE connection_type LIKE 'pilgrimage%')
+SELECT code, count(*) AS n, count(*) FILTER (WHERE entity_type = 'person') AS person, count(*) FILTER (WHERE entity_type = 'place') AS place, count(*) FILTER (WHERE entity_type = 'work') AS work, count(*) FILTER (WHERE entity_type = 'artifact') AS artifact,
+CAST(coalesce(sum(k), 0) AS BIGINT) AS edges, count(sp.id) AS spots FROM entities e JOIN b ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max LEFT JOIN deg ON deg.id = e.id LEFT JOIN sp ON sp.id = e.id GROUP BY code"""
+
+
+@query("q_region_profile", _profile_sql(REGIONS))
+def q_region_profile(g):
+    return region_profile(g, REGIONS)
+
+
+@query("q_prefecture_profile", _profile_sql(PREFECTURES))
+def q_prefecture_profile(g):
+    return region_profile(g, PREFECTURES)
+
+
+@query("q_bulk_profiles", f"WITH b AS {boxes_sql(PREFECTURES)}, n AS (SELECT code, count(e.id) AS n FROM b LEFT JOIN entities e ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY code) SELECT code, n, rank() OVER (ORDER BY n DESC) AS place FROM n")
+def q_bulk_profiles(g):
+    """All 47 prefectures, empty ones too, ranked; boxes overlap, so a point may count in several."""
+    dim = boxes(g.spark, PREFECTURES)
+    per = in_boxes(g.entities.where("lat is not null").select("lat", "lon"), dim).groupBy("code").agg(n_rows)
+    every = dim.select("code").join(per, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
+
+
+@query(
+    "q_density_grid",
+    "WITH p AS (SELECT CAST(least(4, greatest(0, floor((lat - 34.0) / 0.4))) AS BIGINT) AS row, CAST(least(4, greatest(0, floor((lon - 135.0) / 0.4))) AS BIGINT) AS col, entity_type FROM entities WHERE lat IS NOT NULL), n AS (SELECT row, col, entity_type, count(*) AS n FROM p GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, entity_type) AS rn, sum(n) OVER (PARTITION BY row, col) AS total FROM n) SELECT row, col, CAST(total AS BIGINT) AS n, entity_type AS dominant FROM r WHERE rn = 1",
+)
+def q_density_grid(g, low=(34.0, 135.0), high=(36.0, 137.0), n=5):
+    cell = {"row": geo.density_cell(c("lat"), low[0], high[0], n), "col": geo.density_cell(c("lon"), low[1], high[1], n)}
+    per = g.entities.where("lat is not null").groupBy(*[v.alias(k) for k, v in cell.items()], "entity_type").agg(n_rows)
+    best = F.min(F.struct((-c("n")).alias("m"), "entity_type"))
+    return per.groupBy("row", "col").agg(F.sum("n").alias("n"), best.alias("b")).select("row", "col", "n", c("b.entity_type").alias("dominant"))
+
+
+@query(
+    "q_tourism_assets",
+    "WITH cat(name, pat) AS (VALUES ('supplier', 'supplier%'), ('customer', 'customer%'), ('the', 'the%')), h AS (SELECT cat.name AS category, e.id, e.label, floor((abs(lat - 35.0) + abs(lon - 136.0)) * 1e6 + 0.5) AS m, row_number() OVER (PARTITION BY cat.name ORDER BY e.label, e.id) AS rn FROM cat JOIN entities e ON e.label ILIKE cat.pat WHERE lat IS NOT NULL) SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY m, id) AS pos FROM h WHERE rn <= 30",
+)
+def q_tourism_assets(g, categories=(("supplier", "supplier%"), ("customer", "customer%"), ("the", "the%")), n=30):
+    """By category of label patterns: the first n by label, ordered by distance."""
+    hits = F.array_compact(F.array(*[F.when(c("label").ilike(p), k) for k, p in categories]))
+    away = F.floor((F.abs(c("lat") - 35.0) + F.abs(c("lon") - 136.0)) * 1e6 + 0.5)
+    found = g.entities.where("lat is not null").select("id", "label", away.alias("m"), F.explode(hits).alias("category"))
+    few = first_per(found, ["category"], ["label", "id"]).where(c("rn") <= n).drop("rn")
+    return first_per(few, ["category"], ["m", "id"], "pos").select("category", "id", c("pos").cast("long").alias("pos"))
+
+
+# ---- search-led
+
+
+@query("q_axis_values", "SELECT axis, value_code, count(DISTINCT entity_id) AS n FROM entity_tags GROUP BY axis, value_code")
+def q_axis_values(g):
+    return g.tags.groupBy("axis", "value_code").agg(F.count_distinct("entity_id").alias("n"))
+
+
+@query("q_axis_entities", "SELECT t.entity_id, e.label FROM entity_tags t JOIN entities e ON e.id = t.entity_id WHERE axis = 'era' AND value_code = 'heisei' ORDER BY confidence DESC, entity_id LIMIT 100")
+def q_axis_entities(g, axis="era", value="heisei", n=100):
+    few = g.tags.where((c("axis") == axis) & (c("value_code") == value)).orderBy(F.desc("confidence"), "entity_id").limit(n)
+    return few.join(g.entities.select("id", "label"), c("entity_id") == c("id")).select("entity_id", "label")
+
+
+@query(
+    "q_serendipity",
+    """WITH h AS (SELECT id FROM entities WHERE contains(lower(label), 'red') ORDER BY id LIMIT 50), d AS (SELECT h.id, count(s.other) AS k FROM h LEFT JOIN sym s ON s.node = h.id GROUP BY h.id), t AS (SELECT id FROM d ORDER BY k DESC, id LIMIT 1)
+SELECT s.node, s.other, s.connection_type FROM sym s JOIN t ON t.id = s.node WHERE s.verdict = 'keep' AND s.score >= 0.3 ORDER BY CASE WHEN s.source = 'orders' THEN 0 ELSE 1 END, s.score DESC, s.other LIMIT 10""",
+)
+def q_serendipity(g, keyword="red", at=0.3, n=10):
+    """The most connected of the hits, and its best kept edges."""
+    hits = search(g, keyword).orderBy("id").limit(50).select("id")
+    degree = hits.join(g.both_ways.select("node", "other"), c("id") == c("node"), "left").groupBy("id").agg(F.count("other").alias("k"))
+    top = degree.orderBy(F.desc("k"), "id").limit(1).select("id")
+    edges = both_ways(g.kept.where(c("score") >= at)).join(F.broadcast(top), c("node") == c("id"), "left_semi")
+    return edges.orderBy(F.when(c("source") == "orders", 0).otherwise(1), F.desc("score"), "other").limit(n).select("node", "other", "connection_type")
+
+
+@query("q_entity_detail", "WITH f AS (SELECT min(id) AS id FROM entities WHERE label ILIKE '%bolt%') SELECT f.id, s.other, s.connection_type FROM f JOIN sym s ON s.node = f.id WHERE s.verdict = 'keep' ORDER BY s.score DESC, s.other LIMIT 20")
+def q_entity_detail(g, keyword="bolt", n=20):
+    first = search(g, keyword).agg(F.min("id").alias("id"))
+    return both_ways(g.kept).join(F.broadcast(first), c("node") == c("id")).orderBy(F.desc("score"), "other").limit(n).select("id", "other", "connection_type")
+
+
+@query("q_search_culture", "SELECT count(*) AS n, bool_or(entity_type = 'work') AS has_work, bool_or(lat IS NOT NULL) AS has_place, bool_or(release_year IS NOT NULL) AS has_year FROM entities WHERE contains(lower(label), 'blue')")
+def q_search_culture(g, keyword="blue"):
+    """What the hits offer to ask next."""
+    return search(g, keyword).agg(n_rows, F.bool_or(c("entity_type") == "work").alias("has_work"), F.bool_or(c("lat").isNotNull()).alias("has_place"), F.bool_or(c("release_year").isNotNull()).alias("has_year"))
+
+
+def filtered(g, keyword=None, kind=None, axis=None, value=None):
+    """A filtered search with any of its conditions."""
+    conditions = [c("label").ilike(f"%{keyword}%")] if keyword else []
+    if kind:
+        conditions.append(c("entity_type") == kind)
+    out = g.entities.where(reduce(lambda a, b: a & b, conditions, F.lit(True)))
+    if axis:
+        tags = g.tags.where((c("axis") == axis) & (c("value_code").startswith(value) if value else F.lit(True)))
+        out = out.join(tags, c("id") == c("entity_id"), "left_semi")
+    return out.select("id", "label")
+
+
+@query("q_crafts", "SELECT id, label FROM entities WHERE label ILIKE '%ring%' AND entity_type = 'work'")
+def q_crafts(g):
+    return filtered(g, "ring", "work")
+
+
+@query("q_literature", "SELECT DISTINCT e.id, e.label FROM entities e JOIN sym s ON s.node = e.id AND s.connection_type = 'creator_work' WHERE e.entity_type = 'work' AND s.other BETWEEN 1000000 AND 1000050")
+def q_literature(g, authors=(1000000, 1000050)):
+    """Works of a range of authors, by either end."""
+    by = g.both_ways.where((c("connection_type") == "creator_work") & c("other").between(*authors))
+    return g.entities.where("entity_type = 'work'").join(by, c("id") == c("node"), "left_semi").select("id", "label")
+
+
+@query("q_artworks", "SELECT id, label FROM entities e WHERE entity_type = 'work' AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'medium' AND value_code LIKE 'Brand#1%')")
+def q_artworks(g):
+    return filtered(g, kind="work", axis="medium", value="Brand#1")
+
+
+@query("q_festivals", "SELECT id, label FROM entities e WHERE entity_type = 'place' AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'geography' AND value_code LIKE 'EUROPE%')")
+def q_festivals(g):
+    return filtered(g, kind="place", axis="geography", value="EUROPE")
+
+
+@query("q_masters", "SELECT id, other FROM (SELECT e.id, s.other, row_number() OVER (PARTITION BY e.id ORDER BY s.score DESC, s.other) AS rn FROM entities e JOIN sym s ON s.node = e.id AND s.verdict = 'keep' WHERE e.entity_type = 'person' AND e.source = 'BUILDING') t WHERE rn <= 5")
+def q_masters(g, k=5):
+    people = g.entities.where("entity_type = 'person' and source = 'BUILDING'").select("id")
+    return first_per(both_ways(g.kept).join(people, c("node") == c("id")), ["id"], [F.desc("score"), "other"]).where(c("rn") <= k).select("id", "other")
+
+
+@query("q_by_year", "SELECT e.id FROM entities e WHERE release_year BETWEEN 1900 AND 1950 AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'medium' AND value_code = 'Brand#3') AND contains(lower(label), 'e')")
+def q_by_year(g, low=1900, high=1950, medium="Brand#3", keyword="e"):
+    tagged = g.tags.where((c("axis") == "medium") & (c("value_code") == medium))
+    return search(g, keyword).where(c("release_year").between(low, high)).join(tagged, c("id") == c("entity_id"), "left_semi").select("id")
+
+
+@query("q_today", "SELECT o_orderkey, CASE WHEN month(o_orderdate) IN (3, 4, 5) THEN 'spring' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'summer' WHEN month(o_orderdate) IN (9, 10, 11) THEN 'autumn' ELSE 'winter' END AS season FROM orders WHERE month(o_orderdate) = 3 AND day(o_orderdate) = 3")
+def q_today(g, month=3, day=3):
+    m = F.month("o_orderdate")
+    season = F.when(m.isin(3, 4, 5), "spring").when(m.isin(6, 7, 8), "summer").when(m.isin(9, 10, 11), "autumn").otherwise("winter")
+    return g.table("orders").where((m == month) & (F.dayofmonth("o_orderdate") == day)).select("o_orderkey", season.alias("season"))
+
+
+# ---- graph walks
+
+
+def step_out(frontier, edges, k):
+    """The k best neighbours of each frontier row (start, node)."""
+    near = frontier.join(edges, "node").select("start", "node", "other", "score")
+    return first_per(near, ["start", "node"], [F.desc("score"), "other"]).where(c("rn") <= k)
+
+
+@query(
+    "q_explore",
+    """WITH e AS (SELECT node, other, score FROM sym WHERE verdict = 'keep'), s0 AS (SELECT id AS start FROM entities WHERE entity_type = 'place' AND id % 10 = 0),
+l1 AS (SELECT start, other AS node FROM (SELECT start, other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM s0 JOIN e ON e.node = start) t WHERE rn <= 5),
+l2a AS (SELECT start, other FROM (SELECT l1.start, e.other, row_number() OVER (PARTITION BY l1.start, l1.node ORDER BY score DESC, other) AS rn FROM l1 JOIN e ON e.node = l1.node) t WHERE rn <= 5),
+l2 AS (SELECT DISTINCT start, other AS node FROM l2a WHERE other <> start AND NOT EXISTS (SELECT 1 FROM l1 WHERE l1.start = l2a.start AND l1.node = l2a.other))
+SELECT start, 1 AS hop, count(*) AS n FROM l1 GROUP BY start UNION ALL SELECT start, 2, count(*) FROM l2 GROUP BY start""",
+)
+def q_explore(g, hops=2, k=5):
+    """Neighbourhoods of many starts at once: each hop is a join and a cut by rank, without what was seen."""
+    edges = both_ways(g.kept).select("node", "other", "score")
+    starts = g.entities.where("entity_type = 'place' and id % 10 = 0").select(c("id").alias("start"), c("id").alias("node"))
+    seen, frontier, out = starts, starts, None
+    for hop in range(1, hops + 1):
+        reached = step_out(frontier, edges, k).select("start", c("other").alias("node")).distinct()
+        frontier = reached.join(seen, ["start", "node"], "left_anti")
+        level = frontier.groupBy("start").agg(F.count("*").alias("n")).select("start", F.lit(hop).alias("hop"), "n")
+        out = level if out is None else out.unionByName(level)
+        seen = seen.unionByName(frontier)
+    return out
+
+
+@query(
+    "q_serendipity_walk",
+    """WITH e AS (SELECT s.node, s.other, s.score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep') s WHERE rn <= 50),
+w0 AS (SELECT id AS start, id AS at, [id] AS seen FROM entities WHERE entity_type = 'person'),
+w1 AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w0.*, e.other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM w0 JOIN e ON e.node = w0.at AND NOT list_contains(seen, e.other)) t WHERE rn = 1),
+w2 AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w1.*, e.other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM w1 JOIN e ON e.node = w1.at AND NOT list_contains(seen, e.other)) t WHERE rn = 1),
+w3 AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w2.*, e.other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM w2 JOIN e ON e.node = w2.at AND NOT list_contains(seen, e.other)) t WHERE rn = 1)
+SELECT start, array_to_string(seen, '>') AS path FROM w3""",
+)
+def q_serendipity_walk(g, steps=3, fan=50):
+    """Greedy walks from all persons at once, over each node's best edges, never back."""
+    best = first_per(both_ways(g.kept), ["node"], [F.desc("score"), "other"]).where(c("rn") <= fan).select("node", "other", "score")
+    walk = g.entities.where("entity_type = 'person'").select(c("id").alias("start"), c("id").alias("node"), F.array("id").alias("seen"))
+    for _ in range(steps):
+        nexts = walk.join(best, "node").where(~F.array_contains("seen", c("other")))
+        one = F.min(F.struct((-c("score")).alias("s"), "other", "seen"))
+        walk = nexts.groupBy("start").agg(one.alias("o")).select("start", c("o.other").alias("node"), F.array_append(c("o.seen"), c("o.other")).alias("seen"))
+    return walk.select("start", F.array_join(F.transform("seen", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(
+    "q_compare",
+    "WITH n AS (SELECT node, other FROM (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep') t WHERE rn <= 20), p AS (SELECT a.id AS a_id, b.id AS b_id FROM entities a JOIN entities b ON b.id = a.id + 1 AND a.source = b.source WHERE a.entity_type = 'place') SELECT p.a_id, p.b_id, count(*) AS common FROM p JOIN n x ON x.node = p.a_id JOIN n y ON y.node = p.b_id AND y.other = x.other GROUP BY 1, 2",
+)
+def q_compare(g, k=20):
+    """Neighbours that both of two places have, of each one's best twenty."""
+    n = first_per(both_ways(g.kept), ["node"], [F.desc("score"), "other"]).where(c("rn") <= k).select("node", "other")
+    sets = n.groupBy("node").agg(F.collect_set("other").alias("s"))  # at most k
+    places = g.entities.where("entity_type = 'place'").select("id", "source")
+    p = places.select(c("id").alias("a_id"), (c("id") + 1).alias("b_id"), "source").join(places.select(c("id").alias("b_id"), "source"), ["b_id", "source"])
+    both = p.join(sets.toDF("a_id", "x"), "a_id").join(sets.toDF("b_id", "y"), "b_id")
+    return both.select("a_id", "b_id", F.size(F.array_intersect("x", "y")).cast("long").alias("common")).where("common > 0")
+
+
+@query(
+    "q_deep_dive",
+    "WITH e AS (SELECT s.node, s.other, s.score, o.entity_type AS category FROM sym s JOIN entities o ON o.id = s.other WHERE s.verdict = 'keep' AND s.node >= 3000000) SELECT node, category, other, n FROM (SELECT *, row_number() OVER (PARTITION BY node, category ORDER BY score DESC, other) AS rn, count(*) OVER (PARTITION BY node, category) AS n FROM e) t WHERE rn = 1",
+)
+def q_deep_dive(g):
+    """For each work the best neighbour of each category, and how many there are."""
+    e = both_ways(g.kept).where("node >= 3000000").join(g.entities.select(c("id").alias("other"), c("entity_type").alias("category")), "other")
+    best = F.min(F.struct((-c("score")).alias("s"), "other"))
+    return e.groupBy("node", "category").agg(best.alias("b"), n_rows).select("node", "category", "b.other", "n")
+
+
+# ---- routes, maps, timelines
+
+
+@query(
+    "q_cultural_route",
+    "WITH t AS (SELECT e.id, e.lat, e.lon FROM entities e JOIN entity_tags t ON t.entity_id = e.id AND t.axis = 'geography' AND t.value_code = 'ASIA' WHERE e.lat IS NOT NULL ORDER BY md5('route' || CAST(e.id AS VARCHAR)), e.id LIMIT 20) SELECT id, CAST(floor((lon + 180.0) / 360.0 * 4096) AS BIGINT) AS x, CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * 4096) AS BIGINT) AS y FROM t",
+)
+def q_cultural_route(g, value="ASIA", n=20):
+    tagged = g.tags.where((c("axis") == "geography") & (c("value_code") == value))
+    few = g.entities.where("lat is not null").join(tagged, c("id") == c("entity_id"), "left_semi").orderBy(hash_order("route"), "id").limit(n)
+    x, y = geo.tile_xy(c("lat"), c("lon"), 12)
+    return few.select("id", x.alias("x"), y.alias("y"))
+
+
+_SPOT = "connection_type LIKE 'pilgrimage%'"
+
+
+@query("q_pilgrimage_by_work", f"SELECT s.node AS work, e.id AS place, e.lat, e.lon FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node BETWEEN 3000000 AND 3000100 AND e.lat IS NOT NULL")
+def q_pilgrimage_by_work(g, low=3000000, high=3000100):
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & c("node").between(low, high)).select(c("node").alias("work"), c("other").alias("place"))
+    return s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
+
+
+_BOX = degree_box(35.0, 136.0, 20)
+
+
+@query("q_pilgrimage_near", f"SELECT DISTINCT e.id FROM entities e JOIN sym s ON s.node = e.id AND s.{_SPOT} WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r}")
+def q_pilgrimage_near(g, box=_BOX):
+    spots = g.both_ways.where(c("connection_type").startswith("pilgrimage"))
+    return g.entities.where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).join(spots, c("id") == c("node"), "left_semi").select("id")
+
+
+@query("q_pilgrimage_browse", f"SELECT node AS work, count(DISTINCT other) AS places FROM sym WHERE {_SPOT} AND node >= 3000000 GROUP BY node ORDER BY places DESC, work LIMIT 50")
+def q_pilgrimage_browse(g, n=50):
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000))
+    return s.groupBy(c("node").alias("work")).agg(F.count_distinct("other").alias("places")).orderBy(F.desc("places"), "work").limit(n)
+
+
+@query("q_pilgrimage_route")
+def q_pilgrimage_route(g, most=20):
+    """For each work its first places, at most twenty, in nearest-neighbour order."""
+    s = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).where("node >= 3000000").select(c("node").alias("work"), c("other").alias("place"))
+    at = s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
+    few = first_per(at, ["work"], ["place"]).where(c("rn") <= most).drop("rn")
+    return few.groupBy("work").applyInPandas(nearest_first, "work long, place long, pos int")
+
+
+@query("q_nearby", f"WITH p AS (SELECT id, lat, lon, sqrt(pow((lat - 35.0) * 111.0, 2) + pow((lon - 136.0) * 111.0 * cos(radians(CAST(35.0 AS DOUBLE))), 2)) AS km FROM entities WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r}) SELECT id, {micro_sql('km')} AS km6 FROM p WHERE km <= 20 ORDER BY floor(km * 1e6 + 0.5), id LIMIT 40")
+def q_nearby(g, box=_BOX, km=20.0, n=40):
+    away = geo.equirect_km(F.lit(35.0), F.lit(136.0), c("lat"), c("lon"))
+    near = g.entities.where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).select("id", away.alias("km")).where(c("km") <= km)
+    return near.select("id", micro(c("km")).alias("km6")).orderBy("km6", "id").limit(n)
+
+
+@query("q_timeline", f"SELECT e.id, t.value_code AS era, {era_midpoint('t.value_code')} AS middle FROM (SELECT id FROM entities WHERE contains(lower(label), 'bolt') ORDER BY id LIMIT 200) e JOIN (SELECT entity_id, min(value_code) AS value_code FROM entity_tags WHERE axis = 'era' GROUP BY entity_id) t ON t.entity_id = e.id")
+def q_timeline(g, keyword="bolt", n=200):
+    """Hits by the middle of their first era."""
+    hits = search(g, keyword).orderBy("id").limit(n).select("id")
+    era = g.tags.where("axis = 'era'").groupBy("entity_id").agg(F.min("value_code").alias("era"))
+    return era.join(F.broadcast(hits), c("entity_id") == c("id")).select("id", "era", F.expr(era_midpoint("era")).alias("middle"))
+
+
+@query("q_map_work", f"SELECT s.node AS work, e.id AS place, '[' || CAST(e.lon AS VARCHAR) || ',' || CAST(e.lat AS VARCHAR) || ']' AS at FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node BETWEEN 3000000 AND 3000050 AND e.lat IS NOT NULL")
+def q_map_work(g):
+    """Point features of a work's places: coordinates as [lon, lat]."""
+    rows = q_pilgrimage_by_work(g, 3000000, 3000050)
+    return rows.select("work", "place", F.to_json(F.array("lon", "lat")).alias("at"))
+
+
+@query("q_map_theme", "SELECT e.id, t.value_code AS theme, e.lat, e.lon FROM entities e JOIN entity_tags t ON t.entity_id = e.id AND t.axis = 'theme' WHERE e.lat IS NOT NULL")
+def q_map_theme(g):
+    return g.entities.where("lat is not null").select("id", "lat", "lon").join(g.tags.where("axis = 'theme'").select(c("entity_id").alias("id"), c("value_code").alias("theme")), "id").select("id", "theme", "lat", "lon")
+
+
+@query("q_pilgrimage_timeline", f"SELECT e.release_year AS year, count(DISTINCT e.id) AS works, count(DISTINCT s.other) AS places FROM sym s JOIN entities e ON e.id = s.node WHERE s.{_SPOT} AND e.release_year IS NOT NULL GROUP BY 1")
+def q_pilgrimage_timeline(g):
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select("node", "other")
+    y = g.entities.where("release_year is not null").select("id", c("release_year").alias("year"))
+    return s.join(y, c("node") == c("id")).groupBy("year").agg(F.count_distinct("id").alias("works"), F.count_distinct("other").alias("places"))
+
+
+@query(
+    "q_emergence",
+    f"WITH y AS (SELECT e.release_year AS year, s.other FROM sym s JOIN entities e ON e.id = s.node WHERE s.{_SPOT} AND e.release_year IS NOT NULL), f AS (SELECT other, min(year) AS year FROM y GROUP BY other), n AS (SELECT year, count(*) AS n FROM f GROUP BY year) SELECT min(year) AS first_year, max(year) AS last_year, CAST(sum(n) AS BIGINT) AS places, (SELECT year FROM n ORDER BY n DESC, year LIMIT 1) AS peak, {micro_sql('sum(n) / CAST(max(year) - min(year) + 1 AS DOUBLE)')} AS rate6 FROM n",
+)
+def q_emergence(g):
+    """When places were first reached: span, peak (the first largest year) and rate."""
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select("node", "other")
+    y = g.entities.where("release_year is not null").select("id", c("release_year").alias("year"))
+    per = s.join(y, c("node") == c("id")).groupBy("other").agg(F.min("year").alias("year")).groupBy("year").agg(n_rows)
+    peak = F.min(F.struct((-c("n")).alias("m"), "year"))["year"]
+    return per.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("n").alias("places"), peak.alias("peak")).withColumn("rate6", micro(c("places") / (c("last_year") - c("first_year") + 1)))
+
+
+# ---- exports
+
+
+@query("q_export_pilgrimage", f"SELECT s.other AS place, s.node AS work, w.label FROM sym s JOIN entities w ON w.id = s.node WHERE s.{_SPOT} AND s.node >= 3000000 ORDER BY s.node, s.other LIMIT 500")
+def q_export_pilgrimage(g, n=500):
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000)).select(c("other").alias("place"), c("node").alias("work"))
+    return s.join(g.entities.select(c("id").alias("work"), "label"), "work").orderBy("work", "place").limit(n).select("place", "work", "label")
+
+
+@query("q_export_year", "SELECT id, label, release_year FROM entities WHERE release_year IS NOT NULL ORDER BY release_year, id LIMIT 500")
+def q_export_year(g, n=500):
+    return g.entities.where("release_year is not null").orderBy("release_year", "id").limit(n).select("id", "label", "release_year")
+
+
+@query("q_export_cross", "SELECT k.a_id, k.b_id, k.connection_type FROM connections k JOIN entities x ON x.id = k.a_id JOIN entities y ON y.id = k.b_id WHERE x.entity_type <> y.entity_type ORDER BY k.score DESC, k.a_id, k.b_id LIMIT 500")
+def q_export_cross(g, n=500):
+    kind = lambda end, name: g.entities.select(c("id").alias(end), c("entity_type").alias(name))
+    return g.edges.join(kind("a_id", "x"), "a_id").join(kind("b_id", "y"), "b_id").where("x <> y").orderBy(F.desc("score"), "a_id", "b_id").limit(n).select("a_id", "b_id", "connection_type")
+
+
+@query("q_export_geo", "SELECT id, lat, lon, entity_type FROM entities WHERE lat IS NOT NULL ORDER BY id LIMIT 500")
+def q_export_geo(g, n=500):
+    return g.entities.where("lat is not null").orderBy("id").limit(n).select("id", "lat", "lon", "entity_type")
+
+
+#: Datasets that sink_dataset can write.
+DATASETS = {"pilgrimage": q_export_pilgrimage, "year": q_export_year, "cross": q_export_cross, "geo": q_export_geo}
+
+
+def sink_dataset(g, name: str, path: str, form: str = "parquet", n: int | None = None) -> None:
+    """Write one of DATASETS; n limits its rows."""
+    df = DATASETS[name](g) if n is None else DATASETS[name](g, n)
+    df.write.mode("overwrite").format(form).save(path)

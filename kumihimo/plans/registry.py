@@ -32,5 +32,3 @@ def with_views(sql: str) -> str:
         return f"WITH {VIEWS_SQL},\n{text[5:]}"
     return f"WITH {VIEWS_SQL}\n{text}"
 
-
-from . import aggregates, analytics, enrichment, functions, generators, joins, search, selections, windows  # noqa: E402,F401
