@@ -8,7 +8,10 @@ from ..sources.graph import both_ways, first_per
 from .registry import query
 
 c = F.col
-n_rows = F.count("*").alias("n")
+
+
+def n_rows():
+    return F.count("*").alias("n")
 
 
 def micro(e):
@@ -22,7 +25,7 @@ def micro_sql(e: str) -> str:
 
 @query("agg_count_by_top", "SELECT source, count(*) AS n FROM entities GROUP BY source ORDER BY n DESC, source LIMIT 10")
 def agg_count_by_top(g, n=10):
-    return g.entities.groupBy("source").agg(n_rows).orderBy(F.desc("n"), "source").limit(n)
+    return g.entities.groupBy("source").agg(n_rows()).orderBy(F.desc("n"), "source").limit(n)
 
 
 @query("agg_count_distinct", f"SELECT axis, count(DISTINCT entity_id) AS n, {micro_sql('count(DISTINCT entity_id) * 100.0 / (SELECT count(*) FROM entities)')} AS pct6 FROM entity_tags GROUP BY axis")
@@ -35,7 +38,7 @@ def agg_count_distinct(g, approximate=False):
 
 @query("agg_conditional", "SELECT entity_type, count(*) AS n, count(lat) AS with_place, count(release_year) AS with_year, sum(is_dormant) AS dormant FROM entities GROUP BY entity_type")
 def agg_conditional(g):
-    return g.entities.groupBy("entity_type").agg(n_rows, F.count_if(c("lat").isNotNull()).alias("with_place"), F.count_if(c("release_year").isNotNull()).alias("with_year"), F.sum("is_dormant").alias("dormant"))
+    return g.entities.groupBy("entity_type").agg(n_rows(), F.count_if(c("lat").isNotNull()).alias("with_place"), F.count_if(c("release_year").isNotNull()).alias("with_year"), F.sum("is_dormant").alias("dormant"))
 
 
 @query(
@@ -60,12 +63,12 @@ def agg_multi_predicate(g):
     """One pass: each label is exploded to the categories that it matches."""
     hit = lambda k, ws: F.when(c("l").rlike("|".join(ws)), k)
     found = g.entities.select(F.lower("label").alias("l")).select(F.explode(F.array_compact(F.array(*[hit(k, ws) for k, ws in CATEGORIES.items()]))).alias("category"))
-    return found.groupBy("category").agg(n_rows)
+    return found.groupBy("category").agg(n_rows())
 
 
 @query("agg_having", "SELECT source, count(*) AS n FROM entities GROUP BY source HAVING count(*) BETWEEN 50 AND 10000")
 def agg_having(g, low=50, high=10000):
-    return g.entities.groupBy("source").agg(n_rows).where(c("n").between(low, high))
+    return g.entities.groupBy("source").agg(n_rows()).where(c("n").between(low, high))
 
 
 @query("agg_having_distinct", "SELECT value_code, count(DISTINCT entity_type) AS kinds FROM entity_tags JOIN entities ON id = entity_id GROUP BY value_code HAVING count(DISTINCT entity_type) >= 2")
@@ -104,7 +107,7 @@ def agg_ratio_density(g):
 
 def shares(df, key):
     """Share of each key's rows in all rows."""
-    per = df.groupBy(key).agg(n_rows)
+    per = df.groupBy(key).agg(n_rows())
     total = per.agg(F.sum("n").alias("total"))
     return per.join(F.broadcast(total)).select(key, (c("n") / c("total")).alias("p"))
 
@@ -127,19 +130,19 @@ _CELL = "CAST(floor(lat * 5) AS BIGINT) AS cy, CAST(floor(lon * 5) AS BIGINT) AS
 
 @query("agg_mode_per_group", f"SELECT cy, cx, entity_type, n FROM (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY n DESC, entity_type) AS rn FROM (SELECT {_CELL}, entity_type, count(*) AS n FROM entities WHERE lat IS NOT NULL GROUP BY 1, 2, 3) t) u WHERE rn = 1")
 def agg_mode_per_group(g):
-    per = g.entities.where("lat is not null").groupBy(F.floor(c("lat") * 5).alias("cy"), F.floor(c("lon") * 5).alias("cx"), "entity_type").agg(n_rows)
+    per = g.entities.where("lat is not null").groupBy(F.floor(c("lat") * 5).alias("cy"), F.floor(c("lon") * 5).alias("cx"), "entity_type").agg(n_rows())
     best = F.min(F.struct((-c("n")).alias("m"), "entity_type"))
     return per.groupBy("cy", "cx").agg(best.alias("b")).select("cy", "cx", "b.entity_type", (-c("b.m")).alias("n"))
 
 
 @query("agg_histogram_decade", "SELECT CAST(floor(release_year / 10.0) * 10 AS BIGINT) AS decade, count(*) AS n FROM entities WHERE release_year IS NOT NULL GROUP BY 1")
 def agg_histogram_decade(g):
-    return g.entities.where("release_year is not null").groupBy((F.floor(c("release_year") / 10) * 10).alias("decade")).agg(n_rows)
+    return g.entities.where("release_year is not null").groupBy((F.floor(c("release_year") / 10) * 10).alias("decade")).agg(n_rows())
 
 
 @query("agg_two_key_breakdown", "SELECT source, entity_type, count(*) AS n FROM entities GROUP BY source, entity_type")
 def agg_two_key_breakdown(g):
-    return g.entities.groupBy("source", "entity_type").agg(n_rows)
+    return g.entities.groupBy("source", "entity_type").agg(n_rows())
 
 
 @query("agg_outlier_counts", "SELECT count(*) FILTER (WHERE release_year < 1700) AS early, count(*) FILTER (WHERE release_year > 2000) AS late, count(*) FILTER (WHERE release_year IS NULL) AS missing FROM entities")
@@ -157,7 +160,7 @@ def agg_latency_stats(g):
     """Mean, median, p95 (the sample at floor(0.95 n)), least and most. Ranks come from counts of equal values, so no group is collected."""
     from pyspark.sql import Window
 
-    per = g.table("events").where("value is not null").groupBy("event_type", "value").agg(n_rows)
+    per = g.table("events").where("value is not null").groupBy("event_type", "value").agg(n_rows())
     upto = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = per.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy("event_type"))})
     at = F.floor(c("total") * 0.95)
@@ -173,7 +176,7 @@ def agg_latency_stats(g):
 )
 def agg_score_dims(g):
     s = c("score")
-    return g.edges.groupBy("connection_type", "source").agg(n_rows, F.floor(F.sum(s) * 1000 + 0.5).cast("long").alias("total3"), F.count_if(s < 0.3).alias("low"), F.count_if((s >= 0.3) & (s < 0.5)).alias("mid"), F.count_if(s >= 0.5).alias("high"))
+    return g.edges.groupBy("connection_type", "source").agg(n_rows(), F.floor(F.sum(s) * 1000 + 0.5).cast("long").alias("total3"), F.count_if(s < 0.3).alias("low"), F.count_if((s >= 0.3) & (s < 0.5)).alias("mid"), F.count_if(s >= 0.5).alias("high"))
 
 
 @query("agg_coverage_matrix", "SELECT value_code, count(*) FILTER (WHERE entity_type = 'person') AS person, count(*) FILTER (WHERE entity_type = 'place') AS place, count(*) FILTER (WHERE entity_type = 'work') AS work, count(*) FILTER (WHERE entity_type = 'artifact') AS artifact, count(*) AS total FROM entity_tags JOIN entities ON id = entity_id GROUP BY value_code")
@@ -204,13 +207,13 @@ def job_graph_health(g):
     "SELECT 'type' AS part, entity_type AS key, count(*) AS n FROM entities GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM entities GROUP BY 2 UNION ALL SELECT 'axis', axis, count(*) FROM entity_tags GROUP BY 2 UNION ALL SELECT 'edge', connection_type, count(*) FROM connections GROUP BY 2",
 )
 def job_coverage_report(g):
-    part = lambda df, name, key: df.groupBy(c(key).alias("key")).agg(n_rows).select(F.lit(name).alias("part"), "key", "n")
+    part = lambda df, name, key: df.groupBy(c(key).alias("key")).agg(n_rows()).select(F.lit(name).alias("part"), "key", "n")
     return part(g.entities, "type", "entity_type").unionByName(part(g.entities, "source", "source")).unionByName(part(g.tags, "axis", "axis")).unionByName(part(g.edges, "edge", "connection_type"))
 
 
 @query("q_stats", "SELECT connection_type, verdict, count(*) AS n, count(DISTINCT a_id) AS a_nodes, CAST(floor(max(score) * 1000 + 0.5) AS BIGINT) AS best3 FROM connections GROUP BY connection_type, verdict")
 def q_stats(g):
-    return g.edges.groupBy("connection_type", "verdict").agg(n_rows, F.count_distinct("a_id").alias("a_nodes"), F.floor(F.max("score") * 1000 + 0.5).cast("long").alias("best3"))
+    return g.edges.groupBy("connection_type", "verdict").agg(n_rows(), F.count_distinct("a_id").alias("a_nodes"), F.floor(F.max("score") * 1000 + 0.5).cast("long").alias("best3"))
 
 
 @query(
@@ -224,7 +227,7 @@ def src_property_group(g):
 
 @query("src_statcount", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def src_statcount(g):
-    return g.table("events").groupBy("event_type").agg(n_rows)
+    return g.table("events").groupBy("event_type").agg(n_rows())
 
 
 @query("text_source_summary", f"SELECT source, count(*) AS total, count(*) FILTER (WHERE is_dormant = 0) AS ok, {micro_sql('count(*) FILTER (WHERE is_dormant = 0) / CAST(count(*) AS DOUBLE)')} AS rate6 FROM entities GROUP BY source")
@@ -248,7 +251,7 @@ def job_scenario_score(g):
 def win_rank_list(g):
     from pyspark.sql import Window
 
-    per = g.tags.where("axis = 'geography'").groupBy(c("value_code").alias("region")).agg(n_rows)
+    per = g.tags.where("axis = 'geography'").groupBy(c("value_code").alias("region")).agg(n_rows())
     return per.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
 
 

@@ -11,14 +11,13 @@ from ..functions import geo
 from ..functions.routes import nearest_first
 from ..model import PREFECTURES, REGIONS, boxes, boxes_sql, era_midpoint
 from ..sources.graph import both_ways, first_per
-from .aggregates import micro, micro_sql
+from .aggregates import micro, micro_sql, n_rows
 from .registry import query
 from .search import search
 from .selections import degree_box
 from .windows import hash_order
 
 c = F.col
-n_rows = F.count("*").alias("n")
 
 
 # ---- regions
@@ -41,7 +40,7 @@ def region_profile(g, places):
     spots = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).select(c("node").alias("id")).distinct().withColumn("spot", F.lit(1))
     joined = at.join(degree, "id", "left").join(spots, "id", "left")
     kinds = [F.count_if(c("entity_type") == k).alias(k) for k in ("person", "place", "work", "artifact")]
-    return joined.groupBy("code").agg(n_rows, *kinds, F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count("spot").alias("spots"))
+    return joined.groupBy("code").agg(n_rows(), *kinds, F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count("spot").alias("spots"))
 
 
 def _profile_sql(places):
@@ -64,7 +63,7 @@ def q_prefecture_profile(g):
 def q_bulk_profiles(g):
     """All 47 prefectures, empty ones too, ranked; boxes overlap, so a point may count in several."""
     dim = boxes(g.spark, PREFECTURES)
-    per = in_boxes(g.entities.where("lat is not null").select("lat", "lon"), dim).groupBy("code").agg(n_rows)
+    per = in_boxes(g.entities.where("lat is not null").select("lat", "lon"), dim).groupBy("code").agg(n_rows())
     every = dim.select("code").join(per, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
     return every.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
 
@@ -75,7 +74,7 @@ def q_bulk_profiles(g):
 )
 def q_density_grid(g, low=(34.0, 135.0), high=(36.0, 137.0), n=5):
     cell = {"row": geo.density_cell(c("lat"), low[0], high[0], n), "col": geo.density_cell(c("lon"), low[1], high[1], n)}
-    per = g.entities.where("lat is not null").groupBy(*[v.alias(k) for k, v in cell.items()], "entity_type").agg(n_rows)
+    per = g.entities.where("lat is not null").groupBy(*[v.alias(k) for k, v in cell.items()], "entity_type").agg(n_rows())
     best = F.min(F.struct((-c("n")).alias("m"), "entity_type"))
     return per.groupBy("row", "col").agg(F.sum("n").alias("n"), best.alias("b")).select("row", "col", "n", c("b.entity_type").alias("dominant"))
 
@@ -130,7 +129,7 @@ def q_entity_detail(g, keyword="bolt", n=20):
 @query("q_search_culture", "SELECT count(*) AS n, bool_or(entity_type = 'work') AS has_work, bool_or(lat IS NOT NULL) AS has_place, bool_or(release_year IS NOT NULL) AS has_year FROM entities WHERE contains(lower(label), 'blue')")
 def q_search_culture(g, keyword="blue"):
     """What the hits offer to ask next."""
-    return search(g, keyword).agg(n_rows, F.bool_or(c("entity_type") == "work").alias("has_work"), F.bool_or(c("lat").isNotNull()).alias("has_place"), F.bool_or(c("release_year").isNotNull()).alias("has_year"))
+    return search(g, keyword).agg(n_rows(), F.bool_or(c("entity_type") == "work").alias("has_work"), F.bool_or(c("lat").isNotNull()).alias("has_place"), F.bool_or(c("release_year").isNotNull()).alias("has_year"))
 
 
 def filtered(g, keyword=None, kind=None, axis=None, value=None):
@@ -259,7 +258,7 @@ def q_deep_dive(g):
     """For each work the best neighbour of each category, and how many there are."""
     e = both_ways(g.kept).where("node >= 3000000").join(g.entities.select(c("id").alias("other"), c("entity_type").alias("category")), "other")
     best = F.min(F.struct((-c("score")).alias("s"), "other"))
-    return e.groupBy("node", "category").agg(best.alias("b"), n_rows).select("node", "category", "b.other", "n")
+    return e.groupBy("node", "category").agg(best.alias("b"), n_rows()).select("node", "category", "b.other", "n")
 
 
 # ---- routes, maps, timelines
@@ -351,7 +350,7 @@ def q_emergence(g):
     """When places were first reached: span, peak (the first largest year) and rate."""
     s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select("node", "other")
     y = g.entities.where("release_year is not null").select("id", c("release_year").alias("year"))
-    per = s.join(y, c("node") == c("id")).groupBy("other").agg(F.min("year").alias("year")).groupBy("year").agg(n_rows)
+    per = s.join(y, c("node") == c("id")).groupBy("other").agg(F.min("year").alias("year")).groupBy("year").agg(n_rows())
     peak = F.min(F.struct((-c("n")).alias("m"), "year"))["year"]
     return per.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("n").alias("places"), peak.alias("peak")).withColumn("rate6", micro(c("places") / (c("last_year") - c("first_year") + 1)))
 
