@@ -53,6 +53,10 @@ def grams(w: Column, k: int) -> Column:
     return F.transform(_up_to(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
 
 
+def _distinct_grams(k: int):
+    return lambda w: F.array_distinct(grams(w, k))
+
+
 def winnow(g: Column, size: int) -> Column:
     """The least hash of each run of ``size`` k-gram hashes, each once."""
     least = F.transform(_up_to(F.size(g) - (size - 1)), lambda i: F.array_min(F.slice(g, i + 1, size)))
@@ -86,7 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     fingerprints = _let(words(F.col("text")), lambda w: _let(grams(w, k), lambda g: winnow(g, span)))
     marks = narrow.select("doc_id", F.lit(window).alias("n"), F.explode(fingerprints).alias("mark"))
     for n in short:
-        all_runs = _let(words(F.col("text")), lambda w, n=n: F.array_distinct(grams(w, n)))
+        all_runs = _let(words(F.col("text")), _distinct_grams(n))
         marks = marks.unionByName(narrow.select("doc_id", F.lit(n).alias("n"), F.explode(all_runs).alias("mark")))
     hits = marks.join(_small(keyed, BROADCAST_ROWS), ["n", "mark"]).select("doc_id", "item_id").distinct()
 
