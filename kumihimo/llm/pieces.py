@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import map_text, mix, spread, table
 
@@ -310,7 +311,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
         return f
 
     narrow = docs.select(*kept)
-    schema = narrow.withColumn(out_col, F.array().cast("array<int>")).schema
+    schema = T.StructType([*narrow.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()), True)])
     return map_text(spread(narrow), make, schema, at_text)
 
 
@@ -328,7 +329,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", m
                 texts = [None if x is None else pieces.decode(x) for x in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, out_col])
 
-    schema = encoded.select(*kept).withColumn(out_col, F.lit("")).schema
+    schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField(out_col, T.StringType(), True)])
     return encoded.select(*kept).mapInArrow(run, schema)
 
 
