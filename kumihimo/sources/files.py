@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 c = F.col
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file: its whole text."""
+    return spark.read.text(path, wholetext=True)
+
+
 def catalog_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested catalogue -> id, native, romaji, english, year (of the season, else of the start), format, genres, tags."""
-    schema = "id long, title struct<native:string,romaji:string,english:string>, format string, seasonYear int, startDate struct<year:int>, genres array<string>, tags array<struct<name:string,rank:int>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    """catalog_rows() of files."""
+    return catalog_rows(documents(spark, path))
+
+
+def catalog_rows(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Arrays of nested catalogue records -> id, native, romaji, english, year (of the season, else of the start), format, genres, tags."""
+    schema = "array<struct<id:long,title:struct<native:string,romaji:string,english:string>,format:string,seasonYear:int,startDate:struct<year:int>,genres:array<string>,tags:array<struct<name:string,rank:int>>>>"
+    raw = texts.select(F.inline(F.from_json(text, schema)))
     return raw.where("id is not null").select("id", "title.native", "title.romaji", "title.english", F.coalesce("seasonYear", "startDate.year").alias("year"), "format", "genres", "tags")
 
 
@@ -81,17 +91,28 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def language_tagged_json(spark: SparkSession, path: str) -> DataFrame:
-    """Language-tagged names -> name_ja, name_en, creators."""
+    """language_tagged_rows() of files."""
+    return language_tagged_rows(documents(spark, path))
+
+
+def language_tagged_rows(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Records, or arrays of them, with language-tagged names -> id, name_ja, name_en, creators."""
     tagged = "array<struct<`@language`:string,`@value`:string>>"
-    raw = spark.read.schema(f"`@id` string, `schema:name` {tagged}, `schema:creator` {tagged}").option("multiLine", True).json(path)
+    one = f"struct<`@id`:string,`schema:name`:{tagged},`schema:creator`:{tagged}>"
+    raw = texts.select(F.inline(F.from_json(F.when(F.ltrim(text).startswith("["), c(text)).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<{one}>")))
     pick = lambda lang: F.get(F.filter(c("`schema:name`"), lambda n: n["@language"] == lang), 0)["@value"]
     return raw.select(c("`@id`").alias("id"), pick("ja").alias("name_ja"), pick("en").alias("name_en"), F.transform(c("`schema:creator`"), lambda n: n["@value"]).alias("creators"))
 
 
 def geojson_points(spark: SparkSession, path: str) -> DataFrame:
+    """geojson_rows() of files."""
+    return geojson_rows(documents(spark, path))
+
+
+def geojson_rows(texts: DataFrame, text: str = "value") -> DataFrame:
     """Features -> properties (map), lat, lon: a point itself, a line's middle vertex, the mean of a polygon's first ring."""
-    raw = spark.read.schema("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>").option("multiLine", True).json(path)
-    f = raw.select(F.explode("features").alias("f")).select("f.properties", c("f.geometry.type").alias("kind"), c("f.geometry.coordinates").alias("raw"))
+    parsed = F.from_json(text, "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>")
+    f = texts.select(F.explode(parsed["features"]).alias("f")).select("f.properties", c("f.geometry.type").alias("kind"), c("f.geometry.coordinates").alias("raw"))
     point = F.from_json("raw", "array<double>")
     line = F.from_json("raw", "array<array<double>>")
     ring = F.when(c("kind") == "Polygon", F.get(F.from_json("raw", "array<array<array<double>>>"), 0)).otherwise(F.get(F.get(F.from_json("raw", "array<array<array<array<double>>>>"), 0), 0))
@@ -102,27 +123,42 @@ def geojson_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def places_json(spark: SparkSession, path: str) -> DataFrame:
+    """places_rows() of files."""
+    return places_rows(documents(spark, path))
+
+
+def places_rows(texts: DataFrame, text: str = "value") -> DataFrame:
     """Map elements -> name, lat, lon, wikidata: own place, else the centre; Japanese name, else any, else English."""
-    raw = spark.read.schema("elements array<struct<lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>").option("multiLine", True).json(path)
-    e = raw.select(F.explode("elements").alias("e")).select("e.*")
+    parsed = F.from_json(text, "struct<elements:array<struct<lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>>")
+    e = texts.select(F.explode(parsed["elements"]).alias("e")).select("e.*")
     name = F.coalesce(c("tags")["name:ja"], c("tags")["name"], c("tags")["name:en"])
     out = e.select(name.alias("name"), F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lon"), c("tags")["wikidata"].alias("wikidata"))
     return out.where("name is not null and lat is not null and lon is not null")
 
 
 def pages_manifest(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
+    """manifest_rows() of files."""
+    return manifest_rows(documents(spark, path), most=most)
+
+
+def manifest_rows(texts: DataFrame, text: str = "value", most: int = 20) -> DataFrame:
     """A page manifest -> page, label, width, height, image, thumbnail of the first ``most`` pages."""
     canvas = "struct<label:string,width:int,height:int,images:array<struct<resource:struct<service:struct<`@id`:string>>>>>"
-    raw = spark.read.schema(f"label string, sequences array<struct<canvases:array<{canvas}>>>").option("multiLine", True).json(path)
+    raw = texts.select(F.from_json(text, f"struct<label:string,sequences:array<struct<canvases:array<{canvas}>>>>").alias("m")).select("m.*")
     p = raw.select(c("label").alias("title"), F.posexplode(F.get("sequences", 0)["canvases"]).alias("page", "k")).where(c("page") < most)
     image = F.get(c("k.images"), 0)["resource"]["service"]["@id"]
     return p.select("title", "page", "k.label", "k.width", "k.height", image.alias("image"), F.concat(image, F.lit("/full/200,/0/default.jpg")).alias("thumbnail"))
 
 
 def ocr_pages(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
+    """ocr_rows() of files."""
+    return ocr_rows(documents(spark, path), most=most)
+
+
+def ocr_rows(texts: DataFrame, text: str = "value", most: int = 20) -> DataFrame:
     """Recognised pages -> page, text: blocks joined by line breaks."""
-    raw = spark.read.schema("pages array<struct<blocks:array<struct<text:string>>>>").option("multiLine", True).json(path)
-    p = raw.select(F.posexplode("pages").alias("page", "p")).where(c("page") < most)
+    parsed = F.from_json(text, "struct<pages:array<struct<blocks:array<struct<text:string>>>>>")
+    p = texts.select(F.posexplode(parsed["pages"]).alias("page", "p")).where(c("page") < most)
     return p.select("page", F.array_join(F.transform("p.blocks", lambda b: b["text"]), "\n").alias("text"))
 
 

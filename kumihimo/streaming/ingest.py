@@ -37,7 +37,7 @@ def refresh_index(spark: SparkSession, store: str, index: str, checkpoint: str,
     stream = spark.readStream.schema(schema).parquet(store)
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = postings(batch.select("id", "label")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+        rows = postings(batch.select("id", F.col("key").alias("label"))).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
         # a batch has a folder of its own, so running it again replaces it
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/batch={number}")
 
