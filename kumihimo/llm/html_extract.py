@@ -382,7 +382,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text, n_chars: one row for each row of ``pages``."""
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     named = narrow.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= 100_000))
-    rows = named.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").toPandas()["html"].tolist()
+    # keys are ranked alone, so no task and no driver sees more pages than the sample holds; at most ``sample`` keys are broadcast
+    keys = named.select(F.xxhash64("page_id", "url").alias("key")).distinct().orderBy("key").limit(sample)
+    picked = named.join(F.broadcast(keys), F.xxhash64("page_id", "url") == F.col("key"), "left_semi")
+    rows = [r["html"] for r in picked.groupBy("page_id", "url").agg(F.min("html").alias("html")).orderBy("page_id", "url").collect()]
     model = pages.sparkSession.sparkContext.broadcast(train(rows))
 
     def make():
