@@ -167,7 +167,7 @@ def _align(min_words: int):
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text_col`` stripped of blocks that an earlier document holds, and n_lines, n_kept (longs)."""
+    """``docs`` with ``text_col`` stripped of blocks that an earlier document holds, and n_lines, n_kept (longs, in place of columns so named)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = staged(
         map_text(spread(narrow), _lines(min_words), "doc_id long, lines array<long>, words array<int>, windows array<long>")
@@ -184,7 +184,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     changed = F.col("__gone").isNotNull()
     size = F.coalesce(F.size(split), F.lit(0)).cast("long")
     return joined.select(
-        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_kept")],
         F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size).alias("n_lines"),
         F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).when(changed, F.size(kept).cast("long")).otherwise(size).alias("n_kept"),
     )
