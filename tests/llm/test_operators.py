@@ -182,6 +182,28 @@ def test_jaccard_join(spark, small):
     assert kept == {c for _, _, c in got.values()}
 
 
+@pytest.mark.parametrize("leaf", [1, 64])
+def test_jaccard_join_of_short_texts(spark, leaf):
+    rows = []
+    for g in range(240):
+        n = (14, 24, 34, 49)[g % 4]  # 10, 20, 30 and 45 shingles, of which a fifth at most goes
+        w = words(n, 2000 + g).split()
+        cut = n - (n - 4) // 5
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:cut]))]
+    got = {x["doc_id"]: (x["rep_id"], x["n_links"], x["class_id"]) for x in jaccard_join.near_duplicates(docs(spark, rows), leaf=leaf).collect()}
+    assert got == brute_links(rows) and all(n == 1 for _, n, _ in got.values())
+
+
+def test_sketch_cuts_keep_pairs_at_the_threshold():
+    r = np.random.default_rng(3)
+    for n in (5, 10, 20, 50, 100, 400):
+        cut = jaccard_join._cuts(0.8)[2 * n - n // 5]  # a set of n and one without a fifth of it
+        for _ in range(300):
+            tokens = r.integers(0, 2**63, n).astype(np.uint64)
+            a, b = (np.frombuffer(jaccard_join.sketch(t), np.uint8) for t in (tokens, tokens[n // 5 :]))
+            assert (a == b).sum() >= cut
+
+
 def test_jaccard_of_empty_table(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
 
