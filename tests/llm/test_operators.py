@@ -383,6 +383,18 @@ def test_pii_model_adds_variants_and_keeps_clean_text(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_pii_address_in_a_text_without_digits(monkeypatch):
+    r = random.Random(4)
+    model = pii.train(*pii.examples([f"{words(20, i)} {words(1, i)}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com {words(20, i + 500)}" for i in range(150)]))
+    mails = ["anna [at] mail.example.com", "anna(at)mail.example.com", "anna (AT) mail.example.com"]
+    texts = [f"{words(n, n)} write to {mail} {words(40, n + 1)}" for n in (10, 60) for mail in mails]
+    found = lambda: pii.model_spans(model, texts, [[] for _ in texts])
+    got = found()
+    assert all([t[a:b] for _, a, b in s] == [m] for t, m, s in zip(texts[:2] + texts[3:5], mails[:2] * 2, got[:2] + got[3:5]))
+    monkeypatch.setattr(pii, "_MARK", re.compile("."))  # every window is scored
+    assert found() == got
+
+
 # ---- 9
 
 
