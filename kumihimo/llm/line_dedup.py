@@ -1,24 +1,30 @@
 """Operator 3: line dedup by pairwise alignment.
 
-Every line becomes a hash. From each line on, the shortest run of lines that
-holds ``min_words`` words is a window; a window that two documents share is
-rare enough to name them a pair. Each later document is paired with the first
-holder of each of its windows (a star, so a passage that a third of all
-documents hold gives one pair for each document, not all pairs), and any
-common block of ``min_words`` words begins with such a window, so none is
-missed. A pair is aligned by patience diff over its line hashes; blocks that
-moved, which an alignment can't hold, are matched by their windows afterwards.
-Common blocks of ``min_words`` words or more are deleted from the document
-with the larger id. Each deleted line has an equal line in an earlier
-document, and so, link by link, in one that keeps it.
+Every line becomes a hash. From each line on, and up to each line, the
+shortest run of lines that holds ``min_words`` words is a window: a run that
+is rare, where a single line may be common. Documents that share a window
+overlap. Each later document is paired with the first holder of each of its
+windows (a star, so a passage that a third of all documents hold gives one
+pair for each document, not all pairs). What a pair shares is aligned by
+patience diff over its windows: the longest chain that increases in both
+documents are blocks in order, the others are blocks that moved
+(``n_moved``). The lines of all these blocks are deleted from the later
+document.
+
+Any common block of ``min_words`` words or more is a union of windows (from
+its first line on, and up to each line after the first window), so none is
+missed, and nothing but such blocks goes. Each deleted line has an equal line
+in an earlier document, and so, link by link, in one that keeps it. Two
+64-bit hashes tell windows apart. Only windows travel, never a document's
+lines, and the work for a document grows with its lines.
 
 Defined cases: null text stays null; lines are compared without the white
 space at their ends; blank lines belong to the block around them; blocks
-repeated only inside one document stay; rows that share an id are one
-document with the rows' lines apart (each row is changed by the same line
-numbers, so ids should be unique); a document whose lines are all deleted has
-text '' and n_kept 0; an empty table gives an empty result; other columns
-pass through.
+repeated only inside one document stay; documents are ordered by id, null ids
+last, and by a hash of id and text where ids are equal; rows equal in both are
+one document and edited alike; a document whose lines are all deleted has text
+'' and n_kept 0; an empty table gives an empty result; other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -31,103 +37,51 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import map_text, mix, spread, staged, table
+from .text import keyed, list_array, map_text, mix, row_hash, spread, staged, table
 
 MIN_WORDS = 50
 
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15
+_FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-def line_windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Hash of the shortest run of lines from each line on that holds min_words words; none where the text ends first."""
-    n = len(hashes)
+def windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and length of the shortest runs of min_words words from each line on and up to each line, each once."""
+    n = len(words)
     total = np.append(0, np.cumsum(words))
     end = np.searchsorted(total, total[:-1] + min_words)  # lines i .. end-1
-    fits = end <= n
-    with np.errstate(over="ignore"):
-        power = np.append(_U(1), np.cumprod(np.full(n, _P, _U)))
-        inverse = pow(_P, -1, 2**64)
-        back = np.append(_U(1), np.cumprod(np.full(n, inverse, _U)))
-        prefix = np.append(_U(0), np.cumsum(mix(hashes) * power[:n]))
-        i = np.flatnonzero(fits)
-        out = np.zeros(n, _U)
-        out[i] = mix((prefix[end[i]] - prefix[i]) * back[i] + (end[i] - i).astype(_U))
-    return out[fits]
-
-
-def _matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Patience diff: matched positions of equal lines, increasing in both."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        al, ah, bl, bh = todo.pop()
-        while al < ah and bl < bh and a[al] == b[bl]:
-            out.append((al, bl))
-            al, bl = al + 1, bl + 1
-        while al < ah and bl < bh and a[ah - 1] == b[bh - 1]:
-            ah, bh = ah - 1, bh - 1
-            out.append((ah, bh))
-        if al >= ah or bl >= bh:
-            continue
-        seen: dict = {}
-        for x, lo, hi, side in ((a, al, ah, 0), (b, bl, bh, 1)):
-            for i in range(lo, hi):
-                seen.setdefault(x[i], ([], []))[side].append(i)
-        unique = sorted((u[0], v[0]) for u, v in seen.values() if len(u) == len(v) == 1)
-        if not unique:
-            continue
-        tails: list[int] = []
-        last: list[int] = []
-        before = [-1] * len(unique)
-        for k, (_, j) in enumerate(unique):
-            at = bisect_left(tails, j)
-            before[k] = last[at - 1] if at else -1
-            tails[at : at + 1] = [j]
-            last[at : at + 1] = [k]
-        chain = []
-        k = last[-1]
-        while k >= 0:
-            chain.append(unique[k])
-            k = before[k]
-        chain.reverse()
-        ends = [(al - 1, bl - 1), *chain, (ah, bh)]
-        out += chain
-        todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(ends[:-1], ends[1:], strict=True)]
-    return sorted(out)
-
-
-def common_blocks(later: list, earlier: list, words: list[int], min_words: int) -> list[int]:
-    """Positions in ``later`` of the lines of all common blocks with min_words words or more."""
-    gone: set[int] = set()
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*_matches(later, earlier), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[x] for x in block) >= min_words:
-                gone.update(block)
-            block = []
-        block.append(i)
-        last = (i, j)
-    # moved or repeated blocks: extend each window that the earlier document has too
-    ends: dict = {}
-    for j, x in enumerate(earlier):
-        ends.setdefault(x, []).append(j)
-    i = 0
-    while i < len(later):
-        best = 0
-        if i not in gone:
-            for j in ends.get(later[i], ()):
-                n = 0
-                while i + n < len(later) and j + n < len(earlier) and later[i + n] == earlier[j + n]:
-                    n += 1
-                best = max(best, n)
-        if best and sum(words[i : i + best]) >= min_words:
-            gone.update(range(i, i + best))
-            i += best
-        else:
-            i += 1
-    return sorted(gone)
+    first = np.searchsorted(total, total[1:] - min_words, "right") - 1  # lines first .. i
+    on, up = np.flatnonzero(end <= n), np.flatnonzero(first >= 0)
+    start, stop = np.append(on, first[up]), np.append(end[on], up + 1)
+    both = np.unique(start * (n + 1) + stop)
+    return both // (n + 1), both % (n + 1) - both // (n + 1)
+
+
+def run_hashes(hashes: np.ndarray, start: np.ndarray, length: np.ndarray, factor: int) -> np.ndarray:
+    """Hash of each run of lines."""
+    n = len(hashes)
+    power = np.append(_U(1), np.cumprod(np.full(n, factor, _U)))
+    back = np.append(_U(1), np.cumprod(np.full(n, pow(factor, -1, 2**64), _U)))
+    prefix = np.append(_U(0), np.cumsum(mix(hashes ^ _U(factor)) * power[:n]))
+    return mix((prefix[start + length] - prefix[start]) * back[start] + length.astype(_U))
+
+
+def increasing(pairs: list[tuple[int, int]]) -> list[bool]:
+    """Patience: which of the pairs (in the order of their first part) are in a longest chain that increases in the second."""
+    tails: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before[k] = last[at - 1] if at else -1
+        tails[at : at + 1] = [j]
+        last[at : at + 1] = [k]
+    out = [False] * len(pairs)
+    k = last[-1] if last else -1
+    while k >= 0:
+        out[k] = True
+        k = before[k]
+    return out
 
 
 def _lines(min_words: int):
@@ -135,67 +89,93 @@ def _lines(min_words: int):
         digest = xxhash.xxh3_64_intdigest
 
         def f(part: pa.RecordBatch) -> pa.RecordBatch:
-            hashes, words, windows = [], [], []
+            columns: list[list[np.ndarray]] = [[], [], [], []]
             for text in part.column(1).to_pylist():
                 lines = [x.strip() for x in text.split("\n")] if text is not None else []
                 h = np.array([digest(x.encode("utf-8", "surrogatepass")) for x in lines], _U)
-                w = np.array([len(x.split()) for x in lines], np.int64)
-                hashes.append(h.view(np.int64).tolist())
-                words.append(w.tolist())
-                windows.append(np.unique(line_windows(h, w, min_words)).view(np.int64).tolist() if len(h) else [])
-            return pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(windows, pa.list_(pa.int64()))],
-                names=["doc_id", "lines", "words", "windows"],
-            )
+                start, length = windows(np.array([len(x.split()) for x in lines], np.int64), min_words)
+                for c, x in zip(columns, (run_hashes(h, start, length, _FACTORS[0]), run_hashes(h, start, length, _FACTORS[1]), start, length), strict=True):
+                    c.append(x)
+            lists = [list_array(c, np.uint64, pa.uint64()).values.view(pa.int64()) for c in columns]
+            offsets = list_array(columns[0], np.uint64, pa.uint64()).offsets
+            held = pa.StructArray.from_arrays([lists[0], lists[1], lists[2].cast(pa.int32()), lists[3].cast(pa.int32())], names=["h", "g", "at", "n"])
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, held)], names=["doc_id", "row", "windows"])
 
         return f
 
     return make
 
 
-def _align(min_words: int):
-    def run(batches):
-        for batch in batches:
-            ids, gone = [], []
-            for row in batch.to_pylist():
-                found = common_blocks(row["lines"], row["earlier"], row["words"], min_words)
-                ids += [row["doc_id"]] * len(found)
-                gone += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.int32())], names=["doc_id", "at"])
-
-    return run
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text_col`` stripped of blocks that an earlier document holds, and n_lines, n_kept (longs, in place of columns so named)."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = staged(
-        map_text(spread(narrow), _lines(min_words), "doc_id long, lines array<long>, words array<int>, windows array<long>")
-    )
-    each = lines.select("doc_id", F.explode("windows").alias("window"))
-    first = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    pairs = each.join(first, "window").where("doc_id > first").select("doc_id", "first").distinct()
-    earlier = lines.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
-    both = pairs.join(earlier, "first").join(lines.select("doc_id", "lines", "words"), "doc_id")
-    gone = both.mapInArrow(_align(min_words), "doc_id long, at int").groupBy("doc_id").agg(F.collect_set("at").alias("__gone"))
+def shared_lines(matches: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, int]:
+    """From one document's matched windows (first holder, line, lines, line in the holder): which lines go, up to the last of them, and how many of these moved."""
+    matches = sorted(matches)
+    size = max(at + n for _, at, n, _ in matches)
+    gone, ordered = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+    lo = 0
+    while lo < len(matches):
+        hi = lo
+        while hi < len(matches) and matches[hi][0] == matches[lo][0]:
+            hi += 1
+        own = matches[lo:hi]
+        for (_, at, n, _), kept in zip(own, increasing([(at, j) for _, at, _, j in own]), strict=True):
+            for marks in (gone, ordered) if kept else (gone,):
+                marks[at] += 1
+                marks[at + n] -= 1
+        lo = hi
+    gone, ordered = np.cumsum(gone)[:-1] > 0, np.cumsum(ordered)[:-1] > 0
+    return gone, int((gone & ~ordered).sum())
+
+
+def _align(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            made = [shared_lines([(m["first"], m["at"], m["n"], m["j"]) for m in found]) for found in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tolist() for g, _ in made], pa.list_(pa.bool_())), pa.array([m for _, m in made], pa.int64())], names=["row", "gone", "moved"])
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """row (key by id and text), gone (of its lines up to the last that goes, which go), moved: for each document that repeats an earlier one's block."""
+    held = staged(map_text(spread(keyed(docs, id_col, text_col)), _lines(min_words), "doc_id long, row long, windows array<struct<h:long,g:long,at:int,n:int>>"))
+    each = held.select("doc_id", "row", F.explode("windows").alias("w")).select("doc_id", "row", "w.h", "w.g", "w.at", "w.n")
+    # what more than one document holds, and its first holder, who comes by id, then by row
+    twice = each.groupBy("h", "g").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")).alias("lead")).where("low < high")
+    leads = twice.select("h", "g", F.col("lead.row").alias("first"), F.col("lead.at").alias("j"))
+    matched = each.join(leads, ["h", "g"]).where("row <> first")
+    return matched.groupBy("row").agg(F.collect_set(F.struct("first", "at", "n", "j")).alias("found")).mapInArrow(_align, "row long, gone array<boolean>, moved long")
+
+
+def _edited(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``docs`` with the blocks gone from ``text_col``, and __n_lines, __n_kept, __n_moved."""
+    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("row").alias("__row"), F.col("gone").alias("__gone"), F.col("moved").alias("__moved"))
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left")
-    changed = F.col("__gone").isNotNull()
-    size = F.coalesce(F.size(split), F.lit(0)).cast("long")
+    kept = F.filter(split, lambda x, i: ~F.coalesce(F.get("__gone", i), F.lit(False)))
+    joined = docs.withColumn("__key", row_hash(id_col, text_col)).join(gone, F.col("__key") == F.col("__row"), "left")
+    changed, none = F.col("__gone").isNotNull(), F.lit(0).cast("long")
+    size = F.when(F.col(text_col).isNull(), none).otherwise(F.size(split).cast("long"))
     return joined.select(
-        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_kept")],
-        F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(size).alias("n_lines"),
-        F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).when(changed, F.size(kept).cast("long")).otherwise(size).alias("n_kept"),
+        *[F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        size.alias("__n_lines"),
+        F.when(changed, F.size(kept).cast("long")).otherwise(size).alias("__n_kept"),
+        F.coalesce("__moved", none).alias("__n_moved"),
     )
 
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with ``text_col`` stripped of blocks that an earlier document holds, and n_lines, n_kept, n_moved (longs, in place of columns so named)."""
+    made = ("n_lines", "n_kept", "n_moved")
+    kept = [c for c in docs.columns if c not in made]
+    return _edited(docs.select(kept), id_col, text_col, min_words).select(*kept, *[F.col(f"__{c}").alias(c) for c in made])
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text (without blocks of 50 words or more that an earlier document holds), n_lines, n_kept."""
+    """doc_id, text (without blocks of 50 words or more that an earlier document holds), n_lines, n_kept, n_moved."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """Pipeline stage: texts without repeated blocks; a document left without a line goes, as its whole text stays elsewhere."""
-    out = dedup_lines(docs, **options).where("n_kept > 0 or n_lines = 0")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Pipeline stage: texts without repeated blocks; a document left without a line goes, as its whole text stays elsewhere. n_chars follows the text."""
+    out = _edited(docs, "doc_id", "text", min_words).where("__n_kept > 0 or __n_lines = 0")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
