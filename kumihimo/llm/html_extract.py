@@ -10,17 +10,21 @@ text. Messages of all trees of a slice of rows run together, level by level.
 
 Training maximises the exact likelihood of labelled pages. Labels come from a
 bounded sample of the table's own pages that name their article (an
-``article`` or ``main`` element), with pages rewritten from them: the named
-elements become plain ones with a class, and sidebars, notices, adverts,
-forms and reader comments made of other pages' text are put in, labelled as
-such. The sample's bound is ``sample`` pages.
+``article`` or ``main`` element): as they are, with these elements renamed to
+plain ones, and rewritten with other layouts: plain elements with and without
+a class, and sidebars, notices, adverts, forms and reader comments made of
+other pages' text, labelled as such. The sample is bounded to ``sample`` pages
+of at most ``sample_chars`` characters; extraction reads every page whole.
 
 Text: character references are decoded, white space inside a block becomes
 one space, blocks are joined in page order by line breaks. Scripts, styles,
 templates and the head are markup, not text.
 
 Defined cases: null and empty html give '' and 0; broken markup is read as
-far as it goes (an unclosed element ends with its parent); plain text without
+far as it goes (an unclosed element ends with its parent; a tag whose quotes
+don't close within ``_TAG_REACH`` characters ends at its first >, and without
+one is text; elements deeper than ``_DEEPEST`` are siblings, as in browsers), in
+time that grows with the page; plain text without
 markup is one block; repeated rows each count; with no page that names its
 article the rewritten defaults below train alone; an empty table gives an
 empty result; other columns are ignored.
@@ -40,6 +44,7 @@ from pyspark.sql import functions as F
 from .text import map_text, spread, table
 
 SAMPLE = 200
+SAMPLE_CHARS = 100_000
 BITS = 13
 STEPS = 60
 
@@ -52,7 +57,11 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 ENDS |= dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split(), {"p"})
 SCOPE = frozenset("html body table ul ol dl div section article aside nav footer header main form blockquote".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_MARKUP = re.compile(r"<(?=[/A-Za-z!?])")
+_TAG_REACH = 1 << 14
+_DEEPEST = 512
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _FEATURES: dict[str, int] = {}
@@ -91,6 +100,35 @@ LEAF, PART, PLAIN, NAME = range(4)
 _PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption tr".split())
 
 
+def next_tag(source: str, at: int, last: int) -> tuple[int, int, str, str, str] | None:
+    """(start, end, name, '/' if closing, attributes) of the first tag from a place on; comments and declarations have no name. last: place of the last >."""
+    while m := _MARKUP.search(source, at):
+        begin = m.start()
+        if source.startswith("<!--", begin):
+            close = source.find("-->", begin + 4)
+            return begin, close + 3 if close >= 0 else len(source), "", "", ""
+        if begin > last:  # no tag ends any more
+            comment = source.find("<!--", begin)
+            return (comment, len(source), "", "", "") if comment >= 0 else None
+        if tag := _TAG.match(source, begin, min(len(source), begin + _TAG_REACH)):
+            return begin, tag.end(), tag[2], tag[1], tag[3]
+        head = _OPEN.match(source, begin)
+        stop = source.find(">", begin) + 1
+        if head:
+            return begin, stop, head[2], head[1], source[head.end() : stop - 1]
+        if source[begin + 1] in "!?":
+            return begin, stop, "", "", ""
+        at = begin + 2  # "</" and no name
+    return None
+
+
+def _closed(source: str, name: str, at: int) -> int:
+    """Where an element whose inside is no markup ends: behind its closing tag, or with the page."""
+    close = re.compile(rf"</{re.escape(name)}\b", re.I).search(source, at)
+    stop = source.find(">", close.end()) if close else -1
+    return stop + 1 if stop >= 0 else len(source)
+
+
 def parse(source: str) -> Tree:
     """The tree of a page."""
     t = Tree()
@@ -110,18 +148,19 @@ def parse(source: str) -> Tree:
                 t.text[k], t.links[k], t.size[k] = text, min(linked, len(text)), len(text)
             linked = 0
 
-    for m in iter(lambda: _TAG.search(source, at), None):
-        if m.start() > at:
-            piece = source[at : m.start()]
+    last = source.rfind(">")
+    while tag := next_tag(source, at, last):
+        begin, stop, name, closing, attributes = tag
+        if begin > at:
+            piece = source[at:begin]
             piece = _html.unescape(piece) if "&" in piece else piece
             runs.append(piece)
             if inside:
                 linked += len(piece)
-        at = m.end()
-        name = m[2] or m[5]
+        at = stop
         if not name:
             continue
-        name, closing = name.lower(), m[1] or m[4]
+        name = name.lower()
         if name in INLINE:
             if name == "br":
                 runs.append(" ")
@@ -129,10 +168,9 @@ def parse(source: str) -> Tree:
                 inside = 0 if closing else 1
             continue
         if name in RAW and not closing:
-            if (m[3] or m[6] or "").endswith("/"):
+            if attributes.endswith("/"):
                 continue
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-            at = close.end() if close else end
+            at = _closed(source, name, at)
             continue
         flush()
         if closing:
@@ -155,15 +193,17 @@ def parse(source: str) -> Tree:
         if name in VOID:
             continue
         if name == "head":
-            close = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(source, at)
-            at = (close.end() if close[0][1] == "/" else close.start()) if close else at
+            close = re.compile(r"</head\b|<body\b", re.I).search(source, at)
+            if close:
+                at = close.start() if close[0][1] != "/" else _closed(source, "head", at)
             continue
-        attributes = m[3] or m[6]
         names: tuple[str, ...] = ()
         if attributes:
             found = _NAME.findall(attributes)
             if found:
                 names = tuple(_WORDS.findall(" ".join(a or b or c for a, b, c in found).lower()))
+        if len(stack) > _DEEPEST:
+            continue
         stack.append(t.add(stack[-1], NAME if name in NAMED else PART if name in _PARTS else PLAIN, name, names))
         tags.append(name)
     if at < end:
@@ -190,7 +230,7 @@ def features(t: Tree) -> list[list[int]]:
             if "©" in text:
                 f.append("copyright")
         else:
-            f = [f"tag={tag}", f"inner={density}"] + [f"name={n}" for n in names[:12]]
+            f = [f"tag={tag}", f"inner={density}"] + [f"name={n}" for n in dict.fromkeys(names)]
         out.append([_feature("bias"), *map(_feature, f)])
     return out
 
@@ -347,17 +387,27 @@ def rewritten(paragraphs: list[str], seed: int) -> str:
         tag = one_of(("article", "main"))
         main = f"<{tag}>{body}{tail if r.integers(0, 2) else ''}</{tag}>"
     else:
-        main = f'<div class="articlelabel {one_of(MAIN_NAMES)}">{body}</div>' + tail
+        main = f'<div class="articlelabel {one_of(MAIN_NAMES) if r.integers(0, 3) else ""}">{body}</div>' + tail
     wrap = f'<div class="{one_of(("wrapper", "container", "page", "row", ""))}">{main}{some_of(("aside", "ad"))}</div>' if r.integers(0, 2) else main + some_of(("aside", "ad"))
     return f"<html><body>{some_of(('notice', 'header', 'nav', 'ad'))}{wrap}{some_of(('comments', 'share', 'form', 'footer'))}</body></html>"
 
 
+_ARTICLE = re.compile(r"<(/?)(?:article|main)\b([^>]*)>", re.I)
+
+
+def renamed(source: str) -> str:
+    """The page with its article in a plain element, labelled for ``labelled``; its own class names go every other time."""
+    keep = zlib.crc32(source.encode("utf-8", "surrogatepass")) & 1
+    return _ARTICLE.sub(lambda m: "</div>" if m[1] else f'<div class="articlelabel" {m[2] if keep else ""}>', source)
+
+
 def train(sources: list[str], variants: int = 2) -> dict[str, np.ndarray]:
-    """Fit on pages that name their article and on pages rewritten from their paragraphs."""
+    """Fit on pages that name their article, on the same with the name gone, and on pages rewritten from their paragraphs."""
     trees = [t for t in map(labelled, sources) if t is not None]
-    paragraphs = [x for t in trees for x, y, k in zip(t.text, t.label, t.kind, strict=True) if k == LEAF and y][:5000]
-    paragraphs = [p[:600] for p in paragraphs if len(p) > 20] + list(DEFAULT_TEXT)
-    trees += [t for t in (labelled(rewritten(paragraphs, i)) for i in range(max(400, variants * len(trees)))) if t is not None]
+    paragraphs = [x for t in trees for x, y, k in zip(t.text, t.label, t.kind, strict=True) if k == LEAF and y]
+    paragraphs = [p for p in paragraphs if len(p) > 20] + list(DEFAULT_TEXT)
+    trees += [t for t in (labelled(renamed(s)) for s in sources) if t is not None]
+    trees += [t for t in (labelled(rewritten(paragraphs, i)) for i in range(max(400, variants * len(sources)))) if t is not None]
     return fit(trees)
 
 
@@ -378,10 +428,10 @@ def extract(model: dict, sources: list[str]) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages``."""
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    named = narrow.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= 100_000))
+    named = narrow.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= sample_chars))
     # keys are ranked alone, so no task and no driver sees more pages than the sample holds; at most ``sample`` keys are broadcast
     keys = named.select(F.xxhash64("page_id", "url").alias("key")).distinct().orderBy("key").limit(sample)
     picked = named.join(F.broadcast(keys), F.xxhash64("page_id", "url") == F.col("key"), "left_semi")
