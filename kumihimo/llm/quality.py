@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import WORD, map_text, spread, staged, table
+from .text import WORD, keyed, map_text, row_hash, spread, staged, table
 
 MIN_WORDS = 50
 KEEP_AT = 0.5
@@ -87,18 +87,17 @@ def _counts():
             points = _points(text)
             known = np.minimum(points, 128)
             lower = text.lower()
-            upper = int((points != _points(lower)).sum()) if len(lower) == len(text) else 0
+            upper = int((points != _points(lower)).sum()) if len(lower) == len(text) else sum(c != c.lower() for c in text)
             rows.append((len(words), int((~_SPACE[known]).sum()), int(_SYMBOL[known].sum()), dup, repeated_words(codes, len(ids)), int(_LETTER[known].sum()), upper, int((points == 33).sum()), len(ids), lines, ended))
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *BASE, *MORE])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], names=["doc_id", "row", *BASE, *MORE])
 
     return f
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts in BASE and MORE, one row for each row of ``docs``."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_text(spread(narrow), _counts, ", ".join(["doc_id long", *[f"{c} long" for c in BASE + MORE]]))
+    """doc_id, the row's key and the counts in BASE and MORE, one row for each row of ``docs``."""
+    return map_text(spread(keyed(docs, id_col, text_col)), _counts, ", ".join(["doc_id long", "row long", *[f"{c} long" for c in BASE + MORE]]))
 
 
 def _vote(ratio: Column, good: Column, bad: Column) -> Column:
@@ -171,16 +170,16 @@ def score(features_: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
         odds = odds + F.when(F.col(name) == -1, gain[0]).when(F.col(name) == 1, gain[2]).otherwise(gain[1])
     good = 1 / (1 + F.exp(-odds))
     return voted.select(
-        "doc_id", *BASE, failed.alias("base_failed"), (~failed & (good >= keep_at)).alias("kept"), good.alias("p_good"), *names
+        "doc_id", "row", *BASE, failed.alias("base_failed"), (~failed & (good >= keep_at)).alias("kept"), good.alias("p_good"), *names
     )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the label model's verdict for each document."""
-    return score(staged(features(table(spark, sf_dir, "documents"))))
+    return score(staged(features(table(spark, sf_dir, "documents")))).drop("row")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """Pipeline stage: documents that the label model keeps."""
-    kept = score(staged(features(docs)), **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").select(docs.columns)
+def keep_good(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+    """Pipeline stage: documents that the label model keeps. The verdict follows from id and text, so rows with null or shared ids have their own."""
+    kept = score(staged(features(docs)), keep_at).where("kept").select(F.col("row").alias("__row")).distinct()
+    return docs.join(kept, row_hash() == F.col("__row"), "left_semi").select(docs.columns)
