@@ -73,6 +73,25 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The tokenizer's pattern runs out of stack on longer runs of white space.
+_RUN = 10_000
+_SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % _RUN)
+
+
+def encode(coder, text: str) -> list[int]:
+    """Token ids of a text. A long run of white space is encoded as the piece that the pattern takes it for: all of it but the last character, if more follows."""
+    if len(text) < _RUN:
+        return coder.encode_ordinary(text)
+    out: list[int] = []
+    at = 0
+    for m in _SPACES.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += coder.encode_ordinary(text[at : m.start()])
+        out += coder._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:])
+
+
 class _Cut:
     """Cuts one conversation's turns, as they come, into windows; holds a window's turns and the history only."""
 
@@ -163,7 +182,7 @@ def _format(budget: int, history: int, vocabulary: str):
                             number += 1
                         cut, conv, number = _Cut(budget, history), c, 0
                     role, text = role or "", text or ""
-                    tokens = len(count.encode_ordinary(f"{role}\n{text}")) + 2
+                    tokens = len(encode(count, f"{role}\n{text}")) + 2
                     for w in cut.add((role, text, tokens)):
                         out.append(_row(conv, number, *w))
                         number += 1

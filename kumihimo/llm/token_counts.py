@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import VOCABULARY, encoder
+from .chat import VOCABULARY, encode, encoder
 from .text import map_text, spread, table
 
 RULES = ("start", "majority", "split")
@@ -62,7 +62,7 @@ def _sections(rule: str, vocabulary: str):
                 data = (text or "").encode()
                 raw = np.frombuffer(data, np.uint8)
                 bounds = np.append(0, np.flatnonzero(raw == 10) + 1)
-                ids = np.array(coder.encode_ordinary(text or ""), np.int64)
+                ids = np.array(encode(coder, text or ""), np.int64)
                 ends = np.cumsum(lengths[ids]) if len(ids) else ids
                 count.append(attribute(ends - lengths[ids], ends, bounds, rule))
                 chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # code points before each byte
