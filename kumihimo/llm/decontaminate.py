@@ -4,31 +4,37 @@ Texts are folded (A-Z to a-z) and cut into words. A shared run of
 ``window`` = 10 words holds 10 - k + 1 overlapping k-grams, so winnowing with
 that many k-grams to a sliding window keeps the same least hash on both
 sides: every shared run has a common fingerprint. Fingerprints of documents
-and of benchmark items are joined; the hits are then extended on the words
-themselves, so neither a hash collision nor a shorter overlap counts. Items
-of fewer words are one window each; their hash is sought among all runs of
-that length.
+and of benchmark items are joined; in the documents that are hit the hits are
+extended: all their runs of ``window`` words meet those of the items in an
+equi-join on two 64-bit hashes, so neither a chance equality of fingerprints
+nor a shorter overlap counts. Items of fewer words are one window each; their
+hash is sought among all runs of that length.
 
-The fingerprints of the benchmark are broadcast only if they are counted to be
-at most ``BROADCAST_ROWS``; beyond it the join is a shuffled one.
+What is joined are positions and hashes, never an item's words for each
+document. Benchmark sides are broadcast only where their bytes are summed up
+to be at most ``BROADCAST_BYTES``; beyond it the joins are shuffled ones.
 
 Defined cases: null and wordless texts hit nothing and have n_words 0; an
-item without words is never found; repeated rows and items count each (n_items
-counts item ids once); an empty benchmark leaves all clean; an empty table
-gives an empty result; other columns are ignored.
+item without words is never found, a null item_id counts as ''; rows are told
+apart by id and text, so null and shared ids do no harm; repeated rows and
+items count each (n_items counts item ids once); an empty benchmark leaves all
+clean; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import staged, table
+from .text import keyed, row_hash, staged, table
 
 WINDOW = 10
 K = 5
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
+_NOTHING = hashlib.sha256(b"").hexdigest()
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -63,76 +69,77 @@ def winnow(g: Column, size: int) -> Column:
     return F.array_distinct(least)
 
 
-def _runs(w: Column, n: int) -> Column:
-    """All runs of n words, as text."""
-    return F.transform(_up_to(F.size(w) - (n - 1)), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))
+def runs(w: Column, n: int) -> Column:
+    """(s, h, g) of all runs of n words: where each begins, and two hashes of its words."""
+    at = lambda i: [F.get(w, i + j) for j in range(n)]
+    return F.transform(_up_to(F.size(w) - (n - 1)), lambda i: F.struct(i.alias("s"), F.xxhash64(*at(i)).alias("h"), F.xxhash64(F.lit(n), *at(i)).alias("g")))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast if counted to be at most that many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast if its rows, of an item_id and numbers, sum up to at most so many bytes."""
+    size = df.agg(F.sum(F.length("item_id").cast("long") * 4 + 64)).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of ``docs``."""
+    return _judged(docs, items, id_col, text_col, item_col, window, k).drop("row")
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, k: int = K) -> DataFrame:
     tests = staged(
-        items.select(F.col(item_col).cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+        items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     )
-    short = [r[0] for r in tests.where(F.size("w") < window).select(F.size("w")).distinct().collect()]  # at most window - 1 numbers
+    short = sorted(r[0] for r in tests.where(F.size("w") < window).select(F.size("w")).distinct().collect())  # at most window - 1 numbers
     span = window - k + 1
     # what marks a document: winnowed k-grams for whole windows, and all runs as long as a short item
-    keyed = tests.select(
-        "item_id",
-        F.least(F.size("w"), F.lit(window)).alias("n"),
-        F.explode(F.when(F.size("w") >= window, winnow(grams(F.col("w"), k), span)).otherwise(_choose(short, lambda n: grams(F.col("w"), n)))).alias("mark"),
-    ).distinct()
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    whole = F.size("w") >= window
+    keyed_marks = F.when(whole, winnow(grams(F.col("w"), k), span)).otherwise(_choose(short, lambda n: grams(F.col("w"), n)))
+    keys = staged(tests.select("item_id", F.least(F.size("w"), F.lit(window)).alias("n"), F.explode(keyed_marks).alias("mark")).distinct())
+    narrow = keyed(docs, id_col, text_col)
     fingerprints = _let(words(F.col("text")), lambda w: _let(grams(w, k), lambda g: winnow(g, span)))
-    marks = narrow.select("doc_id", F.lit(window).alias("n"), F.explode(fingerprints).alias("mark"))
+    marks = narrow.select("row", F.lit(window).alias("n"), F.explode(fingerprints).alias("mark"))
     for n in short:
-        all_runs = _let(words(F.col("text")), _distinct_grams(n))
-        marks = marks.unionByName(narrow.select("doc_id", F.lit(n).alias("n"), F.explode(all_runs).alias("mark")))
-    hits = marks.join(_small(keyed, BROADCAST_ROWS), ["n", "mark"]).select("doc_id", "item_id").distinct()
-
-    # the hits' items with all their windows as text, and their fingerprints, gathered for each document
-    own = tests.select(
-        "item_id",
-        F.least(F.size("w"), F.lit(window)).alias("n"),
-        F.when(F.size("w") >= window, winnow(grams(F.col("w"), k), span)).otherwise(F.array().cast("array<bigint>")).alias("prints"),
-        F.when(F.size("w") >= window, _runs(F.col("w"), window)).otherwise(F.array(F.concat_ws(" ", "w"))).alias("runs"),
-    ).groupBy("item_id", "n").agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("prints"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
-    wanted = hits.join(_small(own, BROADCAST_ROWS // 10), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "prints", "runs")).alias("wanted"))
-    both = narrow.join(wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("wanted", F.array().cast(wanted.schema["wanted"].dataType)).alias("wanted"))
-
-    def starts(w: Column, x: Column) -> Column:
-        """Where windows of item x begin: around each of its fingerprints, as far as a window reaches; a short item's anywhere."""
-        fits = lambda s: (s >= 0) & (s <= F.size(w) - x["n"])
-        seeds = F.filter(_up_to(F.size(w) - (k - 1)), lambda i: F.array_contains(x["prints"], F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
-        near = F.array_distinct(F.flatten(F.transform(seeds, lambda i: F.sequence(i - (span - 1), i))))
-        tried = F.when(F.size(x["prints"]) > 0, near).otherwise(_up_to(F.size(w) - (x["n"] - 1)))
-        return F.filter(tried, lambda s: F.when(fits(s), F.array_contains(x["runs"], F.array_join(F.slice(w, s + 1, x["n"]), " "))).otherwise(False))
-
-    def found(w: Column) -> Column:
-        each = F.transform(F.col("wanted"), lambda x: F.struct(x["item_id"].alias("item_id"), F.flatten(F.transform(starts(w, x), lambda s: F.sequence(s, s + x["n"] - 1))).alias("at")))
-        none = F.array().cast("array<struct<item_id:string,at:array<int>>>")
-        return F.when(F.size("wanted") > 0, F.filter(each, lambda x: F.size(x["at"]) > 0)).otherwise(none)
-
-    def summary(w: Column, hits: Column) -> Column:
-        names = F.array_sort(F.array_distinct(hits["item_id"]))
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.size(F.array_distinct(F.flatten(hits["at"]))).cast("long").alias("n_hit"),
-            F.size(names).cast("long").alias("n_items"),
-            F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-        )
-
-    done = both.select("doc_id", F.explode(F.array(_let(words(F.col("text")), lambda w: _let(found(w), lambda hits: summary(w, hits))))).alias("s"))
-    return done.select("doc_id", "s.n_words", "s.n_hit", "s.n_items", "s.items_sha256", (F.col("s.n_hit") > 0).alias("contaminated"))
-
-
-def _choose(short: list[int], make) -> Column:
+        marks = marks.unionByName(narrow.select("row", F.lit(n).alias("n"), F.explode(_let(words(F.col("text")), _distinct_grams(n))).alias("mark")))
+    hit = staged(marks.join(_small(keys), ["n", "mark"], "left_semi").select("row").distinct())
+
+    # windows of the items, and of the documents that share a fingerprint with one
+    item_runs = F.when(whole, runs(F.col("w"), window)).otherwise(_choose(short, lambda n: runs(F.col("w"), n), "array<struct<s:int,h:bigint,g:bigint>>"))
+    own = tests.select("item_id", F.least(F.size("w"), F.lit(window)).alias("n"), F.explode(item_runs).alias("x")).select("item_id", "n", "x.h", "x.g").distinct()
+    own = staged(own)
+    texts = narrow.join(hit, "row", "left_semi").dropDuplicates(["row"]).select("row", words(F.col("text")).alias("w"))
+    texts = staged(texts)
+    found = None
+    for n in (window, *short):
+        part = texts.select("row", F.lit(n).alias("n"), F.explode(runs(F.col("w"), n)).alias("x")).select("row", "n", "x.s", "x.h", "x.g")
+        found = part if found is None else found.unionByName(part)
+    met = staged(found.join(_small(own), ["n", "h", "g"]).select("row", "s", "n", "item_id"))
+    return _counted(narrow, met)
+
+
+def _counted(narrow: DataFrame, met: DataFrame) -> DataFrame:
+    """Words under windows and items found, beside each document's words. met: row, s, n, item_id of each window found."""
+    # windows in order of their begin: each adds what lies beyond the farthest end so far
+    begin = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
+    spans = met.select("row", F.struct(F.col("s").cast("long").alias("s"), (F.col("s") + F.col("n")).cast("long").alias("e")).alias("x")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    hits = spans.select("row", F.aggregate("xs", begin, step)["n"].alias("n_hit"))
+    names = met.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("names"))
+    names = names.select("row", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
+    sizes = narrow.select("doc_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    none = F.lit(0).cast("long")
+    return sizes.join(hits.join(names, "row"), "row", "left").select(
+        "doc_id", "row", "n_words",
+        F.coalesce("n_hit", none).alias("n_hit"),
+        F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", F.lit(_NOTHING)).alias("items_sha256"),
+        (F.coalesce("n_hit", none) > 0).alias("contaminated"),
+    )
+
+
+def _choose(short: list[int], make, kind: str = "array<bigint>") -> Column:
     """make(n) for the item's own length n among ``short``."""
-    out = F.lit(None).cast("array<bigint>")
+    out = F.lit(None).cast(kind)
     for n in short:
         out = F.when(F.size("w") == n, make(n)).otherwise(out)
     return out
@@ -168,7 +175,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """Pipeline stage: documents that hold a window of a benchmark item go."""
-    clean = contaminated(docs, items, **options).where("not contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(clean, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").select(docs.columns)
+    dirty = _judged(docs, items, window=window, k=k).where("contaminated").select(F.col("row").alias("__row")).distinct()
+    return docs.join(dirty, row_hash() == F.col("__row"), "left_anti").select(docs.columns)
