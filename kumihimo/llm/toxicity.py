@@ -15,8 +15,9 @@ calibration, fitted on the training documents, to its score. Labels are read for
 features.
 
 The fit uses at most ``sample`` documents of each label, those with the least
-hash of their id, and of each the words up to ``sample_words``: a bounded
-sample of labelled rows. Scoring reads every text whole.
+hash of their id. Of a document with more than ``sample_words`` words it takes
+so many in pieces of lines chosen by hash from the whole text, in Spark, so
+what reaches the driver is bounded. Scoring reads every text whole.
 
 Defined cases: null, empty and wordless texts get the score of a text without
 a toxic word; repeated rows each count; documents without a label are scored
@@ -37,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import WORD, map_text, spread, table
+from .text import WORD, map_text, slices, spread, table
 
 BITS = 17
 #: Training chains are cut to so many words; scored ones are whole lines.
 _PIECE = 64
 SAMPLE = 1500
-SAMPLE_WORDS = 1200
+SAMPLE_WORDS = 4000
 SPAN_AT = 0.5
 TOXIC_AT = 0.7
 
@@ -148,35 +149,44 @@ class Vocabulary:
         return np.add.reduceat(weights[np.asarray(self.flat, np.int64)], np.append(0, self.ends[:-1])) if self.ends else np.zeros(0)
 
 
-def _suspects(texts: list[str], toxic: np.ndarray, sample_words: int) -> set[str]:
+def pieces(text: str, most: int) -> list[str]:
+    """The lines of a text in pieces of _PIECE words; of a text of more than ``most`` words the pieces with the least hashes, in their order."""
+    out = []
+    for line in text.split("\n"):
+        words = WORD.findall(line)
+        out += [" ".join(words[lo : lo + _PIECE]) for lo in range(0, len(words), _PIECE)]
+    sizes = np.array([x.count(" ") + 1 for x in out], np.int64)
+    if sizes.sum() <= most:
+        return out
+    order = sorted(range(len(out)), key=lambda i: (zlib.crc32(out[i].encode("utf-8", "surrogatepass"), i), i))
+    left = np.cumsum(sizes[order])
+    return [out[i] for i in sorted(order[: max(1, int(np.searchsorted(left, most, "right")))])]
+
+
+def _suspects(lines: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Words, and beginnings of words as '~...', of toxic documents that clean ones hardly hold. Equal lines count once, so copies add nothing."""
     seen: list[Counter] = [Counter(), Counter()]
-    lines: set[tuple[int, str]] = set()
-    for text, label in zip(texts, toxic.tolist(), strict=True):
-        left = sample_words
-        for line in text.split("\n"):
-            words = WORD.findall(line)[:left]
-            left -= len(words)
-            if words and (label, line) not in lines:
-                lines.add((label, line))
-                forms = {bare(w) for w in words}
+    known: set[tuple[int, str]] = set()
+    for own, label in zip(lines, toxic.tolist(), strict=True):
+        for line in own:
+            if (label, line) not in known:
+                known.add((label, line))
+                forms = {bare(w) for w in line.split(" ")}
                 seen[label].update({*forms, *(f"~{f[:n]}" for f in forms for n in (4, 5) if len(f) > n)})
     n0, n1 = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
     least = max(3, 0.012 * n1)
     return {k for k, c in seen[1].items() if k not in ("", "~") and c >= least and c / n1 >= 25 * (seen[0][k] + 0.25) / n0}
 
 
-def fit(texts: list[str], toxic: np.ndarray, bits: int = BITS, rounds: int = 2, steps: int = 30, sample_words: int = SAMPLE_WORDS) -> dict:
-    """Weights of features and moves, and the calibration, from texts and their labels."""
+def fit(lines: list[list[str]], toxic: np.ndarray, bits: int = BITS, rounds: int = 2, steps: int = 30) -> dict:
+    """Weights of features and moves, and the calibration, from the pieces of documents and their labels."""
     vocabulary = Vocabulary(bits)
-    suspects = _suspects(texts, toxic, sample_words)
+    suspects = _suspects(lines, toxic)
     numbers, lengths, doc, tags = [], [], [], []
-    for k, (text, label) in enumerate(zip(texts, toxic.tolist(), strict=True)):
-        left = sample_words
-        for line in text.split("\n"):
-            words = WORD.findall(line)[:left]
-            left -= len(words)
-            lengths += [min(_PIECE, len(words) - lo) for lo in range(0, len(words), _PIECE)]
+    for k, (own, label) in enumerate(zip(lines, toxic.tolist(), strict=True)):
+        for line in own:
+            words = line.split(" ")
+            lengths.append(len(words))
             for word in words:
                 numbers.append(vocabulary.number(word))
                 doc.append(k)
@@ -218,7 +228,7 @@ def fit(texts: list[str], toxic: np.ndarray, bits: int = BITS, rounds: int = 2,
         given = p[chains.given]
         if r + 1 < rounds:
             tags = np.maximum(tags, (given > 0.5) & (toxic[doc] == 1))
-    beta = logistic(document_features(given, doc, len(texts)), toxic)
+    beta = logistic(document_features(given, doc, len(lines)), toxic)
     return {"weights": weights, "move": move, "bias": bias, "calibration": tuple(beta.tolist()), "bits": bits}
 
 
@@ -314,28 +324,36 @@ class Scorer(dict):
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Rows that training leaves out; a null id is never trained on, and not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> tuple[list[list[str]], np.ndarray]:
+    """Pieces of at most ``sample`` texts of each label that aren't held out: those with the least hash of their id."""
 
+    def cut(batches):
+        for part in slices(batches, 1, rows=64):
+            made = [pieces(t or "", sample_words) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.string())), part.column(2)], names=["doc_id", "lines", "toxic"])
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most ``sample`` texts of each label that aren't held out: those with the least hash of their id."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null").where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = None
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.unionByName(part)
-    # at most 2 * sample rows, so this side may be broadcast
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
+    # at most 2 * sample rows, so this side may be broadcast; of rows that share an id one is used
+    first = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+    rows = first.mapInArrow(cut, "doc_id long, lines array<string>, toxic int").orderBy("doc_id").collect()
+    return [list(r["lines"]) for r in rows], np.array([r["toxic"] for r in rows], np.int64)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic_words, toxic_spans (start:end in code points, comma-joined)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts, toxic = training_rows(narrow, labels, sample)
+    lines, toxic = training_rows(narrow, labels, sample, sample_words)
     if len(set(toxic.tolist())) < 2:
         return narrow.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_toxic_words"), F.lit("").alias("toxic_spans"))
-    model = fit(texts, toxic)
+    model = fit(lines, toxic)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
