@@ -75,17 +75,17 @@ class Pieces:
                 self.bytes_of[i] = bytes([value])
         self.byte_weight = (1 / (len(normal) + 258) / total) ** sharpness
         self.longest = max(map(len, self.piece))
-        self._trie()
+        self.letter: np.ndarray | None = None
 
     def _trie(self) -> None:
         """Nodes are prefixes of pieces; steps between them are an open hash table on (node, character)."""
-        self.letter = np.zeros(0x110000, np.int32)  # of a code point; 0: in no piece
+        self.letter = np.zeros(0x110000, np.int32)  # of a code point; 0: in no piece, as is the mark
+        letters = sorted(set("".join(self.piece)))
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         nodes: dict[str, int] = {"": 0}
         for p in self.piece:
             for n in range(1, len(p) + 1):
                 nodes.setdefault(p[:n], len(nodes))
-                if not self.letter[ord(p[n - 1])]:
-                    self.letter[ord(p[n - 1])] = int(self.letter.max()) + 1
         self.node_id, self.node_weight = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes))
         for p, (i, w) in self.piece.items():
             self.node_id[nodes[p]], self.node_weight[nodes[p]] = i, w
@@ -116,29 +116,26 @@ class Pieces:
             open_ = open_[(found >= 0) & (out[open_] < 0)]
         return out
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place the edges that end there, shortest first: where they begin, weight, ids."""
-        n = len(chunk)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for j in range(1, n + 1):
-            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
-                hit = self.piece.get(chunk[i:j])
-                if hit:
-                    into[j].append((i, hit[1], (hit[0],)))
-                elif i == j - 1:
-                    ids = self.spelled(ord(chunk[i]))
-                    into[j].append((i, self.byte_weight ** len(ids), ids))
-        return into
+    def ending(self, chunk: str, j: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The edges that end at a place, shortest first: where they begin, weight, ids."""
+        out = []
+        for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
+            hit = self.piece.get(chunk[i:j])
+            if hit:
+                out.append((i, hit[1], (hit[0],)))
+            elif i == j - 1:
+                ids = self.spelled(ord(chunk[i]))
+                out.append((i, self.byte_weight ** len(ids), ids))
+        return out
 
     def spelled(self, point: int) -> tuple[int, ...]:
-        return tuple(self.byte_id[b] for b in chr(_true(point)).encode("utf-8", "surrogatepass"))
+        return tuple(self.byte_id[b] for b in chr(point).encode("utf-8", "surrogatepass"))
 
     def draw(self, chunk: str, seed: int) -> list[int]:
-        """One chunk's path by forward filtering, backward sampling, in logarithms."""
-        into = self.edges(chunk)
+        """One chunk's path by forward filtering, backward sampling, in logarithms; only the sums of each place are held."""
         logs = [0.0]
-        for edges in into[1:]:
-            terms = [logs[i] + math.log(w) for i, w, _ in edges]
+        for j in range(1, len(chunk) + 1):
+            terms = [logs[i] + math.log(w) for i, w, _ in self.ending(chunk, j)]
             top = max(terms)
             logs.append(top + math.log(sum(math.exp(t - top) for t in terms)))
         ids: list[tuple[int, ...]] = []
@@ -146,7 +143,7 @@ class Pieces:
         while j:
             left = float(_uniform(np.array([seed], _U), turn)[0])
             turn += 1
-            for e in into[j]:
+            for e in self.ending(chunk, j):
                 left -= math.exp(logs[e[0]] + math.log(e[1]) - logs[j])
                 if left < 0:
                     break
@@ -156,7 +153,8 @@ class Pieces:
 
     def encode(self, texts: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
         """Ids of each text."""
-        texts = [t.replace(MARK, _OWN) if MARK in t else t for t in texts]
+        if self.letter is None:
+            self._trie()
         sizes = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         total = len(points)
@@ -228,7 +226,7 @@ class Pieces:
                     alone = np.flatnonzero(~known)
                     if len(alone):
                         p = points[alone, i].astype(np.int64)
-                        width = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000) - (p == ord(_OWN)) * (len(_OWN.encode()) - 3)
+                        width = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
                         cdf[alone, i + 1, 0] = self.byte_weight ** width * f[alone, i]
                         piece[alone, i + 1, 0] = -1 - p
                 keep = node >= 0
@@ -265,14 +263,6 @@ class Pieces:
         return b"".join([table_[i] for i in ids]).decode("utf-8", "surrogatepass")
 
 
-#: Stands for MARK in a text while it is encoded: a code point that no text holds.
-_OWN = "\U0010FFFF"
-
-
-def _true(point: int) -> int:
-    return ord(MARK) if point == ord(_OWN) else point
-
-
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and for each row which it is."""
     flat = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * 4))).ravel()
