@@ -92,6 +92,74 @@ PREFECTURES = [
 ]
 
 
+# Categories of a region's assets, with their entity types and label patterns; no types: any end of a pilgrimage edge.
+ASSETS = [
+    ("shrine", ("place",), ("%神社%", "%大社%", "%八幡%")),
+    ("temple", ("place",), ("%寺%", "%院%")),
+    ("place", ("place",), ()),
+    ("artifact", ("artifact",), ()),
+    ("building", ("building",), ()),
+    ("food", ("food",), ()),
+    ("festival", ("festival", "event"), ()),
+    ("tradition", ("tradition", "cultural_practice"), ()),
+    ("pilgrimage", None, ()),
+]
+
+# Kinds of neighbours by connection type; any other type is "other".
+NEIGHBOUR_KINDS = [
+    ("people", ("creator_work", "influence", "adaptation")),
+    ("works", ("same_theme", "shared_genre", "medium_cross", "thematic_resonance")),
+    ("places", ("pilgrimage_same_location", "pilgrimage_landmark", "pilgrimage_proximity", "pilgrimage_regional", "pilgrimage_filming", "geographic_cultural", "heritage_location")),
+    ("themes", ("cultural_echo", "era_bridge", "temporal_echo", "shared_motif")),
+]
+
+# The calendar, by month: events with their type.
+CALENDAR = {
+    1: [("正月", "event"), ("成人の日", "event"), ("七草粥", "food")],
+    2: [("節分", "event"), ("札幌雪まつり", "festival"), ("梅の花見", "event")],
+    3: [("ひな祭り", "event"), ("お水取り", "event"), ("桜の開花", "event")],
+    4: [("花見", "event"), ("高山祭", "festival")],
+    5: [("端午の節句", "event"), ("三社祭", "festival"), ("葵祭", "festival")],
+    6: [("梅雨入り", "event"), ("YOSAKOIソーラン祭り", "festival")],
+    7: [("七夕", "event"), ("祇園祭", "festival"), ("隅田川花火大会", "festival")],
+    8: [("お盆", "event"), ("阿波おどり", "festival"), ("ねぶた祭", "festival"), ("コミックマーケット", "event")],
+    9: [("お月見", "event"), ("岸和田だんじり祭", "festival")],
+    10: [("紅葉狩り", "event"), ("時代祭", "festival"), ("秋祭り", "event")],
+    11: [("七五三", "event"), ("紅葉の見頃", "event"), ("酉の市", "event")],
+    12: [("冬至", "event"), ("除夜の鐘", "event"), ("忠臣蔵", "event"), ("年越しそば", "food")],
+}
+# Words of each month that festivals are looked up by.
+MONTH_WORDS = {
+    1: ("一月", "正月"),
+    2: ("二月", "節分"),
+    3: ("三月", "ひな祭り", "桃"),
+    4: ("四月", "花見", "桜"),
+    5: ("五月", "端午"),
+    6: ("六月", "梅雨"),
+    7: ("七月", "七夕"),
+    8: ("八月", "お盆", "盆踊り"),
+    9: ("九月", "月見"),
+    10: ("十月", "紅葉"),
+    11: ("十一月", "七五三"),
+    12: ("十二月", "年末"),
+}
+# Words of each month that seasonal things are looked up by.
+SEASON_WORDS = {
+    1: ("初詣", "おせち"),
+    2: ("豆まき", "梅"),
+    3: ("雛人形", "桃の花"),
+    4: ("桜", "花見"),
+    5: ("鯉のぼり", "菖蒲"),
+    6: ("紫陽花", "蛍"),
+    7: ("花火", "浴衣", "風鈴"),
+    8: ("灯籠", "盆踊り", "夏祭り"),
+    9: ("団子", "ススキ", "月見"),
+    10: ("紅葉", "栗", "秋"),
+    11: ("菊", "千歳飴"),
+    12: ("柚子", "餅つき"),
+}
+
+
 def degree_box(lat: float, lon: float, km: float) -> tuple[float, float, float, float]:
     """(lat_min, lat_max, lon_min, lon_max) of a radius, in degrees."""
     import math

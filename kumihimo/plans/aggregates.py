@@ -211,9 +211,31 @@ def job_coverage_report(g):
     return part(g.entities, "type", "entity_type").unionByName(part(g.entities, "source", "source")).unionByName(part(g.tags, "axis", "axis")).unionByName(part(g.edges, "edge", "connection_type"))
 
 
-@query("q_stats", "SELECT connection_type, verdict, count(*) AS n, count(DISTINCT a_id) AS a_nodes, CAST(floor(max(score) * 1000 + 0.5) AS BIGINT) AS best3 FROM connections GROUP BY connection_type, verdict")
-def q_stats(g):
-    return g.edges.groupBy("connection_type", "verdict").agg(n_rows(), F.count_distinct("a_id").alias("a_nodes"), F.floor(F.max("score") * 1000 + 0.5).cast("long").alias("best3"))
+def _stats_sql():
+    count = lambda part, key, source: f"SELECT '{part}' AS part, {key} AS key, count(*) AS n FROM {source} GROUP BY 2"
+    top = lambda part, key, source, n=20: f"SELECT * FROM ({count(part, key, source)} ORDER BY n DESC, key LIMIT {n})"
+    return " UNION ALL ".join([
+        "SELECT 'total' AS part, 'entities' AS key, count(*) AS n FROM entities", "SELECT 'total', 'tags', count(*) FROM entity_tags", "SELECT 'total', 'edges', count(*) FROM connections",
+        "SELECT 'coverage', 'tagged', count(DISTINCT entity_id) FROM entity_tags", "SELECT 'coverage', 'placed', count(lat) FROM entities", "SELECT 'coverage', 'dated', count(release_year) FROM entities", "SELECT 'coverage', 'linked', count(DISTINCT node) FROM sym",
+        top("type", "entity_type", "entities"), top("source", "source", "entities"), top("axis", "axis", "entity_tags"), top("edge", "connection_type || '/' || verdict", "connections"),
+    ])
+
+
+@query("q_stats", _stats_sql())
+def q_stats(g, n=20):
+    """Totals, coverage, and the most frequent types, sources, axes and kinds of edges."""
+    row = lambda df, part, key, value: df.agg(value.alias("n")).select(F.lit(part).alias("part"), F.lit(key).alias("key"), "n")
+    top = lambda df, part, key: df.groupBy(key.alias("key")).agg(n_rows()).orderBy(F.desc("n"), "key").limit(n).select(F.lit(part).alias("part"), "key", "n")
+    all_ = F.count("*")
+    parts = [
+        row(g.entities, "total", "entities", all_), row(g.tags, "total", "tags", all_), row(g.edges, "total", "edges", all_),
+        row(g.tags, "coverage", "tagged", F.count_distinct("entity_id")), row(g.entities, "coverage", "placed", F.count("lat")), row(g.entities, "coverage", "dated", F.count("release_year")), row(g.both_ways, "coverage", "linked", F.count_distinct("node")),
+        top(g.entities, "type", c("entity_type")), top(g.entities, "source", c("source")), top(g.tags, "axis", c("axis")), top(g.edges, "edge", F.concat_ws("/", "connection_type", "verdict")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.routes import nearest_first
-from ..model import PREFECTURES, REGIONS, boxes, boxes_sql, era_midpoint
+from ..model import CALENDAR, MONTH_WORDS, NEIGHBOUR_KINDS, SEASON_WORDS, era_midpoint
 from ..sources.graph import both_ways, first_per
 from .aggregates import micro, micro_sql, n_rows
 from .registry import query
@@ -20,76 +20,13 @@ from .windows import hash_order
 c = F.col
 
 
-# ---- regions
+def with_tags(g, df, key="id", name="tags"):
+    """Adds an entity's tags as 'axis=value,...'."""
+    one = g.tags.groupBy(c("entity_id").alias(key)).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "axis", "value_code"))), ",").alias(name))
+    return df.join(one, key, "left")
 
 
-def in_boxes(points, dim, cell=0.5):
-    """Points with each box that holds them. Boxes are cut to cells, so it is an equi-join; the dictionary has at most some hundred rows."""
-    at = lambda x: F.floor(x / cell)
-    span = lambda a, b: F.explode(F.sequence(at(c(a)), at(c(b))))
-    cells = dim.withColumn("cy", span("lat_min", "lat_max")).withColumn("cx", span("lon_min", "lon_max"))
-    p = points.withColumns({"cy": at(c("lat")), "cx": at(c("lon"))})
-    inside = c("lat").between(c("lat_min"), c("lat_max")) & c("lon").between(c("lon_min"), c("lon_max"))
-    return p.join(F.broadcast(cells), ["cy", "cx"]).where(inside).drop("cy", "cx", "lat_min", "lat_max", "lon_min", "lon_max")
-
-
-def region_profile(g, places):
-    """Of each region: entities by type, edges of a-ends, distinct pilgrimage places, density and rank."""
-    at = in_boxes(g.entities.where("lat is not null").select("id", "entity_type", "lat", "lon"), boxes(g.spark, places))
-    degree = g.edges.groupBy(c("a_id").alias("id")).agg(F.count("*").alias("k"))
-    spots = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).select(c("node").alias("id")).distinct().withColumn("spot", F.lit(1))
-    joined = at.join(degree, "id", "left").join(spots, "id", "left")
-    kinds = [F.count_if(c("entity_type") == k).alias(k) for k in ("person", "place", "work", "artifact")]
-    return joined.groupBy("code").agg(n_rows(), *kinds, F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count("spot").alias("spots"))
-
-
-def _profile_sql(places):
-    return f"""WITH b AS {boxes_sql(places)}, deg AS (SELECT a_id AS id, count(*) AS k FROM connections GROUP BY 1), sp AS (SELECT DISTINCT node AS id FROM sym WHERE connection_type LIKE 'pilgrimage%')
-SELECT code, count(*) AS n, count(*) FILTER (WHERE entity_type = 'person') AS person, count(*) FILTER (WHERE entity_type = 'place') AS place, count(*) FILTER (WHERE entity_type = 'work') AS work, count(*) FILTER (WHERE entity_type = 'artifact') AS artifact,
-CAST(coalesce(sum(k), 0) AS BIGINT) AS edges, count(sp.id) AS spots FROM entities e JOIN b ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max LEFT JOIN deg ON deg.id = e.id LEFT JOIN sp ON sp.id = e.id GROUP BY code"""
-
-
-@query("q_region_profile", _profile_sql(REGIONS))
-def q_region_profile(g):
-    return region_profile(g, REGIONS)
-
-
-@query("q_prefecture_profile", _profile_sql(PREFECTURES))
-def q_prefecture_profile(g):
-    return region_profile(g, PREFECTURES)
-
-
-@query("q_bulk_profiles", f"WITH b AS {boxes_sql(PREFECTURES)}, n AS (SELECT code, count(e.id) AS n FROM b LEFT JOIN entities e ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY code) SELECT code, n, rank() OVER (ORDER BY n DESC) AS place FROM n")
-def q_bulk_profiles(g):
-    """All 47 prefectures, empty ones too, ranked; boxes overlap, so a point may count in several."""
-    dim = boxes(g.spark, PREFECTURES)
-    per = in_boxes(g.entities.where("lat is not null").select("lat", "lon"), dim).groupBy("code").agg(n_rows())
-    every = dim.select("code").join(per, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
-    return every.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
-
-
-@query(
-    "q_density_grid",
-    "WITH p AS (SELECT CAST(least(4, greatest(0, floor((lat - 34.0) / 0.4))) AS BIGINT) AS row, CAST(least(4, greatest(0, floor((lon - 135.0) / 0.4))) AS BIGINT) AS col, entity_type FROM entities WHERE lat IS NOT NULL), n AS (SELECT row, col, entity_type, count(*) AS n FROM p GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, entity_type) AS rn, sum(n) OVER (PARTITION BY row, col) AS total FROM n) SELECT row, col, CAST(total AS BIGINT) AS n, entity_type AS dominant FROM r WHERE rn = 1",
-)
-def q_density_grid(g, low=(34.0, 135.0), high=(36.0, 137.0), n=5):
-    cell = {"row": geo.density_cell(c("lat"), low[0], high[0], n), "col": geo.density_cell(c("lon"), low[1], high[1], n)}
-    per = g.entities.where("lat is not null").groupBy(*[v.alias(k) for k, v in cell.items()], "entity_type").agg(n_rows())
-    best = F.min(F.struct((-c("n")).alias("m"), "entity_type"))
-    return per.groupBy("row", "col").agg(F.sum("n").alias("n"), best.alias("b")).select("row", "col", "n", c("b.entity_type").alias("dominant"))
-
-
-@query(
-    "q_tourism_assets",
-    "WITH cat(name, pat) AS (VALUES ('supplier', 'supplier%'), ('customer', 'customer%'), ('the', 'the%')), h AS (SELECT cat.name AS category, e.id, e.label, floor((abs(lat - 35.0) + abs(lon - 136.0)) * 1e6 + 0.5) AS m, row_number() OVER (PARTITION BY cat.name ORDER BY e.label, e.id) AS rn FROM cat JOIN entities e ON e.label ILIKE cat.pat WHERE lat IS NOT NULL) SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY m, id) AS pos FROM h WHERE rn <= 30",
-)
-def q_tourism_assets(g, categories=(("supplier", "supplier%"), ("customer", "customer%"), ("the", "the%")), n=30):
-    """By category of label patterns: the first n by label, ordered by distance."""
-    hits = F.array_compact(F.array(*[F.when(c("label").ilike(p), k) for k, p in categories]))
-    away = F.floor((F.abs(c("lat") - 35.0) + F.abs(c("lon") - 136.0)) * 1e6 + 0.5)
-    found = g.entities.where("lat is not null").select("id", "label", away.alias("m"), F.explode(hits).alias("category"))
-    few = first_per(found, ["category"], ["label", "id"]).where(c("rn") <= n).drop("rn")
-    return first_per(few, ["category"], ["m", "id"], "pos").select("category", "id", c("pos").cast("long").alias("pos"))
+_TAGS = "tm AS (SELECT entity_id, string_agg(DISTINCT axis || '=' || value_code, ',' ORDER BY axis || '=' || value_code) AS tags FROM entity_tags GROUP BY entity_id)"
 
 
 # ---- search-led
@@ -108,28 +45,43 @@ def q_axis_entities(g, axis="era", value="heisei", n=100):
 
 @query(
     "q_serendipity",
-    """WITH h AS (SELECT id FROM entities WHERE contains(lower(label), 'red') ORDER BY id LIMIT 50), d AS (SELECT h.id, count(s.other) AS k FROM h LEFT JOIN sym s ON s.node = h.id GROUP BY h.id), t AS (SELECT id FROM d ORDER BY k DESC, id LIMIT 1)
-SELECT s.node, s.other, s.connection_type FROM sym s JOIN t ON t.id = s.node WHERE s.verdict = 'keep' AND s.score >= 0.3 ORDER BY CASE WHEN s.source = 'orders' THEN 0 ELSE 1 END, s.score DESC, s.other LIMIT 10""",
+    f"""WITH {_TAGS}, h AS (SELECT id FROM entities WHERE contains(lower(label), 'red') ORDER BY id LIMIT 50), d AS (SELECT h.id, count(s.other) AS k FROM h LEFT JOIN sym s ON s.node = h.id GROUP BY h.id), t AS (SELECT id FROM d ORDER BY k DESC, id LIMIT 1),
+e AS (SELECT s.*, CASE WHEN s.verdict = 'keep' THEN 0 ELSE 1 END AS tier FROM sym s JOIN t ON t.id = s.node WHERE s.score >= 0.3),
+b AS (SELECT * FROM e WHERE tier = (SELECT min(tier) FROM e) ORDER BY CASE WHEN source = 'orders' THEN 0 ELSE 1 END, score DESC, other LIMIT 10)
+SELECT b.node, b.other, b.connection_type, x.tags AS node_tags, y.tags AS other_tags FROM b LEFT JOIN tm x ON x.entity_id = b.node LEFT JOIN tm y ON y.entity_id = b.other""",
 )
 def q_serendipity(g, keyword="red", at=0.3, n=10):
-    """The most connected of the hits, and its best kept edges."""
+    """The most connected of the hits, and its best kept edges, with both ends' tags; edges of any verdict where none is kept."""
     hits = search(g, keyword).orderBy("id").limit(50).select("id")
     degree = hits.join(g.both_ways.select("node", "other"), c("id") == c("node"), "left").groupBy("id").agg(F.count("other").alias("k"))
     top = degree.orderBy(F.desc("k"), "id").limit(1).select("id")
-    edges = both_ways(g.kept.where(c("score") >= at)).join(F.broadcast(top), c("node") == c("id"), "left_semi")
-    return edges.orderBy(F.when(c("source") == "orders", 0).otherwise(1), F.desc("score"), "other").limit(n).select("node", "other", "connection_type")
+    edges = both_ways(g.edges.where(c("score") >= at)).join(F.broadcast(top), c("node") == c("id"), "left_semi")
+    best = edges.withColumn("tier", F.when(c("verdict") == "keep", 0).otherwise(1)).orderBy("tier", F.when(c("source") == "orders", 0).otherwise(1), F.desc("score"), "other").limit(n)
+    few = best.withColumn("least", F.min("tier").over(Window.partitionBy("node"))).where("tier = least").select("node", "other", "connection_type")
+    return with_tags(g, with_tags(g, few, "node", "node_tags"), "other", "other_tags")
 
 
-@query("q_entity_detail", "WITH f AS (SELECT min(id) AS id FROM entities WHERE label ILIKE '%bolt%') SELECT f.id, s.other, s.connection_type FROM f JOIN sym s ON s.node = f.id WHERE s.verdict = 'keep' ORDER BY s.score DESC, s.other LIMIT 20")
+@query(
+    "q_entity_detail",
+    f"WITH {_TAGS}, f AS (SELECT min(id) AS id FROM entities WHERE label ILIKE '%bolt%') SELECT f.id, e.label, tm.tags, s.other, s.connection_type FROM f JOIN entities e ON e.id = f.id JOIN sym s ON s.node = f.id LEFT JOIN tm ON tm.entity_id = f.id WHERE s.verdict = 'keep' ORDER BY s.score DESC, s.other LIMIT 20",
+)
 def q_entity_detail(g, keyword="bolt", n=20):
-    first = search(g, keyword).agg(F.min("id").alias("id"))
-    return both_ways(g.kept).join(F.broadcast(first), c("node") == c("id")).orderBy(F.desc("score"), "other").limit(n).select("id", "other", "connection_type")
+    """The first hit with its tags and best kept edges."""
+    first = search(g, keyword).agg(F.min_by("label", "id").alias("label"), F.min("id").alias("id"))
+    edges = both_ways(g.kept).join(F.broadcast(first), c("node") == c("id")).orderBy(F.desc("score"), "other").limit(n)
+    return with_tags(g, edges.select("id", "label", "other", "connection_type"))
 
 
-@query("q_search_culture", "SELECT count(*) AS n, bool_or(entity_type = 'work') AS has_work, bool_or(lat IS NOT NULL) AS has_place, bool_or(release_year IS NOT NULL) AS has_year FROM entities WHERE contains(lower(label), 'blue')")
-def q_search_culture(g, keyword="blue"):
-    """What the hits offer to ask next."""
-    return search(g, keyword).agg(n_rows(), F.bool_or(c("entity_type") == "work").alias("has_work"), F.bool_or(c("lat").isNotNull()).alias("has_place"), F.bool_or(c("release_year").isNotNull()).alias("has_year"))
+@query(
+    "q_search_culture",
+    "WITH h AS (SELECT * FROM entities WHERE contains(lower(label), 'blue')), a AS (SELECT count(*) AS n, bool_or(entity_type = 'work') AS has_work, bool_or(lat IS NOT NULL) AS has_place, bool_or(release_year IS NOT NULL) AS has_year FROM h) SELECT id, label, entity_type, n, has_work, has_place, has_year FROM (SELECT * FROM h ORDER BY id LIMIT 20) t, a",
+)
+def q_search_culture(g, keyword="blue", n=20):
+    """The first hits, and what all of them offer to ask next."""
+    hits = search(g, keyword).select("id", "label", "entity_type", "lat", "release_year")
+    offers = hits.agg(n_rows(), F.bool_or(c("entity_type") == "work").alias("has_work"), F.bool_or(c("lat").isNotNull()).alias("has_place"), F.bool_or(c("release_year").isNotNull()).alias("has_year"))
+    one = F.lit(1).alias("one")
+    return hits.orderBy("id").limit(n).select("id", "label", "entity_type", one).join(F.broadcast(offers.select("*", one)), "one").drop("one")
 
 
 def filtered(g, keyword=None, kind=None, axis=None, value=None):
@@ -141,35 +93,42 @@ def filtered(g, keyword=None, kind=None, axis=None, value=None):
     if axis:
         tags = g.tags.where((c("axis") == axis) & (c("value_code").startswith(value) if value else F.lit(True)))
         out = out.join(tags, c("id") == c("entity_id"), "left_semi")
-    return out.select("id", "label")
+    return with_tags(g, out.select("id", "label"))
 
 
-@query("q_crafts", "SELECT id, label FROM entities WHERE label ILIKE '%ring%' AND entity_type = 'work'")
+def _with_tags_sql(where):
+    return f"WITH {_TAGS} SELECT id, label, tags FROM entities e LEFT JOIN tm ON tm.entity_id = e.id WHERE {where}"
+
+
+@query("q_crafts", _with_tags_sql("label ILIKE '%ring%' AND entity_type = 'work'"))
 def q_crafts(g):
     return filtered(g, "ring", "work")
 
 
-@query("q_literature", "SELECT DISTINCT e.id, e.label FROM entities e JOIN sym s ON s.node = e.id AND s.connection_type = 'creator_work' WHERE e.entity_type = 'work' AND s.other BETWEEN 1000000 AND 1000050")
-def q_literature(g, authors=(1000000, 1000050)):
-    """Works of a range of authors, by either end."""
-    by = g.both_ways.where((c("connection_type") == "creator_work") & c("other").between(*authors))
-    return g.entities.where("entity_type = 'work'").join(by, c("id") == c("node"), "left_semi").select("id", "label")
+@query("q_literature", f"WITH {_TAGS} SELECT DISTINCT s.other AS author, e.id, e.label, tags FROM entities e JOIN sym s ON s.node = e.id AND s.connection_type = 'creator_work' LEFT JOIN tm ON tm.entity_id = e.id WHERE e.entity_type = 'work'")
+def q_literature(g):
+    """Each author's works, by either end of the edge, with their tags."""
+    by = g.both_ways.where(c("connection_type") == "creator_work").select(c("other").alias("author"), c("node").alias("id"))
+    works = with_tags(g, g.entities.where("entity_type = 'work'").select("id", "label"))
+    return by.distinct().join(works, "id")
 
 
-@query("q_artworks", "SELECT id, label FROM entities e WHERE entity_type = 'work' AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'medium' AND value_code LIKE 'Brand#1%')")
+@query("q_artworks", _with_tags_sql("entity_type = 'work' AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'medium' AND value_code LIKE 'Brand#1%')"))
 def q_artworks(g):
     return filtered(g, kind="work", axis="medium", value="Brand#1")
 
 
-@query("q_festivals", "SELECT id, label FROM entities e WHERE entity_type = 'place' AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'geography' AND value_code LIKE 'EUROPE%')")
+@query("q_festivals", _with_tags_sql("entity_type = 'place' AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'geography' AND value_code LIKE 'EUROPE%')"))
 def q_festivals(g):
     return filtered(g, kind="place", axis="geography", value="EUROPE")
 
 
-@query("q_masters", "SELECT id, other FROM (SELECT e.id, s.other, row_number() OVER (PARTITION BY e.id ORDER BY s.score DESC, s.other) AS rn FROM entities e JOIN sym s ON s.node = e.id AND s.verdict = 'keep' WHERE e.entity_type = 'person' AND e.source = 'BUILDING') t WHERE rn <= 5")
+@query("q_masters", f"WITH {_TAGS} SELECT id, label, tags, other FROM (SELECT e.id, e.label, s.other, row_number() OVER (PARTITION BY e.id ORDER BY s.score DESC, s.other) AS rn FROM entities e JOIN sym s ON s.node = e.id AND s.verdict = 'keep' WHERE e.entity_type = 'person' AND e.source = 'BUILDING') t LEFT JOIN tm ON tm.entity_id = t.id WHERE rn <= 5")
 def q_masters(g, k=5):
-    people = g.entities.where("entity_type = 'person' and source = 'BUILDING'").select("id")
-    return first_per(both_ways(g.kept).join(people, c("node") == c("id")), ["id"], [F.desc("score"), "other"]).where(c("rn") <= k).select("id", "other")
+    """Persons of a field with their tags and best five edges."""
+    people = g.entities.where("entity_type = 'person' and source = 'BUILDING'").select("id", "label")
+    best = first_per(both_ways(g.kept).join(people, c("node") == c("id")), ["id"], [F.desc("score"), "other"]).where(c("rn") <= k)
+    return with_tags(g, best.select("id", "label", "other"))
 
 
 @query("q_by_year", "SELECT e.id FROM entities e WHERE release_year BETWEEN 1900 AND 1950 AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND axis = 'medium' AND value_code = 'Brand#3') AND contains(lower(label), 'e')")
@@ -178,11 +137,28 @@ def q_by_year(g, low=1900, high=1950, medium="Brand#3", keyword="e"):
     return search(g, keyword).where(c("release_year").between(low, high)).join(tagged, c("id") == c("entity_id"), "left_semi").select("id")
 
 
-@query("q_today", "SELECT o_orderkey, CASE WHEN month(o_orderdate) IN (3, 4, 5) THEN 'spring' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'summer' WHEN month(o_orderdate) IN (9, 10, 11) THEN 'autumn' ELSE 'winter' END AS season FROM orders WHERE month(o_orderdate) = 3 AND day(o_orderdate) = 3")
-def q_today(g, month=3, day=3):
-    m = F.month("o_orderdate")
-    season = F.when(m.isin(3, 4, 5), "spring").when(m.isin(6, 7, 8), "summer").when(m.isin(9, 10, 11), "autumn").otherwise("winter")
-    return g.table("orders").where((m == month) & (F.dayofmonth("o_orderdate") == day)).select("o_orderkey", season.alias("season"))
+def _today_sql():
+    hits = lambda words, most, test: " UNION ALL ".join(f"SELECT * FROM (SELECT {m} AS month, label AS name, entity_type AS type FROM entities WHERE contains(label, '{w}') AND {test} ORDER BY id LIMIT {most})" for m, ws in words.items() for w in ws)
+    days = " UNION ALL ".join(f"SELECT {m} AS month, '{name}' AS name, '{kind}' AS type" for m, events in CALENDAR.items() for name, kind in events)
+    fests = hits(MONTH_WORDS, 10, "entity_type IN ('festival', 'event', 'cultural_practice')")
+    return f"SELECT month, 'calendar' AS part, name, type FROM ({days}) d UNION ALL SELECT DISTINCT month, 'festival', name, type FROM ({fests}) f UNION ALL SELECT DISTINCT month, 'season', name, type FROM ({hits(SEASON_WORDS, 5, 'TRUE')}) s"
+
+
+def _found_by(entities, words, most):
+    """The first ``most`` entities by id that hold each word: (month, name, type). One pass over the labels; the words are some dozens."""
+    pairs = [F.when(F.contains("label", F.lit(w)), F.struct(F.lit(m).alias("month"), F.lit(w).alias("word"))) for m, ws in words.items() for w in ws]
+    hits = entities.withColumn("hit", F.explode(F.array_compact(F.array(*pairs)))).select("id", "label", "entity_type", "hit.month", "hit.word")
+    few = first_per(hits, ["month", "word"], ["id"]).where(c("rn") <= most)
+    return few.select("month", c("label").alias("name"), c("entity_type").alias("type")).distinct()
+
+
+@query("q_today", _today_sql())
+def q_today(g):
+    """Of every month: what the calendar has, festivals found by the month's words, and seasonal things."""
+    days = g.spark.createDataFrame([(m, name, kind) for m, events in CALENDAR.items() for name, kind in events], "month int, name string, type string")
+    e = g.entities.select("id", "label", "entity_type")
+    parts = (("calendar", days), ("festival", _found_by(e.where(c("entity_type").isin("festival", "event", "cultural_practice")), MONTH_WORDS, 10)), ("season", _found_by(e, SEASON_WORDS, 5)))
+    return reduce(lambda a, b: a.unionByName(b), [df.select("month", F.lit(part).alias("part"), "name", "type") for part, df in parts])
 
 
 # ---- graph walks
@@ -196,7 +172,7 @@ def step_out(frontier, edges, k):
 
 @query(
     "q_explore",
-    """WITH e AS (SELECT node, other, score FROM sym WHERE verdict = 'keep'), s0 AS (SELECT id AS start FROM entities WHERE entity_type = 'place' AND id % 10 = 0),
+    """WITH e AS (SELECT node, other, score FROM sym WHERE verdict = 'keep'), s0 AS (SELECT id AS start FROM entities WHERE entity_type = 'place'),
 l1 AS (SELECT start, other AS node FROM (SELECT start, other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM s0 JOIN e ON e.node = start) t WHERE rn <= 5),
 l2a AS (SELECT start, other FROM (SELECT l1.start, e.other, row_number() OVER (PARTITION BY l1.start, l1.node ORDER BY score DESC, other) AS rn FROM l1 JOIN e ON e.node = l1.node) t WHERE rn <= 5),
 l2 AS (SELECT DISTINCT start, other AS node FROM l2a WHERE other <> start AND NOT EXISTS (SELECT 1 FROM l1 WHERE l1.start = l2a.start AND l1.node = l2a.other))
@@ -205,7 +181,7 @@ SELECT start, 1 AS hop, count(*) AS n FROM l1 GROUP BY start UNION ALL SELECT st
 def q_explore(g, hops=2, k=5):
     """Neighbourhoods of many starts at once: each hop is a join and a cut by rank, without what was seen."""
     edges = both_ways(g.kept).select("node", "other", "score")
-    starts = g.entities.where("entity_type = 'place' and id % 10 = 0").select(c("id").alias("start"), c("id").alias("node"))
+    starts = g.entities.where("entity_type = 'place'").select(c("id").alias("start"), c("id").alias("node"))
     seen, frontier, out = starts, starts, None
     for hop in range(1, hops + 1):
         reached = step_out(frontier, edges, k).select("start", c("other").alias("node")).distinct()
@@ -216,49 +192,101 @@ def q_explore(g, hops=2, k=5):
     return out
 
 
-@query(
-    "q_serendipity_walk",
-    """WITH e AS (SELECT s.node, s.other, s.score FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep') s WHERE rn <= 50),
+def _walk_sql(steps):
+    step = """w{n} AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w.start, w.seen, e.other, row_number() OVER (PARTITION BY w.start ORDER BY e.score + CASE WHEN x.eras <> y.eras THEN 0.3 ELSE 0 END + CASE WHEN x.media <> y.media THEN 0.3 ELSE 0 END DESC, e.rn) AS rk
+  FROM w{p} w JOIN e ON e.node = w.at AND NOT list_contains(w.seen, e.other) LEFT JOIN ts x ON x.entity_id = w.at LEFT JOIN ts y ON y.entity_id = e.other WHERE coalesce(y.places, 'ASIA') = 'ASIA') t WHERE rk = 1)"""
+    return f"""WITH e AS (SELECT node, other, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep') s WHERE rn <= 50),
+ts AS (SELECT entity_id, string_agg(value_code, ',' ORDER BY value_code) FILTER (WHERE axis = 'era') AS eras, string_agg(value_code, ',' ORDER BY value_code) FILTER (WHERE axis = 'medium') AS media, max(value_code) FILTER (WHERE axis = 'geography') AS places FROM entity_tags GROUP BY entity_id),
 w0 AS (SELECT id AS start, id AS at, [id] AS seen FROM entities WHERE entity_type = 'person'),
-w1 AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w0.*, e.other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM w0 JOIN e ON e.node = w0.at AND NOT list_contains(seen, e.other)) t WHERE rn = 1),
-w2 AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w1.*, e.other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM w1 JOIN e ON e.node = w1.at AND NOT list_contains(seen, e.other)) t WHERE rn = 1),
-w3 AS (SELECT start, other AS at, list_append(seen, other) AS seen FROM (SELECT w2.*, e.other, row_number() OVER (PARTITION BY start ORDER BY score DESC, other) AS rn FROM w2 JOIN e ON e.node = w2.at AND NOT list_contains(seen, e.other)) t WHERE rn = 1)
-SELECT start, array_to_string(seen, '>') AS path FROM w3""",
-)
-def q_serendipity_walk(g, steps=3, fan=50):
-    """Greedy walks from all persons at once, over each node's best edges, never back."""
-    best = first_per(both_ways(g.kept), ["node"], [F.desc("score"), "other"]).where(c("rn") <= fan).select("node", "other", "score")
+{', '.join(step.format(n=n, p=n - 1) for n in range(1, steps + 1))}
+{' UNION ALL '.join(f"SELECT start, {n} AS step, array_to_string(seen, '>') AS path FROM w{n}" for n in range(1, steps + 1))}"""
+
+
+@query("q_serendipity_walk", _walk_sql(3))
+def q_serendipity_walk(g, steps=3, fan=50, region="ASIA", bonus=0.3):
+    """Greedy walks of 3 to 10 steps from all persons at once: over each node's best kept edges, never back, three tenths more for another era and another medium; a node tagged with places has to be of the region."""
+    if not 3 <= steps <= 10:
+        raise ValueError("a walk has 3 to 10 steps")
+    best = first_per(both_ways(g.kept), ["node"], [F.desc("score"), "other"]).where(c("rn") <= fan).select("node", "other", "score", "rn")
+    of = lambda axis: F.array_sort(F.collect_set(F.when(c("axis") == axis, c("value_code"))))
+    sets = g.tags.where(c("axis").isin("era", "medium", "geography")).groupBy("entity_id").agg(of("era").alias("eras"), of("medium").alias("media"), of("geography").alias("places"))
+    here = sets.select(c("entity_id").alias("node"), c("eras").alias("x_eras"), c("media").alias("x_media"))
+    there = sets.select(c("entity_id").alias("other"), "eras", "media", "places")
+    edges = best.join(there, "other", "left").where(c("places").isNull() | (F.size("places") == 0) | F.array_contains("places", region)).join(here, "node", "left")
+    differ = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0) & (c(a) != c(b)), bonus).otherwise(0.0)
+    edges = edges.select("node", "other", "rn", (c("score") + differ("x_eras", "eras") + differ("x_media", "media")).alias("gain"))
     walk = g.entities.where("entity_type = 'person'").select(c("id").alias("start"), c("id").alias("node"), F.array("id").alias("seen"))
-    for _ in range(steps):
-        nexts = walk.join(best, "node").where(~F.array_contains("seen", c("other")))
-        one = F.min(F.struct((-c("score")).alias("s"), "other", "seen"))
+    out = None
+    for n in range(1, steps + 1):
+        nexts = walk.join(edges, "node").where(~F.array_contains("seen", c("other")))
+        one = F.min(F.struct((-c("gain")).alias("s"), "rn", "other", "seen"))
         walk = nexts.groupBy("start").agg(one.alias("o")).select("start", c("o.other").alias("node"), F.array_append(c("o.seen"), c("o.other")).alias("seen"))
-    return walk.select("start", F.array_join(F.transform("seen", lambda x: x.cast("string")), ">").alias("path"))
+        path = walk.select("start", F.lit(n).alias("step"), F.array_join(F.transform("seen", lambda x: x.cast("string")), ">").alias("path"))
+        out = path if out is None else out.unionByName(path)
+    return out
 
 
-@query(
-    "q_compare",
-    "WITH n AS (SELECT node, other FROM (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep') t WHERE rn <= 20), p AS (SELECT a.id AS a_id, b.id AS b_id FROM entities a JOIN entities b ON b.id = a.id + 1 AND a.source = b.source WHERE a.entity_type = 'place') SELECT p.a_id, p.b_id, count(*) AS common FROM p JOIN n x ON x.node = p.a_id JOIN n y ON y.node = p.b_id AND y.other = x.other GROUP BY 1, 2",
-)
-def q_compare(g, k=20):
-    """Neighbours that both of two places have, of each one's best twenty."""
-    n = first_per(both_ways(g.kept), ["node"], [F.desc("score"), "other"]).where(c("rn") <= k).select("node", "other")
-    sets = n.groupBy("node").agg(F.collect_set("other").alias("s"))  # at most k
+def _compare_sql(depth):
+    levels = ["n0 AS (SELECT id AS start, id AS node FROM pl)"] + [f"n{d} AS (SELECT DISTINCT n.start, e.other AS node FROM n{d - 1} n JOIN e ON e.node = n.node)" for d in range(1, depth + 1)]
+    return f"""WITH e AS (SELECT node, other FROM (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep') t WHERE rn <= 20),
+pl AS (SELECT id, source FROM entities WHERE entity_type = 'place'), {', '.join(levels)},
+s AS (SELECT DISTINCT start, node FROM ({' UNION ALL '.join(f'SELECT * FROM n{d}' for d in range(depth + 1))}) u),
+p AS (SELECT a.id AS a_id, b.id AS b_id FROM pl a JOIN pl b ON b.id = a.id + 1 AND a.source = b.source),
+m AS (SELECT a_id, b_id, node, max(w) AS w, sum(w) AS both_ FROM (SELECT a_id, b_id, node, 1 AS w FROM p JOIN s ON s.start = a_id UNION ALL SELECT a_id, b_id, node, 2 FROM p JOIN s ON s.start = b_id) u WHERE node <> a_id AND node <> b_id GROUP BY 1, 2, 3),
+tg AS (SELECT entity_id, axis || '=' || value_code AS t FROM entity_tags),
+k AS (SELECT a_id, b_id, t, sum(w) AS both_ FROM (SELECT DISTINCT a_id, b_id, t, 1 AS w FROM p JOIN tg ON entity_id = a_id UNION ALL SELECT DISTINCT a_id, b_id, t, 2 FROM p JOIN tg ON entity_id = b_id) u GROUP BY 1, 2, 3),
+kk AS (SELECT a_id, b_id, string_agg(t, ',' ORDER BY t) FILTER (WHERE both_ = 3) AS shared_tags, string_agg(t, ',' ORDER BY t) FILTER (WHERE both_ = 1) AS a_tags, string_agg(t, ',' ORDER BY t) FILTER (WHERE both_ = 2) AS b_tags FROM k GROUP BY 1, 2),
+mm AS (SELECT a_id, b_id, count(*) FILTER (WHERE both_ = 3) AS common, count(*) FILTER (WHERE both_ = 1) AS a_only, count(*) FILTER (WHERE both_ = 2) AS b_only FROM m GROUP BY 1, 2)
+SELECT p.a_id, p.b_id, coalesce(common, 0) AS common, coalesce(a_only, 0) AS a_only, coalesce(b_only, 0) AS b_only, coalesce(shared_tags, '') AS shared_tags, coalesce(a_tags, '') AS a_tags, coalesce(b_tags, '') AS b_tags FROM p LEFT JOIN mm USING (a_id, b_id) LEFT JOIN kk USING (a_id, b_id)"""
+
+
+@query("q_compare", _compare_sql(2))
+def q_compare(g, k=20, depth=2):
+    """Two places and what lies within ``depth`` kept edges of each, k a node: common, in one alone, and the same of their tags. Neighbourhoods have k + ... + k^depth nodes at most."""
+    e = first_per(both_ways(g.kept), ["node"], [F.desc("score"), "other"]).where(c("rn") <= k).select("node", "other")
     places = g.entities.where("entity_type = 'place'").select("id", "source")
+    level = places.select(c("id").alias("start"), c("id").alias("node"))
+    reached = level
+    for _ in range(depth):
+        level = level.join(e, "node").select("start", c("other").alias("node")).distinct()
+        reached = reached.unionByName(level)
+    nodes = reached.groupBy("start").agg(F.collect_set("node").alias("s"))
+    tags = g.tags.groupBy(c("entity_id").alias("start")).agg(F.collect_set(F.concat_ws("=", "axis", "value_code")).alias("t"))
+    sets = nodes.join(tags, "start", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
     p = places.select(c("id").alias("a_id"), (c("id") + 1).alias("b_id"), "source").join(places.select(c("id").alias("b_id"), "source"), ["b_id", "source"])
-    both = p.join(sets.toDF("a_id", "x"), "a_id").join(sets.toDF("b_id", "y"), "b_id")
-    return both.select("a_id", "b_id", F.size(F.array_intersect("x", "y")).cast("long").alias("common")).where("common > 0")
+    both = p.join(sets.toDF("a_id", "x", "xt"), "a_id").join(sets.toDF("b_id", "y", "yt"), "b_id")
+    ends = F.array("a_id", "b_id")
+    x, y = F.array_except("x", ends), F.array_except("y", ends)
+    size = lambda e: F.size(e).cast("long")
+    text = lambda e: F.array_join(F.array_sort(e), ",")
+    return both.select(
+        "a_id", "b_id",
+        size(F.array_intersect(x, y)).alias("common"), size(F.array_except(x, y)).alias("a_only"), size(F.array_except(y, x)).alias("b_only"),
+        text(F.array_intersect("xt", "yt")).alias("shared_tags"), text(F.array_except("xt", "yt")).alias("a_tags"), text(F.array_except("yt", "xt")).alias("b_tags"),
+    )
+
+
+_KIND_SQL = "CASE " + " ".join(f"WHEN connection_type IN ({', '.join(map(repr, types))}) THEN '{kind}'" for kind, types in NEIGHBOUR_KINDS) + " ELSE 'other' END"
 
 
 @query(
     "q_deep_dive",
-    "WITH e AS (SELECT s.node, s.other, s.score, o.entity_type AS category FROM sym s JOIN entities o ON o.id = s.other WHERE s.verdict = 'keep' AND s.node >= 3000000) SELECT node, category, other, n FROM (SELECT *, row_number() OVER (PARTITION BY node, category ORDER BY score DESC, other) AS rn, count(*) OVER (PARTITION BY node, category) AS n FROM e) t WHERE rn = 1",
+    f"""WITH e AS (SELECT * FROM (SELECT node, other, connection_type, score, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep' AND node >= 3000000) t WHERE rn <= 100),
+k AS (SELECT node, {_KIND_SQL} AS category, other, score, connection_type FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY node, category ORDER BY score DESC, other) AS rk, count(*) OVER (PARTITION BY node, category) AS n, count(*) OVER (PARTITION BY node) AS total FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, category) AS pos FROM r WHERE rk = 1)
+SELECT node, category, other AS recommendation, connection_type, {micro_sql('score')} AS score6, n, total, pos FROM b WHERE pos <= 5""",
 )
-def q_deep_dive(g):
-    """For each work the best neighbour of each category, and how many there are."""
-    e = both_ways(g.kept).where("node >= 3000000").join(g.entities.select(c("id").alias("other"), c("entity_type").alias("category")), "other")
-    best = F.min(F.struct((-c("score")).alias("s"), "other"))
-    return e.groupBy("node", "category").agg(best.alias("b"), n_rows()).select("node", "category", "b.other", "n")
+def q_deep_dive(g, edges=100, n=5):
+    """Of each work's best hundred kept edges, by kind of neighbour: the best one and how many there are; the best n kinds."""
+    few = first_per(both_ways(g.kept).where("node >= 3000000"), ["node"], [F.desc("score"), "other"]).where(c("rn") <= edges)
+    kind = F.lit("other")
+    for name, types in reversed(NEIGHBOUR_KINDS):
+        kind = F.when(c("connection_type").isin(*types), name).otherwise(kind)
+    best = F.min(F.struct((-c("score")).alias("s"), "other", "connection_type", "score"))
+    per = few.withColumn("category", kind).groupBy("node", "category").agg(best.alias("b"), n_rows())
+    every = Window.partitionBy("node")
+    out = per.select("node", "category", c("b.other").alias("recommendation"), c("b.connection_type"), micro(c("b.score")).alias("score6"), c("b.score").alias("score"), "n", F.sum("n").over(every).alias("total"))
+    return first_per(out, ["node"], [F.desc("score"), "category"], "pos").where(c("pos") <= n).drop("score").withColumn("pos", c("pos").cast("long"))
 
 
 # ---- routes, maps, timelines
@@ -266,31 +294,42 @@ def q_deep_dive(g):
 
 @query(
     "q_cultural_route",
-    "WITH t AS (SELECT e.id, e.lat, e.lon FROM entities e JOIN entity_tags t ON t.entity_id = e.id AND t.axis = 'geography' AND t.value_code = 'ASIA' WHERE e.lat IS NOT NULL ORDER BY md5('route' || CAST(e.id AS VARCHAR)), e.id LIMIT 20) SELECT id, CAST(floor((lon + 180.0) / 360.0 * 4096) AS BIGINT) AS x, CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * 4096) AS BIGINT) AS y FROM t",
+    f"""WITH t AS (SELECT e.id, e.lat, e.lon FROM entities e WHERE e.lat BETWEEN {degree_box(34.7, 135.5, 100)[0]!r} AND {degree_box(34.7, 135.5, 100)[1]!r} AND e.lon BETWEEN {degree_box(34.7, 135.5, 100)[2]!r} AND {degree_box(34.7, 135.5, 100)[3]!r}
+  AND EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND t.axis = 'theme' AND t.value_code LIKE 'ECONOMY%') ORDER BY md5('route' || CAST(e.id AS VARCHAR)), e.id LIMIT 20),
+k AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY rn) AS links FROM (SELECT t.id, s.other, row_number() OVER (PARTITION BY t.id ORDER BY s.score DESC, s.other) AS rn FROM t JOIN sym s ON s.node = t.id AND s.verdict = 'keep') q WHERE rn <= 3 GROUP BY id)
+SELECT t.id, CAST(floor((lon + 180.0) / 360.0 * 4096) AS BIGINT) AS x, CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * 4096) AS BIGINT) AS y, links FROM t LEFT JOIN k USING (id)""",
 )
-def q_cultural_route(g, value="ASIA", n=20):
-    tagged = g.tags.where((c("axis") == "geography") & (c("value_code") == value))
-    few = g.entities.where("lat is not null").join(tagged, c("id") == c("entity_id"), "left_semi").orderBy(hash_order("route"), "id").limit(n)
+def q_cultural_route(g, theme="ECONOMY", centre=(34.7, 135.5, 100), n=20, k=3):
+    """A sample of places of a theme within a region's box, each with its tile and its k best kept edges."""
+    low, high, west, east = degree_box(*centre)
+    tagged = g.tags.where((c("axis") == "theme") & c("value_code").startswith(theme))
+    few = g.entities.where(c("lat").between(low, high) & c("lon").between(west, east)).select("id", "lat", "lon").join(tagged, c("id") == c("entity_id"), "left_semi").orderBy(hash_order("route"), "id").limit(n)
+    best = first_per(both_ways(g.kept).join(F.broadcast(few.select("id")), c("node") == c("id")), ["id"], [F.desc("score"), "other"]).where(c("rn") <= k)
+    links = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "other"))), lambda x: x["other"].cast("string")), ",").alias("links"))
     x, y = geo.tile_xy(c("lat"), c("lon"), 12)
-    return few.select("id", x.alias("x"), y.alias("y"))
+    return few.join(links, "id", "left").select("id", x.alias("x"), y.alias("y"), "links")
 
 
 _SPOT = "connection_type LIKE 'pilgrimage%'"
 
 
-@query("q_pilgrimage_by_work", f"SELECT s.node AS work, e.id AS place, e.lat, e.lon FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node BETWEEN 3000000 AND 3000100 AND e.lat IS NOT NULL")
-def q_pilgrimage_by_work(g, low=3000000, high=3000100):
-    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & c("node").between(low, high)).select(c("node").alias("work"), c("other").alias("place"))
+@query("q_pilgrimage_by_work", f"SELECT s.node AS work, e.id AS place, e.lat, e.lon FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node >= 3000000 AND e.lat IS NOT NULL")
+def q_pilgrimage_by_work(g):
+    """Each work's places, from either end of an edge. (These edges have no text of their own to match.)"""
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000)).select(c("node").alias("work"), c("other").alias("place"))
     return s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
 
 
 _BOX = degree_box(35.0, 136.0, 20)
+_KM = "sqrt(pow((lat - 35.0) * 111.0, 2) + pow((lon - 136.0) * 111.0 * cos(radians(CAST(35.0 AS DOUBLE))), 2))"
 
 
-@query("q_pilgrimage_near", f"SELECT DISTINCT e.id FROM entities e JOIN sym s ON s.node = e.id AND s.{_SPOT} WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r}")
-def q_pilgrimage_near(g, box=_BOX):
+@query("q_pilgrimage_near", f"SELECT DISTINCT e.id, {micro_sql(_KM)} AS km6 FROM entities e JOIN sym s ON s.node = e.id AND s.{_SPOT} WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r} AND {_KM} <= 20")
+def q_pilgrimage_near(g, box=_BOX, km=20.0):
     spots = g.both_ways.where(c("connection_type").startswith("pilgrimage"))
-    return g.entities.where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).join(spots, c("id") == c("node"), "left_semi").select("id")
+    away = geo.equirect_km(F.lit(35.0), F.lit(136.0), c("lat"), c("lon"))
+    near = g.entities.where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).select("id", away.alias("km")).where(c("km") <= km)
+    return near.join(spots, c("id") == c("node"), "left_semi").select("id", micro(c("km")).alias("km6"))
 
 
 @query("q_pilgrimage_browse", f"SELECT node AS work, count(DISTINCT other) AS places FROM sym WHERE {_SPOT} AND node >= 3000000 GROUP BY node ORDER BY places DESC, work LIMIT 50")
@@ -300,59 +339,148 @@ def q_pilgrimage_browse(g, n=50):
 
 
 @query("q_pilgrimage_route")
-def q_pilgrimage_route(g, most=20):
-    """For each work its first places, at most twenty, in nearest-neighbour order."""
+def q_pilgrimage_route(g, most=20, reach=0.5, fill=10):
+    """For each work its first places and, within half a degree of their middle, the artifacts with the least ids (``fill`` at most, to ``most`` in all), in nearest-neighbour order."""
     s = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).where("node >= 3000000").select(c("node").alias("work"), c("other").alias("place"))
     at = s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
     few = first_per(at, ["work"], ["place"]).where(c("rn") <= most).drop("rn")
-    return few.groupBy("work").applyInPandas(nearest_first, "work long, place long, pos int")
+    middle = few.groupBy("work").agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"), F.count("*").alias("has"))
+    filled = first_per(_first_in_box(g, middle, reach, fill), ["work"], ["id"]).where((c("rn") <= fill) & (c("rn") + c("has") <= most)).select("work", c("id").alias("place"), "lat", "lon")
+    return few.unionByName(filled).groupBy("work").applyInPandas(nearest_first, "work long, place long, pos int")
+
 
+def _first_in_box(g, middle, reach, n, cuts=4):
+    """Awake artifacts within the box of each work, its first n at least. Of a cell wholly inside only the first n can count; cells of the rim are read whole."""
+    step = reach / cuts
+    cell = lambda x: F.floor(x / step)
+    culture = g.entities.where("lat is not null and entity_type = 'artifact' and is_dormant = 0").select("id", "lat", "lon", cell(c("lat")).alias("cy"), cell(c("lon")).alias("cx"))
+    span = lambda x: F.explode(F.sequence(cell(c(x) - reach), cell(c(x) + reach)))
+    within = lambda cell_, x: (c(cell_) * step >= c(x) - reach) & ((c(cell_) + 1) * step <= c(x) + reach)
+    cells = middle.withColumn("cy", span("mid_lat")).withColumn("cx", span("mid_lon")).withColumn("inner", within("cy", "mid_lat") & within("cx", "mid_lon"))
+    few = first_per(culture, ["cy", "cx"], ["id"]).where(c("rn") <= n).drop("rn")
+    both = cells.where("inner").join(few, ["cy", "cx"]).unionByName(cells.where("not inner").join(culture, ["cy", "cx"]))
+    return both.where((F.abs(c("lat") - c("mid_lat")) <= reach) & (F.abs(c("lon") - c("mid_lon")) <= reach)).select("work", "has", "id", "lat", "lon")
 
-@query("q_nearby", f"WITH p AS (SELECT id, lat, lon, sqrt(pow((lat - 35.0) * 111.0, 2) + pow((lon - 136.0) * 111.0 * cos(radians(CAST(35.0 AS DOUBLE))), 2)) AS km FROM entities WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r}) SELECT id, {micro_sql('km')} AS km6 FROM p WHERE km <= 20 ORDER BY floor(km * 1e6 + 0.5), id LIMIT 40")
-def q_nearby(g, box=_BOX, km=20.0, n=40):
+
+@query(
+    "q_nearby",
+    f"""WITH {_TAGS}, p AS (SELECT id, {_KM} AS km, abs(lat - 35.0) + abs(lon - 136.0) AS flat FROM entities WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r} AND is_dormant = 0),
+f AS (SELECT id, km FROM p ORDER BY floor(flat * 1e6 + 0.5), id LIMIT 80), h AS (SELECT id, km FROM f WHERE km <= 20 ORDER BY floor(km * 1e6 + 0.5), id LIMIT 40),
+w AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY rn) AS works FROM (SELECT h.id, s.other, row_number() OVER (PARTITION BY h.id ORDER BY s.score DESC, s.other) AS rn FROM h JOIN sym s ON s.node = h.id AND s.other BETWEEN 3000000 AND 3999999) q WHERE rn <= 3 GROUP BY id)
+SELECT h.id, {micro_sql('km')} AS km6, tags, works FROM h LEFT JOIN tm ON tm.entity_id = h.id LEFT JOIN w ON w.id = h.id""",
+)
+def q_nearby(g, box=_BOX, km=20.0, n=40, k=3):
+    """What is near a point: twice n by the sum of degrees, of these those within the radius, n by distance, with tags and three works."""
     away = geo.equirect_km(F.lit(35.0), F.lit(136.0), c("lat"), c("lon"))
-    near = g.entities.where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).select("id", away.alias("km")).where(c("km") <= km)
-    return near.select("id", micro(c("km")).alias("km6")).orderBy("km6", "id").limit(n)
+    flat = F.floor((F.abs(c("lat") - 35.0) + F.abs(c("lon") - 136.0)) * 1e6 + 0.5)
+    first = g.entities.where("is_dormant = 0").where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).select("id", away.alias("km"), flat.alias("flat")).orderBy("flat", "id").limit(2 * n)
+    near = first.where(c("km") <= km).select("id", micro(c("km")).alias("km6")).orderBy("km6", "id").limit(n)
+    works = g.both_ways.where(c("other").between(3_000_000, 3_999_999)).join(F.broadcast(near.select("id")), c("node") == c("id"))
+    best = first_per(works, ["id"], [F.desc("score"), "other"]).where(c("rn") <= k)
+    lists = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "other"))), lambda x: x["other"].cast("string")), ",").alias("works"))
+    return with_tags(g, near, "id").join(lists, "id", "left").select("id", "km6", "tags", "works")
 
 
-@query("q_timeline", f"SELECT e.id, t.value_code AS era, {era_midpoint('t.value_code')} AS middle FROM (SELECT id FROM entities WHERE contains(lower(label), 'bolt') ORDER BY id LIMIT 200) e JOIN (SELECT entity_id, min(value_code) AS value_code FROM entity_tags WHERE axis = 'era' GROUP BY entity_id) t ON t.entity_id = e.id")
-def q_timeline(g, keyword="bolt", n=200):
-    """Hits by the middle of their first era."""
+@query(
+    "q_timeline",
+    f"""WITH hits AS (SELECT id FROM entities WHERE contains(lower(label), 'bolt') ORDER BY id LIMIT 200),
+r AS (SELECT h.id, EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = h.id AND axis = 'geography' AND value_code = 'ASIA') AS here FROM hits h),
+k AS (SELECT id FROM r WHERE here OR NOT (SELECT bool_or(here) FROM r)),
+er AS (SELECT entity_id, value_code, {era_midpoint('value_code')} AS middle, row_number() OVER (PARTITION BY entity_id ORDER BY {era_midpoint('value_code')}, value_code) AS rn FROM entity_tags WHERE axis = 'era')
+SELECT k.id, value_code AS era, middle, row_number() OVER (ORDER BY middle, k.id) AS pos FROM k JOIN er ON er.entity_id = k.id AND rn = 1""",
+)
+def q_timeline(g, keyword="bolt", region="ASIA", n=200):
+    """The first hits by the middle of their earliest era; those of the region alone, if it has any."""
     hits = search(g, keyword).orderBy("id").limit(n).select("id")
-    era = g.tags.where("axis = 'era'").groupBy("entity_id").agg(F.min("value_code").alias("era"))
-    return era.join(F.broadcast(hits), c("entity_id") == c("id")).select("id", "era", F.expr(era_midpoint("era")).alias("middle"))
+    here = g.tags.where((c("axis") == "geography") & (c("value_code") == region)).select(c("entity_id").alias("id")).distinct().withColumn("here", F.lit(True))
+    at = hits.join(here, "id", "left")  # n rows at most, so one window may hold them
+    kept = at.withColumn("some", F.coalesce(F.bool_or("here").over(Window.partitionBy(F.lit(1))), F.lit(False))).where("here or not some").select("id")
+    middle = F.expr(era_midpoint("value_code"))
+    era = g.tags.where("axis = 'era'").groupBy("entity_id").agg(F.min(F.struct(middle.alias("middle"), c("value_code").alias("era"))).alias("e"))
+    out = era.join(F.broadcast(kept), c("entity_id") == c("id")).select("id", "e.era", "e.middle")
+    return out.withColumn("pos", F.row_number().over(Window.orderBy("middle", "id")).cast("long"))
 
 
-@query("q_map_work", f"SELECT s.node AS work, e.id AS place, '[' || CAST(e.lon AS VARCHAR) || ',' || CAST(e.lat AS VARCHAR) || ']' AS at FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node BETWEEN 3000000 AND 3000050 AND e.lat IS NOT NULL")
+_POINT_SQL = "'{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || CAST(e.lon AS VARCHAR) || ',' || CAST(e.lat AS VARCHAR) || ']},\"properties\":{"
+
+
+def feature(lon, lat, **properties):
+    """A point feature as JSON: coordinates are [lon, lat]."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*[v.alias(k) for k, v in properties.items()]).alias("properties")))
+
+
+@query("q_map_work", f"SELECT s.node AS work, e.id AS place, {_POINT_SQL}\"id\":' || CAST(e.id AS VARCHAR) || ',\"label\":\"' || e.label || '\",\"work\":' || CAST(s.node AS VARCHAR) || '}}}}' AS feature FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node >= 3000000 AND e.lat IS NOT NULL")
 def q_map_work(g):
-    """Point features of a work's places: coordinates as [lon, lat]."""
-    rows = q_pilgrimage_by_work(g, 3000000, 3000050)
-    return rows.select("work", "place", F.to_json(F.array("lon", "lat")).alias("at"))
+    """Features of each work's places."""
+    names = g.entities.select(c("id").alias("place"), "label")
+    rows = q_pilgrimage_by_work(g).join(names, "place")
+    return rows.select("work", "place", feature(c("lon"), c("lat"), id=c("place"), label=c("label"), work=c("work")).alias("feature"))
 
 
-@query("q_map_theme", "SELECT e.id, t.value_code AS theme, e.lat, e.lon FROM entities e JOIN entity_tags t ON t.entity_id = e.id AND t.axis = 'theme' WHERE e.lat IS NOT NULL")
+@query("q_map_theme", f"SELECT e.id, t.value_code AS theme, {_POINT_SQL}\"id\":' || CAST(e.id AS VARCHAR) || ',\"theme\":\"' || t.value_code || '\",\"type\":\"' || e.entity_type || '\"}}}}' AS feature FROM entities e JOIN entity_tags t ON t.entity_id = e.id AND t.axis = 'theme' WHERE e.lat IS NOT NULL")
 def q_map_theme(g):
-    return g.entities.where("lat is not null").select("id", "lat", "lon").join(g.tags.where("axis = 'theme'").select(c("entity_id").alias("id"), c("value_code").alias("theme")), "id").select("id", "theme", "lat", "lon")
+    themes = g.tags.where("axis = 'theme'").select(c("entity_id").alias("id"), c("value_code").alias("theme"))
+    rows = g.entities.where("lat is not null").select("id", "lat", "lon", "entity_type").join(themes, "id")
+    return rows.select("id", "theme", feature(c("lon"), c("lat"), id=c("id"), theme=c("theme"), type=c("entity_type")).alias("feature"))
 
 
-@query("q_pilgrimage_timeline", f"SELECT e.release_year AS year, count(DISTINCT e.id) AS works, count(DISTINCT s.other) AS places FROM sym s JOIN entities e ON e.id = s.node WHERE s.{_SPOT} AND e.release_year IS NOT NULL GROUP BY 1")
-def q_pilgrimage_timeline(g):
-    s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select("node", "other")
-    y = g.entities.where("release_year is not null").select("id", c("release_year").alias("year"))
-    return s.join(y, c("node") == c("id")).groupBy("year").agg(F.count_distinct("id").alias("works"), F.count_distinct("other").alias("places"))
+@query(
+    "q_pilgrimage_timeline",
+    f"""WITH r AS (SELECT DISTINCT e.release_year AS year, e.id AS work, s.other AS place FROM sym s JOIN entities e ON e.id = s.node WHERE s.{_SPOT} AND e.release_year BETWEEN 1600 AND 2024 ORDER BY 1, 2, 3 LIMIT 300),
+k AS (SELECT *, row_number() OVER (PARTITION BY year, work ORDER BY place) AS rn FROM r) SELECT year, work, count(*) AS n, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (WHERE rn <= 5) AS places FROM k GROUP BY year, work""",
+)
+def q_pilgrimage_timeline(g, low=1600, high=2024, n=100, most=5):
+    """Works by year with their places: the first 3n rows by year, work and place, of each work five places and their count."""
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select(c("node").alias("work"), c("other").alias("place"))
+    y = g.entities.where(c("release_year").between(low, high)).select(c("id").alias("work"), c("release_year").alias("year"))
+    few = s.join(y, "work").select("year", "work", "place").distinct().orderBy("year", "work", "place").limit(3 * n)
+    lists = F.slice(F.array_sort(F.collect_list("place")), 1, most)
+    return few.groupBy("year", "work").agg(n_rows(), F.array_join(F.transform(lists, lambda x: x.cast("string")), ",").alias("places"))
 
 
 @query(
     "q_emergence",
-    f"WITH y AS (SELECT e.release_year AS year, s.other FROM sym s JOIN entities e ON e.id = s.node WHERE s.{_SPOT} AND e.release_year IS NOT NULL), f AS (SELECT other, min(year) AS year FROM y GROUP BY other), n AS (SELECT year, count(*) AS n FROM f GROUP BY year) SELECT min(year) AS first_year, max(year) AS last_year, CAST(sum(n) AS BIGINT) AS places, (SELECT year FROM n ORDER BY n DESC, year LIMIT 1) AS peak, {micro_sql('sum(n) / CAST(max(year) - min(year) + 1 AS DOUBLE)')} AS rate6 FROM n",
+    f"""WITH r AS (SELECT DISTINCT e.release_year AS year, e.id AS work, s.other AS place FROM sym s JOIN entities e ON e.id = s.node WHERE s.{_SPOT} AND e.entity_type = 'work' AND e.release_year BETWEEN 1600 AND 2024),
+fw AS (SELECT year, count(*) AS n FROM (SELECT work, min(year) AS year FROM r GROUP BY work) q GROUP BY year), fp AS (SELECT year, count(*) AS n FROM (SELECT place, min(year) AS year FROM r GROUP BY place) q GROUP BY year),
+y AS (SELECT CAST(unnest(range(1600, 2025)) AS INT) AS year), t AS (SELECT y.year, coalesce(fw.n, 0) AS new_works, coalesce(fp.n, 0) AS new_places FROM y LEFT JOIN fw USING (year) LEFT JOIN fp USING (year)),
+ty AS (SELECT e.entity_type, count(*) AS k FROM entities e WHERE e.id IN (SELECT place FROM r) GROUP BY 1), tot AS (SELECT sum(k) AS k FROM ty)
+SELECT 'year' AS part, year, new_works, new_places, CAST(sum(new_works) OVER (ORDER BY year) AS BIGINT) AS all_works, CAST(sum(new_places) OVER (ORDER BY year) AS BIGINT) AS all_places, CAST(NULL AS BIGINT) AS value FROM t
+UNION ALL SELECT 'peak', NULL, NULL, NULL, NULL, NULL, (SELECT CAST(year AS BIGINT) FROM t ORDER BY new_places DESC, year LIMIT 1)
+UNION ALL SELECT 'rate6', NULL, NULL, NULL, NULL, NULL, {micro_sql('count(DISTINCT place) / 425.0')} FROM r
+UNION ALL SELECT 'density6', NULL, NULL, NULL, NULL, NULL, {micro_sql('count(DISTINCT place) / CAST(greatest(count(DISTINCT work), 1) AS DOUBLE)')} FROM r
+UNION ALL SELECT 'entropy6', NULL, NULL, NULL, NULL, NULL, {micro_sql('coalesce(-sum(ty.k / CAST(tot.k AS DOUBLE) * ln(ty.k / CAST(tot.k AS DOUBLE))), 0)')} FROM ty, tot
+UNION ALL SELECT 'together', NULL, NULL, NULL, NULL, NULL, count(*) FROM connections WHERE connection_type = 'same_source' AND (a_id IN (SELECT place FROM r) OR b_id IN (SELECT place FROM r))""",
 )
-def q_emergence(g):
-    """When places were first reached: span, peak (the first largest year) and rate."""
-    s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select("node", "other")
-    y = g.entities.where("release_year is not null").select("id", c("release_year").alias("year"))
-    per = s.join(y, c("node") == c("id")).groupBy("other").agg(F.min("year").alias("year")).groupBy("year").agg(n_rows())
-    peak = F.min(F.struct((-c("n")).alias("m"), "year"))["year"]
-    return per.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("n").alias("places"), peak.alias("peak")).withColumn("rate6", micro(c("places") / (c("last_year") - c("first_year") + 1)))
+def q_emergence(g, low=1600, high=2024, types=("same_source",)):
+    """How a network of works and places came up: new and cumulated ones by year, the first fullest year, places a year, places a work, entropy of the places' types, and edges of other types at these places."""
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage")).select(c("node").alias("work"), c("other").alias("place"))
+    y = g.entities.where((c("entity_type") == "work") & c("release_year").between(low, high)).select(c("id").alias("work"), c("release_year").alias("year"))
+    rows = s.join(y, "work").select("year", "work", "place").distinct()
+    first = lambda key: rows.groupBy(key).agg(F.min("year").alias("year")).groupBy("year").agg(n_rows())
+    spine = g.spark.range(low, high + 1).select(c("id").cast("int").alias("year"))
+    t = spine.join(first("work").withColumnRenamed("n", "w"), "year", "left").join(first("place").withColumnRenamed("n", "p"), "year", "left")
+    t = t.select("year", F.coalesce("w", F.lit(0)).alias("new_works"), F.coalesce("p", F.lit(0)).alias("new_places"))
+    by_year = Window.orderBy("year")  # as many rows as years
+    none = F.lit(None).cast("long")
+    years = t.select(F.lit("year").alias("part"), "year", "new_works", "new_places", F.sum("new_works").over(by_year).alias("all_works"), F.sum("new_places").over(by_year).alias("all_places"), none.alias("value"))
+    alone = lambda df, part, value: df.select(F.lit(part).alias("part"), F.lit(None).cast("int").alias("year"), *[none.alias(x) for x in ("new_works", "new_places", "all_works", "all_places")], value.cast("long").alias("value"))
+    totals = rows.agg(F.count_distinct("place").alias("places"), F.count_distinct("work").alias("works"))
+    places = rows.select(c("place").alias("id")).distinct()
+    kinds = g.entities.select("id", "entity_type").join(places, "id", "left_semi").groupBy("entity_type").agg(F.count("*").alias("k"))
+    share = c("k") / F.sum("k").over(Window.partitionBy(F.lit(1)))  # one row for each type
+    entropy = kinds.select((share * F.log(share)).alias("x")).agg(F.coalesce(-F.sum("x"), F.lit(0.0)).alias("h"))
+    near = g.edges.where(c("connection_type").isin(*types)).select("a_id", "b_id")
+    mark = lambda end: places.select(c("id").alias(end), F.lit(1).alias(f"{end}_in"))
+    together = near.join(mark("a_id"), "a_id", "left").join(mark("b_id"), "b_id", "left").agg(F.count_if(c("a_id_in").isNotNull() | c("b_id_in").isNotNull()).alias("k"))
+    parts = [
+        alone(t.agg(F.min(F.struct((-c("new_places")).alias("m"), "year"))["year"].alias("v")), "peak", c("v")),
+        alone(totals, "rate6", micro(c("places") / float(high - low + 1))),
+        alone(totals, "density6", micro(c("places") / F.greatest("works", F.lit(1)))),
+        alone(entropy, "entropy6", micro(c("h"))),
+        alone(together, "together", c("k")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts, years)
 
 
 # ---- exports
