@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,17 @@ def score_rule_v2(theme: Column, era: Column, medium: Column, geo: Column, exper
     )
 
 
-#: Rules that users add: name -> Column of an edge or entity frame.
+#: Rules that users add: name -> Column of an entity or edge frame.
 EXTRA: dict[str, Column] = {}
 
 
 def register_rule(name: str, condition: Column) -> None:
-    """Make a condition available to keyword and quality jobs by name."""
+    """Add a condition of one's own to those that ``flagged`` and the blocklist apply."""
     EXTRA[name] = condition
+
+
+def flagged(df: DataFrame, names=None) -> DataFrame:
+    """``df`` with ``flags``: the names of the added rules (or of some of them) that hold for a row, in order of registration."""
+    chosen = list(EXTRA) if names is None else list(names)
+    hits = [F.when(EXTRA[n], F.lit(n)) for n in chosen]
+    return df.withColumn("flags", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"))

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import strings, years
+from ..functions.rules import flagged
 from ..model import era_of
 from ..sources.graph import first_per
+from ..vocabulary import DEFAULT_THEMES, DESIGNATIONS, KEYWORD_THEMES, PREFECTURE_POINTS, PROVINCE_POINTS
+from .aggregates import micro, micro_sql
 from .functions import KEYWORDS, rectangle_sql
 from .generators import isolated
 from .registry import query
@@ -55,27 +58,60 @@ def job_dedupe_name_radius(g, metres=5000.0):
     return p.join(again, "id", "left_anti").select("id")
 
 
-@query("job_dedupe_work_author", "SELECT min(l_orderkey * 10 + l_linenumber) AS first_line, l_partkey, l_suppkey FROM lineitem GROUP BY l_partkey, l_suppkey")
+def work_key(title, author):
+    """Title and author folded, without white space, as one key."""
+    fold = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", "")
+    return F.concat_ws("|", fold(title), fold(author))
+
+
+_FOLD_SQL = "concat_ws('|', regexp_replace(lower(coalesce({0}, '')), '\\s+', '', 'g'), regexp_replace(lower(coalesce({1}, '')), '\\s+', '', 'g'))"
+
+
+@query(
+    "job_dedupe_work_author",
+    f"WITH cat AS (SELECT p_partkey AS id, {_FOLD_SQL.format('p_name', 'p_brand')} AS k FROM part), has AS (SELECT {_FOLD_SQL.format('label', 'source')} AS k FROM entities WHERE entity_type = 'artifact') SELECT min(id) AS id, k FROM cat WHERE k NOT IN (SELECT k FROM has) GROUP BY k",
+)
 def job_dedupe_work_author(g):
-    return g.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(c("l_orderkey") * 10 + c("l_linenumber")).alias("first_line"))
+    """Catalogue rows whose title and author no record has yet, each pair once: the first by id."""
+    cat = g.table("part").select(c("p_partkey").alias("id"), work_key(c("p_name"), c("p_brand")).alias("k"))
+    has = g.entities.where("entity_type = 'artifact'").select(work_key(c("label"), c("source")).alias("k"))
+    return cat.groupBy("k").agg(F.min("id").alias("id")).join(has, "k", "left_anti").select("id", "k")
+
+
+def _theme_sql(label, kind):
+    named = ", ".join("CASE WHEN " + " OR ".join(f"contains({label}, '{w}')" for w in words) + f" THEN '{theme}' END" for words, theme in KEYWORD_THEMES)
+    default = "CASE " + " ".join(f"WHEN {kind} = '{k}' THEN '{t}'" for k, t in DEFAULT_THEMES.items()) + " END"
+    found = f"list_filter(list_distinct([{named}]), lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({found}) > 0 THEN {found} ELSE list_filter([{default}], lambda x: x IS NOT NULL) END"
+
+
+def keyword_themes(label, kind):
+    """Themes that a label's words name, each once; its type's default if none."""
+    named = [F.when(label.rlike("|".join(words)), theme) for words, theme in KEYWORD_THEMES]
+    found = F.array_distinct(F.array_compact(F.array(*named)))
+    default = F.array_compact(F.array(*[F.when(kind == k, t) for k, t in DEFAULT_THEMES.items()]))
+    return F.when(F.size(found) > 0, found).otherwise(default)
 
 
 @query(
     "job_autotag",
-    "WITH u AS (SELECT * FROM entities) SELECT id, 'medium' AS axis, CASE WHEN entity_type = 'place' THEN 'site' WHEN entity_type = 'person' THEN 'life' ELSE 'object' END AS value_code FROM u UNION ALL SELECT id, 'geography', coalesce(" + rectangle_sql() + ", 'unknown') FROM u UNION ALL SELECT id, 'era', coalesce(" + era_of() + ", 'unknown') FROM u UNION ALL SELECT id, 'experience', CASE WHEN entity_type = 'place' THEN 'visit' ELSE 'see' END FROM u UNION ALL SELECT id, 'theme', CASE WHEN label ILIKE '%steel%' THEN 'metal' WHEN label ILIKE '%red%' THEN 'colour' ELSE 'general' END FROM u",
+    f"WITH u AS (SELECT * FROM entities WHERE label IS NOT NULL) SELECT id, 'theme' AS axis, unnest({_theme_sql('label', 'entity_type')}) AS value_code FROM u UNION ALL SELECT id, 'medium', CASE WHEN entity_type = 'place' THEN 'site' WHEN entity_type = 'person' THEN 'life' ELSE 'object' END FROM u UNION ALL SELECT id, 'geography', "
+    + rectangle_sql()
+    + f" FROM u WHERE {rectangle_sql()} IS NOT NULL UNION ALL SELECT id, 'era', {era_of()} FROM u WHERE {era_of()} IS NOT NULL UNION ALL SELECT id, 'experience', CASE WHEN entity_type = 'place' THEN 'participatory' WHEN entity_type = 'person' THEN 'intellectual' END FROM u WHERE entity_type IN ('place', 'person')",
 )
 def job_autotag(g):
-    """Five tags for each entity, with defaults where nothing tells."""
+    """Tags on five axes from labels, types, years and places; themes from the words of the label."""
     kind, label = c("entity_type"), c("label")
-    tags = {
-        "medium": F.when(kind == "place", "site").when(kind == "person", "life").otherwise("object"),
-        "geography": F.coalesce(F.expr(rectangle_sql()), F.lit("unknown")),
-        "era": F.coalesce(F.expr(era_of()), F.lit("unknown")),
-        "experience": F.when(kind == "place", "visit").otherwise("see"),
-        "theme": F.when(label.ilike("%steel%"), "metal").when(label.ilike("%red%"), "colour").otherwise("general"),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("axis"), v.alias("value_code")) for k, v in tags.items()])
-    return g.entities.select("id", F.explode(rows).alias("t")).select("id", "t.axis", "t.value_code")
+    one = lambda axis, value: F.transform(F.array_compact(F.array(value)), lambda v: F.struct(F.lit(axis).alias("axis"), v.alias("value_code")))
+    themes = F.transform(keyword_themes(label, kind), lambda v: F.struct(F.lit("theme").alias("axis"), v.alias("value_code")))
+    rows = F.concat(
+        themes,
+        one("medium", F.when(kind == "place", "site").when(kind == "person", "life").otherwise("object")),
+        one("geography", F.expr(rectangle_sql())),
+        one("era", F.expr(era_of())),
+        one("experience", F.when(kind == "place", "participatory").when(kind == "person", "intellectual")),
+    )
+    return g.entities.where("label is not null").select("id", F.explode(rows).alias("t")).select("id", "t.axis", "t.value_code")
 
 
 @query("job_source_default_tags", "SELECT e.id, d.axis, d.value_code FROM entities e JOIN (VALUES ('supplier', 'geography', 'ASIA'), ('src0', 'medium', 'en'), ('BUILDING', 'experience', 'BUILDING')) d(source, axis, value_code) ON d.source = e.source WHERE NOT EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND t.axis = d.axis AND t.value_code = d.value_code)")
@@ -154,11 +190,22 @@ def job_fill_from_lookup(g):
     return g.entities.select("id", "qid", "label_en", "lat").join(look, "qid", "left").select("id", F.coalesce("label_en", "c_name").alias("label_en"), "lat")
 
 
-@query("job_heritage_rank", "SELECT l_partkey, min(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) AS prio, min_by(l_returnflag, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) AS best FROM lineitem GROUP BY l_partkey")
+_RANK_SQL = "CASE d " + " ".join(f"WHEN '{q}' THEN {i}" for i, (q, _) in enumerate(DESIGNATIONS)) + " END"
+_NAME_SQL = "CASE prio " + " ".join(f"WHEN {i} THEN '{name}'" for i, (_, name) in enumerate(DESIGNATIONS)) + " END"
+
+
+@query(
+    "job_heritage_rank",
+    f"WITH k AS (SELECT l_partkey AS item, [{', '.join(repr(q) for q, _ in DESIGNATIONS)}, 'Q0'][l_linenumber] AS d, year(l_shipdate) AS y, l_orderkey AS o FROM lineitem), r AS (SELECT item, {_RANK_SQL} AS prio, y, o FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY prio, o) AS rn FROM r WHERE prio IS NOT NULL) SELECT item, {_NAME_SQL} AS heritage, CAST(CASE WHEN y BETWEEN 600 AND 2026 THEN y END AS INT) AS year FROM b WHERE rn = 1",
+)
 def job_heritage_rank(g):
-    """The highest designation of each."""
-    prio = F.when(c("l_returnflag") == "R", 1).when(c("l_returnflag") == "A", 2).otherwise(3)
-    return g.table("lineitem").groupBy("l_partkey").agg(F.min(prio).alias("prio"), F.min_by("l_returnflag", prio).alias("best"))
+    """The highest designation of each and its year, from landed (item, designation, date) rows; ids outside the table of designations say nothing."""
+    ids = F.array(*[F.lit(q) for q, _ in DESIGNATIONS], F.lit("Q0"))
+    rows = g.table("lineitem").select(c("l_partkey").alias("item"), F.element_at(ids, c("l_linenumber").cast("int")).alias("d"), F.year("l_shipdate").alias("y"), c("l_orderkey").alias("o"))
+    table_ = g.spark.createDataFrame([(q, i, name) for i, (q, name) in enumerate(DESIGNATIONS)], "d string, prio int, heritage string")
+    year = F.when(c("y").between(600, 2026), c("y")).alias("year")
+    ranked = rows.join(F.broadcast(table_), "d").select("item", F.struct("prio", "o", "heritage", year).alias("r"))
+    return ranked.groupBy("item").agg(F.min("r").alias("r")).select("item", "r.heritage", "r.year")
 
 
 @query(
@@ -173,21 +220,46 @@ def job_geo_from_tag(g):
     return n.select("id", F.floor(c("i") / c("side")).alias("row"), (c("i") % c("side")).cast("long").alias("col"))
 
 
-@query("job_geo_from_label", "SELECT doc_id, CASE WHEN contains(text, 'thing') THEN 'thing' WHEN contains(text, 'the') THEN 'the' WHEN contains(text, 'die') THEN 'die' END AS place FROM documents")
-def job_geo_from_label(g, names=("die", "thing", "the")):
-    """The first name that a text holds, longer names first."""
-    chain = None
-    for n in sorted(names, key=lambda n: (-len(n), -ord(n[0]))):
-        hit = F.contains("text", F.lit(n))
-        chain = F.when(hit, n) if chain is None else chain.when(hit, n)
-    return g.table("documents").select("doc_id", chain.alias("place"))
+_PLACES_IN_LABELS = [*sorted(PREFECTURE_POINTS, key=lambda p: -len(p[0])), *sorted(PROVINCE_POINTS, key=lambda p: -len(p[0]))]
+
+
+def _place_sql(text):
+    return "CASE " + " ".join(f"WHEN contains({text}, '{name}') THEN {i}" for i, (name, _, _) in enumerate(_PLACES_IN_LABELS)) + " END"
+
+
+@query(
+    "job_geo_from_label",
+    f"WITH t AS (SELECT id, label || ' ' || (['', '大阪府', '和歌山の寺', '土佐日記', 'x'])[CAST(id % 5 AS INT) + 1] AS label FROM entities WHERE lat IS NULL AND label IS NOT NULL), k AS (SELECT id, {_place_sql('label')} AS i FROM t) SELECT id, ([{', '.join(repr(p[0]) for p in _PLACES_IN_LABELS)}])[i + 1] AS place, {micro_sql(f'([{chr(44).join(str(p[1]) for p in _PLACES_IN_LABELS)}])[i + 1]')} AS lat6, {micro_sql(f'([{chr(44).join(str(p[2]) for p in _PLACES_IN_LABELS)}])[i + 1]')} AS lon6 FROM k WHERE i IS NOT NULL",
+)
+def job_geo_from_label(g):
+    """A point for each entity without one whose label names a prefecture, else an old province; longer names first, each entity once."""
+    more = F.element_at(F.array(*map(F.lit, ["", "大阪府", "和歌山の寺", "土佐日記", "x"])), (c("id") % 5 + 1).cast("int"))
+    t = g.entities.where("lat is null and label is not null").select("id", F.concat_ws(" ", "label", more).alias("label"))
+    return located(t)
+
 
+def located(labels):
+    """(id, label) -> id, place, lat6, lon6."""
+    point = lambda p: F.struct(F.lit(p[0]).alias("place"), F.lit(float(p[1])).alias("lat"), F.lit(float(p[2])).alias("lon"))
+    first = F.coalesce(*[F.when(F.contains("label", F.lit(p[0])), point(p)) for p in _PLACES_IN_LABELS])
+    return labels.select("id", first.alias("p")).where("p is not null").select("id", "p.place", micro(c("p.lat")).alias("lat6"), micro(c("p.lon")).alias("lon6"))
 
-@query("job_verdict_merge", "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(CASE WHEN l.quality = 1 THEN 'keep' WHEN l.quality = 0 THEN 'reject' END, 'keep') = 'keep'")
+
+@query(
+    "job_verdict_merge",
+    f"WITH v AS (SELECT 2000000 + l_suppkey AS a_id, 3000000 + l_partkey AS b_id, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'keep' END AS verdict, CAST(l_discount AS DOUBLE) AS theme_score, CAST(l_tax AS DOUBLE) AS era_score, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) SELECT k.a_id, k.b_id, {micro_sql('coalesce(theme_score, -1)')} AS theme6, {micro_sql('coalesce(era_score, -1)')} AS era6 FROM connections k LEFT JOIN v ON v.a_id = k.a_id AND v.b_id = k.b_id AND rn = 1 WHERE coalesce(v.verdict, k.verdict) = 'keep'",
+)
 def job_verdict_merge(g):
-    """The latest verdict of each, and only what is kept; no verdict keeps."""
-    verdict = g.table("labels").groupBy("doc_id").agg(F.max_by(F.when(c("quality") == 1, "keep").otherwise("reject"), "quality").alias("verdict"))
-    return g.table("documents").select("doc_id", "source").join(verdict, "doc_id", "left").where(F.coalesce("verdict", F.lit("keep")) == "keep").select("doc_id", "source")
+    """Edges with the latest of their landed verdicts and its scores; what is not kept goes. An edge without one keeps its own verdict."""
+    log = g.table("lineitem").select(
+        (2_000_000 + c("l_suppkey")).cast("long").alias("a_id"),
+        (3_000_000 + c("l_partkey")).cast("long").alias("b_id"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", F.when(c("l_returnflag") == "R", "reject").otherwise("keep").alias("verdict"), c("l_discount").cast("double").alias("theme"), c("l_tax").cast("double").alias("era")).alias("v"),
+    )
+    latest = log.groupBy("a_id", "b_id").agg(F.max("v").alias("v"))
+    joined = g.edges.select("a_id", "b_id", "verdict").join(latest, ["a_id", "b_id"], "left").where(F.coalesce("v.verdict", "verdict") == "keep")
+    score = lambda name: micro(F.coalesce(c(f"v.{name}"), F.lit(-1.0)))
+    return joined.select("a_id", "b_id", score("theme").alias("theme6"), score("era").alias("era6"))
 
 
 @query(
@@ -214,7 +286,9 @@ def job_filter_granularity(g):
 
 @query("job_filter_blocklist", "SELECT id FROM entities WHERE label NOT IN ('red widget', 'small ring') AND NOT regexp_matches(label, '^(Supplier|Customer)#0+[1-3]$')")
 def job_filter_blocklist(g, exact=("red widget", "small ring"), pattern="^(Supplier|Customer)#0+[1-3]$"):
-    return g.entities.where(~c("label").isin(*exact) & ~c("label").rlike(pattern)).select("id")
+    """Entities that neither the lists nor an added rule takes out."""
+    kept = g.entities.where(~c("label").isin(*exact) & ~c("label").rlike(pattern))
+    return flagged(kept).where(F.size("flags") == 0).select("id")
 
 
 @query("job_dormant", "SELECT id, CASE WHEN qid IS NULL AND lat IS NULL AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = e.id) AND NOT EXISTS (SELECT 1 FROM entity_tags t WHERE t.entity_id = e.id AND t.confidence >= 0.7) THEN 1 ELSE 0 END AS dormant FROM entities e")

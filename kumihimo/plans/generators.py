@@ -28,9 +28,21 @@ EXTRA: dict[str, Callable] = {}
 
 
 def register_generator(name: str, function: Callable) -> None:
+    """Make a generator of one's own part of ``registered_pairs``."""
     EXTRA[name] = function
 
 
+def registered_pairs(g, names=None):
+    """New pairs of the generators that users added (or of some of them): a_id, b_id, generator; each pair once for each generator, none that exists."""
+    chosen = list(EXTRA) if names is None else list(names)
+    out = g.spark.createDataFrame([], "a_id long, b_id long, generator string")
+    for name in chosen:
+        pairs = EXTRA[name](g.entities, g.tags, g.edges)
+        x, y = (c(k).cast("long") for k in pairs.columns[:2])
+        out = out.unionByName(new_pairs(pairs.select(x.alias("x"), y.alias("y")), g.edges).withColumn("generator", F.lit(name)))
+    return out
+
+
 def fresh(candidates: str, head: str = "") -> str:
     """SQL of the new pairs among candidates (x, y)."""
     return f"{head} SELECT DISTINCT least(x, y) AS a_id, greatest(x, y) AS b_id FROM ({candidates}) q WHERE x <> y AND NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = least(x, y) AND k.b_id = greatest(x, y))"
@@ -66,43 +78,71 @@ def pair_distances(g, pairs):
     return pairs.select("a_id", "b_id", *[v.alias(k) for k, v in out.items()])
 
 
-_PAIR_SQL = """r AS (SELECT t.id, t.v AS theme, row_number() OVER (PARTITION BY t.v ORDER BY t.id) AS rn FROM (SELECT entity_id AS id, value_code AS v FROM entity_tags WHERE axis = 'theme') t),
-cp AS (SELECT x.id AS a_id, y.id AS b_id FROM r x JOIN r y ON x.theme = y.theme AND y.rn BETWEEN x.rn + 1 AND x.rn + {k}),
-tg AS (SELECT entity_id AS id, max(CASE WHEN axis = 'medium' THEN value_code END) AS medium, max(CASE WHEN axis = 'era' THEN value_code END) AS era FROM entity_tags GROUP BY 1),
-dd AS (SELECT a_id, b_id, abs(ea - eb) / 8.0 AS ed, CASE WHEN ma = mb THEN 0.0 ELSE 1.0 END AS md FROM (
-  SELECT cp.a_id, cp.b_id, x.medium AS ma, y.medium AS mb, {ea} AS ea, {eb} AS eb FROM cp JOIN tg x ON x.id = cp.a_id JOIN tg y ON y.id = cp.b_id) z)"""
+def theme_groups(g, most=200, ancestors=True):
+    """Pairs (a_id, b_id) of works that share a theme, or an ancestor of their themes; of a group beyond ``most`` members the ``most`` first by hash take part, as its rule says."""
+    from .functions import theme_parents
+
+    members = tagged(g, "theme")
+    if ancestors:
+        up = F.broadcast(distance.closure(theme_parents(g)).select(c("code").alias("v"), "ancestor"))  # a dictionary
+        members = members.join(up, "v").select("id", c("ancestor").alias("v"))
+    few = capped_pairs(members.distinct().withColumn("h", hash_order("theme")), ["v"], ["h", "id"], most)
+    return few.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).where("a_id <> b_id").distinct()
+
 
+_PAIR_SQL = """{tree}g0 AS ({members}), r AS (SELECT id, v, row_number() OVER (PARTITION BY v ORDER BY md5('theme' || CAST(id AS VARCHAR)), id) AS rn FROM (SELECT DISTINCT id, v FROM g0) d),
+cp AS (SELECT DISTINCT least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id FROM r x JOIN r y ON x.v = y.v AND x.rn < y.rn AND y.rn <= 200),
+tg AS (SELECT entity_id AS id, max(CASE WHEN axis = 'medium' THEN value_code END) AS medium, max(CASE WHEN axis = 'era' THEN value_code END) AS era, max(CASE WHEN axis = 'theme' THEN value_code END) AS theme FROM entity_tags GROUP BY 1),
+dd AS (SELECT a_id, b_id, abs(ea - eb) / 8.0 AS ed, CASE WHEN ma = mb THEN 0.0 ELSE 1.0 END AS md, ta, tb FROM (
+  SELECT cp.a_id, cp.b_id, x.medium AS ma, y.medium AS mb, x.theme AS ta, y.theme AS tb, {ea} AS ea, {eb} AS eb FROM cp JOIN tg x ON x.id = cp.a_id JOIN tg y ON y.id = cp.b_id) z)"""
 
-def _pairs_sql(k):
+
+def _pairs_sql(ancestors):
     from ..model import era_index
+    from .functions import _TREE_SQL
 
-    return _PAIR_SQL.format(k=k, ea=era_index("x.era"), eb=era_index("y.era"))
+    own = "SELECT entity_id AS id, value_code AS v FROM entity_tags WHERE axis = 'theme'"
+    members = f"SELECT m.id, up.anc AS v FROM ({own}) m JOIN up ON up.code = m.v" if ancestors else own
+    tree = _TREE_SQL + ", st AS (SELECT x.code AS a, y.code AS b, min(x.up + y.up) AS s FROM up x JOIN up y ON x.anc = y.anc GROUP BY 1, 2), " if ancestors else ""
+    return _PAIR_SQL.format(tree=tree, members=members, ea=era_index("x.era"), eb=era_index("y.era"))
 
 
 _NEW = "NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = dd.a_id AND k.b_id = dd.b_id)"
 
 
-@query("gen_theme_scored_v1", f"WITH {_pairs_sql(6)} SELECT a_id, b_id, {micro_sql('s')} AS score6 FROM (SELECT a_id, b_id, CASE WHEN ed > 0.3 THEN 1.2 * ed WHEN md > 0.5 THEN 1.1 * md WHEN ed < 0.2 AND md < 0.2 THEN 0.2 ELSE 0.3 END AS s FROM dd WHERE {_NEW} AND NOT (ed = 0 AND md = 0)) t WHERE s >= 0.3")
-def gen_theme_scored_v1(g, k=6, at=0.3):
-    """Sharers of a theme within k places, by the first rule table; equal in medium and era they are left out."""
-    pairs = linked_to_next(tagged(g, "theme"), ["v"], ["id"], k).select(c("x").alias("a_id"), c("y").alias("b_id"))
+@query(
+    "gen_theme_scored_v1",
+    f"WITH {_pairs_sql(False)} SELECT a_id, b_id, {micro_sql('s')} AS score6 FROM (SELECT a_id, b_id, CASE WHEN ed > 0.3 THEN 1.2 * ed WHEN md > 0.5 THEN 1.1 * md WHEN ed < 0.2 AND md < 0.2 THEN 0.2 ELSE 0.3 END AS s FROM dd WHERE {_NEW} AND NOT (ed = 0 AND md = 0)) t WHERE s >= 0.3 ORDER BY floor(s * 1e6 + 0.5) DESC, a_id, b_id LIMIT 500",
+)
+def gen_theme_scored_v1(g, at=0.3, total=500):
+    """Sharers of a theme by the first rule table, the best ``total`` of them; equal in medium and era they are left out."""
+    pairs = theme_groups(g, ancestors=False)
     d = pair_distances(g, pairs.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")).where(~((c("ed") == 0) & (c("md") == 0)))
     r = rules.score_rule_v1(F.lit(0.0), c("ed"), c("md"), F.lit(0.5))
-    return d.select("a_id", "b_id", r["score"].alias("s")).where(c("s") >= at).select("a_id", "b_id", micro(c("s")).alias("score6"))
+    scored = d.select("a_id", "b_id", r["score"].alias("s")).where(c("s") >= at).select("a_id", "b_id", micro(c("s")).alias("score6"))
+    return scored.orderBy(F.desc("score6"), "a_id", "b_id").limit(total)
 
 
 @query(
     "gen_theme_scored_v2",
-    f"""WITH {_pairs_sql(10)}, sc AS (SELECT a_id, b_id, CASE WHEN ed > 0.3 THEN 1.2 * ed WHEN md > 0.5 THEN 1.1 * md WHEN 0.5 > 0.3 THEN 0.5 END AS s FROM dd WHERE {_NEW}),
+    f"""WITH {_pairs_sql(True)}, di AS (SELECT dd.*, CASE WHEN st.s IS NULL THEN 0.8 ELSE least(0.6, st.s * 0.2) END AS td FROM dd LEFT JOIN st ON st.a = ta AND st.b = tb),
+sc AS (SELECT a_id, b_id, CASE WHEN td < 0.5 AND ed > 0.3 THEN 1.2 * (1 - td) * ed WHEN td < 0.5 AND md > 0.5 THEN 1.1 * (1 - td) * md WHEN td < 0.5 THEN (1 - td) * 0.5 WHEN td > 0.7 AND ed > 0.7 AND md > 0.7 THEN 0.05 ELSE 0.1 END AS s FROM di AS dd WHERE {_NEW}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY floor(s * 1e6 + 0.5) DESC, b_id) AS ra, row_number() OVER (PARTITION BY b_id ORDER BY floor(s * 1e6 + 0.5) DESC, a_id) AS rb FROM sc WHERE s >= 0.25)
 SELECT a_id, b_id, {micro_sql('s')} AS score6 FROM rk WHERE ra <= 15 AND rb <= 15 ORDER BY floor(s * 1e6 + 0.5) DESC, a_id, b_id LIMIT 800""",
 )
-def gen_theme_scored_v2(g, k=10, quota=15, total=800):
-    """The second rule table, with quotas of each end and of the total, as ranks."""
-    pairs = linked_to_next(tagged(g, "theme"), ["v"], ["id"], k).select(c("x").alias("a_id"), c("y").alias("b_id"))
-    d = pair_distances(g, pairs.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti"))
+def gen_theme_scored_v2(g, quota=15, total=800):
+    """Sharers of a theme or of an ancestor of theirs by the second rule table, with the distance of their themes in the tree, and with quotas of each end and of the total, as ranks."""
+    from .functions import theme_parents
+
+    pairs = theme_groups(g)
+    d = pair_distances(g, pairs.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")).drop("td")
+    theme = tagged(g, "theme").groupBy("id").agg(F.max("v").alias("v"))
+    for end, name in (("a_id", "a"), ("b_id", "b")):
+        d = d.join(theme.select(c("id").alias(end), c("v").alias(name)), end)
+    steps = F.broadcast(distance.tree_distance(theme_parents(g)))  # a dictionary
+    d = d.join(steps, ["a", "b"], "left").withColumn("td", distance.theme_distance(c("steps"), F.lit(False)))
     same = F.lit("work")
-    s = rules.score_rule_v2(F.lit(0.0), c("ed"), c("md"), c("gd"), c("xd"), same, same)["score"]
+    s = rules.score_rule_v2(c("td"), c("ed"), c("md"), c("gd"), c("xd"), same, same)["score"]
     scored = d.select("a_id", "b_id", micro(s).alias("score6")).where("score6 >= 250000")
     ranked = first_per(first_per(scored, ["a_id"], [F.desc("score6"), "b_id"], "ra"), ["b_id"], [F.desc("score6"), "a_id"], "rb")
     return ranked.where((c("ra") <= quota) & (c("rb") <= quota)).orderBy(F.desc("score6"), "a_id", "b_id").limit(total).select("a_id", "b_id", "score6")
@@ -381,12 +421,15 @@ def gen_same_source_chain(g):
 # ---- labels
 
 
-@query("gen_label_cross_type", fresh("SELECT a.id AS x, b.id AS y FROM (SELECT id, entity_type, lower(split_part(label, ' ', 1)) AS k FROM entities WHERE entity_type IN ('artifact', 'person')) a JOIN (SELECT id, entity_type, lower(split_part(label, ' ', 1)) AS k FROM entities WHERE entity_type IN ('artifact', 'person')) b ON a.k = b.k AND a.id < b.id AND a.entity_type <> b.entity_type"))
-def gen_label_cross_type(g):
-    """Equal keys of different types."""
-    e = g.entities.where("entity_type in ('artifact', 'person')").select("id", "entity_type", F.lower(F.split("label", " ")[0]).alias("k"))
-    pairs = e.toDF("x", "xt", "k").join(e.toDF("y", "yt", "k"), "k").where("x < y and xt <> yt")
-    return new_pairs(pairs, g.edges)
+_FIRST_WORD = "(SELECT id, lower(split_part(label, ' ', 1)) AS v FROM entities WHERE entity_type = '{}')"
+
+
+@query("gen_label_cross_type", fresh(_cross_sql(_FIRST_WORD.format("artifact"), _FIRST_WORD.format("work"), "v", 20, 20)))
+def gen_label_cross_type(g, cap=20):
+    """Artifacts and works with one first word: the first ``cap`` of each."""
+    e = g.entities.select("id", "entity_type", F.lower(F.split("label", " ")[0]).alias("v"))
+    side = lambda kind: e.where(c("entity_type") == kind).select("id", "v")
+    return new_pairs(capped_cross(side("artifact"), side("work"), "v", cap, cap), g.edges)
 
 
 @query("gen_label_cross_type_grouped", fresh("SELECT a.id AS x, b.id AS y FROM (SELECT id, entity_type, substr(lower(label), 1, 2) AS k, row_number() OVER (PARTITION BY substr(lower(label), 1, 2) ORDER BY id) AS rn FROM entities) a JOIN (SELECT id, entity_type, substr(lower(label), 1, 2) AS k, row_number() OVER (PARTITION BY substr(lower(label), 1, 2) ORDER BY id) AS rn FROM entities) b ON a.k = b.k AND a.rn < b.rn AND b.rn <= 10 WHERE a.entity_type <> b.entity_type"))
@@ -427,12 +470,17 @@ def gen_relation_pairs(g):
     return new_pairs(rel.join(g.entities.where("qid is not null").select("qid", c("id").alias("x")), "qid"), g.edges)
 
 
-@query("gen_property_typed", "SELECT DISTINCT 1000000 + o_custkey AS item, CASE o_orderstatus WHEN 'F' THEN 'influence' WHEN 'O' THEN 'adaptation' ELSE 'series' END AS kind, 2000000 + l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def _kind(status):
+    return F.when(status == "F", "influence").when(status == "O", "adaptation").otherwise("series")
+
+
+@query("gen_property_typed", "SELECT DISTINCT 1000000 + o_custkey AS a_id, 2000000 + l_suppkey AS b_id, CASE o_orderstatus WHEN 'F' THEN 'influence' WHEN 'O' THEN 'adaptation' ELSE 'series' END AS connection_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = 1000000 + o_custkey AND k.b_id = 2000000 + l_suppkey)")
 def gen_property_typed(g):
-    """(item, property, target) with the edge type that the property stands for."""
-    kind = F.when(c("o_orderstatus") == "F", "influence").when(c("o_orderstatus") == "O", "adaptation").otherwise("series")
+    """New edges of the type that a property of an item stands for."""
     both = g.table("orders").join(g.table("lineitem"), c("o_orderkey") == c("l_orderkey"))
-    return both.select((1_000_000 + c("o_custkey")).alias("item"), kind.alias("kind"), (2_000_000 + c("l_suppkey")).alias("target")).distinct()
+    x, y = (1_000_000 + c("o_custkey")).cast("long"), (2_000_000 + c("l_suppkey")).cast("long")
+    rows = both.select(F.least(x, y).alias("a_id"), F.greatest(x, y).alias("b_id"), _kind(c("o_orderstatus")).alias("connection_type")).where("a_id <> b_id").distinct()
+    return rows.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
 
 
 @query("gen_shared_attribute", fresh("SELECT a.id AS x, b.id AS y FROM (SELECT 3000000 + p_partkey AS id, p_brand AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) a JOIN (SELECT 3000000 + p_partkey AS id, p_brand AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) b ON a.v = b.v AND a.rn < b.rn AND b.rn <= 30"))
@@ -441,10 +489,12 @@ def gen_shared_attribute(g, cap=30):
     return new_pairs(capped_pairs(works, ["v"], ["id"], cap), g.edges)
 
 
-@query("gen_creator_work", "SELECT DISTINCT 1000000 + o_custkey AS a_id, 3000000 + l_partkey AS b_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)")
+@query("gen_creator_work", fresh("SELECT e.id AS x, 3000000 + l_partkey AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN entities e ON e.qid = 'Q' || CAST(o_custkey + 2 AS VARCHAR) WHERE e.entity_type = 'person'"))
 def gen_creator_work(g):
-    made = g.table("orders").join(g.table("lineitem"), c("o_orderkey") == c("l_orderkey")).join(g.table("customer"), c("o_custkey") == c("c_custkey"), "left_semi")
-    return made.select((1_000_000 + c("o_custkey")).alias("a_id"), (3_000_000 + c("l_partkey")).alias("b_id")).distinct()
+    """Works whose creator, by an outside id, is a known person."""
+    made = g.table("orders").join(g.table("lineitem"), c("o_orderkey") == c("l_orderkey")).select(F.concat(F.lit("Q"), (c("o_custkey") + 2).cast("string")).alias("qid"), (3_000_000 + c("l_partkey")).cast("long").alias("y")).distinct()
+    people = g.entities.where("qid is not null and entity_type = 'person'").select("qid", c("id").alias("x"))
+    return new_pairs(made.join(people, "qid"), g.edges)
 
 
 @query("gen_food_region", fresh("SELECT 1000000 + c_custkey AS x, s AS y FROM customer JOIN (SELECT s_nationkey, min(2000000 + s_suppkey) AS s FROM supplier GROUP BY 1) t ON s_nationkey = c_nationkey"))
@@ -540,9 +590,14 @@ def gen_pilgrimage_landmark(g, k=5):
     return new_pairs(first_per(best, ["x"], ["m", "y"]).where(c("rn") <= k), g.edges)
 
 
-@query("gen_work_spot", "SELECT p.p_partkey AS work, coalesce(e.id, 5000000 + p.p_partkey) AS id, e.id IS NULL AS created FROM part p LEFT JOIN entities e ON e.id = 2000000 + p.p_partkey AND e.entity_type = 'place'")
+@query(
+    "gen_work_spot",
+    "WITH l AS (SELECT 3000000 + p_partkey AS work, p_partkey, CAST(2000000 + 1 + p_size * 37 % 120 AS BIGINT) AS spot FROM part), s AS (SELECT work, coalesce(e.id, 5000000 + p_partkey) AS id, e.id IS NULL AS created FROM l LEFT JOIN entities e ON e.id = l.spot AND e.entity_type = 'place') SELECT least(work, id) AS a_id, greatest(work, id) AS b_id, 'pilgrimage_spot' AS connection_type, created FROM s WHERE NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = least(work, id) AND k.b_id = greatest(work, id))",
+)
 def gen_work_spot(g):
-    """Listed (work, spot) rows: the known place, or a new one."""
+    """New edges of listed (work, spot) rows: with the known place, or with one that is created for it."""
     places = g.entities.where("entity_type = 'place'").select("id")
-    listed = g.table("part").select(c("p_partkey").alias("work"))
-    return listed.join(places, c("id") == c("work") + 2_000_000, "left").select("work", F.coalesce("id", c("work") + 5_000_000).alias("id"), c("id").isNull().alias("created"))
+    listed = g.table("part").select((3_000_000 + c("p_partkey")).cast("long").alias("work"), (5_000_000 + c("p_partkey")).cast("long").alias("own"), (2_000_000 + 1 + c("p_size") * 37 % 120).cast("long").alias("spot"))
+    spot = listed.join(places, c("id") == c("spot"), "left").select("work", F.coalesce("id", "own").alias("y"), c("id").isNull().alias("created"))
+    rows = spot.select(F.least("work", "y").alias("a_id"), F.greatest("work", "y").alias("b_id"), F.lit("pilgrimage_spot").alias("connection_type"), "created")
+    return rows.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")

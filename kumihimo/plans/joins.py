@@ -121,19 +121,20 @@ def join_rect_first(g):
 
 @query(
     "join_fallback_chain",
-    """WITH cat AS (SELECT p_partkey AS cid, 3000000 + p_partkey AS eid_hint, p_name AS native, upper(p_name) AS english FROM part WHERE p_partkey % 2 = 0),
+    """WITH cat AS (SELECT p_partkey AS cid, CASE WHEN p_size > 25 THEN 3000000 + p_partkey END AS eid_hint, CASE WHEN p_size % 2 = 0 THEN p_name END AS native, upper(p_name) AS english FROM part),
 w AS (SELECT * FROM entities WHERE entity_type = 'work'),
-m AS (SELECT cid, id, 1 AS pr FROM cat JOIN w ON w.id = cat.eid_hint AND cid % 4 = 0 UNION ALL SELECT cid, id, 2 FROM cat JOIN w ON w.label = cat.native
+m AS (SELECT cid, id, 1 AS pr FROM cat JOIN w ON w.id = cat.eid_hint UNION ALL SELECT cid, id, 2 FROM cat JOIN w ON w.label = cat.native
       UNION ALL SELECT cid, id, 3 FROM cat JOIN w ON lower(w.label_en) = lower(cat.english))
 SELECT cid, id, pr FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY pr, id) AS rn FROM m) t WHERE rn = 1""",
 )
 def join_fallback_chain(g):
     """Catalogue rows matched by id, else by native title, else by English title; the first way that finds one counts."""
-    cat = g.table("part").where("p_partkey % 2 = 0").select(c("p_partkey").alias("cid"), (3_000_000 + c("p_partkey")).alias("hint"), c("p_name").alias("native"), F.upper("p_name").alias("english"))
+    hint, native = F.when(c("p_size") > 25, 3_000_000 + c("p_partkey")), F.when(c("p_size") % 2 == 0, c("p_name"))
+    cat = g.table("part").select(c("p_partkey").alias("cid"), hint.alias("hint"), native.alias("native"), F.upper("p_name").alias("english"))
     w = g.entities.where("entity_type = 'work'").select("id", "label", F.lower("label_en").alias("folded"))
     way = lambda found, n: found.select("cid", "id", F.lit(n).alias("pr"))
     found = (
-        way(cat.where("cid % 4 = 0").join(w, c("hint") == c("id")), 1)
+        way(cat.join(w, c("hint") == c("id")), 1)
         .unionByName(way(cat.join(w, c("native") == c("label")), 2))
         .unionByName(way(cat.join(w, F.lower("english") == c("folded")), 3))
     )
@@ -144,7 +145,7 @@ def join_fallback_chain(g):
     "join_label_key_chain",
     """WITH a AS (SELECT id, label FROM entities WHERE entity_type = 'artifact'),
 k AS (SELECT id, label AS key, 1 AS pr FROM a UNION ALL SELECT id, trim(lower(label)), 2 FROM a UNION ALL SELECT id, regexp_replace(trim(lower(label)), '[.,]', '', 'g'), 3 FROM a),
-t AS (SELECT DISTINCT trim(lower(substr(text, 1, 40))) AS key, source FROM documents WHERE doc_id % 7 = 0)
+t AS (SELECT DISTINCT trim(lower(text)) AS key, source FROM documents)
 SELECT id, source, pr FROM (SELECT k.id, t.source, k.pr, row_number() OVER (PARTITION BY k.id ORDER BY k.pr, t.source) AS rn FROM k JOIN t USING (key)) x WHERE rn = 1""",
 )
 def join_label_key_chain(g):
@@ -152,7 +153,7 @@ def join_label_key_chain(g):
     a = g.entities.where("entity_type = 'artifact'").select("id", "label")
     folded = F.trim(F.lower("label"))
     keys = a.select("id", F.explode(F.array(*[F.struct(k.alias("key"), F.lit(n).alias("pr")) for n, k in ((1, c("label")), (2, folded), (3, F.regexp_replace(folded, "[.,]", "")))])).alias("k")).select("id", "k.key", "k.pr")
-    t = g.table("documents").where("doc_id % 7 = 0").select(F.trim(F.lower(F.substring("text", 1, 40))).alias("key"), "source").distinct()
+    t = g.table("documents").select(F.trim(F.lower("text")).alias("key"), "source").distinct()
     return keys.join(t, "key").groupBy("id").agg(F.min(F.struct("pr", "source")).alias("m")).select("id", "m.source", "m.pr")
 
 
@@ -175,9 +176,15 @@ def join_broadcast_dict(g):
     return g.tags.where("axis = 'geography'").join(F.broadcast(names), c("value_code") == c("r_name"), "left").select("entity_id", F.coalesce("shown", "value_code").alias("name"))
 
 
+def all_trigrams(column):
+    """Three-character runs of a column, in order. The text is cut into characters once: taking each run from the text would walk it anew."""
+    cut = lambda ch: F.transform(F.sequence(F.lit(0), F.size(ch) - 3), lambda i: F.concat(F.get(ch, i), F.get(ch, i + 1), F.get(ch, i + 2)))
+    return F.get(F.transform(F.array(F.split(column, "")), cut), 0)
+
+
 def trigrams(column):
     """Distinct three-character runs of a column."""
-    return F.array_distinct(F.when(F.length(column) >= 3, F.transform(F.sequence(F.lit(1), F.length(column) - 2), lambda i: F.substring(column, i, 3))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.length(column) >= 3, F.array_distinct(all_trigrams(column))).otherwise(F.array().cast("array<string>"))
 
 
 @query(
@@ -196,17 +203,37 @@ def join_containment_prune(g):
 
 @query(
     "join_fuzzy",
-    """WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 10 = 0),
-w AS (SELECT id, label FROM entities WHERE entity_type = 'work'),
-s AS (SELECT n.name, w.id, 1 - levenshtein(n.name, w.label) / CAST(greatest(length(n.name), length(w.label)) AS DOUBLE) AS sim FROM n JOIN w ON abs(length(n.name) - length(w.label)) <= 8)
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT label, min(id) AS id FROM entities WHERE entity_type = 'work' GROUP BY label),
+s AS (SELECT n.name, w.id, 1 - levenshtein(n.name, w.label) / CAST(greatest(length(n.name), length(w.label)) AS DOUBLE) AS sim FROM n JOIN w ON abs(length(n.name) - length(w.label)) <= 0.2 * greatest(length(n.name), length(w.label)))
 SELECT name, id, CAST(floor(sim * 1e6 + 0.5) AS BIGINT) AS sim6 FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY floor(sim * 1e6 + 0.5) DESC, id) AS rn FROM s WHERE sim >= 0.8) t WHERE rn = 1""",
 )
 def join_fuzzy(g, at=0.8):
-    """Best match by 1 - edit distance / longer length; labels that can reach ``at`` share a trigram, on which candidates meet."""
-    names = g.table("part").where("p_partkey % 10 = 0").select(c("p_name").alias("name")).distinct()
-    works = g.entities.where("entity_type = 'work'").select("id", "label")
-    cand = names.select("name", F.explode(trigrams(c("name"))).alias("gram")).join(works.select("id", "label", F.explode(trigrams(c("label"))).alias("gram")), "gram").groupBy("name", "id").agg(F.first("label").alias("label"))
-    sim = 1 - F.levenshtein("name", "label") / F.greatest(F.length("name"), F.length("label")).cast("double")
-    sim6 = F.floor(sim * 1e6 + 0.5)
-    best = first_per(cand.withColumns({"sim": sim, "sim6": sim6}).where(c("sim") >= at), ["name"], [F.desc("sim6"), "id"])
+    """Best match of each name by 1 - edit distance / longer length."""
+    names = g.table("part").select(c("p_name").alias("name")).distinct()
+    works = g.entities.where("entity_type = 'work'").groupBy("label").agg(F.min("id").alias("id"))
+    best = first_per(similar(names, works, at), ["name"], [F.desc("sim6"), "id"])
     return best.where("rn = 1").select("name", "id", "sim6")
+
+
+def similar(names, works, at):
+    """(name) with (label, id): all pairs of similarity ``at`` or more, as name, id, sim6.
+
+    At most d = (1 - at) * longer length edits part such a pair. Cut into d + 1
+    pieces, a label has one that the name holds unchanged, shifted by d places
+    at most, so pairs meet on pieces and none is lost. Lengths of both sides
+    are part of the key, and d of the longer one.
+    """
+    far = lambda a, b: F.floor(F.lit(1 - at) * F.greatest(a, b) + 1e-9).cast("int")
+    length = names.select("name", F.length("name").alias("n")).where("n > 0")
+    # the lengths that a partner may have
+    sizes = length.withColumn("m", F.explode(F.sequence(F.ceil(c("n") * at - 1e-9).cast("int"), F.floor(c("n") / at + 1e-9).cast("int")))).withColumn("d", far(c("n"), c("m")))
+    labels = works.select("id", "label", F.length("label").alias("m")).where("m > 0")
+    wanted = labels.withColumn("n", F.explode(F.sequence(F.ceil(c("m") * at - 1e-9).cast("int"), F.floor(c("m") / at + 1e-9).cast("int")))).withColumn("d", far(c("n"), c("m")))
+    begin = lambda i: F.floor(i * c("m") / (c("d") + 1)).cast("int")
+    spans = F.transform(F.sequence(F.lit(0), c("d")), lambda i: F.struct(i.alias("i"), begin(i).alias("b"), (begin(i + 1) - begin(i)).alias("k")))
+    pieces = wanted.withColumn("s", F.explode(spans)).select("id", "label", "m", "n", "s.i", F.expr("substring(label, s.b + 1, s.k)").alias("piece"))
+    tried = sizes.withColumn("s", F.explode(spans)).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), c("s.b") - c("d")), F.greatest(F.lit(0), F.least(c("n") - c("s.k"), c("s.b") + c("d"))))))
+    probes = tried.select("name", "n", "m", "s.i", F.expr("substring(name, at + 1, s.k)").alias("piece")).distinct()
+    cand = probes.join(pieces, ["n", "m", "i", "piece"]).select("name", "id", "label").distinct()
+    sim = 1 - F.levenshtein("name", "label") / F.greatest(F.length("name"), F.length("label")).cast("double")
+    return cand.withColumn("sim", sim).where(c("sim") >= at).select("name", "id", F.floor(c("sim") * 1e6 + 0.5).alias("sim6"))

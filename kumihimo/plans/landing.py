@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.graph import shared_folder
 from ..streaming import ingest
 from .analytics import sink_dataset
 from .registry import query
@@ -19,13 +19,10 @@ lit = F.lit
 
 def landing(g) -> str:
     """A new folder below the one that all executors share; a local one only where that is unset."""
-    conf = g.spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-landing-")
-    return f"{base.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    base = shared_folder(g.spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base}/landed-{uuid.uuid4().hex}"
 
 
 def landed(g, values: DataFrame, head: str = "", tail: str = "", between: str = "\n") -> str:

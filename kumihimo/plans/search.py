@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..sources.graph import first_per
 from .aggregates import micro, micro_sql
-from .joins import trigrams
+from .joins import all_trigrams, trigrams
 from .registry import query
 
 c = F.col
@@ -18,8 +20,7 @@ gr AS (SELECT id, l, substr(l, CAST(i AS INT), 3) AS gram FROM (SELECT id, l, un
 def postings(entities):
     """(gram, id, tf, length): three-character runs of folded labels. Written once, bucketed by gram, it is the text index."""
     l = F.lower("label")  # noqa: E741
-    grams = F.transform(F.sequence(F.lit(1), F.length(l) - 2), lambda i: F.substring(l, i, 3))
-    each = entities.where(F.length("label") >= 3).select("id", F.length(l).alias("length"), F.explode(grams).alias("gram"))
+    each = entities.where(F.length("label") >= 3).select("id", F.length(l).alias("length"), F.explode(all_trigrams(l)).alias("gram"))
     return each.groupBy("gram", "id", "length").agg(F.count("*").alias("tf"))
 
 
@@ -33,12 +34,15 @@ def text_trigram_index(g):
     return postings(g.entities).select("gram", "id", "tf")
 
 
-def trigram_hits(g, keyword):
-    """Entities whose label holds the keyword, of three characters or more: all its grams, then the string itself."""
+def trigram_hits(g, keyword, index=None):
+    """Entities whose label holds the keyword. With the name of a saved index (write_postings), of its grams' postings only; without one, one pass over the labels."""
     word = keyword.lower()
+    holds = F.contains(F.lower("label"), F.lit(word))
+    if index is None or len(word) < 3:
+        return g.entities.where(holds)
     grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
-    found = postings(g.entities).where(c("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("k")).where(c("k") == len(grams)).select("id")
-    return g.entities.join(found, "id", "left_semi").where(F.contains(F.lower("label"), F.lit(word)))
+    found = g.spark.table(index).where(c("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("k")).where(c("k") == len(grams)).select("id")
+    return g.entities.join(found, "id", "left_semi").where(holds)
 
 
 @query("text_trigram_search", "SELECT id, label FROM entities WHERE contains(lower(label), 'able')")
@@ -73,17 +77,17 @@ FROM h JOIN df USING (gram) CROSS JOIN nd GROUP BY h.id""",
 )
 def text_bm25(g, keyword="able"):
     word = keyword.lower()
-    p = postings(g.entities)
+    # a label without any of the grams has no part in the scores, so only those with one are cut into grams
+    any_ = reduce(lambda a, b: a | b, [F.contains(F.lower("label"), F.lit(x)) for x in sorted({word[i : i + 3] for i in range(len(word) - 2)})])
+    p = postings(g.entities.where(any_))
     docs = g.entities.where(F.length("label") >= 3).agg(F.count("*").alias("n"), F.avg(F.length("label")).alias("mean_length"))
     grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
     return bm25(p, grams, docs).select("id", F.floor(c("bm25") * 10000 + 0.5).cast("long").alias("bm25_4"))
 
 
-def search(g, keyword):
+def search(g, keyword, index=None):
     """Three characters or more: by trigrams; fewer: by the folded label."""
-    if len(keyword) >= 3:
-        return trigram_hits(g, keyword)
-    return g.entities.where(F.contains(F.lower("label"), F.lit(keyword.lower())))
+    return trigram_hits(g, keyword, index)
 
 
 @query("text_hybrid_search", "SELECT id, 'long' AS way FROM entities WHERE contains(lower(label), 'ting') UNION ALL SELECT id, 'short' FROM entities WHERE contains(lower(label), '#0')")
@@ -116,16 +120,19 @@ def text_multi_keyword(g, keywords=("red", "steel", "the", "customer"), per=8, m
 
 @query(
     "text_theme_fallback",
-    "SELECT entity_id FROM entity_tags WHERE axis = 'theme' AND value_code LIKE 'STANDARD%' ORDER BY entity_id LIMIT 50",
+    "SELECT id AS entity_id FROM (SELECT id FROM entities WHERE contains(lower(label), 'standard') ORDER BY id LIMIT 50) h UNION ALL SELECT * FROM (SELECT entity_id FROM entity_tags WHERE axis = 'theme' AND value_code LIKE 'STANDARD%' AND NOT EXISTS (SELECT 1 FROM entities WHERE contains(lower(label), 'standard')) ORDER BY entity_id LIMIT 50) t",
 )
 def text_theme_fallback(g, word="standard", n=50):
-    """No label holds the word: themes that it names, with all below them, then the entities tagged so."""
+    """Entities whose label holds the word; where none does, those tagged with a theme that it names, or one below."""
     from ..functions.distance import closure
     from .functions import theme_parents
 
     below = closure(theme_parents(g)).where(F.lower("ancestor") == word).select(c("code").alias("value_code"))
     tagged = g.tags.where("axis = 'theme'").join(F.broadcast(below.distinct()), "value_code", "left_semi")
-    return tagged.orderBy("entity_id").limit(n).select("entity_id")
+    hits = search(g, word).select(c("id").alias("entity_id")).orderBy("entity_id").limit(n)
+    one = F.lit(1).alias("one")
+    other = tagged.orderBy("entity_id").limit(n).select("entity_id", one).join(F.broadcast(hits.select(one).limit(1)), "one", "left_anti")
+    return hits.unionByName(other.select("entity_id"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +28,20 @@ def _entity(df: DataFrame, base: int, key: str, label: str, kind: str, source: C
     )
 
 
+#: Where this session has written a folder's edges: (application, folder) -> path.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset a local one, if Spark is local."""
+    conf = spark.sparkContext.getConf()
+    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("kumihimo.shared.dir", None)
+    if not at and conf.get("spark.master", "").startswith("local"):
+        at = tempfile.mkdtemp(prefix="spark-kumihimo-")
+        spark.conf.set("kumihimo.shared.dir", at)
+    return at.rstrip("/") if at else None
+
+
 class Graph:
     """entities, tags and edges over the tables of one folder. Each is lazy and column-pruned by what a query uses."""
 
@@ -42,7 +58,7 @@ class Graph:
         people = _entity(self.table("customer"), 1_000_000, "c_custkey", "c_name", "person", c("c_mktsegment"), c("c_custkey") % 2 == 0, qid=F.concat(F.lit("Q"), c("c_custkey").cast("string")))
         places = _entity(self.table("supplier"), 2_000_000, "s_suppkey", "s_name", "place", F.lit("supplier"), F.lit(True), label_en=F.lower("s_name"))
         works = _entity(self.table("part"), 3_000_000, "p_partkey", "p_name", "work", c("p_brand"), c("p_partkey") % 3 == 0, label_en=F.upper("p_name"), year=1600 + (c("p_partkey") * 37) % 425)
-        artifacts = _entity(self.table("documents"), 4_000_000, "doc_id", "substr(text, 1, 40)", "artifact", c("source"), c("doc_id") % 2 == 1, dormant=F.when(c("doc_id") % 10 == 9, 1).otherwise(0))
+        artifacts = _entity(self.table("documents"), 4_000_000, "doc_id", "text", "artifact", c("source"), c("doc_id") % 2 == 1, dormant=F.when(c("doc_id") % 10 == 9, 1).otherwise(0))
         return people.unionByName(places).unionByName(works).unionByName(artifacts)
 
     @cached_property
@@ -73,7 +89,20 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """a_id < b_id, connection_type, score, verdict, source; one row for each pair."""
+        """a_id < b_id, connection_type, score, verdict, source; one row for each pair. Made once in a session and read from the shared folder after; without such a folder, made by each query."""
+        base = shared_folder(self.spark)
+        if base is None:
+            return self.made_edges()
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _WRITTEN:
+            path = f"{base}/edges-{uuid.uuid4().hex}"
+            made = self.made_edges()
+            made.sortWithinPartitions("a_id", "b_id").write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    def made_edges(self) -> DataFrame:
+        """The edges as a plan over the tables."""
         line, orders = self.table("lineitem"), self.table("orders")
         c = F.col
         supply = line.select(
@@ -137,7 +166,7 @@ VIEWS_SQL = """entities AS (
     SELECT CAST(3000000 + p_partkey AS BIGINT), p_name, upper(p_name), 'work', p_brand,
            CAST(1600 + (p_partkey * 37) % 425 AS INT), CAST(NULL AS VARCHAR), 0, p_partkey % 3 = 0 FROM part
     UNION ALL
-    SELECT CAST(4000000 + doc_id AS BIGINT), substr(text, 1, 40), CAST(NULL AS VARCHAR), 'artifact', source,
+    SELECT CAST(4000000 + doc_id AS BIGINT), text, CAST(NULL AS VARCHAR), 'artifact', source,
            CAST(NULL AS INT), CAST(NULL AS VARCHAR), CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END, doc_id % 2 = 1 FROM documents) t),
 entity_tags AS (
   SELECT CAST(3000000 + p_partkey AS BIGINT) AS entity_id, 'theme' AS axis, p_type AS value_code, CAST(1.0 AS DOUBLE) AS confidence FROM part
