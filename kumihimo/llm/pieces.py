@@ -46,6 +46,8 @@ MARK = "▁"
 _U = np.uint64
 #: Longer chunks are drawn one by one, with logarithms.
 _LONG = 48
+#: Rows, and bytes of text, whose chunks are filtered together: the more, the fewer chunks are filtered again.
+_ROWS, _BYTES = 1024, 6 << 20
 _STEP = 0xD1342543DE82EF95
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -302,7 +304,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_
 
     narrow = docs.select(*kept)
     schema = T.StructType([*narrow.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()), True)])
-    return map_text(spread(narrow), make, schema, at_text)
+    return map_text(spread(narrow), make, schema, at_text, _ROWS, _BYTES)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:

@@ -50,12 +50,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size
             at = to
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: int = 1) -> DataFrame:
+def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: int = 1, rows: int = 512, size: int = 4 << 20) -> DataFrame:
     """mapInArrow over bounded slices. ``make()`` runs once in each task and returns the function of a slice."""
 
     def run(batches):
         f = make()
-        for part in slices(batches, column):
+        for part in slices(batches, column, rows, size):
             out = f(part)
             if out is not None and out.num_rows:
                 yield out
