@@ -32,3 +32,20 @@ def test_stages(spark):
                     assert any(gone in lines[j] for j in lines if j < i)
         if name == "sentencepiece":
             assert set(after) == set(before) and all(r["lossless"] for r in after.values())
+
+
+def test_stages_on_empty_tables_nulls_and_extra_columns(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, kept boolean"
+    good = "\n".join(" ".join(f"word{k}{j}{i}" for j in range(30)) + "." for i in range(3) for k in "ab")
+    rows = [(None, good, None, "s", 5, 1, None, None), (None, None, None, None, None, None, None, None), (1, "", "en", "s", 0, 1, "x", True), (1, good + "\nmore of it here.", "en", "s", 9, 1, "x", True), (1, good, "en", "s", 9, 1, "x", True)]
+    for name, stage in corpus_pipeline.STAGES:
+        for given in ([], rows):
+            docs = spark.createDataFrame(given, kind)
+            out = stage(spark, docs, FOLDER)
+            assert name == "sentencepiece" or out.columns == docs.columns
+            got = out.collect()
+            assert len(got) <= len(given) and {r["doc_id"] for r in got} <= {None, 1}
+            if given and name in ("line_dedup", "decontaminate", "sentencepiece"):
+                assert any(r["doc_id"] is None for r in got)
+            if given and name == "decontaminate":
+                assert len(got) == len(given)
