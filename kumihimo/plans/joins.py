@@ -195,10 +195,10 @@ def join_containment_prune(g):
     """Names that lie in labels. Candidates meet on the name's rarest trigram, so no cross product is made."""
     names = g.table("part").select(F.lower(F.split("p_name", " ")[0]).alias("word")).distinct().where(F.length("word") >= 3)
     labels = g.entities.where("entity_type = 'artifact'").select("id", F.lower("label").alias("l"))
-    grams = labels.select("id", "l", F.explode(trigrams(c("l"))).alias("gram"))
+    grams = labels.select("id", F.explode(trigrams(c("l"))).alias("gram"))  # without the label, which is joined to the few candidates after
     often = grams.groupBy("gram").agg(F.count("*").alias("df"))
     rare = names.select("word", F.explode(trigrams(c("word"))).alias("gram")).join(often, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).select("word", "m.gram")
-    return rare.join(grams, "gram").where(F.contains("l", "word")).select("word", "id").distinct()
+    return rare.join(grams, "gram").select("word", "id").distinct().join(labels, "id").where(F.contains("l", "word")).select("word", "id")
 
 
 @query(

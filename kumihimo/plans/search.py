@@ -20,7 +20,9 @@ gr AS (SELECT id, l, substr(l, CAST(i AS INT), 3) AS gram FROM (SELECT id, l, un
 def postings(entities):
     """(gram, id, tf, length): three-character runs of folded labels. Written once, bucketed by gram, it is the text index."""
     l = F.lower("label")  # noqa: E741
-    each = entities.where(F.length("label") >= 3).select("id", F.length(l).alias("length"), F.explode(all_trigrams(l)).alias("gram"))
+    # the length is taken before the runs are told apart: beside the explode it would be taken for each of them
+    folded = entities.where(F.length("label") >= 3).select("id", l.alias("l")).select("id", "l", F.length("l").alias("length"))
+    each = folded.select("id", "length", F.explode(all_trigrams(c("l"))).alias("gram"))
     return each.groupBy("gram", "id", "length").agg(F.count("*").alias("tf"))
 
 
