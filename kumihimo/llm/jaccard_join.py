@@ -10,19 +10,19 @@ probability 1 - 1/e or more in each run.
 Buckets of at most ``leaf`` sets are compared whole, by one-permutation
 sketches: how many bins must agree follows from both set sizes, so that a pair
 at the threshold is lost with a chance below LOSS at any size. A larger bucket
-is held against a few representatives; the sets near none of them go on to
-buckets of one more sampled token, until no bucket with such a set is large
-(:func:`representatives`). So a bucket of n sets costs n comparisons a level,
-never n^2, and none is capped.
+is held against a few representatives, and what they leave open is split by
+one more sampled token and held against more of them, until each set of a
+bucket is in its one component or has met all others (:func:`similar.joined`).
+None is capped.
 
 The candidate links make clusters, and these are compared exactly, on the
-shingles: a cluster whose sets times shingles are at most ``work`` all with
-all, in one task; a larger one by the same representatives and splits.
+shingles, all with all: a cluster whose sets times shingles are at most
+``work`` in one task, a larger one in blocks, a task for each pair of blocks.
 
-Result: one row for each row. ``n_links`` counts other texts of similarity t
-or more: all of them where the cluster was compared whole; in larger ones
-those to representatives, so that work stays linear there. ``class_id`` joins
-what links connect.
+Result: one row for each row. ``n_links`` counts the other texts of similarity
+t or more, all of them at any size; so the work in a cluster of different near
+copies grows with its square, though never the rows. ``class_id`` joins what
+links connect.
 
 Defined cases: null and wordless texts have no shingles, link to nothing and
 are their own class; a text of one to four words is one shingle; texts with
@@ -44,29 +44,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import WORD, WordHashes, keyed, list_array, map_text, mix, row_hash, shingles, spread, staged, table
+from .similar import HELD, WORK, Exact, agreeing, compared_in_blocks, compared_whole, joined, longs, needed
+from .text import WORD, WordHashes, keyed, map_text, mix, row_hash, shingles, spread, staged, table
 
 K = 5
 THRESHOLD = 0.8
 RECALL = 0.9999998
-LEAF = 1024
-#: A cluster is compared whole if the number of its sets times their shingles is at most this.
-WORK = 1 << 31
+LEAF = 4096
 BINS = 128
 #: Chance that the sketches of a pair at the threshold agree in fewer bins than _cuts asks for its sizes.
 LOSS = 1e-7
 #: Sums of two set sizes up to here have a cut of their own; larger ones use the last, which asks no more than theirs would.
 SUMS = 4096
-#: Representatives of a large bucket at a time, and levels of splits after which their number doubles instead.
-WIDTH = 8
-DEPTH = 14
-#: Share of agreeing bins from which on a set is covered by a representative. Whatever has similarity 0.8 to such a set
-#: has 0.7 or more to the representative (distances add up at most), where sketches nearly always count as near.
-CLOSE = 0.9
-#: Runs of the first split of a large cluster.
-SPLITS = 8
-#: Shingles, and sketches, that a task holds at a time when it compares members with representatives, or a cluster whole.
-HELD = 1 << 21
+#: Runs of the split of a bucket that representatives do not settle.
+SPLITS = 3
+#: Sketches that a task holds at a time when it compares members with representatives.
 HELD_SKETCHES = 1 << 12
 
 _U = np.uint64
@@ -89,11 +81,6 @@ def sketch(tokens: np.ndarray) -> bytes:
     return (mix(h[at[nearest]] + gap.astype(_U) * _U(0x9E3779B97F4A7C15)) & _U(255)).astype(np.uint8).tobytes()
 
 
-def _needed(sums: np.ndarray, threshold: float) -> np.ndarray:
-    """Least number of shared shingles with which two sets of together ``sums`` reach the threshold."""
-    return np.ceil((threshold * sums - 1e-9) / (1 + threshold)).astype(np.int64)
-
-
 @lru_cache(maxsize=4)
 def _cuts(threshold: float) -> np.ndarray:
     """By the sum of two set sizes, up to SUMS: the bins that must agree.
@@ -104,7 +91,7 @@ def _cuts(threshold: float) -> np.ndarray:
     bins vary less than BetaBinomial(BINS, n - d, d), whose tail is cut at LOSS.
     """
     sums = np.arange(SUMS + 1)
-    both = _needed(sums, threshold)
+    both = needed(sums, threshold)
     apart = sums - 2 * both
     out = np.full(SUMS + 1, BINS, np.int64)  # nothing apart: only equal sets reach the threshold, or none
     log = np.append(0.0, np.cumsum(np.log(np.arange(1, SUMS + BINS + 2))))  # of factorials
@@ -155,7 +142,7 @@ def _sketch_rows(runs: int, threshold: float, k: int):
                 sketches.append(sketch(s))
                 keys.append(paths(s, seeds, threshold))
             return pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), _longs(keys)],
+                [part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), longs(keys)],
                 names=["doc_id", "row", "print", "n_shingles", "data", "keys"],
             )
 
@@ -164,17 +151,11 @@ def _sketch_rows(runs: int, threshold: float, k: int):
     return make
 
 
-def _longs(parts: list[np.ndarray]) -> pa.ListArray:
-    lists = list_array(parts, np.uint64, pa.uint64())
-    return pa.ListArray.from_arrays(lists.offsets, lists.values.view(pa.int64()))
-
-
-# ---- comparing sets in a task. A kind of set has: near(lead, all sets) -> bool [lead, set], and next keys
-
-
 class Sketched:
     """Sets by their sketches, which decide who may be similar."""
 
+    step = 256
+
     def __init__(self, sizes: np.ndarray, data: pa.Array, threshold: float):
         self.sizes, self.threshold = sizes, threshold
         self.rows = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, BINS)
@@ -185,14 +166,10 @@ class Sketched:
         for lo in range(0, len(leads), step):
             some = leads[lo : lo + step]
             sums = self.sizes[some][:, None] + self.sizes[None, :]
-            same = (self.rows[some][:, None, :] == self.rows[None, :, :]).sum(2)
-            out[lo : lo + step] = (same >= _cuts(self.threshold)[np.minimum(sums, SUMS)]) & (np.minimum(self.sizes[some][:, None], self.sizes[None, :]) >= _needed(sums, self.threshold))
+            same = agreeing(self.rows, some)
+            out[lo : lo + step] = (same >= _cuts(self.threshold)[np.minimum(sums, SUMS)]) & (np.minimum(self.sizes[some][:, None], self.sizes[None, :]) >= needed(sums, self.threshold))
         return out
 
-    def covered(self, leads: np.ndarray) -> np.ndarray:
-        """Sets so like a representative that whatever is linked to them is near it too, so they need not be met again."""
-        return (self.rows[leads][:, None, :] == self.rows[None, :, :]).sum(2).max(0, initial=0) >= CLOSE * BINS
-
     def split(self, seeds: np.ndarray) -> list[np.ndarray]:
         """Next keys of each set: the bins of the sketch are the tokens."""
         tokens = mix(self.rows.astype(_U) + (np.arange(BINS, dtype=_U) << _U(8)))
@@ -200,182 +177,7 @@ class Sketched:
         return [_child(np.broadcast_to(t, h.shape)[h], np.repeat(seeds, h.sum(1))) for t, h in zip(tokens, hit, strict=True)]
 
 
-class Exact:
-    """Sets by all their shingles."""
-
-    def __init__(self, sizes: np.ndarray, data: pa.ListArray, threshold: float):
-        self.sizes, self.threshold = sizes, threshold
-        self.flat = data.flatten().to_numpy(zero_copy_only=False).view(_U)
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        _, col = np.unique(self.flat, return_inverse=True)
-        often = np.bincount(col) > 1
-        keep = often[col]
-        self.col, self.of = (np.cumsum(often) - 1)[col[keep]], self.owner[keep]
-        self.vocabulary = int(often.sum())
-        self.start = np.searchsorted(self.of, np.arange(len(sizes) + 1))
-
-    def near(self, leads: np.ndarray) -> np.ndarray:
-        n = len(self.sizes)
-        out = np.zeros((len(leads), n), bool)
-        held = np.zeros(self.vocabulary, bool)
-        for i, k in enumerate(leads.tolist()):
-            own = self.col[self.start[k] : self.start[k + 1]]
-            held[own] = True
-            both = np.bincount(self.of[held[self.col]], minlength=n)
-            held[own] = False
-            both[k] = self.sizes[k]
-            out[i] = both >= self.threshold * (self.sizes + self.sizes[k] - both) - 1e-9
-        return out
-
-    def covered(self, leads: np.ndarray) -> np.ndarray:
-        """A representative has met all of its bucket; others may still have links of their own."""
-        out = np.zeros(len(self.sizes), bool)
-        out[leads] = True
-        return out
-
-    def split(self, seeds: np.ndarray) -> list[np.ndarray]:
-        limit = _limit(self.sizes, self.threshold)[self.owner]
-        out, owners = [], []
-        for s in seeds:
-            hit = np.flatnonzero(mix(self.flat ^ s) <= limit)
-            out.append(_child(self.flat[hit], s))
-            owners.append(self.owner[hit])
-        keys, owner = np.concatenate(out), np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.split(keys[order], np.cumsum(np.bincount(owner, minlength=len(self.sizes)))[:-1])
-
-
-def _span(ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """The least id of each one's component in a boolean matrix."""
-    n = len(ids)
-    label = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    near = near | near.T
-    np.fill_diagonal(near, True)
-    while True:
-        low = np.where(near, label[None, :], n).min(1)
-        if (low == label).all():
-            break
-        label = low
-    return np.sort(ids)[label]
-
-
-def _whole(kind, threshold: float):
-    """Buckets as lists of members -> rep, n_links and root (the least rep of its component) for each member with a link."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(0)
-            cuts, each = lists.offsets.to_numpy(), lists.values
-            reps, sizes = (each.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "size"))
-            out = []
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                near = kind(sizes[lo:hi], each.field("data").slice(lo, hi - lo), threshold).near(np.arange(hi - lo))
-                np.fill_diagonal(near, False)
-                count, ids = near.sum(1), reps[lo:hi]
-                some = count > 0
-                out.append((ids[some], count[some], _span(ids, near)[some]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["rep", "n_links", "root"])
-
-    return run
-
-
-def _held_against(kind, threshold: float, splits: int):
-    """One part of a large bucket: its representatives' rows and some members -> for each member the representatives it is near to and its next keys."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        column = lambda c: group.column(c).combine_chunks()
-        sizes, reps, lead = (column(c).to_numpy(zero_copy_only=False) for c in ("size", "rep", "lead"))
-        sets = kind(sizes, column("data"), threshold)
-        leads, members = np.flatnonzero(lead), np.flatnonzero(~lead)
-        near = sets.near(leads)[:, members]
-        # what meets at a member is one component; its root is its lead of the highest score
-        inner = (near[:, None, :] & near[None, :, :]).any(2)
-        order = np.lexsort((reps[leads], -column("score").to_numpy(zero_copy_only=False)[leads]))
-        rank = np.empty(len(leads), np.int64)
-        rank[order] = np.arange(len(leads))
-        root = reps[leads][order][_span(rank, inner)]
-        own = reps[leads][:, None] == reps[members][None, :]
-        some = near.any(0)
-        to = np.where(some, root[np.argmax(near, 0)], reps[members])
-        near &= ~own
-        key = _U(int(group.column("key")[0].as_py()) & (2**64 - 1))
-        seeds = mix(np.arange(1, splits + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) ^ key) if splits else None
-        following = sets.split(seeds) if splits else [np.array([key])] * len(sizes)
-        gone = np.isin(reps, reps[sets.covered(leads)])
-        return pa.Table.from_arrays(
-            [*(group.column(c).take(pa.array(members)) for c in ("key", "rep", "size", "held", "score", "done", "led")), pa.array(to), _longs([reps[leads[n]].view(_U) for n in near.T]), _longs([following[i][:0] if gone[i] else following[i] for i in members.tolist()])],
-            names=["key", "rep", "size", "held", "score", "done", "led", "root", "near", "next"],
-        )
-
-    return run
-
-
-_HELD_ROWS = "key long, rep long, size long, held long, score long, done boolean, led boolean, root long, near array<long>, next array<long>"
-
-
-def representatives(groups: DataFrame, payload: DataFrame, kind, threshold: float, work: int, held: int, splits: int = 1, pairs: bool = False, width: int = WIDTH, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Links inside groups (key, rep, size, score), at a cost that grows with the groups' sizes alone.
-
-    groups also have held, what a set counts for; payload: rep, data of a
-    ``kind`` of set. Each level: a group is compared whole if the number of its
-    sets times what they count for is at most ``work``. In a larger one
-    ``width`` sets without a link, and the one with the highest score, are
-    representatives, and all members are held against them. Then each member goes on to the groups of
-    its sampled tokens; a group in which every set has a link to a
-    representative, or was one, ends. From level ``depth`` on groups are no
-    longer split but the representatives double, so that all end exactly.
-    Parts of a group that a task holds count for ``held`` at most.
-
-    -> edges (a, b) that connect what links connect; and, if ``pairs``, the links to representatives.
-    """
-    state = groups.select("key", "rep", "size", "held", "score", F.lit(False).alias("done"), F.lit(False).alias("led"))
-    whole, stars = None, None
-    fits = (F.col("n") * F.col("total") <= work) & (F.col("total") <= held)
-    level = 0
-    while True:
-        sizes = staged(state.groupBy("key").agg(F.count("*").alias("n"), F.sum("held").alias("total"), F.sum(F.when(F.col("done"), 0).otherwise(1)).alias("left")).where("left > 0 and n > 1").drop("left"))
-        small, large = sizes.agg(F.count_if(fits), F.count_if(~fits)).first()
-        live = state.join(sizes, "key")
-        if large:  # read more than once
-            live = staged(live)
-        if small:
-            lists = live.where(fits).join(payload, "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "size", "data")).alias("members")).select("members")
-            roots = lists.mapInArrow(_whole(kind, threshold), "rep long, n_links long, root long").select("rep", "root")
-            whole = roots if whole is None else whole.unionByName(roots)
-        if not large:
-            break
-        great = live.where(~fits)
-        slots = width << max(0, level - depth)
-        order = F.xxhash64("rep", "key", F.lit(level))
-        chosen = great.where("not done and not led").groupBy("key", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min_by("rep", order).alias("rep")).select("key", "rep")
-        hub = great.where("not led").groupBy("key").agg(F.max_by("rep", F.struct("score", "rep")).alias("rep"))
-        leads = chosen.unionByName(hub).distinct().withColumn("leads", F.lit(True))
-        marked = great.join(leads, ["key", "rep"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))).withColumn("led", F.col("led") | F.col("leads"))
-        parts = F.ceil(F.col("total") * 4 / held).cast("int")
-        rows = marked.join(payload, "rep").withColumn("parts", parts)
-        members = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("lead", F.lit(False))
-        heads = rows.where("leads").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lead", F.lit(True))
-        columns = ["key", "part", "rep", "size", "held", "score", "done", "led", "lead", "data"]
-        both = members.select(columns).unionByName(heads.select(columns))
-        runs = 0 if level >= depth else splits if level == 0 else 1
-        out = staged(both.groupBy("key", "part").applyInArrow(_held_against(kind, threshold, runs), _HELD_ROWS))
-        found = out.where("rep <> root").select("rep", "root")
-        whole = found if whole is None else whole.unionByName(found)
-        if pairs:
-            met = out.select("rep", F.explode("near").alias("lead"))
-            stars = met if stars is None else stars.unionByName(met)
-        done = F.col("done") | F.col("led") | (F.size("near") > 0)
-        # exact sets lead next by their links; by sketches those lead that many buckets hold, so that buckets have common roots
-        score = F.size("near").cast("long") if pairs else F.col("score")
-        state = out.select(F.explode("next").alias("key"), "rep", "size", "held", score.alias("score"), done.alias("done"), "led")
-        level += 1
-    none = state.select("rep", F.col("rep").alias("to")).limit(0)
-    return (none if whole is None else whole).toDF("a", "b"), (none if stars is None else stars).toDF("a", "b")
-
-
-def _links(docs: DataFrame, threshold: float, k: int, recall: float, leaf: int, work: int) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, threshold: float, k: int, recall: float, leaf: int, work: int, held: int) -> tuple[DataFrame, DataFrame]:
     """-> rows (doc_id, row, print, n_shingles) and known (print, first_id, n_copies, class, n_links); class is a row key."""
     runs = max(1, math.ceil(-math.log(1 - recall)))
     seen = staged(map_text(spread(docs), _sketch_rows(runs, threshold, k), "doc_id long, row long, print string, n_shingles long, data binary, keys array<long>"))
@@ -391,12 +193,12 @@ def _links(docs: DataFrame, threshold: float, k: int, recall: float, leaf: int,
     fold = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
     met = one.groupBy("key").agg(F.count("*").alias("n"), fold(1).alias("h"), fold(2).alias("g")).where("n > 1").groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key", "n")
     shared = staged(one.join(met, "key"))
-    leaves = shared.where(F.col("n") <= leaf).join(sketches, "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "size", "data")).alias("members"))
-    edges = leaves.select("members").mapInArrow(_whole(Sketched, threshold), "rep long, n_links long, root long").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+    leaves = shared.where(F.col("n") <= leaf).join(sketches, "rep")
+    edges = compared_whole(leaves, Sketched, threshold).select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
     large = shared.where(F.col("n") > leaf).select("key", "rep", "size")
-    # at first the sets that are in most of the large buckets lead: what many others vary
+    # those that are in most of the large buckets lead first: what many others vary
     often = large.groupBy("rep").agg(F.count("*").alias("score"))
-    more, _ = representatives(large.join(often, "rep").withColumn("held", F.lit(1).cast("long")), sketches, Sketched, threshold, leaf * leaf, HELD_SKETCHES)
+    more = joined(large.join(often, "rep").withColumn("held", F.lit(1).cast("long")), sketches, Sketched, threshold, leaf * leaf, max(leaf, HELD_SKETCHES), SPLITS)
     found = components(edges.unionByName(more))
 
     clusters = found.groupBy("class").agg(F.count("*").alias("n"))
@@ -407,7 +209,7 @@ def _links(docs: DataFrame, threshold: float, k: int, recall: float, leaf: int,
 
         def f(part: pa.RecordBatch) -> pa.RecordBatch:
             lists = [shingle_set(t, cache, k) for t in part.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([part.column(0), _longs(lists), pa.array([len(x) for x in lists], pa.int64()), part.column(2), part.column(3)], names=["rep", "data", "size", "key", "n"])
+            return pa.RecordBatch.from_arrays([part.column(0), longs(lists), pa.array([len(x) for x in lists], pa.int64()), part.column(2), part.column(3)], names=["rep", "data", "size", "key", "n"])
 
         return f
 
@@ -416,27 +218,23 @@ def _links(docs: DataFrame, threshold: float, k: int, recall: float, leaf: int,
     full = staged(map_text(texts, tokens, "rep long, data array<long>, size long, key long, n long"))
     totals = full.groupBy("key").agg(F.sum("size").alias("total"))
     sized = full.join(totals, "key")
-    fits = (F.col("n") * F.col("total") <= work) & (F.col("total") <= HELD)
-    lists = sized.where(fits).groupBy("key").agg(F.collect_list(F.struct("rep", "size", "data")).alias("members")).select("members")
-    exact = staged(lists.mapInArrow(_whole(Exact, threshold), "rep long, n_links long, root long"))
-    great = sized.where(~fits).select("key", "rep", "size", F.col("size").alias("held"), F.col("size").alias("score"))
-    more, stars = representatives(great, full.select("rep", "data"), Exact, threshold, work, HELD, SPLITS, pairs=True)
-    ends = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    counts = exact.select("rep", "n_links").unionByName(ends.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links")))
-    links = exact.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(more)
+    fits = (F.col("n") * F.col("total") <= work) & (F.col("total") <= held)
+    met = staged(compared_whole(sized.where(fits), Exact, threshold).unionByName(compared_in_blocks(sized.where(~fits), Exact, threshold, held)))
+    counts = met.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    links = met.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     classes = components(links).withColumnRenamed("node", "rep")
     known = copies.join(counts, "rep", "left").join(classes, "rep", "left")
     return rows, known.select("print", "first_id", "n_copies", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, leaf: int = LEAF, work: int = WORK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, leaf: int = LEAF, work: int = WORK, held: int = HELD) -> DataFrame:
     """-> doc_id, n_shingles, rep_id (least id with the same shingle set), n_copies, n_links (other texts linked to), class_id.
 
     class_id is the least id of the connected component of links of similarity
     ``threshold`` or more. ``recall``: chance that a given pair at the
     threshold meets in a bucket.
     """
-    rows, known = _links(keyed(docs, id_col, text_col), threshold, k, recall, leaf, work)
+    rows, known = _links(keyed(docs, id_col, text_col), threshold, k, recall, leaf, work, held)
     least = known.groupBy("class").agg(F.min("first_id").alias("class_id"))
     out = rows.join(known.join(least, "class"), "print", "left")
     alone = F.col("print").isNull()
@@ -455,9 +253,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, leaf: int = LEAF, work: int = WORK) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL, leaf: int = LEAF, work: int = WORK, held: int = HELD) -> DataFrame:
     """Pipeline stage: of each class the row with the least id stays (null ids last; of several rows with that id, one); wordless rows stay, equal ones once."""
-    rows, known = _links(keyed(docs), threshold, k, recall, leaf, work)
+    rows, known = _links(keyed(docs), threshold, k, recall, leaf, work, held)
     least = known.groupBy("class").agg(F.min("first_id").alias("class_id"))
     first = rows.join(known.join(least, "class"), "print").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("row").alias("__row")).select("__row")
     keep = first.unionByName(rows.where("print is null").select(F.col("row").alias("__row"))).distinct()

@@ -7,6 +7,7 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .html_extract import OP1_SQL, op1_html_extract
 from .jaccard_join import op4_jaccard_join
 from .line_dedup import op3_line_dedup
+from .minhash import OP11_SQL, op11_minmax_dedup
 from .pieces import op10_sentencepiece
 from .pii import op8_pii
 from .quality import op2_quality_rules
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_minmax_dedup": op11_minmax_dedup,
 }
-ORACLES: dict[str, str] = {"op1_html_extract": OP1_SQL, "op6_decontaminate": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_html_extract": OP1_SQL, "op6_decontaminate": OP6_SQL, "op11_minmax_dedup": OP11_SQL}
