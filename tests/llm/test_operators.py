@@ -313,9 +313,7 @@ def varied(n, size, most, seed):
 def test_jaccard_join_of_large_groups(spark):
     """Buckets and clusters that representatives and splits have to take apart: no class is torn or joined."""
     rows = list(enumerate([*varied(90, 120, 12, 1), *varied(30, 90, 2, 2), *(words(40, 7) + " " + words(40, 300 + k) for k in range(40))]))
-    got, want = classes_of(jaccard_join.near_duplicates(docs(spark, rows), leaf=4, work=8_000)), brute_links(rows)
-    assert {i: (x[0], x[2]) for i, x in got.items()} == {i: (x[0], x[2]) for i, x in want.items()}
-    assert all((x[1] > 0) == (want[i][1] > 0) and x[1] <= want[i][1] for i, x in got.items())
+    assert classes_of(jaccard_join.near_duplicates(docs(spark, rows), leaf=8, work=8_000)) == brute_links(rows)
 
 
 def test_jaccard_join_tells_rows_with_null_or_shared_ids_apart(spark):
