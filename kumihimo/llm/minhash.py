@@ -31,12 +31,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
