@@ -19,7 +19,8 @@ from .aggregates import micro, micro_sql
 from .joins import NEAR_SQL, grid_pairs
 from .registry import query
 from .selections import new_pairs
-from .windows import capped_pairs, hash_order, linked_to_next, nearest_k
+from .nearest import k_nearest, other_kind_first
+from .windows import capped_pairs, hash_order, linked_to_next
 
 c = F.col
 
@@ -375,14 +376,23 @@ def gen_proximity_1km(g):
 
 @query("gen_anchor_nearby", fresh("SELECT a_id AS x, b_id AS y FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY floor(metres + 0.5), b_id) AS rn FROM near WHERE a_source = 'supplier' AND b_source <> 'supplier' AND metres BETWEEN 10 AND 1000) t WHERE rn <= 3", f"WITH {NEAR_SQL}"))
 def gen_anchor_nearby(g, anchor="supplier", k=3):
-    near = _near(g, 1000.0).where((c("a_source") == anchor) & (c("b_source") != anchor) & (c("metres") >= 10))
-    return new_pairs(first_per(near, ["a_id"], [F.floor(c("metres") + 0.5), "b_id"]).where(c("rn") <= k), g.edges, "a_id", "b_id")
+    points = g.entities.select("id", "lat", "lon", "source")
+    return new_pairs(k_nearest(points.where(c("source") == anchor), points.where(c("source") != anchor), 1000.0, k, least=10.0), g.edges, "a_id", "b_id")
 
 
 @query("gen_proximity_3km", fresh("SELECT a_id AS x, b_id AS y FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY floor(metres + 0.5), b_id) AS rn FROM near WHERE a_type <> b_type AND metres BETWEEN 2000 AND 3000) t WHERE rn <= 2", f"WITH {NEAR_SQL}"))
 def gen_proximity_3km(g, k=2):
-    near = _near(g, 3000.0).where("a_entity_type <> b_entity_type and metres >= 2000")
-    return new_pairs(first_per(near, ["a_id"], [F.floor(c("metres") + 0.5), "b_id"]).where(c("rn") <= k), g.edges, "a_id", "b_id")
+    points = g.entities.select("id", "lat", "lon", "entity_type")
+    found = k_nearest(points, points, 3000.0, k, least=2000.0, kind="entity_type").drop("rn")
+    others = found.join(points.select(c("id").alias("a_id"), c("entity_type").alias("own")), "a_id").where("kind <> own")
+    return new_pairs(first_per(others, ["a_id"], ["m", "b_id"]).where(c("rn") <= k), g.edges, "a_id", "b_id")
+
+
+def _nearest_of(g, linked, radius, k):
+    """New pairs of places without such edges with their k nearest, other type first."""
+    points = g.entities.select("id", "lat", "lon", "entity_type")
+    free = points.join(linked, c("id") == c("node"), "left_anti")
+    return new_pairs(other_kind_first(k_nearest(free, points, radius, k, kind="entity_type"), free.select("id", "entity_type"), k), g.edges, "a_id", "b_id")
 
 
 _NEAREST = "SELECT a_id AS x, b_id AS y FROM (SELECT n.*, row_number() OVER (PARTITION BY a_id ORDER BY CASE WHEN a_type <> b_type THEN 1 ELSE 0 END DESC, floor(metres + 0.5), b_id) AS rn FROM near n WHERE {} AND metres <= {}) t WHERE rn <= {}"
@@ -390,14 +400,12 @@ _NEAREST = "SELECT a_id AS x, b_id AS y FROM (SELECT n.*, row_number() OVER (PAR
 
 @query("gen_isolated_nearest", fresh(_NEAREST.format("NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = a_id)", 1000, 3), f"WITH {NEAR_SQL}"))
 def gen_isolated_nearest(g, k=3):
-    near = _near(g, 1000.0).join(g.both_ways, c("a_id") == c("node"), "left_anti")
-    return new_pairs(nearest_k(near, k), g.edges, "a_id", "b_id")
+    return _nearest_of(g, g.both_ways, 1000.0, k)
 
 
 @query("gen_unlinked_nearest", fresh(_NEAREST.format("NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = a_id AND s.connection_type = 'pilgrimage_spot')", 2000, 5), f"WITH {NEAR_SQL}"))
 def gen_unlinked_nearest(g, k=5):
-    near = _near(g, 2000.0).join(g.both_ways.where("connection_type = 'pilgrimage_spot'"), c("a_id") == c("node"), "left_anti")
-    return new_pairs(nearest_k(near, k), g.edges, "a_id", "b_id")
+    return _nearest_of(g, g.both_ways.where("connection_type = 'pilgrimage_spot'"), 2000.0, k)
 
 
 _CELLS = "(SELECT id, source || '|' || CAST(floor(lat * 5) AS BIGINT) || '|' || CAST(floor(lon * 5) AS BIGINT) AS v FROM entities WHERE lat IS NOT NULL)"
@@ -558,8 +566,9 @@ def spots(g):
 
 @query("gen_pilgrimage_nearby", fresh("SELECT a_id AS x, b_id AS y FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY floor(metres + 0.5), b_id) AS rn FROM near WHERE a_id IN (SELECT place FROM spot) AND metres <= 3000) t WHERE rn <= 10", f"WITH {_SPOTS}, {NEAR_SQL}"))
 def gen_pilgrimage_nearby(g, k=10):
-    near = _near(g, 3000.0).join(spots(g).select("place"), c("a_id") == c("place"), "left_semi")
-    return new_pairs(first_per(near, ["a_id"], [F.floor(c("metres") + 0.5), "b_id"]).where(c("rn") <= k), g.edges, "a_id", "b_id")
+    points = g.entities.select("id", "lat", "lon")
+    here = points.join(spots(g).select("place"), c("id") == c("place"), "left_semi")
+    return new_pairs(k_nearest(here, points, 3000.0, k), g.edges, "a_id", "b_id")
 
 
 @query("gen_pilgrimage_same_place", fresh("SELECT a.work AS x, b.work AS y FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY work) AS rn FROM spot) a JOIN (SELECT *, row_number() OVER (PARTITION BY place ORDER BY work) AS rn FROM spot) b ON a.place = b.place AND a.rn < b.rn AND b.rn <= 40", f"WITH {_SPOTS}"))
@@ -585,7 +594,10 @@ def gen_pilgrimage_regional(g):
 @query("gen_pilgrimage_landmark", fresh("SELECT x, y FROM (SELECT s.work AS x, n.b_id AS y, row_number() OVER (PARTITION BY s.work ORDER BY min(floor(n.metres + 0.5)), n.b_id) AS rn FROM spot s JOIN near n ON n.a_id = s.place WHERE n.metres <= 3000 AND n.b_type = 'person' GROUP BY s.work, n.b_id) t WHERE rn <= 5", f"WITH {_SPOTS}, {NEAR_SQL}"))
 def gen_pilgrimage_landmark(g, k=5):
     """Landmarks near any of a work's places, the nearest five."""
-    near = _near(g, 3000.0).where("b_entity_type = 'person'").select(c("a_id").alias("place"), c("b_id").alias("y"), F.floor(c("metres") + 0.5).alias("m"))
+    points = g.entities.select("id", "lat", "lon", "entity_type")
+    here = points.join(spots(g).select("place"), c("id") == c("place"), "left_semi")
+    # who is not among the k nearest to a place is not among those of a work by that place
+    near = k_nearest(here, points.where("entity_type = 'person'"), 3000.0, k).select(c("a_id").alias("place"), c("b_id").alias("y"), "m")
     best = spots(g).join(near, "place").groupBy(c("work").alias("x"), "y").agg(F.min("m").alias("m"))
     return new_pairs(first_per(best, ["x"], ["m", "y"]).where(c("rn") <= k), g.edges)
 

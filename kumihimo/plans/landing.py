@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..sources.graph import shared_folder
+from ..sources.stored import shared_folder
 from ..streaming import ingest
+from ..streaming.index import read_index
 from .analytics import sink_dataset
 from .registry import query
 
@@ -168,7 +169,7 @@ def sink_geojson(g):
 def _stream(g):
     """Labels of all entities as arriving files, ingested twice; returns the folder of the store."""
     inbox, store, marks = landing(g), landing(g), landing(g)
-    g.entities.where("label is not null").select("id", "label", "source", lit("2024-01-01T00:00:00").alias("seen")).write.json(inbox)
+    g.entities.where("label is not null").select("id", "label", "source", lit("2024-01-01T00:00:00").alias("seen"), "lat", "lon").write.json(inbox)
     for _ in range(2):
         ingest.ingest_new_labels(g.spark, inbox, store, marks).awaitTermination()
     return store
@@ -182,10 +183,17 @@ def stream_ingest_dedupe(g):
 
 @query(
     "stream_index_refresh",
-    "WITH l AS (SELECT DISTINCT trim(lower(label)) AS k FROM entities), s AS (SELECT k, unnest(range(1, length(k) - 1)) AS i FROM l WHERE length(k) >= 3) SELECT substr(k, CAST(i AS INT), 3) AS gram, count(DISTINCT k) AS n FROM s GROUP BY 1",
+    """WITH l AS (SELECT DISTINCT trim(lower(label)) AS k FROM entities), s AS (SELECT k, unnest(range(1, length(k) - 1)) AS i FROM l WHERE length(k) >= 3),
+o AS (SELECT trim(lower(label)) AS k, count(*) AS n, min(lat) AS lat, min(lon) AS lon FROM entities WHERE trim(lower(label)) <> '' GROUP BY 1)
+SELECT 'gram' AS part, substr(k, CAST(i AS INT), 3) AS key, count(DISTINCT k) AS n FROM s GROUP BY 2
+UNION ALL SELECT 'cell', CAST(CAST(floor(lat / 0.25) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(lon / 0.25) AS BIGINT) AS VARCHAR), count(*) FROM o WHERE n = 1 AND lat IS NOT NULL GROUP BY 2""",
 )
 def stream_index_refresh(g):
-    """Labels of each gram, from the index that a second stream keeps."""
+    """Labels of each gram, and places of labels that stand once of each cell, from the index that a second stream keeps in batches."""
     store, index, marks = _stream(g), landing(g), landing(g)
-    ingest.refresh_index(g.spark, store, index, marks).awaitTermination()
-    return g.spark.read.parquet(index).groupBy("gram").agg(F.count("*").alias("n"))
+    parts = max(1, len(g.spark.read.parquet(store).inputFiles()))
+    ingest.refresh_index(g.spark, store, index, marks, files=-(-parts // 3)).awaitTermination()
+    grams = read_index(g.spark, index, "postings").groupBy(c("token").alias("key")).agg(F.count("*").alias("n"))
+    once = g.entities.select("id", F.trim(F.lower("label")).alias("k")).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id")
+    cells = read_index(g.spark, index, "grid").join(once, "id", "left_semi").groupBy(F.concat_ws(":", "cy", "cx").alias("key")).agg(F.count("*").alias("n"))
+    return grams.select(lit("gram").alias("part"), "key", "n").unionByName(cells.select(lit("cell").alias("part"), "key", "n"))

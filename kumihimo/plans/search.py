@@ -1,4 +1,4 @@
-"""Text search over labels: posting lists, phrases, BM25, containment."""
+"""Text search over labels: stored posting lists, phrases, BM25, containment."""
 
 from __future__ import annotations
 
@@ -8,56 +8,65 @@ from pyspark.sql import functions as F
 
 from ..sources.graph import first_per
 from .aggregates import micro, micro_sql
-from .joins import all_trigrams, trigrams
+from .joins import trigrams
 from .registry import query
+from .text_index import index_of, ranked_hits, tokens_of
 
 c = F.col
 
 _GRAMS_SQL = """lab AS (SELECT id, lower(label) AS l FROM entities WHERE label IS NOT NULL),
 gr AS (SELECT id, l, substr(l, CAST(i AS INT), 3) AS gram FROM (SELECT id, l, unnest(range(1, length(l) - 1)) AS i FROM lab WHERE length(l) >= 3) t)"""
+_FIELDS_SQL = "fl AS (SELECT id, 'label' AS field, lower(label) AS l FROM entities WHERE label IS NOT NULL UNION ALL SELECT id, 'label_en', lower(label_en) FROM entities WHERE label_en IS NOT NULL)"
 
 
-def postings(entities):
-    """(gram, id, tf, length): three-character runs of folded labels. Written once, bucketed by gram, it is the text index."""
-    l = F.lower("label")  # noqa: E741
-    # the length is taken before the runs are told apart: beside the explode it would be taken for each of them
-    folded = entities.where(F.length("label") >= 3).select("id", l.alias("l")).select("id", "l", F.length("l").alias("length"))
-    each = folded.select("id", "length", F.explode(all_trigrams(c("l"))).alias("gram"))
-    return each.groupBy("gram", "id", "length").agg(F.count("*").alias("tf"))
+@query("text_trigram_index", f"WITH {_FIELDS_SQL} SELECT gram, id, field, CAST(count(*) AS INT) AS tf, min(i) AS first_at FROM (SELECT id, field, substr(l, CAST(i AS INT), 3) AS gram, CAST(i - 1 AS INT) AS i FROM (SELECT id, field, l, unnest(range(1, length(l) - 1)) AS i FROM fl WHERE length(l) >= 3) t) u GROUP BY gram, id, field")
+def text_trigram_index(g):
+    """The stored trigram index of the folder, both label columns in it."""
+    return index_of(g, "grams").all.select(c("token").alias("gram"), "id", "field", F.size("positions").alias("tf"), F.get("positions", F.lit(0)).alias("first_at"))
 
 
-def write_postings(entities, table: str, buckets: int = 64):
-    """Save the index as a table bucketed by gram, so that searches join without a shuffle of it."""
-    postings(entities).write.bucketBy(buckets, "gram").sortBy("gram").mode("overwrite").saveAsTable(table)
+def trigram_hits(g, keyword):
+    """Entities whose label holds the keyword, all of them: one pass over the labels."""
+    return g.entities.where(F.contains(F.lower("label"), F.lit(keyword.lower())))
 
 
-@query("text_trigram_index", f"WITH {_GRAMS_SQL} SELECT gram, id, count(*) AS tf FROM gr GROUP BY gram, id")
-def text_trigram_index(g):
-    return postings(g.entities).select("gram", "id", "tf")
+def _ranked_sql(hits: str, n: int, columns: str = "r.id, r.rank, r.score4") -> str:
+    """hits: a query of (id, tf, d) over all entities, d being the tokens of both labels."""
+    return f"""h0 AS ({hits}), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(d) AS DOUBLE) / count(*) AS ml FROM h0), hh AS (SELECT * FROM h0 WHERE tf > 0), dd AS (SELECT CAST(count(*) AS DOUBLE) AS df FROM hh),
+sc AS (SELECT id, CAST(floor(greatest(0.000001, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / ml)) * 10000 + 0.5) AS BIGINT) AS score4 FROM hh CROSS JOIN st CROSS JOIN dd),
+r AS (SELECT id, score4, CAST(row_number() OVER (ORDER BY score4 DESC, id) AS INT) AS rank FROM sc QUALIFY row_number() OVER (ORDER BY score4 DESC, id) <= {n})
+SELECT {columns} FROM r"""
 
 
-def trigram_hits(g, keyword, index=None):
-    """Entities whose label holds the keyword. With the name of a saved index (write_postings), of its grams' postings only; without one, one pass over the labels."""
-    word = keyword.lower()
-    holds = F.contains(F.lower("label"), F.lit(word))
-    if index is None or len(word) < 3:
-        return g.entities.where(holds)
-    grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
-    found = g.spark.table(index).where(c("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("k")).where(c("k") == len(grams)).select("id")
-    return g.entities.join(found, "id", "left_semi").where(holds)
+def _gram_hits_sql(word: str) -> str:
+    times = lambda f: f"coalesce((length({f}) - length(replace(lower({f}), '{word}', ''))) // {len(word)}, 0)"
+    size = lambda f: f"greatest(coalesce(length({f}), 0) - 2, 0)"
+    return f"SELECT id, {times('label')} + {times('label_en')} AS tf, {size('label')} + {size('label_en')} AS d FROM entities"
+
+
+def _word_hits_sql(phrase: str) -> str:
+    ws = lambda f: f"regexp_extract_all(strip_accents(lower({f})), '[\\p{{L}}\\p{{N}}]+')"
+    line = lambda f: f"(' ' || array_to_string({ws(f)}, '  ') || ' ')"
+    seek = " " + "  ".join(phrase.split()) + " "
+    times = lambda f: f"coalesce((length({line(f)}) - length(replace({line(f)}, '{seek}', ''))) // {len(seek)}, 0)"
+    return f"SELECT id, {times('label')} + {times('label_en')} AS tf, coalesce(len({ws('label')}), 0) + coalesce(len({ws('label_en')}), 0) AS d FROM entities"
+
+
+def named(g, hits):
+    """Hits with the labels of their entities; hits are a top list."""
+    return g.entities.select("id", "label", "label_en").join(F.broadcast(hits), "id")
 
 
-@query("text_trigram_search", "SELECT id, label FROM entities WHERE contains(lower(label), 'able')")
-def text_trigram_search(g, keyword="able"):
-    return trigram_hits(g, keyword).select("id", "label")
+@query("text_trigram_search", f"WITH {_ranked_sql(_gram_hits_sql('able'), 20, 'r.id, e.label, e.label_en, r.rank, r.score4')} JOIN entities e USING (id)")
+def text_trigram_search(g, keyword="able", n=20):
+    """The best labels that hold the keyword, ranked by BM25 over both columns, from the keyword's buckets of the stored index."""
+    return named(g, ranked_hits(g, keyword, n))
 
 
-@query("text_token_search", "SELECT id FROM entities WHERE contains(' ' || array_to_string(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' of the ')")
-def text_token_search(g, phrase="of the"):
-    """The phrase as whole consecutive words."""
-    words = F.regexp_extract_all(F.lower("label"), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    return g.entities.where(F.contains(line, F.lit(f" {phrase.lower()} "))).select("id")
+@query("text_token_search", f"WITH {_ranked_sql(_word_hits_sql('of the'), 50)}")
+def text_token_search(g, phrase="of the", n=50):
+    """The phrase as whole consecutive words, without case or marks; best first."""
+    return index_of(g, "words").ranked(tokens_of(g.spark, phrase, "words"), n).select("id", "rank", "score4")
 
 
 def bm25(postings_, grams, n_docs, k1=1.2, b=0.75):
@@ -78,23 +87,43 @@ SELECT h.id, CAST(floor(sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 / (
 FROM h JOIN df USING (gram) CROSS JOIN nd GROUP BY h.id""",
 )
 def text_bm25(g, keyword="able"):
+    """BM25 of every label that has any of the keyword's grams; the grams are counted where they stand, without a list of all of them."""
     word = keyword.lower()
-    # a label without any of the grams has no part in the scores, so only those with one are cut into grams
-    any_ = reduce(lambda a, b: a | b, [F.contains(F.lower("label"), F.lit(x)) for x in sorted({word[i : i + 3] for i in range(len(word) - 2)})])
-    p = postings(g.entities.where(any_))
-    docs = g.entities.where(F.length("label") >= 3).agg(F.count("*").alias("n"), F.avg(F.length("label")).alias("mean_length"))
     grams = sorted({word[i : i + 3] for i in range(len(word) - 2)})
-    return bm25(p, grams, docs).select("id", F.floor(c("bm25") * 10000 + 0.5).cast("long").alias("bm25_4"))
+    labels = g.entities.where(F.length("label") >= 3).select("id", F.lower("label").alias("l"), F.length("label").alias("length"))
+    # of each gram, the starts of the label's characters at which it stands
+    counted = labels.select("id", "length", F.explode(F.array(*[F.struct(F.lit(x).alias("gram"), _occurrences(c("l"), x).alias("tf")) for x in grams])).alias("p")).select("id", "length", "p.gram", "p.tf").where("tf > 0")
+    docs = labels.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    return bm25(counted, grams, docs).select("id", F.floor(c("bm25") * 10000 + 0.5).cast("long").alias("bm25_4"))
 
 
-def search(g, keyword, index=None):
-    """Three characters or more: by trigrams; fewer: by the folded label."""
-    return trigram_hits(g, keyword, index)
+def _occurrences(text, gram):
+    """How often a gram stands in a text, overlaps included: by replacement if the gram cannot overlap itself, else by pattern."""
+    if any(gram.startswith(gram[k:]) for k in range(1, len(gram))):
+        return F.regexp_count(text, F.lit(f"(?={_quoted(gram)})"))
+    return ((F.length(text) - F.length(F.replace(text, F.lit(gram), F.lit("")))) / len(gram)).cast("int")
 
 
-@query("text_hybrid_search", "SELECT id, 'long' AS way FROM entities WHERE contains(lower(label), 'ting') UNION ALL SELECT id, 'short' FROM entities WHERE contains(lower(label), '#0')")
+def _quoted(text):
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def search(g, keyword):
+    """All entities whose folded label holds the keyword, for jobs that take every hit."""
+    return trigram_hits(g, keyword)
+
+
+_SCANNED_SQL = "SELECT id, 0 AS score4, CAST(row_number() OVER (ORDER BY id) AS INT) AS rank FROM entities WHERE contains(label, '#0') QUALIFY row_number() OVER (ORDER BY id) <= 20"
+
+
+@query(
+    "text_hybrid_search",
+    f"SELECT 'trigram' AS way, id, rank, score4 FROM (WITH {_ranked_sql(_gram_hits_sql('ting'), 20)}) a UNION ALL SELECT 'token', id, rank, score4 FROM (WITH {_ranked_sql(_word_hits_sql('de'), 20)}) b UNION ALL SELECT 'scan', id, rank, score4 FROM ({_SCANNED_SQL}) d",
+)
 def text_hybrid_search(g):
-    return search(g, "ting").select("id", F.lit("long").alias("way")).unionByName(search(g, "#0").select("id", F.lit("short").alias("way")))
+    """The three ways of the router: three characters or more, fewer, and no index."""
+    ways = {"trigram": ranked_hits(g, "ting"), "token": ranked_hits(g, "de"), "scan": ranked_hits(g, "#0", trigrams=False, tokens=False)}
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(way).alias("way"), "id", "rank", "score4") for way, df in ways.items()])
 
 
 @query("text_filter_intersect", "SELECT id FROM entities WHERE contains(lower(label), 'red') AND release_year BETWEEN 1700 AND 1950")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.graph import both_ways, first_per
-from .joins import NEAR_SQL, grid_pairs
+from .joins import NEAR_SQL
+from .nearest import k_nearest, other_kind_first
 from .registry import query
 
 c = F.col
@@ -73,20 +74,15 @@ def win_all_pairs_capped(g, cap=20):
     return capped_pairs(g.entities.select("id", "source"), ["source"], ["id"], cap).select("x", "y")
 
 
-def nearest_k(near, k):
-    """The k nearest of each a_id: other type first, then distance to the metre, then id."""
-    cross = (c("a_entity_type") != c("b_entity_type")).cast("int")
-    return first_per(near, ["a_id"], [F.desc(cross), F.floor(c("metres") + 0.5), "b_id"]).where(c("rn") <= k)
-
-
 @query(
     "win_nearest_k",
     f"WITH {NEAR_SQL} SELECT a_id, b_id, rn FROM (SELECT a_id, b_id, row_number() OVER (PARTITION BY a_id ORDER BY CASE WHEN a_type <> b_type THEN 1 ELSE 0 END DESC, floor(metres + 0.5), b_id) AS rn FROM near WHERE metres <= 1000) t WHERE rn <= 3",
 )
 def win_nearest_k(g, k=3, radius=1000.0):
+    """The k nearest of each place: other type first, then distance to the metre, then id."""
     points = g.entities.select("id", "lat", "lon", "entity_type")
-    near = grid_pairs(points, points, radius).where("a_id <> b_id")
-    return nearest_k(near, k).select("a_id", "b_id", c("rn").cast("long").alias("rn"))
+    best = other_kind_first(k_nearest(points, points, radius, k, kind="entity_type"), points.select("id", "entity_type"), k)
+    return best.select("a_id", "b_id", c("rn").cast("long").alias("rn"))
 
 
 def year_spine(df, low, high):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stored import read, stored
+
+EDGES = "a_id long, b_id long, connection_type string, score double, verdict string, source string"
+
 
 def _entity(df: DataFrame, base: int, key: str, label: str, kind: str, source: Column, geo: Column, label_en: Column | None = None, year: Column | None = None, qid: Column | None = None, dormant: Column | None = None) -> DataFrame:
     null = lambda t: F.lit(None).cast(t)
@@ -28,20 +30,6 @@ def _entity(df: DataFrame, base: int, key: str, label: str, kind: str, source: C
     )
 
 
-#: Where this session has written a folder's edges: (application, folder) -> path.
-_WRITTEN: dict[tuple[str, str], str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset a local one, if Spark is local."""
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("kumihimo.shared.dir", None)
-    if not at and conf.get("spark.master", "").startswith("local"):
-        at = tempfile.mkdtemp(prefix="spark-kumihimo-")
-        spark.conf.set("kumihimo.shared.dir", at)
-    return at.rstrip("/") if at else None
-
-
 class Graph:
     """entities, tags and edges over the tables of one folder. Each is lazy and column-pruned by what a query uses."""
 
@@ -89,17 +77,10 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """a_id < b_id, connection_type, score, verdict, source; one row for each pair. Made once in a session and read from the shared folder after; without such a folder, made by each query."""
-        base = shared_folder(self.spark)
-        if base is None:
-            return self.made_edges()
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _WRITTEN:
-            path = f"{base}/edges-{uuid.uuid4().hex}"
-            made = self.made_edges()
-            made.sortWithinPartitions("a_id", "b_id").write.parquet(path)
-            _WRITTEN[key] = path
-        return self.spark.read.parquet(_WRITTEN[key])
+        """a_id < b_id, connection_type, score, verdict, source; one row for each pair. Written once to the shared folder for a state of the tables' files, and read from there; without such a folder, made by each query."""
+        inputs = [f"{self.folder}/{t}.parquet" for t in ("lineitem", "orders")]
+        path = stored(self.spark, "edges", inputs, lambda at: self.made_edges().sortWithinPartitions("a_id", "b_id").write.parquet(at))
+        return self.made_edges() if path is None else read(self.spark, path, EDGES)
 
     def made_edges(self) -> DataFrame:
         """The edges as a plan over the tables."""

@@ -1,4 +1,4 @@
-"""Streams of landed records: labels appended once, and a text index kept current."""
+"""Streams of landed records: labels appended once, and an index kept current."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.search import postings
+from .index import MOST, add_batch
 
-RECORDS = "id long, label string, source string, seen timestamp"
+RECORDS = "id long, label string, source string, seen timestamp, lat double, lon double"
 
 
 def ingest_new_labels(spark: SparkSession, incoming: str, store: str, checkpoint: str, late: str = "1 hour", schema: str = RECORDS) -> StreamingQuery:
@@ -32,16 +32,15 @@ def ingest_new_labels(spark: SparkSession, incoming: str, store: str, checkpoint
     return once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_index(spark: SparkSession, store: str, index: str, checkpoint: str, buckets: int = 16, schema: str = RECORDS + ", key string") -> StreamingQuery:
-    """Keep postings current with rows appended to the store: each batch's go to the partitions of their grams."""
-    stream = spark.readStream.schema(schema).parquet(store)
+def refresh_index(spark: SparkSession, store: str, index: str, checkpoint: str, buckets: int = 16, most: int = MOST, files: int | None = None, schema: str = RECORDS + ", key string") -> StreamingQuery:
+    """Keep postings and grid current with rows appended to the store, by batches of ``files`` of its files (all that are new, if None)."""
+    reader = spark.readStream.schema(schema)
+    stream = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(store)
 
-    def append(batch: DataFrame, number: int) -> None:
-        rows = postings(batch.select("id", F.col("key").alias("label"))).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-        # a batch has a folder of its own, so running it again replaces it
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/batch={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        add_batch(spark, batch.select("id", F.col("key").alias("label"), "lat", "lon"), index, number, buckets, most)
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
