@@ -160,13 +160,18 @@ class Sketched:
         self.sizes, self.threshold = sizes, threshold
         self.rows = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, BINS)
 
+    def one(self, lead: int, others: np.ndarray) -> np.ndarray:
+        sums = self.sizes[others] + self.sizes[lead]
+        fit = np.minimum(self.sizes[others], self.sizes[lead]) >= needed(sums, self.threshold)
+        return fit & (agreeing(self.rows, self.rows[others], lead) >= _cuts(self.threshold)[np.minimum(sums, SUMS)])
+
     def near(self, leads: np.ndarray) -> np.ndarray:
         out = np.zeros((len(leads), len(self.sizes)), bool)
         step = max(1, (1 << 15) // max(1, len(self.sizes)))
         for lo in range(0, len(leads), step):
             some = leads[lo : lo + step]
             sums = self.sizes[some][:, None] + self.sizes[None, :]
-            same = agreeing(self.rows, some)
+            same = agreeing(self.rows, self.rows, some)
             out[lo : lo + step] = (same >= _cuts(self.threshold)[np.minimum(sums, SUMS)]) & (np.minimum(self.sizes[some][:, None], self.sizes[None, :]) >= needed(sums, self.threshold))
         return out
 
@@ -219,7 +224,7 @@ def _links(docs: DataFrame, threshold: float, k: int, recall: float, leaf: int,
     totals = full.groupBy("key").agg(F.sum("size").alias("total"))
     sized = full.join(totals, "key")
     fits = (F.col("n") * F.col("total") <= work) & (F.col("total") <= held)
-    met = staged(compared_whole(sized.where(fits), Exact, threshold).unionByName(compared_in_blocks(sized.where(~fits), Exact, threshold, held)))
+    met = staged(compared_whole(sized.where(fits), Exact, threshold, counting=True).unionByName(compared_in_blocks(sized.where(~fits), Exact, threshold, held)))
     counts = met.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     links = met.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     classes = components(links).withColumnRenamed("node", "rep")

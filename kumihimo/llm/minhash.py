@@ -117,6 +117,11 @@ class Signed:
         self.sizes, self.threshold = sizes, threshold
         self.rows = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(len(sizes), -1)
 
+    def one(self, lead: int, others: np.ndarray) -> np.ndarray:
+        sums = self.sizes[others] + self.sizes[lead]
+        fit = np.minimum(self.sizes[others], self.sizes[lead]) >= needed(sums, self.threshold)
+        return fit & (agreeing(self.rows, self.rows[others], lead) >= cut(self.threshold))
+
     def near(self, leads: np.ndarray) -> np.ndarray:
         out = np.zeros((len(leads), len(self.sizes)), bool)
         step = max(1, (1 << 15) // max(1, len(self.sizes)))
@@ -124,7 +129,7 @@ class Signed:
             some = leads[lo : lo + step]
             sums = self.sizes[some][:, None] + self.sizes[None, :]
             fit = np.minimum(self.sizes[some][:, None], self.sizes[None, :]) >= needed(sums, self.threshold)
-            out[lo : lo + step] = fit & (agreeing(self.rows, some) >= cut(self.threshold))
+            out[lo : lo + step] = fit & (agreeing(self.rows, self.rows, some) >= cut(self.threshold))
         return out
 
 

@@ -32,9 +32,9 @@ def needed(sums: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil((threshold * sums - 1e-9) / (1 + threshold)).astype(np.int64)
 
 
-def agreeing(rows: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Equal bytes of signatures: rows [some] against all; a signature has 128 bytes, so eight are counted at a time."""
-    same = (rows[some][:, None, :] == rows[None, :, :]).view(_U).sum(2, dtype=_U)
+def agreeing(rows: np.ndarray, others: np.ndarray, some: np.ndarray | int) -> np.ndarray:
+    """Equal bytes of signatures: rows [some] against others; a signature has 128 bytes, so eight are counted at a time."""
+    same = (rows[some][..., None, :] == others).view(_U).sum(-1, dtype=_U)
     return ((same * _U(0x0101010101010101)) >> _U(56)).astype(np.int64)
 
 
@@ -54,6 +54,16 @@ class Exact:
         self.vocabulary = int(often.sum())
         self.start = np.searchsorted(self.of, np.arange(len(sizes) + 1))
 
+    def one(self, lead: int, others: np.ndarray) -> np.ndarray:
+        """Whether a set is near to some others."""
+        own = self.col[self.start[lead] : self.start[lead + 1]]
+        lengths = self.start[others + 1] - self.start[others]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) + np.repeat(self.start[others] - (ends - lengths), lengths)
+        hits = np.append(0, np.cumsum(np.isin(self.col[at], own, assume_unique=False, kind="table" if self.vocabulary < 1 << 24 else None)))
+        both = hits[ends] - hits[ends - lengths]
+        return both >= self.threshold * (self.sizes[others] + self.sizes[lead] - both) - 1e-9
+
     def near(self, leads: np.ndarray) -> np.ndarray:
         n = len(self.sizes)
         out = np.zeros((len(leads), n), bool)
@@ -87,8 +97,26 @@ def linked(sets, ids: np.ndarray, leads: np.ndarray, allowed: np.ndarray) -> tup
     return count, ordered[label]
 
 
-def _whole(kind, threshold: float):
-    """Groups as lists of members -> rep, n_links and root (the least rep of its component) for each member with a link."""
+def spanned(sets, ids: np.ndarray) -> np.ndarray:
+    """The least id of each one's component. A pair that is in one component already is not compared."""
+    n = len(ids)
+    label = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    ordered = np.sort(ids)
+    for k in range(n - 1):
+        others = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        if not len(others):
+            continue
+        met = np.unique(label[others[sets.one(k, others)]])
+        if len(met):
+            met = np.append(met, label[k])
+            label[np.isin(label, met)] = met.min()
+            if not (label != label[0]).any():
+                break
+    return ordered[label]
+
+
+def _whole(kind, threshold: float, counting: bool):
+    """Groups as lists of members -> rep, n_links (0 where they are not counted) and root (the least rep of its component) for each member with a link."""
 
     def run(batches):
         for batch in batches:
@@ -97,21 +125,25 @@ def _whole(kind, threshold: float):
             reps, sizes = (each.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "size"))
             out = []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                sets = kind(sizes[lo:hi], each.field("data").slice(lo, hi - lo), threshold)
-                count, root = linked(sets, reps[lo:hi], np.arange(hi - lo), np.ones(hi - lo, bool))
-                some = count > 0
-                # each link was counted from both its ends
-                out.append((reps[lo:hi][some], count[some] // 2, root[some]))
+                sets, ids = kind(sizes[lo:hi], each.field("data").slice(lo, hi - lo), threshold), reps[lo:hi]
+                if counting:  # each link is counted from both its ends
+                    count, root = linked(sets, ids, np.arange(hi - lo), np.ones(hi - lo, bool))
+                    some = count > 0
+                    out.append((ids[some], count[some] // 2, root[some]))
+                else:
+                    root = spanned(sets, ids)
+                    some = root != ids
+                    out.append((ids[some], np.zeros(some.sum(), np.int64), root[some]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["rep", "n_links", "root"])
 
     return run
 
 
-def compared_whole(members: DataFrame, kind, threshold: float) -> DataFrame:
+def compared_whole(members: DataFrame, kind, threshold: float, counting: bool = False) -> DataFrame:
     """members: key, rep, size, data of groups that fit a task -> rep, n_links, root."""
     lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "size", "data")).alias("members")).select("members")
-    return lists.mapInArrow(_whole(kind, threshold), "rep long, n_links long, root long")
+    return lists.mapInArrow(_whole(kind, threshold, counting), "rep long, n_links long, root long")
 
 
 def _crossed(kind, threshold: float):
