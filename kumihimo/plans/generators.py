@@ -336,9 +336,12 @@ def gen_cross_source_boost(g):
 )
 def gen_same_theme_sample(g, least=100, most=500):
     """At most 500 pairs of neighbours in a seeded order, of each theme with more than 100 members."""
-    w = Window.partitionBy("v").orderBy("h", "id")
-    t = tagged(g, "theme").withColumn("h", hash_order("st")).withColumns({"y": F.lead("id").over(w), "rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("v"))})
-    return new_pairs(t.where((c("n") > least) & (c("rn") <= most) & c("y").isNotNull()).select(c("id").alias("x"), "y"), g.edges)
+    t = tagged(g, "theme").withColumn("h", hash_order("st"))
+    large = t.groupBy("v").agg(F.count("*").alias("n")).where(c("n") > least).select("v")
+    # the rank limit stands before the lead, so a group leaves each task as its first rows alone
+    few = first_per(t.join(large, "v"), ["v"], ["h", "id"]).where(c("rn") <= most + 1)
+    w = Window.partitionBy("v").orderBy("rn")
+    return new_pairs(few.withColumn("y", F.lead("id").over(w)).where((c("rn") <= most) & c("y").isNotNull()).select(c("id").alias("x"), "y"), g.edges)
 
 
 # ---- proximity

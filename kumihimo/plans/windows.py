@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.graph import both_ways, first_per
+from ..sources.stored import materialized
 from .joins import NEAR_SQL
 from .nearest import k_nearest, other_kind_first
 from .registry import query
@@ -37,11 +38,40 @@ def win_cap_locations(g, cap=5):
     return few.groupBy(c("node").alias("work")).agg(F.count("*").alias("n"), places.alias("places"))
 
 
+_ROW = (1 << 33) - 1
+
+
+def ranged(df, group, order):
+    """Rows dealt out by ranges of (group, order) and sorted, with their partition (pid) and place in it (at): a large group lies in many partitions, next to each other."""
+    at = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("at", F.monotonically_increasing_id())
+    return at.withColumn("pid", F.shiftright("at", 33)).withColumn("at", c("at").bitwiseAND(F.lit(_ROW)))
+
+
 def linked_to_next(df, group, order, k=1, keep=()):
-    """Pairs of each member with the next k of its group: (x, y, step)."""
-    w = Window.partitionBy(*group).orderBy(*order)
+    """Pairs of each member with the next k of its group: (x, y, step). ``order`` ends in what no two members share.
+
+    Members are linked inside ranges of (group, order), so a group that holds
+    most rows is many tasks' work. The first k rows of a range are also lent
+    to the k ranges before it, where its group may end.
+    """
+    rows = ranged(df.select(*dict.fromkeys([*group, *order, "id", *keep])), group, order)
+    lent = F.when(c("at") < k, F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: c("pid") - j)).otherwise(F.array("pid"))
+    both = rows.withColumn("to", F.explode(lent))
+    w = Window.partitionBy("to", *group).orderBy(*order)
     nexts = F.array(*[F.lead("id", i).over(w) for i in range(1, k + 1)])
-    return df.select(*group, c("id").alias("x"), *keep, nexts.alias("nexts")).select(*group, "x", *keep, F.posexplode("nexts").alias("step", "y")).where("y is not null")
+    own = both.select("*", nexts.alias("nexts")).where("to = pid")
+    return own.select(*group, c("id").alias("x"), *keep, F.posexplode("nexts").alias("step", "y")).where("y is not null")
+
+
+def numbered(g, df, group, order):
+    """Adds i, a member's place in its group from 0, and n, the group's size: places inside ranges, and the sizes of the ranges before."""
+    rows = materialized(g.spark, ranged(df, group, order))
+    parts = rows.groupBy(*group, "pid").agg(F.count("*").alias("held"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("held").over(whole.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*group, "pid", before.alias("before"), F.sum("held").over(whole).alias("n"))
+    here = F.row_number().over(Window.partitionBy(*group, "pid").orderBy("at")) - 1
+    return rows.withColumn("here", here).join(parts, [*group, "pid"]).withColumn("i", c("here") + c("before")).drop("here", "before", "pid", "at")
 
 
 @query("win_chain_adjacent", "SELECT x, y FROM (SELECT id AS x, lead(id) OVER (PARTITION BY source ORDER BY id) AS y FROM entities) t WHERE y IS NOT NULL")
@@ -141,6 +171,5 @@ SELECT id, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS i, CAST(ce
 def win_grid_layout(g):
     """The cell of each member on a square grid around its group's centre."""
     free = g.entities.where("lat is null").select("id", "source")
-    side = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("source"))))
-    at = first_per(free, ["source"], ["id"]).withColumns({"i": c("rn") - 1, "side": side})
+    at = numbered(g, free, ["source"], ["id"]).withColumn("side", F.ceil(F.sqrt("n")))
     return at.select("id", (c("i") % c("side")).cast("long").alias("col"), F.floor(c("i") / c("side")).alias("row"))

@@ -77,3 +77,13 @@ def stored(spark: SparkSession, name: str, inputs: list[str], write: Callable[[s
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
+
+
+def materialized(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder and read back, where they are read more than once and must be the same each time."""
+    base = shared_folder(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path, schema = f"{base}/kept-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
