@@ -13,6 +13,7 @@ from ..model import CALENDAR, MONTH_WORDS, NEIGHBOUR_KINDS, SEASON_WORDS, era_mi
 from ..sources.graph import both_ways, first_per
 from .aggregates import micro, micro_sql, n_rows
 from .registry import query
+from ..sources.files import write_datasets
 from .search import search
 from .selections import degree_box
 from .windows import hash_order
@@ -486,33 +487,62 @@ def q_emergence(g, low=1600, high=2024, types=("same_source",)):
 # ---- exports
 
 
-@query("q_export_pilgrimage", f"SELECT s.other AS place, s.node AS work, w.label FROM sym s JOIN entities w ON w.id = s.node WHERE s.{_SPOT} AND s.node >= 3000000 ORDER BY s.node, s.other LIMIT 500")
-def q_export_pilgrimage(g, n=500):
+_EXPORT_SQL = {
+    "pilgrimage": f"SELECT s.other AS place, s.node AS work, w.label FROM sym s JOIN entities w ON w.id = s.node WHERE s.{_SPOT} AND s.node >= 3000000 ORDER BY s.node, s.other LIMIT 500",
+    "year": "SELECT id, label, release_year FROM entities WHERE release_year IS NOT NULL ORDER BY release_year, id LIMIT 500",
+    "cross": "SELECT k.a_id, k.b_id, k.connection_type FROM connections k JOIN entities x ON x.id = k.a_id JOIN entities y ON y.id = k.b_id WHERE x.entity_type <> y.entity_type ORDER BY k.score DESC, k.a_id, k.b_id LIMIT 500",
+    "geo": "SELECT id, lat, lon, entity_type FROM entities WHERE lat IS NOT NULL ORDER BY id LIMIT 500",
+}
+
+
+def _inside(g, box):
+    """(id) of what lies in (south, north, west, east)."""
+    south, north, west, east = box
+    return g.entities.where(c("lat").between(south, north) & c("lon").between(west, east)).select("id")
+
+
+@query("q_export_pilgrimage", _EXPORT_SQL["pilgrimage"])
+def q_export_pilgrimage(g, n=500, box=None):
     s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000)).select(c("other").alias("place"), c("node").alias("work"))
+    s = s if box is None else s.join(_inside(g, box).withColumnRenamed("id", "place"), "place", "left_semi")
     return s.join(g.entities.select(c("id").alias("work"), "label"), "work").orderBy("work", "place").limit(n).select("place", "work", "label")
 
 
-@query("q_export_year", "SELECT id, label, release_year FROM entities WHERE release_year IS NOT NULL ORDER BY release_year, id LIMIT 500")
-def q_export_year(g, n=500):
-    return g.entities.where("release_year is not null").orderBy("release_year", "id").limit(n).select("id", "label", "release_year")
+@query("q_export_year", _EXPORT_SQL["year"])
+def q_export_year(g, n=500, box=None):
+    e = g.entities.where("release_year is not null")
+    e = e if box is None else e.join(_inside(g, box), "id", "left_semi")
+    return e.orderBy("release_year", "id").limit(n).select("id", "label", "release_year")
 
 
-@query("q_export_cross", "SELECT k.a_id, k.b_id, k.connection_type FROM connections k JOIN entities x ON x.id = k.a_id JOIN entities y ON y.id = k.b_id WHERE x.entity_type <> y.entity_type ORDER BY k.score DESC, k.a_id, k.b_id LIMIT 500")
-def q_export_cross(g, n=500):
+@query("q_export_cross", _EXPORT_SQL["cross"])
+def q_export_cross(g, n=500, box=None):
     kind = lambda end, name: g.entities.select(c("id").alias(end), c("entity_type").alias(name))
-    return g.edges.join(kind("a_id", "x"), "a_id").join(kind("b_id", "y"), "b_id").where("x <> y").orderBy(F.desc("score"), "a_id", "b_id").limit(n).select("a_id", "b_id", "connection_type")
+    k = g.edges
+    if box is not None:  # either end may lie inside
+        here = lambda end: k.join(_inside(g, box).withColumnRenamed("id", end), end, "left_semi")
+        k = here("a_id").unionByName(here("b_id")).distinct()
+    return k.join(kind("a_id", "x"), "a_id").join(kind("b_id", "y"), "b_id").where("x <> y").orderBy(F.desc("score"), "a_id", "b_id").limit(n).select("a_id", "b_id", "connection_type")
 
 
-@query("q_export_geo", "SELECT id, lat, lon, entity_type FROM entities WHERE lat IS NOT NULL ORDER BY id LIMIT 500")
-def q_export_geo(g, n=500):
-    return g.entities.where("lat is not null").orderBy("id").limit(n).select("id", "lat", "lon", "entity_type")
+@query("q_export_geo", _EXPORT_SQL["geo"])
+def q_export_geo(g, n=500, box=None):
+    e = g.entities.where("lat is not null")
+    e = e if box is None else e.join(_inside(g, box), "id", "left_semi")
+    return e.orderBy("id").limit(n).select("id", "lat", "lon", "entity_type")
 
 
-#: Datasets that sink_dataset can write.
+#: Datasets that sink_datasets can write, and what names a row of each.
 DATASETS = {"pilgrimage": q_export_pilgrimage, "year": q_export_year, "cross": q_export_cross, "geo": q_export_geo}
+DATASET_KEYS = {"pilgrimage": ("place", "work"), "year": ("id",), "cross": ("a_id", "b_id"), "geo": ("id",)}
+DATASET_SQL = _EXPORT_SQL
+
+
+def dataset_frames(g, names=None, n: int = 500, box: tuple[float, float, float, float] | None = None) -> dict:
+    """Datasets by name: of each the first n rows, of all places or of those in a box (south, north, west, east)."""
+    return {name: DATASETS[name](g, n, box) for name in (names or DATASETS)}
 
 
-def sink_dataset(g, name: str, path: str, form: str = "parquet", n: int | None = None) -> None:
-    """Write one of DATASETS; n limits its rows."""
-    df = DATASETS[name](g) if n is None else DATASETS[name](g, n)
-    df.write.mode("overwrite").format(form).save(path)
+def sink_datasets(g, path: str, names=None, n: int = 500, box: tuple[float, float, float, float] | None = None, form: str = "json") -> None:
+    """Write datasets, all or those named, into path/dataset=name; those that are not named stay as they were."""
+    write_datasets(dataset_frames(g, names, n, box), path, form)

@@ -187,18 +187,32 @@ def trigrams(column):
     return F.when(F.length(column) >= 3, F.array_distinct(all_trigrams(column))).otherwise(F.array().cast("array<string>"))
 
 
+def contained(short, long):
+    """short (key, short), long (id, long) -> (key, id) where the long text holds the short one, of three characters or more.
+
+    A short text meets the long ones on its trigram that fewest of these have,
+    so no cross product is made and a gram that most texts have is met only by
+    texts that have no other. Long texts stay out of the exploded rows.
+    """
+    wanted = short.where(F.length("short") >= 3)
+    grams = long.where(F.length("long") >= 3).select("id", F.explode(trigrams(c("long"))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    each = wanted.select("short").distinct().select("short", F.explode(trigrams(c("short"))).alias("gram"))
+    # a gram that no long text has leaves its short text without a partner
+    rare = each.join(often, "gram", "left").groupBy("short").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0").select("short", "m.gram")
+    pairs = rare.join(grams, "gram").select("short", "id").join(long, "id").where(F.contains("long", "short")).select("short", "id")
+    return wanted.join(pairs, "short").select("key", "id")
+
+
 @query(
     "join_containment_prune",
-    "SELECT DISTINCT n.word, e.id FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part) n JOIN entities e ON length(n.word) >= 3 AND contains(lower(e.label), n.word) WHERE e.entity_type = 'artifact'",
+    "SELECT DISTINCT n.word, e.id FROM (SELECT DISTINCT lower(p_name) AS word FROM part UNION SELECT DISTINCT lower(s_name) FROM supplier UNION SELECT lower(n_name) FROM nation) n JOIN entities e ON length(n.word) >= 3 AND contains(lower(e.label), n.word)",
 )
 def join_containment_prune(g):
-    """Names that lie in labels. Candidates meet on the name's rarest trigram, so no cross product is made."""
-    names = g.table("part").select(F.lower(F.split("p_name", " ")[0]).alias("word")).distinct().where(F.length("word") >= 3)
-    labels = g.entities.where("entity_type = 'artifact'").select("id", F.lower("label").alias("l"))
-    grams = labels.select("id", F.explode(trigrams(c("l"))).alias("gram"))  # without the label, which is joined to the few candidates after
-    often = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    rare = names.select("word", F.explode(trigrams(c("word"))).alias("gram")).join(often, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).select("word", "m.gram")
-    return rare.join(grams, "gram").select("word", "id").distinct().join(labels, "id").where(F.contains("l", "word")).select("word", "id")
+    """Names, whole ones, that lie in labels."""
+    name = lambda table, column: g.table(table).select(F.lower(column).alias("word"))
+    names = name("part", "p_name").unionByName(name("supplier", "s_name")).unionByName(name("nation", "n_name")).distinct()
+    return contained(names.select(c("word").alias("key"), c("word").alias("short")), g.entities.select("id", F.lower("label").alias("long"))).select(c("key").alias("word"), "id")
 
 
 @query(

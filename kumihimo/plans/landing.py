@@ -11,7 +11,7 @@ from ..sources import files
 from ..sources.stored import shared_folder
 from ..streaming import ingest
 from ..streaming.index import read_index
-from .analytics import sink_dataset
+from .analytics import DATASET_KEYS, DATASET_SQL, dataset_frames, sink_datasets
 from .registry import query
 
 c = F.col
@@ -99,14 +99,68 @@ def src_langtagged_jsonld(g):
     return files.language_tagged_rows(g.spark.read.text(path)).select("id", "name_ja", "name_en")
 
 
-@query("src_geojson_points", "SELECT CAST(id AS VARCHAR) AS id, lat, lon FROM entities WHERE lat IS NOT NULL")
+@query(
+    "src_geojson_points",
+    """SELECT CAST(id AS VARCHAR) AS id, kind, CAST(floor((lat + dy) * 1e6 + 0.5) AS BIGINT) AS lat6, CAST(floor((lon + dx) * 1e6 + 0.5) AS BIGINT) AS lon6 FROM (
+SELECT id, lat, lon, (['Point', 'LineString', 'Polygon', 'MultiPolygon'])[id % 4 + 1] AS kind, ([0, 0.5, 0.125, 0.25])[id % 4 + 1] AS dy, ([0, 1.5, 0.25, 0.5])[id % 4 + 1] AS dx FROM entities WHERE lat IS NOT NULL) t""",
+)
 def src_geojson_points(g):
-    """A point, or the middle of a line of three equal vertices."""
-    at = F.array("lon", "lat")
-    shape = F.when(c("id") % 2 == 0, F.concat(lit('{"type":"Point","coordinates":'), F.to_json(at), lit("}"))).otherwise(F.concat(lit('{"type":"LineString","coordinates":'), F.to_json(F.array(at, at, at)), lit("}")))
-    feature = F.concat(lit('{"features":[{"properties":{"id":"'), c("id").cast("string"), lit('"},"geometry":'), shape, lit("}]}"))
-    path = landed(g, g.entities.where("lat is not null").select(feature.alias("value")))
-    return files.geojson_rows(g.spark.read.text(path)).select(c("properties")["id"].alias("id"), "lat", "lon")
+    """Points of the four kinds of geometry: a point itself, the middle vertex of a line, the mean of the first ring of a polygon or of the first of several."""
+    at = lambda dx, dy: F.array(c("lon") + dx, c("lat") + dy)
+    ring = lambda w, h: F.array(at(0.0, 0.0), at(w, 0.0), at(w, h), at(0.0, h))
+    hole = F.array(at(9.0, 9.0), at(9.5, 9.0), at(9.5, 9.5))
+    shapes = [("Point", at(0.0, 0.0)), ("LineString", F.array(at(0.5, 0.25), at(1.0, 0.25), at(1.5, 0.5), at(2.0, 2.0))), ("Polygon", F.array(ring(0.5, 0.25), hole)), ("MultiPolygon", F.array(F.array(ring(1.0, 0.5)), F.array(hole)))]
+    feature = lambda kind, x: F.to_json(F.struct(F.array(F.struct(F.struct(c("id").cast("string").alias("id")).alias("properties"), F.struct(lit(kind).alias("type"), x.alias("coordinates")).alias("geometry"))).alias("features")))
+    value = None
+    for i, (kind, x) in enumerate(shapes):
+        mine = c("id") % 4 == i
+        value = F.when(mine, feature(kind, x)) if value is None else value.when(mine, feature(kind, x))
+    path = landed(g, g.entities.where("lat is not null").select(value.alias("value")))
+    whole = lambda x: F.floor(c(x) * 1e6 + 0.5)
+    return files.geojson_rows(g.spark.read.text(path)).select(c("properties")["id"].alias("id"), "kind", whole("lat").alias("lat6"), whole("lon").alias("lon6"))
+
+
+def _entity_documents(g):
+    """Documents of the parts as entities: outside ids as strings or items, a place, a date, and the title of an article."""
+    data = lambda kind, value: F.array(F.struct(F.struct(F.struct(lit(kind).alias("type"), value.alias("value")).alias("datavalue")).alias("mainsnak")))
+    text = lambda head: F.concat(lit(head), c("p_partkey").cast("string"))
+    claim = lambda prop, on, kind, value: F.when(on, F.concat(lit(f'"{prop}":'), F.to_json(data(kind, value))))
+    key, spot = c("p_partkey"), F.struct((c("p_size") * 0.5).alias("latitude"), (c("p_size") * 0.25 + 100).alias("longitude"))
+    claims = F.concat_ws(
+        ",",
+        claim("P349", key % 2 == 0, "string", text("ndl-")),
+        claim("P4082", key % 3 == 0, "wikibase-entityid", F.struct(text("Q9").alias("id"))),
+        claim("P214", key % 5 < 3, "string", text('v"')),
+        claim("P213", key % 7 == 0, "quantity", F.struct(text("+").alias("amount"))),
+        claim("P625", key % 4 == 0, "globecoordinate", spot),
+    )
+    labels = F.struct(F.when(key % 6 != 0, F.struct(c("p_name").alias("value"))).alias("ja"), F.struct(F.upper("p_name").alias("value")).alias("en"))
+    links = F.struct(F.when(key % 2 == 1, F.struct(c("p_name").alias("title"))).alias("jawiki"))
+    whole = F.concat(lit('{"id":"'), text("Q"), lit('","labels":'), F.to_json(labels), lit(',"claims":{'), claims, lit('},"sitelinks":'), F.to_json(links), lit("}"))
+    return files.entity_documents(g.spark.read.text(landed(g, g.table("part").select(whole.alias("value")))))
+
+
+_IDS_SQL = """SELECT 'Q' || p_partkey AS id, p_partkey AS k, p_name, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'ndl-' || p_partkey END AS ndl_id, CASE WHEN p_partkey % 3 = 0 THEN 'Q9' || p_partkey END AS madb_id,
+CASE WHEN p_partkey % 5 < 3 THEN 'v"' || p_partkey END AS viaf_id, CASE WHEN p_partkey % 7 = 0 THEN '{"amount":"+' || p_partkey || '"}' END AS isni_id FROM part"""
+
+
+@query("src_claim_value", f"SELECT id, ndl_id, madb_id, viaf_id, isni_id, CAST(NULL AS VARCHAR) AS image, CASE WHEN k % 4 = 0 THEN 'Point(' || CAST(p_size * 0.25 + 100 AS DOUBLE) || ',' || CAST(p_size * 0.5 AS DOUBLE) || ')' END AS coord FROM ({_IDS_SQL}) t")
+def src_claim_value(g):
+    """Entity documents with a column for each known property, every kind of value as text."""
+    return files.claim_columns(_entity_documents(g))
+
+
+@query(
+    "src_external_ids",
+    f"""WITH t AS ({_IDS_SQL}), r AS (SELECT id, CASE WHEN k % 6 <> 0 THEN p_name ELSE '' END AS label_ja, upper(p_name) AS label_en, madb_id, ndl_id, viaf_id, CASE WHEN k % 2 = 1 THEN 'http://ja.dbpedia.org/resource/' || p_name END AS dbpedia_uri,
+CASE WHEN k % 4 = 0 THEN CAST(p_size * 0.5 AS DOUBLE) END AS lat, CASE WHEN k % 4 = 0 THEN CAST(p_size * 0.25 + 100 AS DOUBLE) END AS lon FROM t)
+SELECT r.*, (SELECT count(madb_id) FROM r) AS with_madb, (SELECT count(ndl_id) FROM r) AS with_ndl, (SELECT count(viaf_id) FROM r) AS with_viaf, (SELECT count(lat) FROM r) AS with_place FROM r""",
+)
+def src_external_ids(g):
+    """Labels, outside ids, article and place of each entity document, and how many have each."""
+    rows = files.external_ids(_entity_documents(g))
+    counts = rows.agg(*[F.count(x).alias(f"with_{n}") for x, n in (("madb_id", "madb"), ("ndl_id", "ndl"), ("viaf_id", "viaf"), ("lat", "place"))])
+    return rows.join(F.broadcast(counts))  # one row
 
 
 @query("src_places_json", "SELECT label AS name, lat, lon FROM entities WHERE lat IS NOT NULL AND label IS NOT NULL")
@@ -144,11 +198,27 @@ def src_ocr_pages(g):
     return files.ocr_rows(g.spark.read.text(path)).select("page", "text")
 
 
-@query("sink_dataset", "SELECT id, lat, lon, entity_type FROM entities WHERE lat IS NOT NULL ORDER BY id LIMIT 500")
+_WRITTEN_SQL = " UNION ALL ".join(f"SELECT '{name}' AS dataset, count(*) AS n, count(DISTINCT ({', '.join(key)})) AS keys, md5(string_agg(CAST({key[0]} AS VARCHAR), ',' ORDER BY {', '.join(key)})) AS ids FROM ({DATASET_SQL[name]}) t" for name, key in DATASET_KEYS.items())
+
+
+@query("sink_dataset", _WRITTEN_SQL)
 def sink_dataset_query(g):
+    """All four datasets in one write by name, then one of them alone again: the others stay as they were. What each folder holds."""
     path = landing(g)
-    sink_dataset(g, "geo", path)
-    return g.spark.read.parquet(path)
+    sink_datasets(g, path)
+    sink_datasets(g, path, ["geo"])
+    out = None
+    for name, df in dataset_frames(g).items():
+        key = DATASET_KEYS[name]
+        rows = g.spark.read.text(f"{path}/dataset={name}").select(F.from_json("value", df.schema).alias("r")).select("r.*")
+        ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*key))), _field(key[0])), ",")
+        one = rows.agg(F.count("*").alias("n"), F.count_distinct(*key).alias("keys"), F.md5(ids).alias("ids")).select(lit(name).alias("dataset"), "n", "keys", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _field(name):
+    return lambda x: x[name].cast("string")
 
 
 @query("sink_csv_reports", "SELECT source, entity_type, CAST(count(*) AS VARCHAR) AS n FROM entities GROUP BY source, entity_type")
@@ -158,12 +228,20 @@ def sink_csv_reports(g):
     return g.spark.read.option("header", True).csv(path)
 
 
-@query("sink_geojson", "SELECT id, lon, lat FROM entities WHERE lat IS NOT NULL")
+@query(
+    "sink_geojson",
+    "WITH t AS (SELECT entity_id, string_agg(axis || '=' || v, ';' ORDER BY axis) AS tags FROM (SELECT entity_id, axis, string_agg(value_code, ',' ORDER BY value_code) AS v FROM entity_tags GROUP BY 1, 2) q GROUP BY 1) SELECT id, entity_type, lon, lat, coalesce(t.tags, '') AS tags FROM entities LEFT JOIN t ON t.entity_id = id WHERE lat IS NOT NULL",
+)
 def sink_geojson(g):
+    """Features with id, type and the tags by axis; read back with the tags in one string."""
     path = landing(g)
-    files.write_geojson_lines(g.entities.select("id", "lat", "lon"), path, ["id"])
-    got = g.spark.read.text(path).select(F.from_json("value", "geometry struct<coordinates:array<double>>, properties struct<id:long>").alias("f"))
-    return got.select("f.properties.id", c("f.geometry.coordinates")[0].alias("lon"), c("f.geometry.coordinates")[1].alias("lat"))
+    values = g.tags.groupBy("entity_id", "axis").agg(F.array_join(F.sort_array(F.collect_list("value_code")), ",").alias("v"))
+    tags = values.groupBy(c("entity_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("axis", "v"))).alias("tags"))
+    rows = g.entities.where("lat is not null").select("id", "entity_type", "lat", "lon").join(tags, "id", "left")
+    files.write_geojson_lines(rows, path, ["id", "entity_type"], tags="tags")
+    got = g.spark.read.text(path).select(F.from_json("value", "geometry struct<coordinates:array<double>>, properties struct<id:long,entity_type:string,tags:map<string,string>>").alias("f"))
+    line = F.array_join(F.transform(F.array_sort(F.map_entries("f.properties.tags")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return got.select("f.properties.id", "f.properties.entity_type", c("f.geometry.coordinates")[0].alias("lon"), c("f.geometry.coordinates")[1].alias("lat"), F.coalesce(line, lit("")).alias("tags"))
 
 
 def _stream(g):

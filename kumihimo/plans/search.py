@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.graph import first_per
 from .aggregates import micro, micro_sql
-from .joins import trigrams
+from .joins import contained
 from .registry import query
 from .text_index import index_of, ranked_hits, tokens_of
 
@@ -149,36 +149,58 @@ def text_multi_keyword(g, keywords=("red", "steel", "the", "customer"), per=8, m
     return once.orderBy("id", "keyword").limit(most).select("id", "label", "keyword")
 
 
+_DICTIONARY_SQL = """dict AS (SELECT DISTINCT value_code AS code, CAST(NULL AS VARCHAR) AS parent FROM entity_tags WHERE axis = 'theme' UNION SELECT r_name, NULL FROM region UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+own AS (SELECT entity_id, value_code AS code FROM entity_tags WHERE axis IN ('theme', 'geography') UNION SELECT 1000000 + c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 2000000 + s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
 @query(
     "text_theme_fallback",
-    "SELECT id AS entity_id FROM (SELECT id FROM entities WHERE contains(lower(label), 'standard') ORDER BY id LIMIT 50) h UNION ALL SELECT * FROM (SELECT entity_id FROM entity_tags WHERE axis = 'theme' AND value_code LIKE 'STANDARD%' AND NOT EXISTS (SELECT 1 FROM entities WHERE contains(lower(label), 'standard')) ORDER BY entity_id LIMIT 50) t",
+    f"""WITH {_DICTIONARY_SQL}, w AS (SELECT unnest(['standard', 'asia', 'china', 'able', 'nowhere']) AS word),
+h AS (SELECT word, id AS entity_id, row_number() OVER (PARTITION BY word ORDER BY id) AS rn FROM w JOIN entities ON contains(lower(label), word)),
+m AS (SELECT word, min(code) AS code FROM w JOIN dict ON contains(lower(code), word) WHERE word NOT IN (SELECT word FROM h) GROUP BY word), mm AS (SELECT m.word, m.code, max(d.parent) AS parent FROM m JOIN dict d USING (code) GROUP BY 1, 2),
+k AS (SELECT word, d.code FROM mm JOIN dict d ON d.parent = mm.code), s AS (SELECT word, d.code FROM mm JOIN dict d ON d.parent = mm.parent AND d.code <> mm.code WHERE word NOT IN (SELECT word FROM k)),
+a AS (SELECT word, code, 'theme' AS way FROM mm UNION ALL SELECT word, code, 'child' FROM k UNION ALL SELECT word, code, 'sibling' FROM s),
+e AS (SELECT word, entity_id, min(way) AS way, row_number() OVER (PARTITION BY word ORDER BY entity_id) AS rn FROM a JOIN own USING (code) GROUP BY word, entity_id)
+SELECT word, 'label' AS way, entity_id FROM h WHERE rn <= 50 UNION ALL SELECT word, way, entity_id FROM e WHERE rn <= 50""",
 )
-def text_theme_fallback(g, word="standard", n=50):
-    """Entities whose label holds the word; where none does, those tagged with a theme that it names, or one below."""
-    from ..functions.distance import closure
-    from .functions import theme_parents
-
-    below = closure(theme_parents(g)).where(F.lower("ancestor") == word).select(c("code").alias("value_code"))
-    tagged = g.tags.where("axis = 'theme'").join(F.broadcast(below.distinct()), "value_code", "left_semi")
-    hits = search(g, word).select(c("id").alias("entity_id")).orderBy("entity_id").limit(n)
-    one = F.lit(1).alias("one")
-    other = tagged.orderBy("entity_id").limit(n).select("entity_id", one).join(F.broadcast(hits.select(one).limit(1)), "one", "left_anti")
-    return hits.unionByName(other.select("entity_id"))
+def text_theme_fallback(g, keywords=("standard", "asia", "china", "able", "nowhere"), n=50):
+    """Of each keyword the entities whose label holds it; where none does, those tagged with the value that it names, or with one below, or, where nothing is below, with one beside it."""
+    region = g.table("nation").join(g.table("region"), c("n_regionkey") == c("r_regionkey"))
+    tops = g.tags.where("axis = 'theme'").select(c("value_code").alias("code")).unionByName(g.table("region").select(c("r_name").alias("code")))
+    dictionary = tops.select("code", F.lit(None).cast("string").alias("parent")).unionByName(region.select(c("n_name").alias("code"), c("r_name").alias("parent"))).distinct()
+    nation = lambda table, base, key, at: g.table(table).join(g.table("nation"), c(at) == c("n_nationkey")).select((F.lit(base) + c(key)).cast("long").alias("entity_id"), c("n_name").alias("code"))
+    own = g.tags.where("axis in ('theme', 'geography')").select("entity_id", c("value_code").alias("code"))
+    own = own.unionByName(nation("customer", 1_000_000, "c_custkey", "c_nationkey")).unionByName(nation("supplier", 2_000_000, "s_suppkey", "s_nationkey"))
+    return label_or_theme(g.entities, dictionary, own, keywords, n)
+
+
+def label_or_theme(entities, dictionary, own, keywords, n):
+    """dictionary: (code, parent); own: (entity_id, code) -> (word, way, entity_id), n a word."""
+    named = lambda df, text: df.withColumn("word", F.explode(F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(w.lower())), w) for w in keywords]))))
+    hits = first_per(named(entities.select("id", "label"), "label").select("word", c("id").alias("entity_id")), ["word"], ["entity_id"]).where(c("rn") <= n)
+    # a row for each keyword at most from here to the codes
+    theme = named(dictionary, "code").groupBy("word").agg(F.min(F.struct("code", "parent")).alias("m")).select("word", "m.code", "m.parent").join(hits.select("word").distinct(), "word", "left_anti")
+    below = dictionary.select(c("code").alias("near"), c("parent").alias("up"))
+    children = theme.join(below, c("up") == c("code")).select("word", c("near").alias("code"), F.lit("child").alias("way"))
+    alone = theme.join(children.select("word"), "word", "left_anti")
+    siblings = alone.join(below, (c("up") == c("parent")) & (c("near") != c("code"))).select("word", c("near").alias("code"), F.lit("sibling").alias("way"))
+    codes = theme.select("word", "code", F.lit("theme").alias("way")).unionByName(children).unionByName(siblings)
+    tagged = own.join(codes, "code").groupBy("word", "entity_id").agg(F.min("way").alias("way"))
+    few = first_per(tagged, ["word"], ["entity_id"]).where(c("rn") <= n)
+    return hits.select("word", F.lit("label").alias("way"), "entity_id").unionByName(few.select("word", "way", "entity_id"))
 
 
 @query(
     "text_title_containment",
-    "SELECT DISTINCT n.t AS part_title, e.id FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS t FROM part) n JOIN entities e ON length(n.t) >= 3 AND (contains(lower(e.label), n.t) OR contains(n.t, lower(e.label))) WHERE e.entity_type = 'work'",
+    "SELECT DISTINCT n.t AS part_title, e.id FROM (SELECT DISTINCT lower(p_name) AS t FROM part) n JOIN entities e ON length(n.t) >= 3 AND length(e.label) >= 3 AND (contains(lower(e.label), n.t) OR contains(n.t, lower(e.label))) WHERE e.entity_type IN ('work', 'artifact')",
 )
 def text_title_containment(g):
-    """Two title lists, where either title holds the other; candidates share a trigram of the shorter title's start."""
-    a = g.table("part").select(F.lower(F.split("p_name", " ")[0]).alias("t")).distinct().where(F.length("t") >= 3)
-    b = g.entities.where("entity_type = 'work'").select("id", F.lower("label").alias("l"))
-    head = lambda x: F.substring(x, 1, 3)
-    in_b = a.withColumn("gram", head(c("t"))).join(b.where(F.length("l") >= 3).withColumn("gram", F.explode(trigrams(c("l")))), "gram")
-    in_a = b.where(F.length("l") >= 3).withColumn("gram", head(c("l"))).join(a.withColumn("gram", F.explode(trigrams(c("t")))), "gram")
-    pairs = in_b.where(F.contains("l", "t")).select(c("t").alias("part_title"), "id").unionByName(in_a.where(F.contains("t", "l")).select(c("t").alias("part_title"), "id"))
-    return pairs.distinct()
+    """Two title lists, whole titles in each, where either title holds the other; candidates meet on the rarest trigram of the shorter one."""
+    a = g.table("part").select(F.lower("p_name").alias("t")).distinct()
+    b = g.entities.where("entity_type in ('work', 'artifact')").select("id", F.lower("label").alias("l"))
+    in_b = contained(a.select(c("t").alias("key"), c("t").alias("short")), b.select("id", c("l").alias("long"))).select(c("key").alias("part_title"), "id")
+    in_a = contained(b.select(c("id").alias("key"), c("l").alias("short")), a.select(c("t").alias("id"), c("t").alias("long"))).select(c("id").alias("part_title"), c("key").alias("id"))
+    return in_b.unionByName(in_a).distinct()
 
 
 @query("src_tag_regex", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') AS lang, len(regexp_extract_all(html, '<li>')) AS items FROM pages")
@@ -186,9 +208,3 @@ def src_tag_regex(g):
     """Fields of markup by pattern, without a parser."""
     field = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
     return g.table("pages").select("page_id", field("<title>([^<]*)</title>").alias("title"), field('<html lang="([a-z]+)"').alias("lang"), F.size(F.regexp_extract_all("html", F.lit("(<li>)"), 1)).alias("items"))
-
-
-@query("src_claim_value", f"SELECT event_id, event_type || ':' || user_id AS claim, {micro_sql('value')} AS value6 FROM events WHERE props IS NOT NULL")
-def src_claim_value(g):
-    """A typed value as text: its kind and its target."""
-    return g.table("events").where("props is not null").select("event_id", F.concat_ws(":", "event_type", c("user_id").cast("string")).alias("claim"), micro(c("value")).alias("value6"))

@@ -110,7 +110,7 @@ def geojson_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson_rows(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Features -> properties (map), lat, lon: a point itself, a line's middle vertex, the mean of a polygon's first ring."""
+    """Features -> properties (map), kind, lat, lon: a point itself, a line's middle vertex, the mean of a polygon's first ring."""
     parsed = F.from_json(text, "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>")
     f = texts.select(F.explode(parsed["features"]).alias("f")).select("f.properties", c("f.geometry.type").alias("kind"), c("f.geometry.coordinates").alias("raw"))
     point = F.from_json("raw", "array<double>")
@@ -119,7 +119,7 @@ def geojson_rows(texts: DataFrame, text: str = "value") -> DataFrame:
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda a, p: a + F.get(p, k)) / F.size(ring)
     middle = F.get(line, F.floor(F.size(line) / 2).cast("int"))
     at = lambda k: F.when(c("kind") == "Point", F.get(point, k)).when(c("kind") == "LineString", F.get(middle, k)).when(c("kind").isin("Polygon", "MultiPolygon"), mean(k))
-    return f.select("properties", at(1).alias("lat"), at(0).alias("lon")).where("lat is not null and lon is not null")
+    return f.select("properties", "kind", at(1).alias("lat"), at(0).alias("lon")).where("lat is not null and lon is not null")
 
 
 def places_json(spark: SparkSession, path: str) -> DataFrame:
@@ -162,10 +162,47 @@ def ocr_rows(texts: DataFrame, text: str = "value", most: int = 20) -> DataFrame
     return p.select("page", F.array_join(F.transform("p.blocks", lambda b: b["text"]), "\n").alias("text"))
 
 
+#: Properties of outside ids and places, and the columns that they become.
+KNOWN_PROPERTIES = {"P349": "ndl_id", "P4082": "madb_id", "P214": "viaf_id", "P213": "isni_id", "P18": "image", "P625": "coord"}
+
+_CLAIM = "struct<mainsnak:struct<datavalue:struct<type:string,value:string>>>"
+_ENTITY = f"struct<id:string,labels:map<string,struct<value:string>>,claims:map<string,array<{_CLAIM}>>,sitelinks:map<string,struct<title:string>>>"
+
+
+def entity_documents(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Entity documents -> id, labels, claims (property -> claims in order, of kind and value), sitelinks. An object among the values stays JSON text."""
+    e = texts.select(F.from_json(text, _ENTITY).alias("e")).select("e.*").where("id is not null")
+    data = lambda x: x["mainsnak"]["datavalue"]
+    claims = F.transform_values("claims", lambda _, v: F.transform(v, lambda x: F.struct(data(x)["type"].alias("kind"), data(x)["value"].alias("value"))))
+    return e.select("id", F.transform_values("labels", lambda _, v: v["value"]).alias("labels"), claims.alias("claims"), F.transform_values("sitelinks", lambda _, v: v["title"]).alias("sitelinks"))
+
+
 def claim_value(kind: Column, value: Column) -> Column:
-    """A typed claim as text: a string, an item's id, or Point(lon lat)."""
+    """A typed claim as text: a string, an item's id, Point(lon,lat), else the value as it stands."""
     at = F.from_json(value, "struct<latitude:double,longitude:double>")
-    return F.when(kind == "wikibase-entityid", F.get_json_object(value, "$.id")).when(kind == "globecoordinate", F.concat(F.lit("Point("), at["longitude"].cast("string"), F.lit(" "), at["latitude"].cast("string"), F.lit(")"))).otherwise(value)
+    axis = lambda x: F.coalesce(at[x], F.lit(0.0)).cast("string")
+    return F.when(kind == "wikibase-entityid", F.get_json_object(value, "$.id")).when(kind == "globecoordinate", F.concat(F.lit("Point("), axis("longitude"), F.lit(","), axis("latitude"), F.lit(")"))).otherwise(value)
+
+
+def first_claim(prop: str) -> Column:
+    """The first claim of a property as text, null if there is none."""
+    first = F.get(F.try_element_at("claims", F.lit(prop)), 0)
+    return claim_value(first["kind"], first["value"])
+
+
+def claim_columns(entities: DataFrame, properties: dict[str, str] = KNOWN_PROPERTIES) -> DataFrame:
+    """id and a column for each known property: a pivot within the row, as each document holds all its claims."""
+    return entities.select("id", *[first_claim(p).alias(name) for p, name in properties.items()])
+
+
+def external_ids(entities: DataFrame) -> DataFrame:
+    """id, labels, outside ids, link of the encyclopedia's article, and the coordinates."""
+    label = lambda lang: F.coalesce(F.try_element_at("labels", F.lit(lang)), F.lit(""))
+    title = F.try_element_at("sitelinks", F.lit("jawiki"))
+    spot = F.get(F.try_element_at("claims", F.lit("P625")), 0)
+    at = F.when(spot["kind"] == "globecoordinate", F.from_json(spot["value"], "struct<latitude:double,longitude:double>"))
+    ids = [first_claim(p).alias(KNOWN_PROPERTIES[p]) for p in ("P4082", "P349", "P214")]
+    return entities.select("id", label("ja").alias("label_ja"), label("en").alias("label_en"), *ids, F.concat(F.lit("http://ja.dbpedia.org/resource/"), title).alias("dbpedia_uri"), at["latitude"].alias("lat"), at["longitude"].alias("lon"))
 
 
 # ---- sinks
@@ -176,7 +213,22 @@ def write_csv_reports(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_geojson_lines(df: DataFrame, path: str, properties: list[str]) -> None:
-    """Point features, one JSON object a line, coordinates as [lon, lat]."""
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))
+def write_datasets(parts: dict[str, DataFrame], path: str, form: str = "json") -> None:
+    """Several datasets in one write, a folder dataset=name for each; folders of other datasets stay.
+
+    Each row is a JSON record of its own dataset's columns beside the name, so
+    that one write holds datasets of different shapes.
+    """
+    rows = [df.select(F.lit(name).alias("dataset"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")) for name, df in parts.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    form = "text" if form == "json" else form
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").format(form).save(path)
+
+
+def write_geojson_lines(df: DataFrame, path: str, properties: list[str], tags: str | None = None) -> None:
+    """Point features, one JSON object a line, coordinates as [lon, lat]; ``tags``: a map column that becomes the property tags."""
+    named = [*properties, *([c(tags).alias("tags")] if tags else [])]
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(*named).alias("properties"))
     df.where("lat is not null and lon is not null").select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
