@@ -8,7 +8,8 @@ from kumihimo.functions import rules
 from kumihimo.plans import analytics, generators
 from kumihimo.plans.enrichment import keyword_themes, located
 from kumihimo.plans.joins import all_trigrams, similar
-from kumihimo.plans.search import trigram_hits, write_postings
+from kumihimo.plans import text_index
+from kumihimo.plans.search import trigram_hits
 from kumihimo.sources.graph import Graph
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,12 +47,13 @@ def test_trigrams_of_wide_and_long_texts(spark):
     assert got == sorted(tuple(t[i : i + 3] for i in range(len(t) - 2)) for t in texts[1:])
 
 
-def test_saved_postings_give_the_same_hits(spark):
+def test_stored_index_gives_the_same_hits_as_a_scan(spark):
+    """All hits of a keyword in the label, by positions in the index and by reading the labels."""
     g = Graph(spark, FOLDER)
-    write_postings(g.entities, "own_postings", buckets=4)
-    for word in ("able", "STEEL", "re"):
-        assert sorted(x["id"] for x in trigram_hits(g, word, "own_postings").collect()) == sorted(x["id"] for x in trigram_hits(g, word).collect())
-    spark.sql("DROP TABLE own_postings")
+    index = text_index.index_of(g, "grams")
+    for word in ("able", "STEEL", "nnn", "of the"):
+        found = index.phrase(text_index.tokens_of(spark, word, "grams")).where("field = 'label'")
+        assert sorted(x["id"] for x in found.select("id").collect()) == sorted(x["id"] for x in trigram_hits(g, word).select("id").collect())
 
 
 def test_route_fill_is_the_first_in_the_box(spark):

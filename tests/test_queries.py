@@ -14,7 +14,7 @@ CHOSEN = [
     "scan_edges", "filt_bbox", "filt_exclude_ids", "filt_only_value", "sort_then_resort", "sample_hash_pct", "set_tag_diff", "set_pair_dedupe",
     "join_edge_either_end", "join_left_count", "join_grid_radius", "join_fallback_chain", "join_fuzzy", "agg_tag_map", "agg_entropy", "agg_latency_stats", "agg_coverage_matrix",
     "win_nearest_k", "win_new_and_cumulative", "win_group_quota", "fn_tile_xy", "fn_regnal_year", "fn_kanji_number", "fn_granularity", "fn_theme_distance", "fn_score_rule_v2", "fn_text_overlap",
-    "text_trigram_search", "text_bm25", "text_theme_fallback", "gen_theme_scored_v2", "gen_isolated_nearest", "gen_cross_medium_zip", "gen_pilgrimage_landmark",
+    "text_trigram_search", "text_token_search", "text_hybrid_search", "text_bm25", "text_title_containment", "src_geojson_points", "src_claim_value", "src_external_ids", "sink_dataset", "sink_geojson", "stream_index_refresh", "job_geo_from_tag", "job_geo_from_label", "job_filter_granularity", "job_audit_prefix", "job_tag_persons", "job_retag_specific", "win_grid_layout", "gen_same_theme_sample", "text_theme_fallback", "gen_theme_scored_v2", "gen_isolated_nearest", "gen_cross_medium_zip", "gen_pilgrimage_landmark",
     "job_dedupe_name_radius", "job_dedupe_work_author", "job_autotag", "job_heritage_rank", "job_verdict_merge", "job_release_year_tiers", "job_dormant", "job_graph_health", "q_region_profile", "q_bulk_profiles", "q_explore", "q_serendipity_walk", "q_deep_dive", "q_emergence", "q_prefecture_profile", "q_tourism_assets", "q_compare", "q_timeline", "q_map_work",
 ]
 

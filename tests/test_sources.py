@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from kumihimo.sources import files
+from kumihimo.streaming import index as stream_index
 from kumihimo.streaming import ingest
 
 
@@ -91,4 +92,4 @@ def test_streams_append_once(spark, tmp_path):
     (inbox / "2.json").write_text("\n".join([row(4, "ALPHA"), row(5, "Gamma")]))
     both()
     assert sorted(r["key"] for r in spark.read.parquet(store).collect()) == ["alpha", "beta", "gamma"]
-    assert spark.read.parquet(index).where("gram = 'amm'").count() == 1
+    assert stream_index.with_token(spark, index, "amm", 16).count() == 1
