@@ -21,9 +21,8 @@ one space, blocks are joined in page order by line breaks. Scripts, styles,
 templates and the head are markup, not text.
 
 Defined cases: null and empty html give '' and 0; broken markup is read as
-far as it goes (an unclosed element ends with its parent; a tag whose quotes
-don't close within ``_TAG_REACH`` characters ends at its first >, and without
-one is text; elements deeper than ``_DEEPEST`` are siblings, as in browsers), in
+far as it goes (an unclosed element ends with its parent; a tag with a quote
+that never closes ends at its first >, and without one is text; elements deeper than ``_DEEPEST`` are siblings, as in browsers), in
 time that grows with the page; plain text without
 markup is one block; repeated rows each count; with no page that names its
 article the rewritten defaults below train alone; an empty table gives an
@@ -60,6 +59,8 @@ SCOPE = frozenset("html body table ul ol dl div section article aside nav footer
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 _MARKUP = re.compile(r"<(?=[/A-Za-z!?])")
+_MARK = re.compile(r"[>\"']")
+#: Tags up to here are read by one pattern, longer ones from quote to quote.
 _TAG_REACH = 1 << 14
 _DEEPEST = 512
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -100,8 +101,31 @@ LEAF, PART, PLAIN, NAME = range(4)
 _PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption tr".split())
 
 
-def next_tag(source: str, at: int, last: int) -> tuple[int, int, str, str, str] | None:
-    """(start, end, name, '/' if closing, attributes) of the first tag from a place on; comments and declarations have no name. last: place of the last >."""
+def _tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Behind the > that ends a tag, from a place among its attributes on; -1 if a quote in it never closes.
+
+    dead: quotes from which this is known, so that no stretch is read anew for each tag before it.
+    """
+    path = []
+    while m := _MARK.search(source, at):
+        k = m.start()
+        if source[k] == ">":
+            return k + 1
+        path.append(k)
+        close = -1 if k in dead else source.find(source[k], k + 1)
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(path)
+    return -1
+
+
+def next_tag(source: str, at: int, last: int, dead: set[int]) -> tuple[int, int, str, str, str] | None:
+    """(start, end, name, '/' if closing, attributes) of the first tag from a place on; comments and declarations have no name. last: place of the last >; dead: as in _tag_end.
+
+    A > inside a quoted value does not end a tag, however long the value is; a
+    tag with a quote that never closes ends at its first >.
+    """
     while m := _MARKUP.search(source, at):
         begin = m.start()
         if source.startswith("<!--", begin):
@@ -115,6 +139,8 @@ def next_tag(source: str, at: int, last: int) -> tuple[int, int, str, str, str]
         head = _OPEN.match(source, begin)
         stop = source.find(">", begin) + 1
         if head:
+            whole = _tag_end(source, head.end(), dead)
+            stop = whole if whole > 0 else stop
             return begin, stop, head[2], head[1], source[head.end() : stop - 1]
         if source[begin + 1] in "!?":
             return begin, stop, "", "", ""
@@ -149,7 +175,8 @@ def parse(source: str) -> Tree:
             linked = 0
 
     last = source.rfind(">")
-    while tag := next_tag(source, at, last):
+    dead: set[int] = set()
+    while tag := next_tag(source, at, last, dead):
         begin, stop, name, closing, attributes = tag
         if begin > at:
             piece = source[at:begin]

@@ -67,13 +67,21 @@ def test_html_query_rows(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("source", ["<a " * 350_000, '<a ">' * 200_000, "<center>" * 60_000 + "<p>x" * 30_000, "<!-- " * 200_000, "<script>" + "</script " * 100_000, "<div>" * 150_000 + "x", "<" * 1_000_000, "a &amp; " * 130_000])
+@pytest.mark.parametrize("source", ["<a " * 350_000, '<a ">' * 200_000, "<center>" * 60_000 + "<p>x" * 30_000, "<!-- " * 200_000, "<script>" + "</script " * 100_000, "<div>" * 150_000 + "x", "<" * 1_000_000, "a &amp; " * 130_000, "<a b='" + '<a "' * 200_001 + ">", "<p a=\"'\">" * 90_000 + "'", "<p " + "a='>' " * 200_000 + ">x"])
 def test_html_of_a_megabyte_is_read_in_one_go(source):
     began = time.process_time()
     t = html_extract.parse(source)
     assert time.process_time() - began < 20 and max(t.depth) <= html_extract._DEEPEST + 1
 
 
+@pytest.mark.parametrize("size", [1_000, 20_000, 1_000_000])
+def test_html_long_values_stay_in_their_tag(size):
+    model, data = html_extract.train([]), "data:image/png;base64," + "A9+/" * (size // 4)
+    page = f'<article><p>Some text of the page goes here, before.</p><img alt="a > b" src="{data}"><p title=\'{data}>\'>More of the text comes after it, and ends.</p></article>'
+    assert html_extract.extract(model, [page]) == ["Some text of the page goes here, before.\nMore of the text comes after it, and ends."]
+    assert html_extract.extract(model, [page.replace('">', ">", 1) + "</html>"])[0].startswith("Some text of the page goes here, before.")
+
+
 def test_html_pages_that_do_not_name_their_article():
     pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
     model = html_extract.train([p for p in pages if p and "<article" in p])
