@@ -29,7 +29,6 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -43,37 +42,63 @@ TOP = 10
 #: Rows of the ordered vocabulary (each for all terms of the same counts) in a chunk.
 CHUNK = 8192
 #: Counts that a task holds before it passes them on.
-HELD = 400_000
+HELD = 1_000_000
 SCALE = 1_000_000_000
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+class _Numbers(dict):
+    """Numbers of keys in order of their first sight."""
+
+    def __missing__(self, key):
+        out = self[key] = len(self)
+        return out
+
+
+def _added(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct keys, and the sum of each column for each of them."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in columns)]
+
+
 def _counts(held: int):
     """Texts -> (lang, source, term, n, docs), added up within a task as far as ``held`` counts allow."""
 
-    def out(total: dict, docs: dict) -> pa.RecordBatch:
-        rows = [(g, t, n, docs[g][t]) for g, c in total.items() for t, n in c.items()]
-        column = lambda values, kind: pa.array(values, kind)
-        names = [g for g, _, _, _ in rows]
-        return pa.RecordBatch.from_arrays(
-            [column([g[0] for g in names], pa.string()), column([g[1] for g in names], pa.string()), column([t for _, t, _, _ in rows], pa.binary()).cast(pa.string()), column([n for *_, n, _ in rows], pa.int64()), column([d for *_, d in rows], pa.int64())],
-            names=["lang", "source", "term", "n", "docs"],
-        )
+    def out(groups: _Numbers, terms: _Numbers, keys: np.ndarray, n: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        at, names = pa.array(keys >> 32), list(groups)
+        said = lambda k: pa.array([x[k] for x in names], pa.string()).take(at)
+        words = pa.array(list(terms), pa.binary()).cast(pa.string()).take(pa.array(keys & 0xFFFFFFFF))
+        return pa.RecordBatch.from_arrays([said(0), said(1), words, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
-        total, docs = defaultdict(Counter), defaultdict(Counter)
+        groups, terms, waiting, size = _Numbers(), _Numbers(), [], 0
+        none = np.zeros(0, np.int64)
+        kept = [none, none, none]
         for part in slices(batches, 2):
-            texts = part.column(2).cast(pa.binary())
-            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                terms = _TERM.findall(text.as_py().lower())
-                total[lang, source].update(terms)
-                docs[lang, source].update(set(terms))
-            if sum(map(len, total.values())) > held:
-                yield out(total, docs)
-                total, docs = defaultdict(Counter), defaultdict(Counter)
-        if any(total.values()):
-            yield out(total, docs)
+            numbers, lengths = [], []
+            for text in part.column(2).cast(pa.binary()):
+                words = _TERM.findall(text.as_py().lower())
+                numbers.append(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)))
+                lengths.append(len(words))
+            group = np.array([groups[x] for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], np.int64)
+            # each term of each document once, with how often it is there
+            each = np.sort((np.repeat(np.arange(len(lengths)), lengths) << 32) + np.concatenate(numbers))
+            first = np.flatnonzero(np.append(True, each[1:] != each[:-1])) if len(each) else none
+            keys = (group[each[first] >> 32] << 32) + (each[first] & 0xFFFFFFFF)
+            waiting.append((keys, np.diff(np.append(first, len(each))), np.ones(len(first), np.int64)))
+            size += len(first)
+            if size > 2 * held:
+                kept = _added(*(np.concatenate(c) for c in zip(kept, *waiting, strict=True)))
+                waiting, size = [], 0
+                if len(kept[0]) > held or len(terms) > held:
+                    yield out(groups, terms, *kept)
+                    groups, terms, kept = _Numbers(), _Numbers(), [none, none, none]
+        kept = _added(*(np.concatenate(c) for c in zip(kept, *waiting, strict=True)))
+        if len(kept[0]):
+            yield out(groups, terms, *kept)
 
     return run
 

@@ -48,7 +48,7 @@ def test_divergence(spark):
         rows.append((lang, source, " 1".join(r.choices(vocabulary, weight, k=r.randrange(30)))))
     rows += [("fr", "s1", "rare words only"), ("fr", "s2", None), ("xx", "s9", None), (None, "empty", ""), ("de", "long", "a " * 20_000), *rows[:20]]
     df = spark.createDataFrame([(*x, 1, "own", "own") for x in rows], "lang string, source string, text string, n long, term string, chunk string")
-    for chunk, held in ((8192, 400_000), (3, 20)):
+    for chunk, held in ((8192, 1_000_000), (3, 20)):
         got = divergence.audit(df, chunk=chunk, held=held).collect()
         assert len(got) == len({tuple(x) for x in got}) and {tuple(x) for x in got} == audited(rows, 10, 10)
     assert divergence.audit(df.limit(0)).count() == 0
