@@ -17,6 +17,8 @@ HELD = 1 << 21
 #: Representatives of a large group at the first level, and by how much their number grows from level to level.
 WIDTH = 8
 GROWTH = 8
+#: What is left open in a group of at most so many times WORK is compared in blocks.
+BRUTE = 256
 
 _U = np.uint64
 
@@ -216,7 +218,35 @@ def _held_against(kind, threshold: float, splits: int):
 _HELD_ROWS = "key long, rep long, size long, held long, score long, led boolean, lead boolean, root long, next array<long>"
 
 
-def joined(groups: DataFrame, payload: DataFrame, kind, threshold: float, work: int, held: int, splits: int = 0, width: int = WIDTH, growth: int = GROWTH) -> DataFrame:
+def _left_open(kind, threshold: float):
+    """Two blocks of a group -> edges between components, from the sets that are neither in the group's main one nor were representatives, against all sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = lambda c: group.column(c).combine_chunks()
+        sizes, part, label, main, led = (column(c).to_numpy(zero_copy_only=False) for c in ("size", "part", "label", "main", "led"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sets = kind(sizes, column("data"), threshold)
+        names, at = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))
+        free = (label != main) & ~led
+        for leads, others in ((np.flatnonzero(free & (part == i)), part == j), *(((np.flatnonzero(free & (part == j)), (part == i) & ~free),) if i != j else ())):
+            for k in leads.tolist():
+                seen = np.flatnonzero(others & (root[at] != root[at[k]]))
+                if i == j:
+                    seen = seen[~free[seen] | (seen > k)]
+                if len(seen):
+                    met = np.unique(root[at[seen[sets.one(k, seen)]]])
+                    if len(met):
+                        met = np.append(met, root[at[k]])
+                        root[np.isin(root, met)] = met.min()
+        moved = root != np.arange(len(names))
+        return pa.table([pa.array(names[moved]), pa.array(names[root[moved]])], names=["a", "b"])
+
+    return run
+
+
+def joined(groups: DataFrame, payload: DataFrame, kind, threshold: float, work: int, held: int, splits: int = 0, width: int = WIDTH, growth: int = GROWTH, brute: int = BRUTE) -> DataFrame:
     """Edges (a, b) that connect whatever links inside groups connect.
 
     groups: key, rep, size, held (what a set counts for), score; payload: rep,
@@ -226,10 +256,11 @@ def joined(groups: DataFrame, payload: DataFrame, kind, threshold: float, work:
     linked so far is one component. A group is settled, and ends, when each of
     its sets is in the component of the most of them, or has been a
     representative, which has met all: then no pair is left whose link could
-    join anything. In others more sets that are not settled lead, ``growth``
-    times as many a level; ``splits`` > 0 first splits each into the groups of
-    sampled tokens, in so many runs.
-    Parts of a group that a task holds count for ``held`` at most.
+    join anything. What is left open in a group of at most ``brute`` times
+    ``work`` is held against all its sets in blocks, and the group ends. In a
+    larger one more sets lead, ``growth`` times as many a level; ``splits`` > 0
+    instead splits it into the groups of sampled tokens, in so many runs.
+    Blocks and parts that a task holds count for ``held`` at most.
     """
     state = groups.select("key", "rep", "size", "held", "score", F.col("rep").alias("label"), F.lit(False).alias("led"))
     edges = groups.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
@@ -239,16 +270,24 @@ def joined(groups: DataFrame, payload: DataFrame, kind, threshold: float, work:
         by_label = state.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("held").alias("total"), F.count_if("led").alias("led"))
         sizes = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max_by("label", "n").alias("main"), F.sum(F.col("n") - F.col("led")).alias("unled"), F.max_by(F.col("n") - F.col("led"), "n").alias("calm"))
         sizes = staged(sizes.where("n > 1 and unled > calm").drop("unled", "calm"))
-        small, large = sizes.agg(F.count_if(fits), F.count_if(~fits)).first()
+        middle = ~fits & (F.col("n") * F.col("total") <= brute * work) & F.lit(level > 0)
+        large = ~fits & ~middle
+        counts = sizes.agg(*[F.count_if(x).alias(n) for n, x in (("small", fits), ("middle", middle), ("large", large))]).first()
+        if not any(counts):
+            return edges
         live = state.join(sizes, "key")
-        if large:  # read more than once
+        if sum(map(bool, counts)) > 1 or counts["large"]:  # read more than once
             live = staged(live)
-        if small:
+        if counts["small"]:
             edges = edges.unionByName(compared_whole(live.where(fits).join(payload, "rep"), kind, threshold).select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        if not large:
+        if counts["middle"]:
+            rows = live.where(middle).join(payload, "rep").withColumn("parts", F.ceil(F.col("total") * 2 / held).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+            pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "size", "label", "main", "led", "data")
+            edges = edges.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(_left_open(kind, threshold), "a long, b long"))
+        if not counts["large"]:
             return edges
-        great = live.where(~fits)
-        slots = width * growth ** (level if not splits else max(0, level - 1))
+        great = live.where(large)
+        slots = width * growth ** (0 if splits else level)
         order = F.xxhash64("rep", "key", F.lit(level))
         free = great.where("not led and label <> main")
         chosen = free.groupBy("key", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min_by("rep", order).alias("rep")).select("key", "rep")
@@ -260,7 +299,8 @@ def joined(groups: DataFrame, payload: DataFrame, kind, threshold: float, work:
         members = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("lead", F.lit(False))
         heads = rows.where("leads").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lead", F.lit(True))
         both = members.select(columns).unionByName(heads.select(columns))
-        out = staged(both.groupBy("key", "part").applyInArrow(_held_against(kind, threshold, splits if level == 0 else 0), _HELD_ROWS))
+        # a group that was large and is met again is split, if it is to be, into groups that may end
+        out = staged(both.groupBy("key", "part").applyInArrow(_held_against(kind, threshold, splits if level else 0), _HELD_ROWS))
         edges = staged(edges.unionByName(out.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))).distinct())
         classes = components(edges).select(F.col("node").alias("rep"), F.col("class").alias("label"))
         following = out.where("not lead").select(F.explode("next").alias("key"), "rep", "size", "held", "score", "led")
