@@ -163,10 +163,11 @@ def agg_latency_stats(g):
     per = g.table("events").where("value is not null").groupBy("event_type", "value").agg(n_rows())
     upto = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = per.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy("event_type"))})
-    at = F.floor(c("total") * 0.95)
-    here = (c("upto") > at) & (c("upto") - c("n") <= at)
-    basic = g.table("events").groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
-    p95 = ranked.where(here).select("event_type", c("value").alias("p95"))
+    holds = lambda at: (c("upto") > at) & (c("upto") - c("n") <= at)
+    taken = lambda at: F.max(F.when(holds(at), c("value")))
+    middle = (taken(F.floor((c("total") - 1) / 2)) + taken(F.floor(c("total") / 2))) / 2
+    basic = g.table("events").groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    p95 = ranked.groupBy("event_type").agg(taken(F.floor(c("total") * 0.95)).alias("p95"), middle.alias("median"))
     return basic.join(p95, "event_type").select("event_type", "n", micro(c("mean")).alias("mean6"), micro(c("median")).alias("median6"), micro(c("p95")).alias("p95_6"), micro(c("low")).alias("min6"), micro(c("high")).alias("max6"))
 
 

@@ -165,10 +165,9 @@ def q_today(g):
 # ---- graph walks
 
 
-def step_out(frontier, edges, k):
-    """The k best neighbours of each frontier row (start, node)."""
-    near = frontier.join(edges, "node").select("start", "node", "other", "score")
-    return first_per(near, ["start", "node"], [F.desc("score"), "other"]).where(c("rn") <= k)
+def best_edges(edges, k):
+    """The k best edges of each node. They don't depend on where a walk began, so they are ranked once, before any join."""
+    return first_per(edges, ["node"], [F.desc("score"), "other"]).where(c("rn") <= k).select("node", "other")
 
 
 @query(
@@ -180,12 +179,12 @@ l2 AS (SELECT DISTINCT start, other AS node FROM l2a WHERE other <> start AND NO
 SELECT start, 1 AS hop, count(*) AS n FROM l1 GROUP BY start UNION ALL SELECT start, 2, count(*) FROM l2 GROUP BY start""",
 )
 def q_explore(g, hops=2, k=5):
-    """Neighbourhoods of many starts at once: each hop is a join and a cut by rank, without what was seen."""
-    edges = both_ways(g.kept).select("node", "other", "score")
+    """Neighbourhoods of many starts at once: each hop is a join with the k best edges of each node, without what was seen."""
+    best = best_edges(both_ways(g.kept).select("node", "other", "score"), k)
     starts = g.entities.where("entity_type = 'place'").select(c("id").alias("start"), c("id").alias("node"))
     seen, frontier, out = starts, starts, None
     for hop in range(1, hops + 1):
-        reached = step_out(frontier, edges, k).select("start", c("other").alias("node")).distinct()
+        reached = frontier.join(best, "node").select("start", c("other").alias("node")).distinct()
         frontier = reached.join(seen, ["start", "node"], "left_anti")
         level = frontier.groupBy("start").agg(F.count("*").alias("n")).select("start", F.lit(hop).alias("hop"), "n")
         out = level if out is None else out.unionByName(level)
