@@ -29,4 +29,4 @@ def test_entry_without_optional_parts(tmp_path, gone):
     assert out.returncode == 0, out.stderr
     total, optional = map(int, out.stdout.split())
     here = (tmp_path / "kumihimo/llm").is_dir()
-    assert total - optional >= 250 and optional == (10 + (tmp_path / "corpus_pipeline.py").exists() if here else 0)
+    assert total - optional >= 250 and optional == (13 + (tmp_path / "corpus_pipeline.py").exists() if here else 0)

@@ -93,3 +93,18 @@ def test_streams_append_once(spark, tmp_path):
     both()
     assert sorted(r["key"] for r in spark.read.parquet(store).collect()) == ["alpha", "beta", "gamma"]
     assert stream_index.with_token(spark, index, "amm", 16).count() == 1
+
+
+def test_ids_of_kinds_stay_apart_at_any_scale(spark, tmp_path):
+    """Keys beyond a million: people, places, works and documents share no id, and types are told by it."""
+    from kumihimo.sources.graph import Graph
+
+    source = "/root/testdata/sf0.001"
+    more = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "documents": "doc_id"}
+    for table, key in more.items():
+        rows = spark.read.parquet(f"{source}/{table}.parquet").limit(50)
+        rows.withColumn(key, F.col(key) + 999_990 * (F.col(key) % 3)).write.parquet(str(tmp_path / f"{table}.parquet"))
+    e = Graph(spark, str(tmp_path)).entities.select("id", "entity_type")
+    assert e.count() == e.select("id").distinct().count()
+    kinds = {r["k"]: r["t"] for r in e.groupBy(F.floor(F.col("id") / 10**12).alias("k")).agg(F.collect_set("entity_type").alias("t")).collect()}
+    assert kinds == {1: ["person"], 2: ["place"], 3: ["work"], 4: ["artifact"]}
