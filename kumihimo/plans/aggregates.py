@@ -260,11 +260,11 @@ def text_source_summary(g):
 
 @query(
     "job_scenario_score",
-    "SELECT p_brand AS keyword, count(*) AS hits, count(s.other) AS edges, CASE WHEN count(s.other) >= 50 THEN 5 WHEN count(s.other) >= 20 THEN 4 WHEN count(s.other) >= 5 THEN 3 WHEN count(*) > 0 THEN 2 ELSE 1 END AS grade FROM part LEFT JOIN sym s ON s.node = 3000000 + p_partkey AND s.verdict = 'keep' GROUP BY p_brand",
+    "SELECT p_brand AS keyword, count(*) AS hits, count(s.other) AS edges, CASE WHEN count(s.other) >= 50 THEN 5 WHEN count(s.other) >= 20 THEN 4 WHEN count(s.other) >= 5 THEN 3 WHEN count(*) > 0 THEN 2 ELSE 1 END AS grade FROM part LEFT JOIN sym s ON s.node = 3000000000000 + p_partkey AND s.verdict = 'keep' GROUP BY p_brand",
 )
 def job_scenario_score(g):
     """A search-quality grade for each keyword, from its hits and their kept edges."""
-    hits = g.table("part").select(c("p_brand").alias("keyword"), (3_000_000 + c("p_partkey")).alias("id"))
+    hits = g.table("part").select(c("p_brand").alias("keyword"), (3_000_000_000_000 + c("p_partkey")).alias("id"))
     found = hits.join(both_ways(g.kept).select("node", "other"), c("id") == c("node"), "left").groupBy("keyword").agg(F.count("*").alias("hits"), F.count("other").alias("edges"))
     e = c("edges")
     return found.withColumn("grade", F.when(e >= 50, 5).when(e >= 20, 4).when(e >= 5, 3).when(c("hits") > 0, 2).otherwise(1))

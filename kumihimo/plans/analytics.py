@@ -271,14 +271,14 @@ _KIND_SQL = "CASE " + " ".join(f"WHEN connection_type IN ({', '.join(map(repr, t
 
 @query(
     "q_deep_dive",
-    f"""WITH e AS (SELECT * FROM (SELECT node, other, connection_type, score, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep' AND node >= 3000000) t WHERE rn <= 100),
+    f"""WITH e AS (SELECT * FROM (SELECT node, other, connection_type, score, row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS rn FROM sym WHERE verdict = 'keep' AND node >= 3000000000000) t WHERE rn <= 100),
 k AS (SELECT node, {_KIND_SQL} AS category, other, score, connection_type FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY node, category ORDER BY score DESC, other) AS rk, count(*) OVER (PARTITION BY node, category) AS n, count(*) OVER (PARTITION BY node) AS total FROM k),
 b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, category) AS pos FROM r WHERE rk = 1)
 SELECT node, category, other AS recommendation, connection_type, {micro_sql('score')} AS score6, n, total, pos FROM b WHERE pos <= 5""",
 )
 def q_deep_dive(g, edges=100, n=5):
     """Of each work's best hundred kept edges, by kind of neighbour: the best one and how many there are; the best n kinds."""
-    few = first_per(both_ways(g.kept).where("node >= 3000000"), ["node"], [F.desc("score"), "other"]).where(c("rn") <= edges)
+    few = first_per(both_ways(g.kept).where("node >= 3000000000000"), ["node"], [F.desc("score"), "other"]).where(c("rn") <= edges)
     kind = F.lit("other")
     for name, types in reversed(NEIGHBOUR_KINDS):
         kind = F.when(c("connection_type").isin(*types), name).otherwise(kind)
@@ -313,10 +313,10 @@ def q_cultural_route(g, theme="ECONOMY", centre=(34.7, 135.5, 100), n=20, k=3):
 _SPOT = "connection_type LIKE 'pilgrimage%'"
 
 
-@query("q_pilgrimage_by_work", f"SELECT s.node AS work, e.id AS place, e.lat, e.lon FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node >= 3000000 AND e.lat IS NOT NULL")
+@query("q_pilgrimage_by_work", f"SELECT s.node AS work, e.id AS place, e.lat, e.lon FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node >= 3000000000000 AND e.lat IS NOT NULL")
 def q_pilgrimage_by_work(g):
     """Each work's places, from either end of an edge. (These edges have no text of their own to match.)"""
-    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000)).select(c("node").alias("work"), c("other").alias("place"))
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000000000)).select(c("node").alias("work"), c("other").alias("place"))
     return s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
 
 
@@ -332,16 +332,16 @@ def q_pilgrimage_near(g, box=_BOX, km=20.0):
     return near.join(spots, c("id") == c("node"), "left_semi").select("id", micro(c("km")).alias("km6"))
 
 
-@query("q_pilgrimage_browse", f"SELECT node AS work, count(DISTINCT other) AS places FROM sym WHERE {_SPOT} AND node >= 3000000 GROUP BY node ORDER BY places DESC, work LIMIT 50")
+@query("q_pilgrimage_browse", f"SELECT node AS work, count(DISTINCT other) AS places FROM sym WHERE {_SPOT} AND node >= 3000000000000 GROUP BY node ORDER BY places DESC, work LIMIT 50")
 def q_pilgrimage_browse(g, n=50):
-    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000))
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000000000))
     return s.groupBy(c("node").alias("work")).agg(F.count_distinct("other").alias("places")).orderBy(F.desc("places"), "work").limit(n)
 
 
 @query("q_pilgrimage_route")
 def q_pilgrimage_route(g, most=20, reach=0.5, fill=10):
     """For each work its first places and, within half a degree of their middle, the artifacts with the least ids (``fill`` at most, to ``most`` in all), in nearest-neighbour order."""
-    s = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).where("node >= 3000000").select(c("node").alias("work"), c("other").alias("place"))
+    s = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).where("node >= 3000000000000").select(c("node").alias("work"), c("other").alias("place"))
     at = s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
     few = first_per(at, ["work"], ["place"]).where(c("rn") <= most).drop("rn")
     middle = few.groupBy("work").agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"), F.count("*").alias("has"))
@@ -366,7 +366,7 @@ def _first_in_box(g, middle, reach, n, cuts=4):
     "q_nearby",
     f"""WITH {_TAGS}, p AS (SELECT id, {_KM} AS km, abs(lat - 35.0) + abs(lon - 136.0) AS flat FROM entities WHERE lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r} AND is_dormant = 0),
 f AS (SELECT id, km FROM p ORDER BY floor(flat * 1e6 + 0.5), id LIMIT 80), h AS (SELECT id, km FROM f WHERE km <= 20 ORDER BY floor(km * 1e6 + 0.5), id LIMIT 40),
-w AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY rn) AS works FROM (SELECT h.id, s.other, row_number() OVER (PARTITION BY h.id ORDER BY s.score DESC, s.other) AS rn FROM h JOIN sym s ON s.node = h.id AND s.other BETWEEN 3000000 AND 3999999) q WHERE rn <= 3 GROUP BY id)
+w AS (SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY rn) AS works FROM (SELECT h.id, s.other, row_number() OVER (PARTITION BY h.id ORDER BY s.score DESC, s.other) AS rn FROM h JOIN sym s ON s.node = h.id AND s.other BETWEEN 3000000000000 AND 3999999999999) q WHERE rn <= 3 GROUP BY id)
 SELECT h.id, {micro_sql('km')} AS km6, tags, works FROM h LEFT JOIN tm ON tm.entity_id = h.id LEFT JOIN w ON w.id = h.id""",
 )
 def q_nearby(g, box=_BOX, km=20.0, n=40, k=3):
@@ -375,7 +375,7 @@ def q_nearby(g, box=_BOX, km=20.0, n=40, k=3):
     flat = F.floor((F.abs(c("lat") - 35.0) + F.abs(c("lon") - 136.0)) * 1e6 + 0.5)
     first = g.entities.where("is_dormant = 0").where(c("lat").between(box[0], box[1]) & c("lon").between(box[2], box[3])).select("id", away.alias("km"), flat.alias("flat")).orderBy("flat", "id").limit(2 * n)
     near = first.where(c("km") <= km).select("id", micro(c("km")).alias("km6")).orderBy("km6", "id").limit(n)
-    works = g.both_ways.where(c("other").between(3_000_000, 3_999_999)).join(F.broadcast(near.select("id")), c("node") == c("id"))
+    works = g.both_ways.where(c("other").between(3_000_000_000_000, 3_999_999_999_999)).join(F.broadcast(near.select("id")), c("node") == c("id"))
     best = first_per(works, ["id"], [F.desc("score"), "other"]).where(c("rn") <= k)
     lists = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "other"))), lambda x: x["other"].cast("string")), ",").alias("works"))
     return with_tags(g, near, "id").join(lists, "id", "left").select("id", "km6", "tags", "works")
@@ -410,7 +410,7 @@ def feature(lon, lat, **properties):
     return F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*[v.alias(k) for k, v in properties.items()]).alias("properties")))
 
 
-@query("q_map_work", f"SELECT s.node AS work, e.id AS place, {_POINT_SQL}\"id\":' || CAST(e.id AS VARCHAR) || ',\"label\":\"' || e.label || '\",\"work\":' || CAST(s.node AS VARCHAR) || '}}}}' AS feature FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node >= 3000000 AND e.lat IS NOT NULL")
+@query("q_map_work", f"SELECT s.node AS work, e.id AS place, {_POINT_SQL}\"id\":' || CAST(e.id AS VARCHAR) || ',\"label\":\"' || e.label || '\",\"work\":' || CAST(s.node AS VARCHAR) || '}}}}' AS feature FROM sym s JOIN entities e ON e.id = s.other WHERE s.{_SPOT} AND s.node >= 3000000000000 AND e.lat IS NOT NULL")
 def q_map_work(g):
     """Features of each work's places."""
     names = g.entities.select(c("id").alias("place"), "label")
@@ -487,7 +487,7 @@ def q_emergence(g, low=1600, high=2024, types=("same_source",)):
 
 
 _EXPORT_SQL = {
-    "pilgrimage": f"SELECT s.other AS place, s.node AS work, w.label FROM sym s JOIN entities w ON w.id = s.node WHERE s.{_SPOT} AND s.node >= 3000000 ORDER BY s.node, s.other LIMIT 500",
+    "pilgrimage": f"SELECT s.other AS place, s.node AS work, w.label FROM sym s JOIN entities w ON w.id = s.node WHERE s.{_SPOT} AND s.node >= 3000000000000 ORDER BY s.node, s.other LIMIT 500",
     "year": "SELECT id, label, release_year FROM entities WHERE release_year IS NOT NULL ORDER BY release_year, id LIMIT 500",
     "cross": "SELECT k.a_id, k.b_id, k.connection_type FROM connections k JOIN entities x ON x.id = k.a_id JOIN entities y ON y.id = k.b_id WHERE x.entity_type <> y.entity_type ORDER BY k.score DESC, k.a_id, k.b_id LIMIT 500",
     "geo": "SELECT id, lat, lon, entity_type FROM entities WHERE lat IS NOT NULL ORDER BY id LIMIT 500",
@@ -502,7 +502,7 @@ def _inside(g, box):
 
 @query("q_export_pilgrimage", _EXPORT_SQL["pilgrimage"])
 def q_export_pilgrimage(g, n=500, box=None):
-    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000)).select(c("other").alias("place"), c("node").alias("work"))
+    s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000000000)).select(c("other").alias("place"), c("node").alias("work"))
     s = s if box is None else s.join(_inside(g, box).withColumnRenamed("id", "place"), "place", "left_semi")
     return s.join(g.entities.select(c("id").alias("work"), "label"), "work").orderBy("work", "place").limit(n).select("place", "work", "label")
 

@@ -178,7 +178,7 @@ _OCC_SQL = ", ".join(f"('{o}', {chr(39) + m + chr(39) if m else 'NULL'}, {list(t
 
 @query(
     "job_tag_persons",
-    f"""WITH o(occ, medium, themes, experience) AS (VALUES {_OCC_SQL}), p AS (SELECT CAST(1000000 + c_custkey AS BIGINT) AS id, c_mktsegment AS occ, CASE WHEN c_custkey % 3 <> 0 THEN 1500 + c_custkey % 480 END AS birth, CASE WHEN c_custkey % 4 <> 0 THEN 1560 + c_custkey % 480 END AS death FROM customer),
+    f"""WITH o(occ, medium, themes, experience) AS (VALUES {_OCC_SQL}), p AS (SELECT CAST(1000000000000 + c_custkey AS BIGINT) AS id, c_mktsegment AS occ, CASE WHEN c_custkey % 3 <> 0 THEN 1500 + c_custkey % 480 END AS birth, CASE WHEN c_custkey % 4 <> 0 THEN 1560 + c_custkey % 480 END AS death FROM customer),
 y AS (SELECT id, {_ACTIVE_SQL} AS year FROM p), e AS (SELECT id, {era_of('year')} AS era FROM y)
 SELECT id, 'medium' AS axis, medium AS value_code, CAST(0.9 AS DOUBLE) AS confidence FROM p JOIN o USING (occ) WHERE medium IS NOT NULL UNION ALL SELECT id, 'theme', unnest(themes), 0.7 FROM p JOIN o USING (occ)
 UNION ALL SELECT id, 'experience', experience, 0.7 FROM p JOIN o USING (occ) WHERE experience IS NOT NULL UNION ALL SELECT id, 'era', era, 0.8 FROM e WHERE era IS NOT NULL""",
@@ -188,7 +188,7 @@ def job_tag_persons(g, occupations=OCCUPATIONS):
     dim = g.spark.createDataFrame(list(occupations), "occ string, medium string, themes array<string>, experience string")
     key = c("c_custkey")
     birth, death = F.when(key % 3 != 0, 1500 + key % 480), F.when(key % 4 != 0, 1560 + key % 480)
-    people = g.table("customer").select((1_000_000 + key).cast("long").alias("id"), c("c_mktsegment").alias("occ"), years.active_year(birth, death).alias("year")).join(F.broadcast(dim), "occ", "left")
+    people = g.table("customer").select((1_000_000_000_000 + key).cast("long").alias("id"), c("c_mktsegment").alias("occ"), years.active_year(birth, death).alias("year")).join(F.broadcast(dim), "occ", "left")
     return as_tags(people, [tag("medium", c("medium"), 0.9), tag("experience", c("experience"), 0.7), tag("era", F.expr(era_of("year")), 0.8)], [("theme", c("themes"), 0.7)])
 
 
@@ -217,11 +217,11 @@ _PAIRS_SQL = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)  # noq
 @query(
     "job_tag_works",
     f"""WITH gt(p_type, theme) AS (VALUES {_PAIRS_SQL(GENRE_THEMES)}), fm(p_brand, medium) AS (VALUES {_PAIRS_SQL(FORMAT_MEDIA)}), w AS (SELECT id, {era_of()} AS era FROM entities WHERE entity_type = 'work')
-SELECT CAST(3000000 + p_partkey AS BIGINT) AS id, 'theme' AS axis, theme AS value_code, CAST(0.9 AS DOUBLE) AS confidence FROM part JOIN gt USING (p_type) UNION ALL SELECT 3000000 + p_partkey, 'medium', medium, 0.9 FROM part JOIN fm USING (p_brand) UNION ALL SELECT id, 'era', era, 0.95 FROM w WHERE era IS NOT NULL""",
+SELECT CAST(3000000000000 + p_partkey AS BIGINT) AS id, 'theme' AS axis, theme AS value_code, CAST(0.9 AS DOUBLE) AS confidence FROM part JOIN gt USING (p_type) UNION ALL SELECT 3000000000000 + p_partkey, 'medium', medium, 0.9 FROM part JOIN fm USING (p_brand) UNION ALL SELECT id, 'era', era, 0.95 FROM w WHERE era IS NOT NULL""",
 )
 def job_tag_works(g, genres=GENRE_THEMES, formats=FORMAT_MEDIA):
     """Themes from a catalogue's genres, media from its formats, the era from the year of release."""
-    catalogue = g.table("part").select((3_000_000 + c("p_partkey")).cast("long").alias("id"), c("p_type").alias("genre"), c("p_brand").alias("form"))
+    catalogue = g.table("part").select((3_000_000_000_000 + c("p_partkey")).cast("long").alias("id"), c("p_type").alias("genre"), c("p_brand").alias("form"))
     theme, medium = g.spark.createDataFrame(list(genres), "genre string, theme string"), g.spark.createDataFrame(list(formats), "form string, medium string")
     works = g.entities.where("entity_type = 'work'").select("id", "release_year").join(catalogue, "id").join(F.broadcast(theme), "genre", "left").join(F.broadcast(medium), "form", "left")
     return as_tags(works, [tag("theme", c("theme"), 0.9), tag("medium", c("medium"), 0.9), tag("era", F.expr(era_of()), 0.95)])
@@ -231,7 +231,7 @@ def job_tag_works(g, genres=GENRE_THEMES, formats=FORMAT_MEDIA):
 GENERIC = "craft_mastery"
 SPECIFIC_WORDS = [("ring", "love_bond"), ("bolt", "mecha"), ("red", "seasonal_beauty"), ("steel", "war_conflict"), ("gear", "mecha")]
 
-_THEMED_SQL = f"t0 AS (SELECT CAST(3000000 + p_partkey AS BIGINT) AS id, '{GENERIC}' AS theme FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT 3000000 + p_partkey, p_type FROM part WHERE p_size % 5 = 0)"
+_THEMED_SQL = f"t0 AS (SELECT CAST(3000000000000 + p_partkey AS BIGINT) AS id, '{GENERIC}' AS theme FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT 3000000000000 + p_partkey, p_type FROM part WHERE p_size % 5 = 0)"
 
 
 @query(
@@ -242,7 +242,7 @@ SELECT id, theme FROM t0 WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id,
 )
 def job_retag_specific(g):
     """Works whose only theme is the generic one take the themes that their label's words name; where it names none, and for all others, tags stay."""
-    part = g.table("part").select((3_000_000 + c("p_partkey")).cast("long").alias("id"), "p_size", "p_type")
+    part = g.table("part").select((3_000_000_000_000 + c("p_partkey")).cast("long").alias("id"), "p_size", "p_type")
     themes = part.where("p_size % 3 <> 0").select("id", F.lit(GENERIC).alias("theme")).unionByName(part.where("p_size % 5 = 0").select("id", c("p_type").alias("theme")))
     return specific_themes(themes, g.entities.select("id", "label"))
 
@@ -255,10 +255,10 @@ def specific_themes(themes, labels, generic=GENERIC, words=SPECIFIC_WORDS):
     return themes.join(better.select("id"), "id", "left_anti").unionByName(better.select("id", F.explode("named").alias("theme")))
 
 
-@query("job_retag_catalog", "SELECT entity_id, axis, value_code FROM entity_tags WHERE NOT (axis = 'medium' AND entity_id - 3000000 IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)) UNION ALL SELECT 3000000 + p_partkey, 'medium', 'catalogue' FROM part WHERE p_partkey % 3 = 0")
+@query("job_retag_catalog", "SELECT entity_id, axis, value_code FROM entity_tags WHERE NOT (axis = 'medium' AND entity_id - 3000000000000 IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)) UNION ALL SELECT 3000000000000 + p_partkey, 'medium', 'catalogue' FROM part WHERE p_partkey % 3 = 0")
 def job_retag_catalog(g):
     """Weak tags of matched works go, the catalogue's come."""
-    matched = g.table("part").where("p_partkey % 3 = 0").select((3_000_000 + c("p_partkey")).cast("long").alias("entity_id"), F.lit("medium").alias("axis"))
+    matched = g.table("part").where("p_partkey % 3 = 0").select((3_000_000_000_000 + c("p_partkey")).cast("long").alias("entity_id"), F.lit("medium").alias("axis"))
     kept = g.tags.join(matched, ["entity_id", "axis"], "left_anti").select("entity_id", "axis", "value_code")
     return kept.unionByName(matched.withColumn("value_code", F.lit("catalogue")))
 
@@ -369,13 +369,13 @@ def located(labels):
 
 @query(
     "job_verdict_merge",
-    f"WITH v AS (SELECT 2000000 + l_suppkey AS a_id, 3000000 + l_partkey AS b_id, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'keep' END AS verdict, CAST(l_discount AS DOUBLE) AS theme_score, CAST(l_tax AS DOUBLE) AS era_score, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) SELECT k.a_id, k.b_id, {micro_sql('coalesce(theme_score, -1)')} AS theme6, {micro_sql('coalesce(era_score, -1)')} AS era6 FROM connections k LEFT JOIN v ON v.a_id = k.a_id AND v.b_id = k.b_id AND rn = 1 WHERE coalesce(v.verdict, k.verdict) = 'keep'",
+    f"WITH v AS (SELECT 2000000000000 + l_suppkey AS a_id, 3000000000000 + l_partkey AS b_id, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'keep' END AS verdict, CAST(l_discount AS DOUBLE) AS theme_score, CAST(l_tax AS DOUBLE) AS era_score, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM lineitem) SELECT k.a_id, k.b_id, {micro_sql('coalesce(theme_score, -1)')} AS theme6, {micro_sql('coalesce(era_score, -1)')} AS era6 FROM connections k LEFT JOIN v ON v.a_id = k.a_id AND v.b_id = k.b_id AND rn = 1 WHERE coalesce(v.verdict, k.verdict) = 'keep'",
 )
 def job_verdict_merge(g):
     """Edges with the latest of their landed verdicts and its scores; what is not kept goes. An edge without one keeps its own verdict."""
     log = g.table("lineitem").select(
-        (2_000_000 + c("l_suppkey")).cast("long").alias("a_id"),
-        (3_000_000 + c("l_partkey")).cast("long").alias("b_id"),
+        (2_000_000_000_000 + c("l_suppkey")).cast("long").alias("a_id"),
+        (3_000_000_000_000 + c("l_partkey")).cast("long").alias("b_id"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", F.when(c("l_returnflag") == "R", "reject").otherwise("keep").alias("verdict"), c("l_discount").cast("double").alias("theme"), c("l_tax").cast("double").alias("era")).alias("v"),
     )
     latest = log.groupBy("a_id", "b_id").agg(F.max("v").alias("v"))
@@ -405,7 +405,7 @@ def audited(edges, most, exempt):
 
 
 _SAME_PLACE_SQL = """sp AS (SELECT a_id AS place, b_id AS work, row_number() OVER (PARTITION BY a_id ORDER BY b_id) AS rn FROM connections WHERE connection_type = 'pilgrimage_spot'),
-pl AS (SELECT CAST(2000000 + s_suppkey AS BIGINT) AS place, CASE WHEN s_acctbal > 7000 THEN r_name WHEN s_acctbal > 5000 THEN n_name || ' hall' WHEN s_acctbal > 2000 THEN n_name || '市' ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+pl AS (SELECT CAST(2000000000000 + s_suppkey AS BIGINT) AS place, CASE WHEN s_acctbal > 7000 THEN r_name WHEN s_acctbal > 5000 THEN n_name || ' hall' WHEN s_acctbal > 2000 THEN n_name || '市' ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 e0 AS (SELECT a.work AS a_id, b.work AS b_id, pl.name FROM sp a JOIN sp b ON a.place = b.place AND a.rn < b.rn AND b.rn <= 12 JOIN pl ON pl.place = a.place),
 lv AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, CASE WHEN name IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST') THEN 'L2' WHEN name IN ('CHINA市', 'FRANCE市', 'BRAZIL市') THEN 'L4_high_density' WHEN contains(name, 'hall') THEN 'L5_venue' WHEN regexp_matches(name, '(市|町|村|区)$') THEN 'L4_city' ELSE 'L5_spot' END AS level FROM e0)"""
 
@@ -422,7 +422,7 @@ def job_filter_granularity(g, most=5000, generic=("Brand#1", "Brand#2", "Brand#3
     bal = c("s_acctbal")
     name = F.when(bal > 7000, c("r_name")).when(bal > 5000, F.concat("n_name", F.lit(" hall"))).when(bal > 2000, F.concat("n_name", F.lit("市"))).otherwise(c("s_name"))
     places = g.table("supplier").join(g.table("nation"), c("s_nationkey") == c("n_nationkey")).join(g.table("region"), c("n_regionkey") == c("r_regionkey"))
-    names = places.select((2_000_000 + c("s_suppkey")).cast("long").alias("place"), name.alias("name"))
+    names = places.select((2_000_000_000_000 + c("s_suppkey")).cast("long").alias("place"), name.alias("name"))
     pairs = capped_pairs(spots(g).select("place", c("work").alias("id")), ["place"], ["id"], 12).join(names, "place").select(c("x").alias("a_id"), c("y").alias("b_id"), "name")
     level = strings.granularity(c("name"), regions=["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], dense=["CHINA市", "FRANCE市", "BRAZIL市"], venues=["hall"])
     return fine_places(pairs.withColumn("level", level), g.entities.select("id", c("source").alias("kind")), most, generic).select("a_id", "b_id", "name", "level")

@@ -403,12 +403,12 @@ def fn_theme_distance(g):
 
 @query(
     "fn_medium_distance",
-    f"""WITH m AS (SELECT entity_id AS id, value_code AS v, substr(value_code, 1, 7) AS parent FROM entity_tags WHERE axis = 'medium' AND entity_id < 4000000),
+    f"""WITH m AS (SELECT entity_id AS id, value_code AS v, substr(value_code, 1, 7) AS parent FROM entity_tags WHERE axis = 'medium' AND entity_id < 4000000000000),
 p AS (SELECT x.id AS a_id, y.id AS b_id, CASE WHEN x.v = y.v THEN 0.0 WHEN x.v = y.parent OR y.v = x.parent THEN 0.15 WHEN x.parent = y.parent THEN 0.3 ELSE 1.0 END AS d FROM m x JOIN m y ON y.id = x.id + 1) SELECT a_id, b_id, {micro_sql('d')} AS d6 FROM p""",
 )
 def fn_medium_distance(g):
     """Brands of one maker are siblings."""
-    m = g.tags.where("axis = 'medium' and entity_id < 4000000").select(c("entity_id").alias("id"), c("value_code").alias("a"), F.substring("value_code", 1, 7).alias("pa"))
+    m = g.tags.where("axis = 'medium' and entity_id < 4000000000000").select(c("entity_id").alias("id"), c("value_code").alias("a"), F.substring("value_code", 1, 7).alias("pa"))
     b = m.select((c("id") - 1).alias("id"), c("id").alias("b_id"), c("a").alias("b"), c("pa").alias("pb"))
     kin = F.when(c("a") == c("b"), 0).when((c("a") == c("pb")) | (c("b") == c("pa")), 1).when(c("pa") == c("pb"), 2)
     return m.join(b, "id").select(c("id").alias("a_id"), "b_id", micro(distance.medium_distance(kin, one(False))).alias("d6"))

@@ -176,12 +176,12 @@ def gen_person_place_geo(g):
 _MEMBER = "(SELECT entity_id AS id, substr(value_code, 1, 5) AS v FROM entity_tags WHERE axis = '{}')"
 
 
-@query("gen_person_work_theme", fresh(_cross_sql(_MEMBER.format("experience"), "(SELECT 3000000 + p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'AUTOM' WHEN 1 THEN 'BUILD' WHEN 2 THEN 'FURNI' WHEN 3 THEN 'HOUSE' ELSE 'MACHI' END AS v FROM part)", "v", 10, 5)))
+@query("gen_person_work_theme", fresh(_cross_sql(_MEMBER.format("experience"), "(SELECT 3000000000000 + p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'AUTOM' WHEN 1 THEN 'BUILD' WHEN 2 THEN 'FURNI' WHEN 3 THEN 'HOUSE' ELSE 'MACHI' END AS v FROM part)", "v", 10, 5)))
 def gen_person_work_theme(g):
     """Persons and works of one field, ten by five of each."""
     people = tagged(g, "experience").withColumn("v", F.substring("v", 1, 5))
     field = F.element_at(F.array(*map(F.lit, ["AUTOM", "BUILD", "FURNI", "HOUSE", "MACHI"])), (c("p_size") % 5 + 1).cast("int"))
-    works = g.table("part").select((3_000_000 + c("p_partkey")).cast("long").alias("id"), field.alias("v"))
+    works = g.table("part").select((3_000_000_000_000 + c("p_partkey")).cast("long").alias("id"), field.alias("v"))
     return new_pairs(capped_cross(people, works, "v", 10, 5), g.edges)
 
 
@@ -474,10 +474,10 @@ def _prefix_chain(g, n, most):
 # ---- relations and shared attributes
 
 
-@query("gen_relation_pairs", fresh("SELECT e.id AS x, 3000000 + l.l_partkey AS y FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN entities e ON e.qid = 'Q' || CAST(o.o_custkey + 1 AS VARCHAR) WHERE l.l_linenumber = 1"))
+@query("gen_relation_pairs", fresh("SELECT e.id AS x, 3000000000000 + l.l_partkey AS y FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN entities e ON e.qid = 'Q' || CAST(o.o_custkey + 1 AS VARCHAR) WHERE l.l_linenumber = 1"))
 def gen_relation_pairs(g):
     """Relations between outside ids, resolved to entities."""
-    rel = g.table("orders").join(g.table("lineitem").where("l_linenumber = 1"), c("o_orderkey") == c("l_orderkey")).select(F.concat(F.lit("Q"), (c("o_custkey") + 1).cast("string")).alias("qid"), (3_000_000 + c("l_partkey")).cast("long").alias("y"))
+    rel = g.table("orders").join(g.table("lineitem").where("l_linenumber = 1"), c("o_orderkey") == c("l_orderkey")).select(F.concat(F.lit("Q"), (c("o_custkey") + 1).cast("string")).alias("qid"), (3_000_000_000_000 + c("l_partkey")).cast("long").alias("y"))
     return new_pairs(rel.join(g.entities.where("qid is not null").select("qid", c("id").alias("x")), "qid"), g.edges)
 
 
@@ -485,39 +485,39 @@ def _kind(status):
     return F.when(status == "F", "influence").when(status == "O", "adaptation").otherwise("series")
 
 
-@query("gen_property_typed", "SELECT DISTINCT 1000000 + o_custkey AS a_id, 2000000 + l_suppkey AS b_id, CASE o_orderstatus WHEN 'F' THEN 'influence' WHEN 'O' THEN 'adaptation' ELSE 'series' END AS connection_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = 1000000 + o_custkey AND k.b_id = 2000000 + l_suppkey)")
+@query("gen_property_typed", "SELECT DISTINCT 1000000000000 + o_custkey AS a_id, 2000000000000 + l_suppkey AS b_id, CASE o_orderstatus WHEN 'F' THEN 'influence' WHEN 'O' THEN 'adaptation' ELSE 'series' END AS connection_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = 1000000000000 + o_custkey AND k.b_id = 2000000000000 + l_suppkey)")
 def gen_property_typed(g):
     """New edges of the type that a property of an item stands for."""
     both = g.table("orders").join(g.table("lineitem"), c("o_orderkey") == c("l_orderkey"))
-    x, y = (1_000_000 + c("o_custkey")).cast("long"), (2_000_000 + c("l_suppkey")).cast("long")
+    x, y = (1_000_000_000_000 + c("o_custkey")).cast("long"), (2_000_000_000_000 + c("l_suppkey")).cast("long")
     rows = both.select(F.least(x, y).alias("a_id"), F.greatest(x, y).alias("b_id"), _kind(c("o_orderstatus")).alias("connection_type")).where("a_id <> b_id").distinct()
     return rows.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
 
 
-@query("gen_shared_attribute", fresh("SELECT a.id AS x, b.id AS y FROM (SELECT 3000000 + p_partkey AS id, p_brand AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) a JOIN (SELECT 3000000 + p_partkey AS id, p_brand AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) b ON a.v = b.v AND a.rn < b.rn AND b.rn <= 30"))
+@query("gen_shared_attribute", fresh("SELECT a.id AS x, b.id AS y FROM (SELECT 3000000000000 + p_partkey AS id, p_brand AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) a JOIN (SELECT 3000000000000 + p_partkey AS id, p_brand AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) b ON a.v = b.v AND a.rn < b.rn AND b.rn <= 30"))
 def gen_shared_attribute(g, cap=30):
-    works = g.table("part").select((3_000_000 + c("p_partkey")).cast("long").alias("id"), c("p_brand").alias("v"))
+    works = g.table("part").select((3_000_000_000_000 + c("p_partkey")).cast("long").alias("id"), c("p_brand").alias("v"))
     return new_pairs(capped_pairs(works, ["v"], ["id"], cap), g.edges)
 
 
-@query("gen_creator_work", fresh("SELECT e.id AS x, 3000000 + l_partkey AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN entities e ON e.qid = 'Q' || CAST(o_custkey + 2 AS VARCHAR) WHERE e.entity_type = 'person'"))
+@query("gen_creator_work", fresh("SELECT e.id AS x, 3000000000000 + l_partkey AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN entities e ON e.qid = 'Q' || CAST(o_custkey + 2 AS VARCHAR) WHERE e.entity_type = 'person'"))
 def gen_creator_work(g):
     """Works whose creator, by an outside id, is a known person."""
-    made = g.table("orders").join(g.table("lineitem"), c("o_orderkey") == c("l_orderkey")).select(F.concat(F.lit("Q"), (c("o_custkey") + 2).cast("string")).alias("qid"), (3_000_000 + c("l_partkey")).cast("long").alias("y")).distinct()
+    made = g.table("orders").join(g.table("lineitem"), c("o_orderkey") == c("l_orderkey")).select(F.concat(F.lit("Q"), (c("o_custkey") + 2).cast("string")).alias("qid"), (3_000_000_000_000 + c("l_partkey")).cast("long").alias("y")).distinct()
     people = g.entities.where("qid is not null and entity_type = 'person'").select("qid", c("id").alias("x"))
     return new_pairs(made.join(people, "qid"), g.edges)
 
 
-@query("gen_food_region", fresh("SELECT 1000000 + c_custkey AS x, s AS y FROM customer JOIN (SELECT s_nationkey, min(2000000 + s_suppkey) AS s FROM supplier GROUP BY 1) t ON s_nationkey = c_nationkey"))
+@query("gen_food_region", fresh("SELECT 1000000000000 + c_custkey AS x, s AS y FROM customer JOIN (SELECT s_nationkey, min(2000000000000 + s_suppkey) AS s FROM supplier GROUP BY 1) t ON s_nationkey = c_nationkey"))
 def gen_food_region(g):
     """Each with the first place of its own region."""
-    first = g.table("supplier").groupBy("s_nationkey").agg(F.min(2_000_000 + c("s_suppkey")).alias("y"))
-    return new_pairs(g.table("customer").join(first, c("c_nationkey") == c("s_nationkey")).select((1_000_000 + c("c_custkey")).alias("x"), "y"), g.edges)
+    first = g.table("supplier").groupBy("s_nationkey").agg(F.min(2_000_000_000_000 + c("s_suppkey")).alias("y"))
+    return new_pairs(g.table("customer").join(first, c("c_nationkey") == c("s_nationkey")).select((1_000_000_000_000 + c("c_custkey")).alias("x"), "y"), g.edges)
 
 
-@query("gen_ingredient", fresh("SELECT e.id AS x, 3000000 + p_partkey AS y FROM part JOIN entities e ON e.qid = 'Q' || CAST(p_partkey % 500 AS VARCHAR)"))
+@query("gen_ingredient", fresh("SELECT e.id AS x, 3000000000000 + p_partkey AS y FROM part JOIN entities e ON e.qid = 'Q' || CAST(p_partkey % 500 AS VARCHAR)"))
 def gen_ingredient(g):
-    wanted = g.table("part").select((3_000_000 + c("p_partkey")).alias("y"), F.concat(F.lit("Q"), (c("p_partkey") % 500).cast("string")).alias("qid"))
+    wanted = g.table("part").select((3_000_000_000_000 + c("p_partkey")).alias("y"), F.concat(F.lit("Q"), (c("p_partkey") % 500).cast("string")).alias("qid"))
     return new_pairs(wanted.join(g.entities.where("qid is not null").select("qid", c("id").alias("x")), "qid"), g.edges)
 
 
@@ -607,12 +607,12 @@ def gen_pilgrimage_landmark(g, k=5):
 
 @query(
     "gen_work_spot",
-    "WITH l AS (SELECT 3000000 + p_partkey AS work, p_partkey, CAST(2000000 + 1 + p_size * 37 % 120 AS BIGINT) AS spot FROM part), s AS (SELECT work, coalesce(e.id, 5000000 + p_partkey) AS id, e.id IS NULL AS created FROM l LEFT JOIN entities e ON e.id = l.spot AND e.entity_type = 'place') SELECT least(work, id) AS a_id, greatest(work, id) AS b_id, 'pilgrimage_spot' AS connection_type, created FROM s WHERE NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = least(work, id) AND k.b_id = greatest(work, id))",
+    "WITH l AS (SELECT 3000000000000 + p_partkey AS work, p_partkey, CAST(2000000000000 + 1 + p_size * 37 % 120 AS BIGINT) AS spot FROM part), s AS (SELECT work, coalesce(e.id, 5000000000000 + p_partkey) AS id, e.id IS NULL AS created FROM l LEFT JOIN entities e ON e.id = l.spot AND e.entity_type = 'place') SELECT least(work, id) AS a_id, greatest(work, id) AS b_id, 'pilgrimage_spot' AS connection_type, created FROM s WHERE NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = least(work, id) AND k.b_id = greatest(work, id))",
 )
 def gen_work_spot(g):
     """New edges of listed (work, spot) rows: with the known place, or with one that is created for it."""
     places = g.entities.where("entity_type = 'place'").select("id")
-    listed = g.table("part").select((3_000_000 + c("p_partkey")).cast("long").alias("work"), (5_000_000 + c("p_partkey")).cast("long").alias("own"), (2_000_000 + 1 + c("p_size") * 37 % 120).cast("long").alias("spot"))
+    listed = g.table("part").select((3_000_000_000_000 + c("p_partkey")).cast("long").alias("work"), (5_000_000_000_000 + c("p_partkey")).cast("long").alias("own"), (2_000_000_000_000 + 1 + c("p_size") * 37 % 120).cast("long").alias("spot"))
     spot = listed.join(places, c("id") == c("spot"), "left").select("work", F.coalesce("id", "own").alias("y"), c("id").isNull().alias("created"))
     rows = spot.select(F.least("work", "y").alias("a_id"), F.greatest("work", "y").alias("b_id"), F.lit("pilgrimage_spot").alias("connection_type"), "created")
     return rows.join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")

@@ -121,7 +121,7 @@ def join_rect_first(g):
 
 @query(
     "join_fallback_chain",
-    """WITH cat AS (SELECT p_partkey AS cid, CASE WHEN p_size > 25 THEN 3000000 + p_partkey END AS eid_hint, CASE WHEN p_size % 2 = 0 THEN p_name END AS native, upper(p_name) AS english FROM part),
+    """WITH cat AS (SELECT p_partkey AS cid, CASE WHEN p_size > 25 THEN 3000000000000 + p_partkey END AS eid_hint, CASE WHEN p_size % 2 = 0 THEN p_name END AS native, upper(p_name) AS english FROM part),
 w AS (SELECT * FROM entities WHERE entity_type = 'work'),
 m AS (SELECT cid, id, 1 AS pr FROM cat JOIN w ON w.id = cat.eid_hint UNION ALL SELECT cid, id, 2 FROM cat JOIN w ON w.label = cat.native
       UNION ALL SELECT cid, id, 3 FROM cat JOIN w ON lower(w.label_en) = lower(cat.english))
@@ -129,7 +129,7 @@ SELECT cid, id, pr FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY
 )
 def join_fallback_chain(g):
     """Catalogue rows matched by id, else by native title, else by English title; the first way that finds one counts."""
-    hint, native = F.when(c("p_size") > 25, 3_000_000 + c("p_partkey")), F.when(c("p_size") % 2 == 0, c("p_name"))
+    hint, native = F.when(c("p_size") > 25, 3_000_000_000_000 + c("p_partkey")), F.when(c("p_size") % 2 == 0, c("p_name"))
     cat = g.table("part").select(c("p_partkey").alias("cid"), hint.alias("hint"), native.alias("native"), F.upper("p_name").alias("english"))
     w = g.entities.where("entity_type = 'work'").select("id", "label", F.lower("label_en").alias("folded"))
     way = lambda found, n: found.select("cid", "id", F.lit(n).alias("pr"))

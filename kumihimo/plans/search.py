@@ -150,7 +150,7 @@ def text_multi_keyword(g, keywords=("red", "steel", "the", "customer"), per=8, m
 
 
 _DICTIONARY_SQL = """dict AS (SELECT DISTINCT value_code AS code, CAST(NULL AS VARCHAR) AS parent FROM entity_tags WHERE axis = 'theme' UNION SELECT r_name, NULL FROM region UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
-own AS (SELECT entity_id, value_code AS code FROM entity_tags WHERE axis IN ('theme', 'geography') UNION SELECT 1000000 + c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 2000000 + s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+own AS (SELECT entity_id, value_code AS code FROM entity_tags WHERE axis IN ('theme', 'geography') UNION SELECT 1000000000000 + c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 2000000000000 + s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 @query(
@@ -170,7 +170,7 @@ def text_theme_fallback(g, keywords=("standard", "asia", "china", "able", "nowhe
     dictionary = tops.select("code", F.lit(None).cast("string").alias("parent")).unionByName(region.select(c("n_name").alias("code"), c("r_name").alias("parent"))).distinct()
     nation = lambda table, base, key, at: g.table(table).join(g.table("nation"), c(at) == c("n_nationkey")).select((F.lit(base) + c(key)).cast("long").alias("entity_id"), c("n_name").alias("code"))
     own = g.tags.where("axis in ('theme', 'geography')").select("entity_id", c("value_code").alias("code"))
-    own = own.unionByName(nation("customer", 1_000_000, "c_custkey", "c_nationkey")).unionByName(nation("supplier", 2_000_000, "s_suppkey", "s_nationkey"))
+    own = own.unionByName(nation("customer", 1_000_000_000_000, "c_custkey", "c_nationkey")).unionByName(nation("supplier", 2_000_000_000_000, "s_suppkey", "s_nationkey"))
     return label_or_theme(g.entities, dictionary, own, keywords, n)
 
 

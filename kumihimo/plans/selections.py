@@ -229,15 +229,15 @@ def set_tag_diff(g):
 @query(
     "set_pair_dedupe",
     """SELECT DISTINCT least(x, y) AS a_id, greatest(x, y) AS b_id FROM (
-  SELECT 2000000 + ps.l_suppkey AS x, 1000000 + o.o_custkey AS y FROM lineitem ps JOIN orders o ON o.o_orderkey = ps.l_orderkey
-  UNION ALL SELECT 3000000 + l_partkey, 2000000 + l_suppkey FROM lineitem) t
+  SELECT 2000000000000 + ps.l_suppkey AS x, 1000000000000 + o.o_custkey AS y FROM lineitem ps JOIN orders o ON o.o_orderkey = ps.l_orderkey
+  UNION ALL SELECT 3000000000000 + l_partkey, 2000000000000 + l_suppkey FROM lineitem) t
 WHERE x <> y AND NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = least(x, y) AND k.b_id = greatest(x, y))""",
 )
 def set_pair_dedupe(g):
     """Candidate pairs in one order, each once, without those that exist."""
     line, orders = g.table("lineitem"), g.table("orders")
-    made = line.join(orders, c("l_orderkey") == c("o_orderkey")).select((2_000_000 + c("l_suppkey")).alias("x"), (1_000_000 + c("o_custkey")).alias("y"))
-    known = line.select((3_000_000 + c("l_partkey")).alias("x"), (2_000_000 + c("l_suppkey")).alias("y"))
+    made = line.join(orders, c("l_orderkey") == c("o_orderkey")).select((2_000_000_000_000 + c("l_suppkey")).alias("x"), (1_000_000_000_000 + c("o_custkey")).alias("y"))
+    known = line.select((3_000_000_000_000 + c("l_partkey")).alias("x"), (2_000_000_000_000 + c("l_suppkey")).alias("y"))
     return new_pairs(made.unionByName(known), g.edges)
 
 

@@ -29,10 +29,10 @@ def win_topk_per_category(g):
     return g.both_ways.groupBy("node", "connection_type").agg(best.alias("b"), F.count("*").alias("n")).select("node", "connection_type", "b.other", "n")
 
 
-@query("win_cap_locations", "SELECT node AS work, count(*) AS n, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS places FROM (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY other) AS rn FROM sym WHERE connection_type = 'pilgrimage_spot' AND node >= 3000000) t WHERE rn <= 5 GROUP BY node")
+@query("win_cap_locations", "SELECT node AS work, count(*) AS n, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS places FROM (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY other) AS rn FROM sym WHERE connection_type = 'pilgrimage_spot' AND node >= 3000000000000) t WHERE rn <= 5 GROUP BY node")
 def win_cap_locations(g, cap=5):
     """At most ``cap`` places of each work; the count is made after the cap."""
-    spots = both_ways(g.edges.where("connection_type = 'pilgrimage_spot'")).where("node >= 3000000")
+    spots = both_ways(g.edges.where("connection_type = 'pilgrimage_spot'")).where("node >= 3000000000000")
     few = first_per(spots, ["node"], ["other"]).where(c("rn") <= cap)
     places = F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ",")
     return few.groupBy(c("node").alias("work")).agg(F.count("*").alias("n"), places.alias("places"))

@@ -43,10 +43,10 @@ class Graph:
     def entities(self) -> DataFrame:
         """id, label, label_en, entity_type, source, release_year, qid, is_dormant, lat, lon."""
         c = F.col
-        people = _entity(self.table("customer"), 1_000_000, "c_custkey", "c_name", "person", c("c_mktsegment"), c("c_custkey") % 2 == 0, qid=F.concat(F.lit("Q"), c("c_custkey").cast("string")))
-        places = _entity(self.table("supplier"), 2_000_000, "s_suppkey", "s_name", "place", F.lit("supplier"), F.lit(True), label_en=F.lower("s_name"))
-        works = _entity(self.table("part"), 3_000_000, "p_partkey", "p_name", "work", c("p_brand"), c("p_partkey") % 3 == 0, label_en=F.upper("p_name"), year=1600 + (c("p_partkey") * 37) % 425)
-        artifacts = _entity(self.table("documents"), 4_000_000, "doc_id", "text", "artifact", c("source"), c("doc_id") % 2 == 1, dormant=F.when(c("doc_id") % 10 == 9, 1).otherwise(0))
+        people = _entity(self.table("customer"), 1_000_000_000_000, "c_custkey", "c_name", "person", c("c_mktsegment"), c("c_custkey") % 2 == 0, qid=F.concat(F.lit("Q"), c("c_custkey").cast("string")))
+        places = _entity(self.table("supplier"), 2_000_000_000_000, "s_suppkey", "s_name", "place", F.lit("supplier"), F.lit(True), label_en=F.lower("s_name"))
+        works = _entity(self.table("part"), 3_000_000_000_000, "p_partkey", "p_name", "work", c("p_brand"), c("p_partkey") % 3 == 0, label_en=F.upper("p_name"), year=1600 + (c("p_partkey") * 37) % 425)
+        artifacts = _entity(self.table("documents"), 4_000_000_000_000, "doc_id", "text", "artifact", c("source"), c("doc_id") % 2 == 1, dormant=F.when(c("doc_id") % 10 == 9, 1).otherwise(0))
         return people.unionByName(places).unionByName(works).unionByName(artifacts)
 
     @cached_property
@@ -62,13 +62,13 @@ class Graph:
         part, customer, supplier = self.table("part"), self.table("customer"), self.table("supplier")
         year = part.withColumn("y", (1600 + (F.col("p_partkey") * 37) % 425))
         parts = [
-            tag(part, 3_000_000, "p_partkey", "theme", F.col("p_type"), 1.0),
-            tag(part, 3_000_000, "p_partkey", "medium", F.col("p_brand"), 1.0),
-            tag(year, 3_000_000, "p_partkey", "era", F.expr(era_of("y")), 0.9),
-            tag(supplier.join(region, F.col("s_nationkey") == F.col("n_nationkey")), 2_000_000, "s_suppkey", "geography", F.col("r_name"), 0.8),
-            tag(customer.join(region, F.col("c_nationkey") == F.col("n_nationkey")), 1_000_000, "c_custkey", "geography", F.col("r_name"), 0.8),
-            tag(customer, 1_000_000, "c_custkey", "experience", F.col("c_mktsegment"), 0.7),
-            tag(self.table("documents"), 4_000_000, "doc_id", "medium", F.col("lang"), 0.6),
+            tag(part, 3_000_000_000_000, "p_partkey", "theme", F.col("p_type"), 1.0),
+            tag(part, 3_000_000_000_000, "p_partkey", "medium", F.col("p_brand"), 1.0),
+            tag(year, 3_000_000_000_000, "p_partkey", "era", F.expr(era_of("y")), 0.9),
+            tag(supplier.join(region, F.col("s_nationkey") == F.col("n_nationkey")), 2_000_000_000_000, "s_suppkey", "geography", F.col("r_name"), 0.8),
+            tag(customer.join(region, F.col("c_nationkey") == F.col("n_nationkey")), 1_000_000_000_000, "c_custkey", "geography", F.col("r_name"), 0.8),
+            tag(customer, 1_000_000_000_000, "c_custkey", "experience", F.col("c_mktsegment"), 0.7),
+            tag(self.table("documents"), 4_000_000_000_000, "doc_id", "medium", F.col("lang"), 0.6),
         ]
         out = parts[0]
         for p in parts[1:]:
@@ -87,8 +87,8 @@ class Graph:
         line, orders = self.table("lineitem"), self.table("orders")
         c = F.col
         supply = line.select(
-            (2_000_000 + c("l_suppkey")).cast("long").alias("a_id"),
-            (3_000_000 + c("l_partkey")).cast("long").alias("b_id"),
+            (2_000_000_000_000 + c("l_suppkey")).cast("long").alias("a_id"),
+            (3_000_000_000_000 + c("l_partkey")).cast("long").alias("b_id"),
             F.when(c("l_linestatus") == "O", "pilgrimage_spot").otherwise("same_source").alias("connection_type"),
             (c("l_discount") * 10).cast("double").alias("score"),
             F.when(c("l_returnflag") == "R", "reject").otherwise("keep").alias("verdict"),
@@ -97,8 +97,8 @@ class Graph:
             c("l_linenumber").alias("k2"),
         )
         made = orders.join(line, c("o_orderkey") == c("l_orderkey")).select(
-            (1_000_000 + c("o_custkey")).cast("long").alias("a_id"),
-            (3_000_000 + c("l_partkey")).cast("long").alias("b_id"),
+            (1_000_000_000_000 + c("o_custkey")).cast("long").alias("a_id"),
+            (3_000_000_000_000 + c("l_partkey")).cast("long").alias("b_id"),
             F.lit("creator_work").alias("connection_type"),
             (c("l_tax") * 10).cast("double").alias("score"),
             F.when(c("o_orderstatus") == "F", "reject").otherwise("keep").alias("verdict"),
@@ -137,40 +137,40 @@ VIEWS_SQL = """entities AS (
          CASE WHEN geo THEN CAST(34.0 AS DOUBLE) + CAST((id * 7919) % 2000 AS DOUBLE) / CAST(1000.0 AS DOUBLE) END AS lat,
          CASE WHEN geo THEN CAST(135.0 AS DOUBLE) + CAST((id * 104729) % 2000 AS DOUBLE) / CAST(1000.0 AS DOUBLE) END AS lon
   FROM (
-    SELECT CAST(1000000 + c_custkey AS BIGINT) AS id, c_name AS label, CAST(NULL AS VARCHAR) AS label_en,
+    SELECT CAST(1000000000000 + c_custkey AS BIGINT) AS id, c_name AS label, CAST(NULL AS VARCHAR) AS label_en,
            'person' AS entity_type, c_mktsegment AS source, CAST(NULL AS INT) AS release_year,
            concat('Q', CAST(c_custkey AS VARCHAR)) AS qid, 0 AS is_dormant, c_custkey % 2 = 0 AS geo FROM customer
     UNION ALL
-    SELECT CAST(2000000 + s_suppkey AS BIGINT), s_name, lower(s_name), 'place', 'supplier', CAST(NULL AS INT),
+    SELECT CAST(2000000000000 + s_suppkey AS BIGINT), s_name, lower(s_name), 'place', 'supplier', CAST(NULL AS INT),
            CAST(NULL AS VARCHAR), 0, TRUE FROM supplier
     UNION ALL
-    SELECT CAST(3000000 + p_partkey AS BIGINT), p_name, upper(p_name), 'work', p_brand,
+    SELECT CAST(3000000000000 + p_partkey AS BIGINT), p_name, upper(p_name), 'work', p_brand,
            CAST(1600 + (p_partkey * 37) % 425 AS INT), CAST(NULL AS VARCHAR), 0, p_partkey % 3 = 0 FROM part
     UNION ALL
-    SELECT CAST(4000000 + doc_id AS BIGINT), text, CAST(NULL AS VARCHAR), 'artifact', source,
+    SELECT CAST(4000000000000 + doc_id AS BIGINT), text, CAST(NULL AS VARCHAR), 'artifact', source,
            CAST(NULL AS INT), CAST(NULL AS VARCHAR), CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END, doc_id % 2 = 1 FROM documents) t),
 entity_tags AS (
-  SELECT CAST(3000000 + p_partkey AS BIGINT) AS entity_id, 'theme' AS axis, p_type AS value_code, CAST(1.0 AS DOUBLE) AS confidence FROM part
-  UNION ALL SELECT 3000000 + p_partkey, 'medium', p_brand, 1.0 FROM part
-  UNION ALL SELECT 3000000 + p_partkey, 'era',
+  SELECT CAST(3000000000000 + p_partkey AS BIGINT) AS entity_id, 'theme' AS axis, p_type AS value_code, CAST(1.0 AS DOUBLE) AS confidence FROM part
+  UNION ALL SELECT 3000000000000 + p_partkey, 'medium', p_brand, 1.0 FROM part
+  UNION ALL SELECT 3000000000000 + p_partkey, 'era',
     CASE WHEN y < 1700 THEN 'edo_early' WHEN y < 1868 THEN 'edo_late' WHEN y < 1926 THEN 'meiji_taisho'
          WHEN y < 1945 THEN 'showa_prewar' WHEN y < 1989 THEN 'showa_postwar' WHEN y < 2019 THEN 'heisei' ELSE 'reiwa' END, 0.9
     FROM (SELECT p_partkey, 1600 + (p_partkey * 37) % 425 AS y FROM part) q
-  UNION ALL SELECT 2000000 + s_suppkey, 'geography', r_name, 0.8
+  UNION ALL SELECT 2000000000000 + s_suppkey, 'geography', r_name, 0.8
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 1000000 + c_custkey, 'geography', r_name, 0.8
+  UNION ALL SELECT 1000000000000 + c_custkey, 'geography', r_name, 0.8
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 1000000 + c_custkey, 'experience', c_mktsegment, 0.7 FROM customer
-  UNION ALL SELECT 4000000 + doc_id, 'medium', lang, 0.6 FROM documents),
+  UNION ALL SELECT 1000000000000 + c_custkey, 'experience', c_mktsegment, 0.7 FROM customer
+  UNION ALL SELECT 4000000000000 + doc_id, 'medium', lang, 0.6 FROM documents),
 connections AS (
   SELECT a_id, b_id, connection_type, score, verdict, source FROM (
     SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY k1, k2, score, verdict, connection_type) AS rn FROM (
-      SELECT CAST(2000000 + l_suppkey AS BIGINT) AS a_id, CAST(3000000 + l_partkey AS BIGINT) AS b_id,
+      SELECT CAST(2000000000000 + l_suppkey AS BIGINT) AS a_id, CAST(3000000000000 + l_partkey AS BIGINT) AS b_id,
              CASE WHEN l_linestatus = 'O' THEN 'pilgrimage_spot' ELSE 'same_source' END AS connection_type,
              CAST(l_discount * 10 AS DOUBLE) AS score, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'keep' END AS verdict,
              'lineitem' AS source, l_orderkey AS k1, l_linenumber AS k2 FROM lineitem
       UNION ALL
-      SELECT 1000000 + o_custkey, 3000000 + l_partkey, 'creator_work', CAST(l_tax * 10 AS DOUBLE),
+      SELECT 1000000000000 + o_custkey, 3000000000000 + l_partkey, 'creator_work', CAST(l_tax * 10 AS DOUBLE),
              CASE WHEN o_orderstatus = 'F' THEN 'reject' ELSE 'keep' END, 'orders', l_orderkey, l_linenumber
       FROM orders JOIN lineitem ON o_orderkey = l_orderkey) u) w
   WHERE rn = 1),
