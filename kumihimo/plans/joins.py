@@ -128,15 +128,16 @@ m AS (SELECT cid, id, 1 AS pr FROM cat JOIN w ON w.id = cat.eid_hint UNION ALL S
 SELECT cid, id, pr FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY pr, id) AS rn FROM m) t WHERE rn = 1""",
 )
 def join_fallback_chain(g):
-    """Catalogue rows matched by id, else by native title, else by English title; the first way that finds one counts."""
+    """Catalogue rows matched by id, else by native title, else by English title; the first way that finds one counts. A title's least id stands for all works that bear it, as no other is chosen."""
     hint, native = F.when(c("p_size") > 25, 3_000_000_000_000 + c("p_partkey")), F.when(c("p_size") % 2 == 0, c("p_name"))
     cat = g.table("part").select(c("p_partkey").alias("cid"), hint.alias("hint"), native.alias("native"), F.upper("p_name").alias("english"))
     w = g.entities.where("entity_type = 'work'").select("id", "label", F.lower("label_en").alias("folded"))
+    first = lambda title: w.groupBy(title).agg(F.min("id").alias("id"))
     way = lambda found, n: found.select("cid", "id", F.lit(n).alias("pr"))
     found = (
         way(cat.join(w, c("hint") == c("id")), 1)
-        .unionByName(way(cat.join(w, c("native") == c("label")), 2))
-        .unionByName(way(cat.join(w, F.lower("english") == c("folded")), 3))
+        .unionByName(way(cat.join(first("label"), c("native") == c("label")), 2))
+        .unionByName(way(cat.join(first("folded"), F.lower("english") == c("folded")), 3))
     )
     return found.groupBy("cid").agg(F.min(F.struct("pr", "id")).alias("m")).select("cid", "m.id", "m.pr")
 
