@@ -193,12 +193,13 @@ SELECT least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, max(CASE WHEN x.
 JOIN m x ON x.id = a.id JOIN m y ON y.id = b.id WHERE (x.medium <> y.medium OR x.era <> y.era) AND NOT EXISTS (SELECT 1 FROM connections k WHERE k.a_id = least(a.id, b.id) AND k.b_id = greatest(a.id, b.id)) GROUP BY 1, 2""",
 )
 def gen_rule_candidates(g, span=19):
-    """Theme sharers at most ``span`` apart in a seeded order, that differ in medium or era."""
-    pairs = linked_to_next(tagged(g, "theme").withColumn("h", hash_order("rule")), ["v"], ["h", "id"], span).select("x", "y")
-    m = g.tags.groupBy("entity_id").agg(F.max(F.when(c("axis") == "medium", c("value_code"))).alias("medium"), F.max(F.when(c("axis") == "era", c("value_code"))).alias("era"))
-    both = pairs.join(m.toDF("x", "xm", "xe"), "x").join(m.toDF("y", "ym", "ye"), "y")
+    """Theme sharers at most ``span`` apart in a seeded order, that differ in medium or era; medium and era go with the members, so no pair is joined with tags."""
+    value = lambda axis: F.when(c("axis") == axis, c("value_code"))
+    each = g.tags.groupBy(c("entity_id").alias("id")).agg(F.max(value("medium")).alias("m"), F.max(value("era")).alias("e"), F.collect_list(value("theme")).alias("v"))
+    members = each.select("id", "m", "e", F.explode("v").alias("v")).withColumn("h", hash_order("rule"))
+    pairs = linked_to_next(members, ["v"], ["h", "id"], span, both=("m", "e"))
     media, eras = c("xm") != c("ym"), c("xe") != c("ye")
-    scored = both.where(media | eras).select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.when(media & eras, 70).when(media, 65).otherwise(60).alias("s"))
+    scored = pairs.where(media | eras).select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), F.when(media & eras, 70).when(media, 65).otherwise(60).alias("s"))
     return scored.groupBy("a_id", "b_id").agg(F.max("s").alias("score100")).join(g.edges.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
 
 
@@ -264,9 +265,7 @@ _ERA_MEDIUM = "(SELECT e.entity_id AS id, e.value_code AS v, m.value_code AS w F
 def gen_same_era_cross_medium(g):
     """Within an era, the next four whose medium differs."""
     m = tagged(g, "medium").withColumnRenamed("v", "w")
-    pairs = linked_to_next(tagged(g, "era").join(m, "id"), ["v"], ["id"], 4).select("x", "y")
-    both = pairs.join(m.toDF("x", "xw"), "x").join(m.toDF("y", "yw"), "y").where("xw <> yw")
-    return new_pairs(both, g.edges)
+    return new_pairs(linked_to_next(tagged(g, "era").join(m, "id"), ["v"], ["id"], 4, both=("w",)).where("xw <> yw"), g.edges)
 
 
 _GEO_EXP = "(SELECT e.entity_id AS id, e.value_code AS v, m.value_code AS w FROM entity_tags e JOIN entity_tags m ON m.entity_id = e.entity_id AND m.axis = 'experience' WHERE e.axis = 'geography')"
@@ -275,8 +274,7 @@ _GEO_EXP = "(SELECT e.entity_id AS id, e.value_code AS v, m.value_code AS w FROM
 @query("gen_geo_cross_theme", fresh(f"SELECT x, y FROM ({_next_sql(_GEO_EXP, 'v', 4)}) n WHERE xw <> yw"))
 def gen_geo_cross_theme(g):
     m = tagged(g, "experience").withColumnRenamed("v", "w")
-    pairs = linked_to_next(tagged(g, "geography").join(m, "id"), ["v"], ["id"], 4).select("x", "y")
-    return new_pairs(pairs.join(m.toDF("x", "xw"), "x").join(m.toDF("y", "yw"), "y").where("xw <> yw"), g.edges)
+    return new_pairs(linked_to_next(tagged(g, "geography").join(m, "id"), ["v"], ["id"], 4, both=("w",)).where("xw <> yw"), g.edges)
 
 
 def _of_type(kind):

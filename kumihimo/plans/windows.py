@@ -47,20 +47,21 @@ def ranged(df, group, order):
     return at.withColumn("pid", F.shiftright("at", 33)).withColumn("at", c("at").bitwiseAND(F.lit(_ROW)))
 
 
-def linked_to_next(df, group, order, k=1, keep=()):
-    """Pairs of each member with the next k of its group: (x, y, step). ``order`` ends in what no two members share.
+def linked_to_next(df, group, order, k=1, keep=(), both=()):
+    """Pairs of each member with the next k of its group: (x, y, step). ``order`` ends in what no two members share. ``keep`` names columns of x to keep, ``both`` columns of x and y, kept as xn, yn.
 
     Members are linked inside ranges of (group, order), so a group that holds
     most rows is many tasks' work. The first k rows of a range are also lent
     to the k ranges before it, where its group may end.
     """
-    rows = ranged(df.select(*dict.fromkeys([*group, *order, "id", *keep])), group, order)
+    rows = ranged(df.select(*dict.fromkeys([*group, *order, "id", *keep, *both])), group, order)
     lent = F.when(c("at") < k, F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: c("pid") - j)).otherwise(F.array("pid"))
-    both = rows.withColumn("to", F.explode(lent))
+    lent_to = rows.withColumn("to", F.explode(lent))
     w = Window.partitionBy("to", *group).orderBy(*order)
-    nexts = F.array(*[F.lead("id", i).over(w) for i in range(1, k + 1)])
-    own = both.select("*", nexts.alias("nexts")).where("to = pid")
-    return own.select(*group, c("id").alias("x"), *keep, F.posexplode("nexts").alias("step", "y")).where("y is not null")
+    nexts = F.array(*[F.lead(F.struct("id", *both), i).over(w) for i in range(1, k + 1)])
+    own = lent_to.select("*", nexts.alias("nexts")).where("to = pid")
+    pairs = own.select(*group, c("id").alias("x"), *keep, *[c(n).alias(f"x{n}") for n in both], F.posexplode("nexts").alias("step", "next")).where("next is not null")
+    return pairs.select(*[x for x in pairs.columns if x != "next"], c("next.id").alias("y"), *[c(f"next.{n}").alias(f"y{n}") for n in both])
 
 
 def numbered(g, df, group, order):
