@@ -8,12 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.routes import nearest_first
+from ..functions.routes import routes_in_order
 from ..model import CALENDAR, MONTH_WORDS, NEIGHBOUR_KINDS, SEASON_WORDS, era_midpoint
 from ..sources.graph import both_ways, first_per
 from .aggregates import micro, micro_sql, n_rows
 from .registry import query
 from ..sources.files import write_datasets
+from ..sources.stored import materialized
 from .search import search
 from .selections import degree_box
 from .windows import hash_order
@@ -343,23 +344,58 @@ def q_pilgrimage_route(g, most=20, reach=0.5, fill=10):
     """For each work its first places and, within half a degree of their middle, the artifacts with the least ids (``fill`` at most, to ``most`` in all), in nearest-neighbour order."""
     s = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).where("node >= 3000000000000").select(c("node").alias("work"), c("other").alias("place"))
     at = s.join(g.entities.where("lat is not null").select(c("id").alias("place"), "lat", "lon"), "place").select("work", "place", "lat", "lon")
-    few = first_per(at, ["work"], ["place"]).where(c("rn") <= most).drop("rn")
-    middle = few.groupBy("work").agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"), F.count("*").alias("has"))
-    filled = first_per(_first_in_box(g, middle, reach, fill), ["work"], ["id"]).where((c("rn") <= fill) & (c("rn") + c("has") <= most)).select("work", c("id").alias("place"), "lat", "lon")
-    return few.unionByName(filled).groupBy("work").applyInPandas(nearest_first, "work long, place long, pos int")
-
-
-def _first_in_box(g, middle, reach, n, cuts=4):
-    """Awake artifacts within the box of each work, its first n at least. Of a cell wholly inside only the first n can count; cells of the rim are read whole."""
+    few = first_per(at, ["work"], ["place"]).where(c("rn") <= most).groupBy("work").agg(F.array_sort(F.collect_list(F.struct("place", "lat", "lon"))).alias("own"))
+    mean = lambda x: F.aggregate("own", F.lit(0.0), lambda a, p: a + p[x]) / F.size("own")
+    routes = materialized(g.spark, few.select("work", "own", mean("lat").alias("mid_lat"), mean("lon").alias("mid_lon")))
+    filled = _first_found(g, routes.select("work", "mid_lat", "mid_lon"), reach, fill)
+    stops = routes.join(filled, "work", "left").select("work", F.concat("own", F.slice(F.coalesce("found", F.array()), 1, F.greatest(F.lit(0), F.lit(most) - F.size("own")))).alias("stops"))
+    return stops.select("work", F.array_sort("stops").alias("stops")).mapInArrow(routes_in_order, "work long, place long, pos int")
+
+
+def _first_in_box(g, middle, reach, n):
+    """(work, id, lat, lon) of what ``_first_found`` lists, with middle's other columns."""
+    found = _first_found(g, middle.select("work", "mid_lat", "mid_lon"), reach, n).select("work", F.explode("found").alias("p"))
+    return middle.drop("mid_lat", "mid_lon").join(found, "work").select(*[x for x in middle.columns if x not in ("mid_lat", "mid_lon")], c("p.place").alias("id"), "p.lat", "p.lon")
+
+
+def _first_found(g, middle, reach, n, deep=64, cuts=4):
+    """(work, found): the n awake artifacts with the least ids within the box of each work.
+
+    A work looks at the ``deep`` least ids of each cell that its box meets.
+    What it finds there is right up to the last id of any such list that was
+    cut and has fewer than n in the box; works to which that leaves fewer than
+    n are asked again, cell by cell.
+    """
+    cell = lambda x, step: F.floor(x / step)
+    culture = g.entities.where("lat is not null and entity_type = 'artifact' and is_dormant = 0").select(c("id").alias("place"), "lat", "lon")
+    coarse = culture.withColumns({"cy": cell(c("lat"), reach), "cx": cell(c("lon"), reach)})
+    lists = first_per(coarse, ["cy", "cx"], ["place"]).where(c("rn") <= deep + 1).groupBy("cy", "cx").agg(F.array_sort(F.collect_list(F.struct("place", "lat", "lon"))).alias("all"))
+    lists = lists.select("cy", "cx", F.slice("all", 1, deep).alias("list"), F.when(F.size("all") > deep, F.get("all", F.lit(deep - 1))["place"]).alias("last"))
+    span = lambda x, step: F.explode(F.sequence(cell(c(x) - reach, step), cell(c(x) + reach, step)))
+    inside = lambda p: (F.abs(p["lat"] - c("mid_lat")) <= reach) & (F.abs(p["lon"] - c("mid_lon")) <= reach)
+    met = middle.withColumn("cy", span("mid_lat", reach)).withColumn("cx", span("mid_lon", reach)).join(lists, ["cy", "cx"])
+    seen = met.select("work", "mid_lat", "mid_lon", "last", F.slice(F.filter("list", inside), 1, n).alias("found"))
+    upto = F.min(F.when(F.size("found") < n, c("last"))).alias("upto")
+    best = seen.groupBy("work", "mid_lat", "mid_lon").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, n).alias("found"), upto)
+    sure = c("upto").isNull() | ((F.size("found") == n) & (F.get("found", F.lit(n - 1))["place"] <= c("upto")))
+    best = materialized(g.spark, best.withColumn("sure", sure))
+    again = _first_by_cells(culture, best.where("not sure").select("work", "mid_lat", "mid_lon"), reach, n, cuts)
+    return best.where("sure").select("work", "found").unionByName(again)
+
+
+def _first_by_cells(culture, middle, reach, n, cuts):
+    """The same for any layout. Of a cell wholly inside only the first n can count, and of one place; cells of the rim are read whole but for that."""
     step = reach / cuts
     cell = lambda x: F.floor(x / step)
-    culture = g.entities.where("lat is not null and entity_type = 'artifact' and is_dormant = 0").select("id", "lat", "lon", cell(c("lat")).alias("cy"), cell(c("lon")).alias("cx"))
+    placed = first_per(culture, ["lat", "lon"], ["place"]).where(c("rn") <= n).select("place", "lat", "lon", cell(c("lat")).alias("cy"), cell(c("lon")).alias("cx"))
     span = lambda x: F.explode(F.sequence(cell(c(x) - reach), cell(c(x) + reach)))
     within = lambda cell_, x: (c(cell_) * step >= c(x) - reach) & ((c(cell_) + 1) * step <= c(x) + reach)
     cells = middle.withColumn("cy", span("mid_lat")).withColumn("cx", span("mid_lon")).withColumn("inner", within("cy", "mid_lat") & within("cx", "mid_lon"))
-    few = first_per(culture, ["cy", "cx"], ["id"]).where(c("rn") <= n).drop("rn")
-    both = cells.where("inner").join(few, ["cy", "cx"]).unionByName(cells.where("not inner").join(culture, ["cy", "cx"]))
-    return both.where((F.abs(c("lat") - c("mid_lat")) <= reach) & (F.abs(c("lon") - c("mid_lon")) <= reach)).select("work", "has", "id", "lat", "lon")
+    few = first_per(placed, ["cy", "cx"], ["place"]).where(c("rn") <= n).drop("rn")
+    both = cells.where("inner").join(few, ["cy", "cx"]).unionByName(cells.where("not inner").join(placed, ["cy", "cx"]))
+    held = both.where((F.abs(c("lat") - c("mid_lat")) <= reach) & (F.abs(c("lon") - c("mid_lon")) <= reach)).select("work", "place", "lat", "lon")
+    first = first_per(held, ["work"], ["place"]).where(c("rn") <= n)
+    return first.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("place", "lat", "lon"))).alias("found"))
 
 
 @query(

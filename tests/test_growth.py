@@ -53,3 +53,52 @@ def largest_join(df):
 def test_fallback_chain_meets_a_title_once(spark, tripled):
     compare(spark, tripled, "join_fallback_chain")
     assert largest_join(registry.QUERIES["join_fallback_chain"](spark, str(tripled))) <= 600
+
+
+def test_rule_candidates_join_pairs_with_edges_alone(spark, tripled):
+    compare(spark, tripled, "gen_rule_candidates")
+    compare(spark, tripled, "gen_same_era_cross_medium")
+    # tags of pairs came from two joins; one is left, that with edges
+    plan = registry.QUERIES["gen_rule_candidates"](spark, str(tripled))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and "Join Inner, (x#" not in plan and "Join Inner, (y#" not in plan
+
+
+@pytest.mark.parametrize("deep", [1, 3, 64])
+def test_route_fill_is_whole_at_any_depth(spark, deep):
+    """Least ids in a box, with lists that end too early too, against direct computation."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kumihimo.plans.analytics import _first_found
+
+    r = random.Random(deep)
+    places = [(i, 34 + r.randrange(200) / 100, 135 + r.randrange(40) / 20) for i in range(900)]
+
+    class G:
+        entities = spark.createDataFrame(places, "id long, lat double, lon double").withColumns({"entity_type": F.lit("artifact"), "is_dormant": F.lit(0)})
+
+    G.spark = spark
+    middle = [(w, 33.8 + r.random() * 2.4, 134.8 + r.random() * 2.4) for w in range(60)] + [(99, 0.0, 0.0)]
+    df = _first_found(G, spark.createDataFrame(middle, "work long, mid_lat double, mid_lon double"), 0.5, 4, deep)
+    got = {x["work"]: [p["place"] for p in x["found"]] for x in df.collect() if x["found"]}
+    want = {w: sorted(i for i, a, b in places if abs(a - y) <= 0.5 and abs(b - x) <= 0.5)[:4] for w, y, x in middle}
+    assert got == {w: ids for w, ids in want.items() if ids}
+
+
+def test_routes_of_a_batch_as_one_by_one(spark):
+    import random
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from kumihimo.functions.routes import nearest_first, routes_in_order
+
+    r = random.Random(3)
+    routes = [(w, [(p, r.randrange(4) / 10, r.randrange(4) / 10) for p in sorted(r.sample(range(100), w % 21))]) for w in range(200)]
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64())]))
+    stops = pa.array([[dict(zip(("place", "lat", "lon"), p, strict=True)) for p in ps] for _, ps in routes], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array([w for w, _ in routes]), stops], names=["work", "stops"])
+    got = sorted(tuple(x.values()) for out in routes_in_order(iter([batch, batch.slice(7, 30)])) for x in out.to_pylist())
+    one = [tuple(int(v) for v in x) for w, ps in routes if ps for x in nearest_first(pd.DataFrame([(w, *p) for p in ps], columns=["work", "place", "lat", "lon"])).itertuples(index=False)]
+    assert got == sorted(one + [x for x in one if 7 <= x[0] < 37])
