@@ -193,15 +193,21 @@ def contained(short, long):
 
     A short text meets the long ones on its trigram that fewest of these have,
     so no cross product is made and a gram that most texts have is met only by
-    texts that have no other. Long texts stay out of the exploded rows.
+    texts that have no other. Of the long texts' grams only chosen ones leave
+    their row's task, so neither grams nor texts without a candidate are
+    shuffled. Equal short texts are met once.
     """
     wanted = short.where(F.length("short") >= 3)
-    grams = long.where(F.length("long") >= 3).select("id", F.explode(trigrams(c("long"))).alias("gram"))
+    texts = wanted.select("short").distinct()
+    held = long.where(F.length("long") >= 3)
+    grams = held.select("id", F.explode(trigrams(c("long"))).alias("gram"))
+    each = texts.select("short", F.explode(trigrams(c("short"))).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    each = wanted.select("short").distinct().select("short", F.explode(trigrams(c("short"))).alias("gram"))
     # a gram that no long text has leaves its short text without a partner
     rare = each.join(often, "gram", "left").groupBy("short").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0").select("short", "m.gram")
-    pairs = rare.join(grams, "gram").select("short", "id").join(long, "id").where(F.contains("long", "short")).select("short", "id")
+    # trigrams are a dictionary, however many texts there are
+    met = grams.join(F.broadcast(rare.select("gram").distinct()), "gram", "left_semi").join(rare, "gram").groupBy("id").agg(F.collect_set("short").alias("shorts"))
+    pairs = held.join(met, "id").select("id", F.explode(F.filter("shorts", lambda s: F.contains(c("long"), s))).alias("short"))
     return wanted.join(pairs, "short").select("key", "id")
 
 

@@ -102,3 +102,13 @@ def test_routes_of_a_batch_as_one_by_one(spark):
     got = sorted(tuple(x.values()) for out in routes_in_order(iter([batch, batch.slice(7, 30)])) for x in out.to_pylist())
     one = [tuple(int(v) for v in x) for w, ps in routes if ps for x in nearest_first(pd.DataFrame([(w, *p) for p in ps], columns=["work", "place", "lat", "lon"])).itertuples(index=False)]
     assert got == sorted(one + [x for x in one if 7 <= x[0] < 37])
+
+
+@pytest.mark.parametrize("name", ["text_title_containment", "join_containment_prune"])
+def test_containment_leaves_grams_in_their_task(spark, tripled, name):
+    """Every trigram of every label was shuffled; now chosen ones are."""
+    compare(spark, tripled, name)
+    df = registry.QUERIES[name](spark, str(tripled))
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in text
