@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, rules
+from ..functions.geo import haversine_m
 from ..sources.graph import first_per
 from .aggregates import micro, micro_sql
 from .joins import NEAR_SQL, grid_pairs
@@ -345,9 +346,32 @@ def gen_same_theme_sample(g, least=100, most=500):
 # ---- proximity
 
 
-def _near(g, radius):
-    points = g.entities.select("id", "lat", "lon", "entity_type", "source")
-    return grid_pairs(points, points, radius).where("a_id <> b_id")
+def new_near(g, placed, pairs, close, block=1000):
+    """New pairs of entities at places that are close: placed (id, lat, lon, kind), pairs of places (a_lat, a_lon, b_lat, b_lon) in both orders, ``close`` the test that they passed; kinds differ, unless they are null.
+
+    Places are compared instead of entities, and each entity takes with it the
+    places near its own and its edges to there. So pairs are made by the last
+    join and never shuffled. A place of more than ``block`` members is met in
+    blocks, so that its pairs are many tasks' work.
+    """
+    place = ["lat", "lon"]
+    placed = placed.dropDuplicates(["id"])
+    blocks = placed.groupBy(*[c(x).alias(f"b_{x}") for x in place]).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    at = lambda end: placed.select(c("id").alias(f"{end}_id"), *[c(x).alias(f"{end}_{x}") for x in place])
+    linked = g.edges.select("a_id", "b_id").join(at("a"), "a_id").join(at("b"), "b_id").where(close).groupBy("a_id", "b_lat", "b_lon").agg(F.collect_set("b_id").alias("linked"))
+    asked = at("a").join(placed.select(c("id").alias("a_id"), c("kind").alias("a_kind")), "a_id").join(pairs, ["a_lat", "a_lon"]).select("a_id", "a_kind", "b_lat", "b_lon").join(linked, ["a_id", "b_lat", "b_lon"], "left")
+    asked = asked.join(blocks, ["b_lat", "b_lon"]).withColumn("part", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).drop("blocks")
+    members = at("b").join(placed.select(c("id").alias("b_id"), c("kind").alias("b_kind")), "b_id").join(blocks, ["b_lat", "b_lon"]).withColumn("part", F.pmod(F.xxhash64("b_id"), c("blocks")).cast("int")).drop("blocks")
+    both = asked.join(members, ["b_lat", "b_lon", "part"]).where("a_id < b_id and not (a_kind <=> b_kind and a_kind is not null)")
+    return both.where(c("linked").isNull() | ~F.array_contains("linked", c("b_id"))).select("a_id", "b_id")
+
+
+def _near(g, radius, least=0.0, other_kind=False):
+    """New pairs of entities from ``least`` to ``radius`` metres apart."""
+    placed = g.entities.where("lat is not null").select("id", "lat", "lon", (c("entity_type") if other_kind else F.lit(None).cast("string")).alias("kind"))
+    places = placed.select("lat", "lon").distinct()
+    pairs = grid_pairs(places, places, radius).where(c("metres") >= least).select("a_lat", "a_lon", "b_lat", "b_lon")
+    return new_near(g, placed, pairs, haversine_m(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon")).between(least, radius))
 
 
 _NEAR_NEW = "SELECT a_id AS x, b_id AS y FROM near WHERE "
@@ -355,24 +379,25 @@ _NEAR_NEW = "SELECT a_id AS x, b_id AS y FROM near WHERE "
 
 @query("gen_proximity_500m", fresh(_NEAR_NEW + "metres <= 500 AND a_type <> b_type", f"WITH {NEAR_SQL}"))
 def gen_proximity_500m(g):
-    return new_pairs(_near(g, 500.0).where("a_entity_type <> b_entity_type"), g.edges, "a_id", "b_id")
+    return _near(g, 500.0, other_kind=True)
 
 
 @query("gen_proximity_deg", fresh("SELECT x, y FROM (SELECT a.id AS x, b.id AS y FROM entities a JOIN entities b ON a.id < b.id AND sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) < 0.01) t"))
 def gen_proximity_deg(g, degrees=0.01):
     """Within a distance in degrees, by cells of that size."""
-    p = g.entities.where("lat is not null").select("id", "lat", "lon")
+    placed = g.entities.where("lat is not null").select("id", "lat", "lon", F.lit(None).cast("string").alias("kind"))
     step = F.array(*[F.lit(x) for x in (-1, 0, 1)])
     cell = lambda x: F.floor(c(x) / degrees)
-    a = p.select(c("id").alias("x"), c("lat").alias("la"), c("lon").alias("lo"), cell("lat").alias("cy"), cell("lon").alias("cx"))
-    b = p.select(c("id").alias("y"), "lat", "lon", F.explode(step).alias("dy")).withColumn("dx", F.explode(step)).select("y", "lat", "lon", (cell("lat") + c("dy")).alias("cy"), (cell("lon") + c("dx")).alias("cx"))
-    near = a.join(b, ["cy", "cx"]).where("x < y").where(F.sqrt(F.pow(c("la") - c("lat"), 2) + F.pow(c("lo") - c("lon"), 2)) < degrees)
-    return new_pairs(near, g.edges)
+    a = placed.select(c("lat").alias("a_lat"), c("lon").alias("a_lon")).distinct().withColumns({"cy": cell("a_lat"), "cx": cell("a_lon")})
+    around = a.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
+    b = around.select(c("a_lat").alias("b_lat"), c("a_lon").alias("b_lon"), (c("cy") + c("dy")).alias("cy"), (c("cx") + c("dx")).alias("cx"))
+    close = F.sqrt(F.pow(c("a_lat") - c("b_lat"), 2) + F.pow(c("a_lon") - c("b_lon"), 2)) < degrees
+    return new_near(g, placed, a.join(b, ["cy", "cx"]).where(close).select("a_lat", "a_lon", "b_lat", "b_lon"), close)
 
 
 @query("gen_proximity_1km", fresh(_NEAR_NEW + "metres BETWEEN 10 AND 1000", f"WITH {NEAR_SQL}"))
 def gen_proximity_1km(g):
-    return new_pairs(_near(g, 1000.0).where("metres >= 10"), g.edges, "a_id", "b_id")
+    return _near(g, 1000.0, least=10.0)
 
 
 @query("gen_anchor_nearby", fresh("SELECT a_id AS x, b_id AS y FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY floor(metres + 0.5), b_id) AS rn FROM near WHERE a_source = 'supplier' AND b_source <> 'supplier' AND metres BETWEEN 10 AND 1000) t WHERE rn <= 3", f"WITH {NEAR_SQL}"))

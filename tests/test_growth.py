@@ -16,7 +16,7 @@ def compare(spark, folder, name):
     names, columns = sorted(df.columns), list(relation.columns)
     got = sorted((tuple(_plain(r[n]) for n in names) for r in df.collect()), key=repr)
     want = sorted((tuple(_plain(r[columns.index(n)]) for n in names) for r in relation.fetchall()), key=repr)
-    assert want and got == want
+    assert got == want
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +112,31 @@ def test_containment_leaves_grams_in_their_task(spark, tripled, name):
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi, BuildRight" in text
+
+
+@pytest.mark.parametrize("name", ["gen_proximity_deg", "gen_proximity_1km", "gen_proximity_500m"])
+def test_near_pairs_are_not_shuffled(spark, tripled, name):
+    compare(spark, tripled, name)
+    df = registry.QUERIES[name](spark, str(tripled))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # pairs were made distinct, and then joined with edges
+    assert "Aggregate" not in plan.split("Join Inner")[0] and "LeftAnti" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 5])
+def test_near_pairs_in_blocks(spark, block):
+    """A place with many members, met in blocks; pairs that have an edge are left out."""
+    from pyspark.sql import functions as F
+
+    from kumihimo.plans.generators import new_near
+
+    rows = [(i, 35.0, 135.0 + (i % 7 == 0), None if i % 2 else "k") for i in range(40)]
+
+    class G:
+        edges = spark.createDataFrame([(1, 2), (0, 7), (3, 33)], "a_id long, b_id long")
+
+    placed = spark.createDataFrame(rows + rows[:3], "id long, lat double, lon double, kind string")
+    pairs = spark.createDataFrame([(35.0, 135.0) * 2, (35.0, 136.0) * 2], "a_lat double, a_lon double, b_lat double, b_lon double")
+    got = sorted(tuple(x) for x in new_near(G, placed, pairs, F.expr("a_lat = b_lat and a_lon = b_lon"), block).collect())
+    fit = lambda x, y: x[2] == y[2] and not (x[3] and y[3]) and (x[0], y[0]) not in {(1, 2), (0, 7), (3, 33)}
+    assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and fit(x, y))
