@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance, rules
 from ..functions.geo import haversine_m
-from ..sources.graph import first_per
+from ..sources.graph import first_per, nodes_of
 from .aggregates import micro, micro_sql
 from .joins import NEAR_SQL, grid_pairs
 from .registry import query
@@ -62,7 +62,7 @@ _ISOLATED = "iso AS (SELECT * FROM entities e WHERE NOT EXISTS (SELECT 1 FROM sy
 
 
 def isolated(g):
-    return g.entities.join(g.both_ways, c("id") == c("node"), "left_anti")
+    return g.entities.join(nodes_of(g.edges), c("id") == c("node"), "left_anti")
 
 
 # ---- scored pairs
@@ -426,12 +426,12 @@ _NEAREST = "SELECT a_id AS x, b_id AS y FROM (SELECT n.*, row_number() OVER (PAR
 
 @query("gen_isolated_nearest", fresh(_NEAREST.format("NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = a_id)", 1000, 3), f"WITH {NEAR_SQL}"))
 def gen_isolated_nearest(g, k=3):
-    return _nearest_of(g, g.both_ways, 1000.0, k)
+    return _nearest_of(g, nodes_of(g.edges), 1000.0, k)
 
 
 @query("gen_unlinked_nearest", fresh(_NEAREST.format("NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = a_id AND s.connection_type = 'pilgrimage_spot')", 2000, 5), f"WITH {NEAR_SQL}"))
 def gen_unlinked_nearest(g, k=5):
-    return _nearest_of(g, g.both_ways.where("connection_type = 'pilgrimage_spot'"), 2000.0, k)
+    return _nearest_of(g, nodes_of(g.edges.where("connection_type = 'pilgrimage_spot'")), 2000.0, k)
 
 
 _CELLS = "(SELECT id, source || '|' || CAST(floor(lat * 5) AS BIGINT) || '|' || CAST(floor(lon * 5) AS BIGINT) AS v FROM entities WHERE lat IS NOT NULL)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..model import ERAS
-from ..sources.graph import both_ways, first_per
+from ..sources.graph import both_ways, first_per, nodes_of
 from .registry import query
 
 c = F.col
@@ -46,12 +46,12 @@ def join_left_dim_counts(g):
 
 @query("join_semi", "SELECT id FROM entities e WHERE EXISTS (SELECT 1 FROM sym s WHERE s.node = e.id AND s.connection_type LIKE 'pilgrimage%')")
 def join_semi(g):
-    return g.entities.join(g.both_ways.where(c("connection_type").startswith("pilgrimage")), c("id") == c("node"), "left_semi").select("id")
+    return g.entities.join(nodes_of(g.edges.where(c("connection_type").startswith("pilgrimage"))), c("id") == c("node"), "left_semi").select("id")
 
 
 @query("join_anti", "SELECT id, lat, lon FROM entities e WHERE lat IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.node = e.id)")
 def join_anti(g):
-    return g.entities.where("lat is not null").join(g.both_ways, c("id") == c("node"), "left_anti").select("id", "lat", "lon")
+    return g.entities.where("lat is not null").join(nodes_of(g.edges), c("id") == c("node"), "left_anti").select("id", "lat", "lon")
 
 
 @query("join_self_inequality", "SELECT a.id AS a_id, b.id AS b_id FROM entities a JOIN entities b ON lower(a.label) = b.label_en AND a.entity_type = b.entity_type AND a.id < b.id + 1")

@@ -140,3 +140,12 @@ def test_near_pairs_in_blocks(spark, block):
     got = sorted(tuple(x) for x in new_near(G, placed, pairs, F.expr("a_lat = b_lat and a_lon = b_lon"), block).collect())
     fit = lambda x, y: x[2] == y[2] and not (x[3] and y[3]) and (x[0], y[0]) not in {(1, 2), (0, 7), (3, 33)}
     assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and fit(x, y))
+
+
+@pytest.mark.parametrize("name", ["join_semi", "join_anti", "gen_isolated_nearest", "gen_unlinked_nearest"])
+def test_semi_joins_take_each_node_once(spark, tripled, name):
+    """All ends of all edges were joined, and sorted in the few tasks that their small files were merged into."""
+    compare(spark, tripled, name)
+    plan = registry.QUERIES[name](spark, str(tripled))._jdf.queryExecution().optimizedPlan().toString()
+    side = plan[plan.index("Join LeftSemi" if name == "join_semi" else "Join LeftAnti") :]
+    assert "Aggregate [node#" in side
