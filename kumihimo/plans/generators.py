@@ -171,7 +171,7 @@ def _geo(g, kind):
 
 @query("gen_person_place_geo", fresh(_cross_sql(_GEO.format("person"), _GEO.format("place"), "v", 20, 10)))
 def gen_person_place_geo(g):
-    return new_pairs(capped_cross(_geo(g, "person"), _geo(g, "place"), "v", 20, 10), g.edges)
+    return new_pairs(capped_cross(_geo(g, "person"), _geo(g, "place"), "v", 20, 10), g.edges, few=True)
 
 
 _MEMBER = "(SELECT entity_id AS id, substr(value_code, 1, 5) AS v FROM entity_tags WHERE axis = '{}')"
@@ -312,7 +312,7 @@ def gen_same_era_cross_source(g):
 @query("gen_region_cross_theme", fresh(_by_pairs_sql(_GEO_EXP, _dim_sql(EXPERIENCE_PAIRS), ["v"], "w", 10, "rt")))
 def gen_region_cross_theme(g):
     m = tagged(g, "geography").join(tagged(g, "experience").withColumnRenamed("v", "w"), "id")
-    return new_pairs(by_pairs(m, _dim(g, EXPERIENCE_PAIRS), ["v"], "w", 10, "rt"), g.edges)
+    return new_pairs(by_pairs(m, _dim(g, EXPERIENCE_PAIRS), ["v"], "w", 10, "rt"), g.edges, few=True)
 
 
 _SOURCES = [("src0", "src1"), ("src2", "src3"), ("AUTOMOBILE", "src0"), ("supplier", "MACHINERY"), ("Brand#1", "src1")]
