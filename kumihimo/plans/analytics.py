@@ -536,11 +536,23 @@ def _inside(g, box):
     return g.entities.where(c("lat").between(south, north) & c("lon").between(west, east)).select("id")
 
 
+def _first_joined(g, rows, order, joined, n):
+    """The first n by ``order`` of ``joined(rows)``, which takes rows away or adds columns but keeps those of the order.
+
+    The first 4 n rows are joined first. Where n of what they give are left,
+    no later row comes before these; else all rows are joined.
+    """
+    head = rows.orderBy(*order).limit(4 * n)
+    found = materialized(g.spark, joined(F.broadcast(head)).orderBy(*order).limit(n))
+    return found if found.count() >= n else joined(rows).orderBy(*order).limit(n)
+
+
 @query("q_export_pilgrimage", _EXPORT_SQL["pilgrimage"])
 def q_export_pilgrimage(g, n=500, box=None):
     s = g.both_ways.where(c("connection_type").startswith("pilgrimage") & (c("node") >= 3000000000000)).select(c("other").alias("place"), c("node").alias("work"))
     s = s if box is None else s.join(_inside(g, box).withColumnRenamed("id", "place"), "place", "left_semi")
-    return s.join(g.entities.select(c("id").alias("work"), "label"), "work").orderBy("work", "place").limit(n).select("place", "work", "label")
+    named = lambda rows: rows.join(g.entities.select(c("id").alias("work"), "label"), "work").select("place", "work", "label")
+    return _first_joined(g, s, ["work", "place"], named, n)
 
 
 @query("q_export_year", _EXPORT_SQL["year"])
@@ -557,7 +569,8 @@ def q_export_cross(g, n=500, box=None):
     if box is not None:  # either end may lie inside
         here = lambda end: k.join(_inside(g, box).withColumnRenamed("id", end), end, "left_semi")
         k = here("a_id").unionByName(here("b_id")).distinct()
-    return k.join(kind("a_id", "x"), "a_id").join(kind("b_id", "y"), "b_id").where("x <> y").orderBy(F.desc("score"), "a_id", "b_id").limit(n).select("a_id", "b_id", "connection_type")
+    cross = lambda rows: rows.join(kind("a_id", "x"), "a_id").join(kind("b_id", "y"), "b_id").where("x <> y").drop("x", "y")
+    return _first_joined(g, k.select("a_id", "b_id", "connection_type", "score"), [F.desc("score"), "a_id", "b_id"], cross, n).select("a_id", "b_id", "connection_type")
 
 
 @query("q_export_geo", _EXPORT_SQL["geo"])

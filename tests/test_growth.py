@@ -173,3 +173,27 @@ def test_scan_and_index_rank_alike(spark, tripled):
     before = {(w, k): ranked(g, w, k, 40).collect() for w, k in (("able", "grams"), ("of the", "words"))}
     for (w, k), rows_ in before.items():
         assert rows_ and rows_ == index_of(g, k).ranked(tokens_of(spark, w, k), 40).collect()
+
+
+@pytest.mark.parametrize("name", ["gen_region_cross_theme", "gen_person_place_geo"])
+def test_few_pairs_go_to_the_edges(spark, tripled, name):
+    compare(spark, tripled, name)
+    assert "LeftSemi" in registry.QUERIES[name](spark, str(tripled))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q_export_cross", "q_export_pilgrimage"])
+def test_exports_join_the_first_rows(spark, tripled, name):
+    compare(spark, tripled, name)
+    assert "Join" not in registry.QUERIES[name](spark, str(tripled))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("gone", [3, 200])
+def test_first_rows_are_whole_where_a_join_takes_many(spark, gone):
+    from kumihimo.plans.analytics import _first_joined
+
+    class G:
+        pass
+
+    G.spark = spark
+    got = _first_joined(G, spark.range(400), ["id"], lambda rows: rows.where(f"id >= {gone}"), 10).collect()
+    assert [x["id"] for x in got] == list(range(gone, gone + 10))
