@@ -237,3 +237,27 @@ def test_trigrams_of_odd_texts_in_slices(spark, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     whole = sorted(((x["token"], x["id"], x["field"], tuple(x["positions"])) for x in text_index.postings(spread, "grams").collect()), key=repr)
     assert whole == sorted(want, key=repr)
+
+
+def test_edges_are_dealt_before_they_are_sorted(spark, tmp_path):
+    """Wide rows were sorted in the tasks that read whole splits, and again after the shuffle in as many tasks as the session has. First rows with ties, against SQL."""
+    from kumihimo.sources.graph import Graph, edge_tasks
+
+    line = f"SELECT * FROM '{FOLDER}/lineitem.parquet'"
+    tied = f"{line} UNION ALL SELECT * REPLACE (l_discount + 0.01 AS l_discount, 'R' AS l_returnflag, l_tax / 2 AS l_tax) FROM ({line}) UNION ALL SELECT * REPLACE ('R' AS l_returnflag, 'O' AS l_linestatus) FROM ({line})"
+    duckdb.sql(f"COPY ({tied}) TO '{tmp_path}/lineitem.parquet'")
+    duckdb.sql(f"COPY (SELECT * FROM '{FOLDER}/orders.parquet' UNION ALL SELECT * REPLACE ('F' AS o_orderstatus) FROM '{FOLDER}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t in ('lineitem', 'orders') else FOLDER}/{t}.parquet'")
+    want = con.sql(registry.with_views("SELECT * FROM connections")).fetchall()
+    made = Graph(spark, str(tmp_path)).made_edges()
+    assert sorted(tuple(x) for x in made.collect()) == sorted(want) and len({x[2:3] + x[4:] for x in want}) >= 5
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Aggregate" not in plan[plan.index("REPARTITION_BY_NUM") :]
+    assert [edge_tasks(n, 12) for n in (0, 150_000, 10_000_000, 432_000_000)] == [1, 2, 12, 173]
+
+
+@pytest.mark.parametrize("name", ["agg_ratio_density", "agg_score_dims", "proj_other_endpoint"])
+def test_edges_of_copies(spark, tripled, name):
+    compare(spark, tripled, name)
