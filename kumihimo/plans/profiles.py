@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..model import ASSETS, PREFECTURES, REGIONS, boxes, boxes_sql
 from ..sources.graph import both_ways, first_per
+from ..sources.stored import materialized, shared_folder
 from .aggregates import micro, micro_sql, n_rows
 from .registry import query
 
@@ -60,6 +61,14 @@ def _profile_sql(places, kept):
     return f"WITH {', '.join(parts)} SELECT {columns}, edges, {micro_sql('edges / CAST(greatest(n, 1) AS DOUBLE)')} AS density6 {joins}"
 
 
+def ends_of(edges, kept):
+    """(id, k, n_ends, spot) of each node, by one pass over the edges: how often it is an a-end, how many edges (with ``kept``, kept ones) it has, and 1 if one of them is a pilgrimage."""
+    counts = (~F.lit(kept) | (c("verdict") == "keep")).cast("int")
+    marks = lambda node, first: edges.select(c(node).alias("id"), F.lit(first).alias("first"), counts.alias("counts"), F.when(c("connection_type").startswith("pilgrimage"), 1).alias("spot"))
+    ends = marks("a_id", 1).unionByName(marks("b_id", 0))
+    return ends.groupBy("id").agg(F.sum("first").alias("k"), F.sum("counts").alias("n_ends"), F.max("spot").alias("spot"))
+
+
 def profile(g, places, kept=False):
     """Of each region: awake entities by type, top themes (15), eras (10) and nodes (10), pilgrimage places, entities tagged with the region.
 
@@ -67,14 +76,15 @@ def profile(g, places, kept=False):
     ``kept``, as prefectures have it, nodes count kept edges, none included,
     and the last twenty release years are listed.
     """
-    at = in_boxes(g.entities.where("lat is not null and is_dormant = 0").select("id", "entity_type", "release_year", "lat", "lon"), boxes(g.spark, places)).drop("lat", "lon")
-    degree = g.edges.groupBy(c("a_id").alias("id")).agg(F.count("*").alias("k"))
-    spots = both_ways(g.edges.where(c("connection_type").startswith("pilgrimage"))).select(c("node").alias("id")).distinct().withColumn("spot", F.lit(1))
-    base = at.join(degree, "id", "left").join(spots, "id", "left").groupBy("code").agg(n_rows(), F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count("spot").alias("spots"))
-    tagged = g.tags.where("axis = 'geography'").groupBy(c("value_code").alias("code")).agg(F.count_distinct("entity_id").alias("tagged"))
-    by_tag = lambda axis: at.join(g.tags.where(c("axis") == axis).select(c("entity_id").alias("id"), c("value_code").alias("v")), "id").groupBy("code", "v").agg(F.count("*").alias("k"))
-    each = both_ways(g.kept if kept else g.edges).groupBy(c("node").alias("id")).agg(F.count("*").alias("k"))
-    nodes = at.join(each, "id", "left" if kept else "inner").select("code", c("id").cast("string").alias("v"), F.coalesce("k", F.lit(0)).alias("k"))
+    points = g.entities.where("lat is not null and is_dormant = 0").select("id", "entity_type", "release_year", "lat", "lon").join(ends_of(g.edges, kept), "id", "left")
+    # read for each part of the profile; edges once
+    points = materialized(g.spark, points) if shared_folder(g.spark) else points
+    at = in_boxes(points, boxes(g.spark, places)).drop("lat", "lon")
+    base = at.groupBy("code").agg(n_rows(), F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count("spot").alias("spots"))
+    named = g.tags.where("axis = 'geography'").join(F.broadcast(boxes(g.spark, places).select(c("code").alias("value_code"))), "value_code", "left_semi")
+    tagged = named.groupBy(c("value_code").alias("code")).agg(F.count_distinct("entity_id").alias("tagged"))
+    by_tag = lambda axis: at.select("id", "code").join(g.tags.where(c("axis") == axis).select(c("entity_id").alias("id"), c("value_code").alias("v")), "id").groupBy("code", "v").agg(F.count("*").alias("k"))
+    nodes = (at if kept else at.where("n_ends > 0")).select("code", c("id").cast("string").alias("v"), F.coalesce("n_ends", F.lit(0)).alias("k"))
     lists = [
         top_list(at.groupBy("code", c("entity_type").alias("v")).agg(F.count("*").alias("k")), "types", 50),
         top_list(by_tag("theme"), "themes", 15),
@@ -84,7 +94,7 @@ def profile(g, places, kept=False):
     if kept:
         years = at.where("release_year is not null").groupBy("code", c("release_year").cast("string").alias("v")).agg(F.count("*").alias("k"))
         lists.append(top_list(years, "years", 20, [F.desc("v")]))
-    out = base.join(F.broadcast(tagged.join(F.broadcast(boxes(g.spark, places).select("code")), "code", "left_semi")), "code", "left").withColumn("tagged", F.coalesce("tagged", F.lit(0)))
+    out = base.join(F.broadcast(tagged), "code", "left").withColumn("tagged", F.coalesce("tagged", F.lit(0)))
     for part in lists:  # one row for each region of the dictionary
         out = out.join(part, "code", "left")
     return out.drop("edges") if kept else out.withColumn("density6", micro(c("edges") / F.greatest("n", F.lit(1))))

@@ -261,3 +261,11 @@ def test_edges_are_dealt_before_they_are_sorted(spark, tmp_path):
 @pytest.mark.parametrize("name", ["agg_ratio_density", "agg_score_dims", "proj_other_endpoint"])
 def test_edges_of_copies(spark, tripled, name):
     compare(spark, tripled, name)
+
+
+@pytest.mark.parametrize("name", ["q_region_profile", "q_prefecture_profile"])
+def test_profiles_pass_over_the_edges_once(spark, tripled, name):
+    """Edges were counted three times, and points joined with each count; now all counts come from one pass."""
+    compare(spark, tripled, name)
+    plan = registry.QUERIES[name](spark, str(tripled))._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_id" not in plan and "verdict" not in plan
