@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..sources.stored import shared_folder
 from ..streaming import ingest
-from ..streaming.index import read_index
+from ..streaming.index import labels_of_tokens, read_index
 from .analytics import DATASET_KEYS, DATASET_SQL, dataset_frames, sink_datasets
 from .registry import query
 
@@ -271,7 +271,7 @@ def stream_index_refresh(g):
     store, index, marks = _stream(g), landing(g), landing(g)
     parts = max(1, len(g.spark.read.parquet(store).inputFiles()))
     ingest.refresh_index(g.spark, store, index, marks, files=-(-parts // 3)).awaitTermination()
-    grams = read_index(g.spark, index, "postings").groupBy(c("token").alias("key")).agg(F.count("*").alias("n"))
-    once = g.entities.select("id", F.trim(F.lower("label")).alias("k")).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id")
+    grams = labels_of_tokens(g.spark, index).select(c("token").alias("key"), "n")
+    once = g.entities.where(ingest.key_of("label") != "").groupBy(ingest.digest_of("label").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id")
     cells = read_index(g.spark, index, "grid").join(once, "id", "left_semi").groupBy(F.concat_ws(":", "cy", "cx").alias("key")).agg(F.count("*").alias("n"))
     return grams.select(lit("gram").alias("part"), "key", "n").unionByName(cells.select(lit("cell").alias("part"), "key", "n"))

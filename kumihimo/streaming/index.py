@@ -20,12 +20,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.text_index import bucket_of, postings
+from ..plans.text_index import PACKED, bucket_of, packed_grams, unpacked
 from ..sources.stored import _at, exists, remove
 
 c = F.col
 
-SCHEMAS = {"postings": "token string, id long, field string, positions array<int>, length long", "grid": "cy long, cx long, id long, lat double, lon double"}
+#: Columns of the files: postings that share a token are one row of arrays for each slice of texts.
+SCHEMAS = {"postings": PACKED, "grid": "cy long, cx long, id long, lat double, lon double"}
 #: Degrees of a cell of the grid.
 CELL = 0.25
 MOST = 4
@@ -53,12 +54,23 @@ def _paths(index: str, live: dict[tuple[str, int], list[str]], kind: str, bucket
     return [f"{index}/{kind}/v={v}/bucket={b}" for (k, b), vs in sorted(live.items()) if k == kind and (buckets is None or b in buckets) for v in vs]
 
 
-def read_index(spark: SparkSession, index: str, kind: str, buckets: list[int] | None = None) -> DataFrame:
-    """The live rows of some buckets, or of all."""
+def _stored(spark: SparkSession, index: str, kind: str, buckets: list[int] | None = None) -> DataFrame:
+    """The live rows of some buckets, or of all, as they are in the files."""
     paths = _paths(index, manifest(spark, index), kind, buckets)
     return spark.read.schema(SCHEMAS[kind]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[kind])
 
 
+def read_index(spark: SparkSession, index: str, kind: str, buckets: list[int] | None = None) -> DataFrame:
+    """The live rows of some buckets, or of all; postings are (token, id, field, positions, length)."""
+    rows = _stored(spark, index, kind, buckets)
+    return unpacked(rows) if kind == "postings" else rows
+
+
+def labels_of_tokens(spark: SparkSession, index: str) -> DataFrame:
+    """(token, n): in how many labels each token stands, from the lists of ids alone."""
+    return _stored(spark, index, "postings").groupBy("token").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+
+
 def cell_bucket(cy: Column, cx: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(cy, cx), F.lit(buckets)).cast("int")
 
@@ -77,18 +89,18 @@ def in_box(spark: SparkSession, index: str, south: float, west: float, north: fl
 def with_token(spark: SparkSession, index: str, token: str, buckets: int) -> DataFrame:
     """A token's postings, from its bucket."""
     bucket = spark.sql("SELECT 1").select(bucket_of(F.lit(token), buckets).alias("b")).first()["b"]
-    return read_index(spark, index, "postings", [bucket]).where(c("token") == token)
+    return unpacked(_stored(spark, index, "postings", [bucket]).where(c("token") == token))
 
 
 def _write(rows: DataFrame, path: str) -> None:
     """A file for each bucket, or some of even size where one is large."""
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def add_batch(spark: SparkSession, records: DataFrame, index: str, number: int, buckets: int = 16, most: int = MOST) -> None:
     """Records (id, label, and lat, lon where they have a place) into postings and grid, as batch ``number``."""
     cells = lambda x: F.floor(c(x) / CELL)
-    words = postings(records.select("id", "label", F.lit(None).cast("string").alias("label_en")), "grams")
+    words = packed_grams(records.select("id", "label"))
     grid = records.where("lat is not null and lon is not null").select(cells("lat").alias("cy"), cells("lon").alias("cx"), "id", "lat", "lon")
     parts = {"postings": words.withColumn("bucket", bucket_of(c("token"), buckets)), "grid": grid.withColumn("bucket", cell_bucket(c("cy"), c("cx"), buckets))}
     live = manifest(spark, index, before=number)

@@ -1,5 +1,7 @@
 """Queries whose work grows with the tables: repeated names, places and nodes are met once, and results stay those of direct computation."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -269,3 +271,44 @@ def test_profiles_pass_over_the_edges_once(spark, tripled, name):
     compare(spark, tripled, name)
     plan = registry.QUERIES[name](spark, str(tripled))._jdf.queryExecution().optimizedPlan().toString()
     assert "a_id" not in plan and "verdict" not in plan
+
+
+def test_stream_postings_share_a_row_and_come_back_whole(spark, tmp_path):
+    """Labels of two batches, and characters too many for short codes: as many rows as trigrams for each task, the postings of direct computation."""
+    import random
+
+    from kumihimo.streaming import index as streamed
+
+    r, index = random.Random(5), str(tmp_path / "ix")
+    wide = "".join(map(chr, range(0x4E00, 0x9FF0))) + "\U0001f600\U0010ffff"
+    labels = ["".join(r.choice("abc") for _ in range(r.randrange(1, 60))) for _ in range(400)] + [wide, "aaaa" + wide[:7], "\U0001f600\U0001f600\U0001f600\U0001f600"]
+    for n, part in enumerate((range(0, 200), range(200, len(labels)))):
+        streamed.add_batch(spark, spark.createDataFrame([(i, labels[i], None, None) for i in part], "id long, label string, lat double, lon double").coalesce(1), index, n, buckets=4)
+    want = {}
+    for i, text in enumerate(labels):
+        for at in range(len(text) - 2):
+            want.setdefault((text[at : at + 3], i, "label", len(text) - 2), []).append(at)
+    got = [((p["token"], p["id"], p["field"], p["length"]), p["positions"]) for p in streamed.read_index(spark, index, "postings").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    tokens = {k[0] for k in want}
+    assert spark.read.parquet(f"{index}/postings").count() <= 2 * 27 + len(tokens) < len(want)
+    assert {x["token"]: x["n"] for x in streamed.labels_of_tokens(spark, index).collect()} == Counter(k[0] for k in want)
+    assert sorted((p["id"], p["positions"]) for p in streamed.with_token(spark, index, "abc", 4).collect()) == sorted((k[1], v) for k, v in want.items() if k[0] == "abc")
+
+
+def test_ingest_keeps_no_texts_as_state(spark, tmp_path):
+    """Long labels of digits, which do not compress to little: state is their digests; repeats, also of a later file, are dropped all the same."""
+    import json
+    import random
+
+    from kumihimo.streaming import ingest
+
+    r, inbox, marks, store = random.Random(3), tmp_path / "in", tmp_path / "marks", str(tmp_path / "store")
+    inbox.mkdir()
+    texts = ["".join(r.choice("0123456789abcdef") for _ in range(50_000)) for _ in range(20)]
+    line = lambda i, text: json.dumps({"id": i, "label": text, "source": "s", "seen": "2024-01-01T00:00:00"})
+    for n, rows in enumerate((texts + [t.upper() for t in texts], [" " + texts[0], "new"])):
+        (inbox / f"{n}.json").write_text("\n".join(line(i, t) for i, t in enumerate(rows)))
+        ingest.ingest_new_labels(spark, str(inbox), store, str(marks)).awaitTermination()
+    assert sorted(x["key"] for x in spark.read.parquet(store).collect()) == sorted([*texts, "new"])
+    assert sum(f.stat().st_size for f in (marks / "state").rglob("*") if f.is_file()) < 100_000
