@@ -312,3 +312,20 @@ def test_ingest_keeps_no_texts_as_state(spark, tmp_path):
         ingest.ingest_new_labels(spark, str(inbox), store, str(marks)).awaitTermination()
     assert sorted(x["key"] for x in spark.read.parquet(store).collect()) == sorted([*texts, "new"])
     assert sum(f.stat().st_size for f in (marks / "state").rglob("*") if f.is_file()) < 100_000
+
+
+def test_tasks_share_a_file_of_the_store(spark, tmp_path, monkeypatch):
+    """A file of long labels was one row group, which one task read and cut."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from kumihimo.streaming import ingest
+
+    monkeypatch.setattr(ingest, "ROW_GROUP", 200_000)
+    inbox, store = str(tmp_path / "in"), str(tmp_path / "store")
+    label = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.sha2(F.concat(F.col("id").cast("string"), i.cast("string")), 256)))
+    spark.range(2000).select("id", label.alias("label"), F.lit("s").alias("source"), F.lit("2024-01-01T00:00:00").alias("seen")).write.json(inbox)
+    ingest.ingest_new_labels(spark, inbox, store, str(tmp_path / "marks")).awaitTermination()
+    files = [pq.ParquetFile(f) for f in (tmp_path / "store").glob("*.parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 2000
+    assert all(f.num_row_groups > 1 for f in files if f.metadata.num_rows), [(f.metadata.num_rows, f.num_row_groups) for f in files]
