@@ -302,12 +302,20 @@ _NAME_SQL = "CASE prio " + " ".join(f"WHEN {i} THEN '{name}'" for i, (_, name) i
     f"WITH k AS (SELECT l_partkey AS item, [{', '.join(repr(q) for q, _ in DESIGNATIONS)}, 'Q0'][l_linenumber] AS d, year(l_shipdate) AS y, l_orderkey AS o FROM lineitem), r AS (SELECT item, {_RANK_SQL} AS prio, y, o FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY prio, o) AS rn FROM r WHERE prio IS NOT NULL) SELECT item, {_NAME_SQL} AS heritage, CAST(CASE WHEN y BETWEEN 600 AND 2026 THEN y END AS INT) AS year FROM b WHERE rn = 1",
 )
 def job_heritage_rank(g):
-    """The highest designation of each and its year, from landed (item, designation, date) rows; ids outside the table of designations say nothing."""
+    """The highest designation of each and its year, from landed (item, designation, date) rows; ids outside the table of designations say nothing.
+
+    Of equal designations the least order counts, and a row without an order
+    only where no other has that designation. Rows that are equal in both are
+    a tie that the rule leaves open; here the least year is taken.
+    """
+    # numbers outside the list have no designation; those below nought count from its end
+    n, size = c("l_linenumber"), len(DESIGNATIONS) + 1
+    at = F.when(n.between(1, size), n - 1).when(n.between(-size, -1), n + size).cast("int")
     ids = F.array(*[F.lit(q) for q, _ in DESIGNATIONS], F.lit("Q0"))
-    rows = g.table("lineitem").select(c("l_partkey").alias("item"), F.element_at(ids, c("l_linenumber").cast("int")).alias("d"), F.year("l_shipdate").alias("y"), c("l_orderkey").alias("o"))
+    rows = g.table("lineitem").select(c("l_partkey").alias("item"), F.get(ids, at).alias("d"), F.year("l_shipdate").alias("y"), c("l_orderkey").alias("o"))
     table_ = g.spark.createDataFrame([(q, i, name) for i, (q, name) in enumerate(DESIGNATIONS)], "d string, prio int, heritage string")
     year = F.when(c("y").between(600, 2026), c("y")).alias("year")
-    ranked = rows.join(F.broadcast(table_), "d").select("item", F.struct("prio", "o", "heritage", year).alias("r"))
+    ranked = rows.join(F.broadcast(table_), "d").select("item", F.struct("prio", c("o").isNull().alias("none"), "o", "heritage", year).alias("r"))
     return ranked.groupBy("item").agg(F.min("r").alias("r")).select("item", "r.heritage", "r.year")
 
 

@@ -90,3 +90,21 @@ def test_themes_and_places_named_by_labels(spark):
     assert got == {1: {"war_conflict", "seasonal_beauty"}, 2: {"craft_mastery"}, 3: set(), 4: {"sacred_profane"}, 5: {"nature_communion"}, 6: {"craft_mastery"}}
     places = {x["id"]: x["place"] for x in located(df).collect()}
     assert places == {4: "東京", 5: "神奈川", 6: "薩摩"}
+
+
+def test_heritage_rank_of_odd_rows(spark, tmp_path):
+    """Rows without an order were taken before those with one, and numbers outside the list of designations ended the job."""
+    import duckdb
+
+    from kumihimo.plans import registry
+
+    rows = "(1, 7, NULL, 1999), (1, 7, 5, 2000), (1, 7, 9, 2001), (2, 1, NULL, 1998), (2, 3, 4, 1997), (3, 0, 1, 1999), (3, 8, 2, 1999), (3, 9, 3, 1999), (3, -9, 4, 1999), (4, -8, 1, 2001), (4, 2, 0, 1998), (5, -2, 1, 2100), (NULL, 6, 1, 1990), (6, NULL, 1, 1990)"
+    lines = f"SELECT p AS l_partkey, n AS l_linenumber, o AS l_orderkey, make_timestamp(y, 1, 2, 0, 0, 0.0) AS l_shipdate FROM (VALUES {rows}) v(p, n, o, y)"
+    duckdb.sql(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet'")
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders documents".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.sql(registry.ORACLES["job_heritage_rank"]).fetchall()
+    got = [(x["item"], x["heritage"], x["year"]) for x in registry.QUERIES["job_heritage_rank"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and (1, "registered_tangible", 2000) in got and len(got) == 5
