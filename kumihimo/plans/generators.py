@@ -17,7 +17,7 @@ from ..functions import distance, rules
 from ..functions.geo import haversine_m
 from ..sources.graph import first_per, nodes_of
 from .aggregates import micro, micro_sql
-from .joins import NEAR_SQL, grid_pairs
+from .joins import BLOCK, NEAR_SQL, place_distances, place_pairs
 from .registry import query
 from .selections import new_pairs
 from .nearest import k_nearest, other_kind_first
@@ -346,31 +346,22 @@ def gen_same_theme_sample(g, least=100, most=500):
 # ---- proximity
 
 
-def new_near(g, placed, pairs, close, block=1000):
+def new_near(g, placed, pairs, close, block=BLOCK):
     """New pairs of entities at places that are close: placed (id, lat, lon, kind), pairs of places (a_lat, a_lon, b_lat, b_lon) in both orders, ``close`` the test that they passed; kinds differ, unless they are null.
 
-    Places are compared instead of entities, and each entity takes with it the
-    places near its own and its edges to there. So pairs are made by the last
-    join and never shuffled. A place of more than ``block`` members is met in
-    blocks, so that its pairs are many tasks' work.
+    Edges between close places are left out of the blocks that make the pairs,
+    so pairs are never shuffled.
     """
-    place = ["lat", "lon"]
     placed = placed.dropDuplicates(["id"])
-    blocks = placed.groupBy(*[c(x).alias(f"b_{x}") for x in place]).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    at = lambda end: placed.select(c("id").alias(f"{end}_id"), *[c(x).alias(f"{end}_{x}") for x in place])
-    linked = g.edges.select("a_id", "b_id").join(at("a"), "a_id").join(at("b"), "b_id").where(close).groupBy("a_id", "b_lat", "b_lon").agg(F.collect_set("b_id").alias("linked"))
-    asked = at("a").join(placed.select(c("id").alias("a_id"), c("kind").alias("a_kind")), "a_id").join(pairs, ["a_lat", "a_lon"]).select("a_id", "a_kind", "b_lat", "b_lon").join(linked, ["a_id", "b_lat", "b_lon"], "left")
-    asked = asked.join(blocks, ["b_lat", "b_lon"]).withColumn("part", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).drop("blocks")
-    members = at("b").join(placed.select(c("id").alias("b_id"), c("kind").alias("b_kind")), "b_id").join(blocks, ["b_lat", "b_lon"]).withColumn("part", F.pmod(F.xxhash64("b_id"), c("blocks")).cast("int")).drop("blocks")
-    both = asked.join(members, ["b_lat", "b_lon", "part"]).where("a_id < b_id and not (a_kind <=> b_kind and a_kind is not null)")
-    return both.where(c("linked").isNull() | ~F.array_contains("linked", c("b_id"))).select("a_id", "b_id")
+    at = lambda end: placed.select(c("id").alias(f"{end}_id"), *[c(x).alias(f"{end}_{x}") for x in ("lat", "lon")])
+    linked = g.edges.select("a_id", "b_id").join(at("a"), "a_id").join(at("b"), "b_id").where(close)
+    return place_pairs(placed, pairs, block, linked.select(c("a_id").alias("x"), c("b_id").alias("y")))
 
 
 def _near(g, radius, least=0.0, other_kind=False):
     """New pairs of entities from ``least`` to ``radius`` metres apart."""
     placed = g.entities.where("lat is not null").select("id", "lat", "lon", (c("entity_type") if other_kind else F.lit(None).cast("string")).alias("kind"))
-    places = placed.select("lat", "lon").distinct()
-    pairs = grid_pairs(places, places, radius).where(c("metres") >= least).select("a_lat", "a_lon", "b_lat", "b_lon")
+    pairs = place_distances(placed, radius).where(c("metres") >= least).select("a_lat", "a_lon", "b_lat", "b_lon")
     return new_near(g, placed, pairs, haversine_m(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon")).between(least, radius))
 
 

@@ -329,3 +329,37 @@ def test_tasks_share_a_file_of_the_store(spark, tmp_path, monkeypatch):
     files = [pq.ParquetFile(f) for f in (tmp_path / "store").glob("*.parquet")]
     assert sum(f.metadata.num_rows for f in files) == 2000
     assert all(f.num_row_groups > 1 for f in files if f.metadata.num_rows), [(f.metadata.num_rows, f.num_row_groups) for f in files]
+
+
+def test_radius_join_compares_places(spark, tmp_path):
+    """Every entity was joined with all those of nine cells; now blocks of places are joined, and pairs made from them."""
+    for t in TABLES:
+        key = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}.get(t)
+        rows = f"SELECT t.* REPLACE ({key} + 100000 * i AS {key}) FROM '{FOLDER}/{t}.parquet' t, range(60) r(i)" if key else f"SELECT * FROM '{FOLDER}/{t}.parquet'"
+        duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet'")
+    compare(spark, tmp_path, "join_grid_radius")
+    df = registry.QUERIES["join_grid_radius"](spark, str(tmp_path))
+    assert largest_join(df) < df.count() / 5
+
+
+@pytest.mark.parametrize("block", [1, 3, 2000])
+def test_pairs_of_places_are_whole(spark, monkeypatch, block):
+    """Blocks of several sizes, kinds that are null, places on one another, repeated rows: against direct computation."""
+    import random
+
+    from kumihimo.plans import joins
+
+    monkeypatch.setattr(joins, "TASK_PAIRS", 50)
+    r = random.Random(block)
+    rows = [(i, r.choice([35.0, 35.004, 35.02]), r.choice([135.0, 135.003]), r.choice(["k", "m", None])) for i in range(70)] + [(3, 35.0, 135.0, "k")] * 2
+    placed = spark.createDataFrame(rows, "id long, lat double, lon double, kind string")
+    out = joins.place_pairs(placed, joins.place_distances(placed, 600.0), block)
+    got = sorted((x["a_id"], x["b_id"], round(x["metres"])) for x in out.collect())
+    from math import asin, cos, radians, sin, sqrt
+
+    def metres(x, y):
+        h = sin(radians(y[1] - x[1]) / 2) ** 2 + cos(radians(x[1])) * cos(radians(y[1])) * sin(radians(y[2] - x[2]) / 2) ** 2
+        return 2 * 6371000.0 * asin(sqrt(h))
+
+    want = [(x[0], y[0], round(metres(x, y))) for x in rows for y in rows if x[0] < y[0] and metres(x, y) <= 600 and not (x[3] and x[3] == y[3])]
+    assert got == sorted(want) and len({m for *_, m in want}) > 2
