@@ -373,12 +373,12 @@ def gen_proximity_500m(g):
     return _near(g, 500.0, other_kind=True)
 
 
-@query("gen_proximity_deg", fresh("SELECT x, y FROM (SELECT a.id AS x, b.id AS y FROM entities a JOIN entities b ON a.id < b.id AND sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) < 0.01) t"))
-def gen_proximity_deg(g, degrees=0.01):
-    """Within a distance in degrees, by cells of that size."""
+@query("gen_proximity_deg", fresh("SELECT x, y FROM (SELECT a.id AS x, b.id AS y FROM entities a JOIN entities b ON a.id < b.id AND sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) < 0.1) t"))
+def gen_proximity_deg(g, degrees=0.1):
+    """Within a distance in degrees, by cells of that size; a little larger, so that rounding parts no near pair by two cells."""
     placed = g.entities.where("lat is not null").select("id", "lat", "lon", F.lit(None).cast("string").alias("kind"))
     step = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    cell = lambda x: F.floor(c(x) / degrees)
+    cell = lambda x: F.floor(c(x) / (degrees * (1 + 1e-9)))
     a = placed.select(c("lat").alias("a_lat"), c("lon").alias("a_lon")).distinct().withColumns({"cy": cell("a_lat"), "cx": cell("a_lon")})
     around = a.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
     b = around.select(c("a_lat").alias("b_lat"), c("a_lon").alias("b_lon"), (c("cy") + c("dy")).alias("cy"), (c("cx") + c("dx")).alias("cx"))

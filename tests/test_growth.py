@@ -363,3 +363,16 @@ def test_pairs_of_places_are_whole(spark, monkeypatch, block):
 
     want = [(x[0], y[0], round(metres(x, y))) for x in rows for y in rows if x[0] < y[0] and metres(x, y) <= 600 and not (x[3] and x[3] == y[3])]
     assert got == sorted(want) and len({m for *_, m in want}) > 2
+
+
+def test_degree_pairs_up_to_the_whole_threshold(spark, tripled):
+    """Pairs from a hundredth to a tenth of a degree apart were left out; all that have no edge are there."""
+    from kumihimo.sources.graph import Graph
+
+    g = Graph(spark, str(tripled))
+    points = [tuple(x) for x in g.entities.where("lat is not null").select("id", "lat", "lon").collect()]
+    edges = {(x["a_id"], x["b_id"]) for x in g.edges.select("a_id", "b_id").collect()}
+    far = {(a, b): ((p - q) ** 2 + (u - v) ** 2) ** 0.5 for a, p, u in points for b, q, v in points if a < b}
+    want = {k for k, d in far.items() if d < 0.1} - edges
+    got = [(x["x"], x["y"]) for x in registry.QUERIES["gen_proximity_deg"](spark, str(tripled)).toDF("x", "y").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and sum(far[k] > 0.01 for k in want) > 1000
