@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
@@ -236,32 +239,70 @@ def all_trigrams(column):
     return F.get(F.transform(F.array(F.split(column, "")), cut), 0)
 
 
-def trigrams(column):
-    """Distinct three-character runs of a column."""
-    return F.when(F.length(column) >= 3, F.array_distinct(all_trigrams(column))).otherwise(F.array().cast("array<string>"))
+#: Bytes of texts that a task looks through at a time, and numbers that short texts are known by before they are met.
+LOOKED_AT, CODES = 1 << 20, 1 << 22
+
+
+def _runs_of_shapes(shapes: dict[int, list[int]], looked_at: int):
+    """Function of Arrow batches (id, long): each run of bytes that begins with three bytes, as one number, of the shapes and has a length that goes with them, as (id, short)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = np.array(sorted(shapes), np.int64)
+        begins = np.zeros(1 << 24, bool)
+        begins[heads] = True
+        fits = {n: np.array([n in shapes[h] for h in heads.tolist()]) for n in sorted({n for ns in shapes.values() for n in ns})}
+        for batch in batches:
+            texts = batch["long"].cast(pa.large_string())
+            bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            at = 0
+            while at < len(texts):
+                # rows of some bytes, or one row that has more
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + looked_at, "right")) - 1)
+                ends, data = bounds[at : to + 1] - bounds[at], np.frombuffer(texts.buffers()[2], np.uint8)[bounds[at] : bounds[to]]
+                if len(data) >= 3:
+                    three = data.astype(np.int32)
+                    three = (three[:-2] << 16) | (three[1:-1] << 8) | three[2:]
+                    starts = np.flatnonzero(begins[three])
+                    head, row = np.searchsorted(heads, three[starts]), np.searchsorted(ends, starts, "right") - 1
+                    room = ends[row + 1] - starts
+                    for n, fit in fits.items():
+                        chosen = np.flatnonzero(fit[head] & (room >= n))
+                        first = starts[chosen]
+                        # a run that ends inside a character is none
+                        after = np.minimum(first + n, len(data) - 1)
+                        whole = (first + n == ends[row[chosen] + 1]) | (data[after] & 0xC0 != 0x80)
+                        chosen, first = chosen[whole], first[whole]
+                        some = max(1, looked_at // n)
+                        for i in range(0, len(first), some):
+                            runs = data[first[i : i + some, None] + np.arange(n)]
+                            text = pa.Array.from_buffers(pa.string(), len(runs), [None, pa.py_buffer(np.arange(0, runs.size + 1, n, dtype=np.int32)), pa.py_buffer(runs.tobytes())])
+                            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(row[chosen[i : i + some]] + at)), text], ["id", "short"])
+                at = to
+
+    return cut
 
 
 def contained(short, long):
-    """short (key, short), long (id, long) -> (key, id) where the long text holds the short one, of three characters or more.
+    """short (key, short), long (id, long) -> (key, id) where the long text holds the short one, of three characters or more; each pair once.
 
-    A short text meets the long ones on its trigram that fewest of these have,
-    so no cross product is made and a gram that most texts have is met only by
-    texts that have no other. Of the long texts' grams only chosen ones leave
-    their row's task, so neither grams nor texts without a candidate are
-    shuffled. Equal short texts are met once.
+    Long texts do not leave the task that reads them, and are read once. What
+    leaves it is runs of a short text's first three bytes and length, which
+    are a dictionary however many texts there are; runs that no short text
+    can be, by a number of it, go there too. The rest meet the short texts
+    whole, as equal strings. Equal short texts are met once.
     """
     wanted = short.where(F.length("short") >= 3)
-    texts = wanted.select("short").distinct()
-    held = long.where(F.length("long") >= 3)
-    grams = held.select("id", F.explode(trigrams(c("long"))).alias("gram"))
-    each = texts.select("short", F.explode(trigrams(c("short"))).alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    # a gram that no long text has leaves its short text without a partner
-    rare = each.join(often, "gram", "left").groupBy("short").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0").select("short", "m.gram")
-    # trigrams are a dictionary, however many texts there are
-    met = grams.join(F.broadcast(rare.select("gram").distinct()), "gram", "left_semi").join(rare, "gram").groupBy("id").agg(F.collect_set("short").alias("shorts"))
-    pairs = held.join(met, "id").select("id", F.explode(F.filter("shorts", lambda s: F.contains(c("long"), s))).alias("short"))
-    return wanted.join(pairs, "short").select("key", "id")
+    # the first three bytes, as a number, and the length
+    shape = wanted.select(F.conv(F.hex(F.substring(F.encode("short", "UTF-8"), 1, 3)), 16, 10).cast("int").alias("head"), F.octet_length("short").alias("n"))
+    shapes: dict[int, list[int]] = {}
+    for x in shape.distinct().collect():
+        shapes.setdefault(x["head"], []).append(x["n"])
+    held = long.where(F.length("long") >= 3).select("id", "long")
+    kind = held.schema["id"].dataType.simpleString()
+    code = F.pmod(F.xxhash64("short"), F.lit(CODES)).cast("int").alias("code")
+    runs = held.mapInArrow(_runs_of_shapes(shapes, LOOKED_AT), f"id {kind}, short string").select("id", "short", code)
+    found = runs.join(F.broadcast(wanted.select(code).distinct()), "code", "left_semi").select("id", "short").distinct()
+    return wanted.join(found, "short").select("key", "id")
 
 
 @query(

@@ -376,3 +376,36 @@ def test_degree_pairs_up_to_the_whole_threshold(spark, tripled):
     want = {k for k, d in far.items() if d < 0.1} - edges
     got = [(x["x"], x["y"]) for x in registry.QUERIES["gen_proximity_deg"](spark, str(tripled)).toDF("x", "y").collect()]
     assert len(got) == len(set(got)) and set(got) == want and sum(far[k] > 0.01 for k in want) > 1000
+
+
+def test_containment_shuffles_no_text(spark, tmp_path):
+    """Whole texts with a candidate were joined by id, so they were shuffled and sorted; now what is shuffled is short texts found."""
+    from pyspark.sql import functions as F
+
+    from kumihimo.plans.joins import contained
+
+    spark.range(300).select("id", F.concat_ws(" ", F.lit("old gear"), F.transform(F.sequence(F.lit(0), F.lit(300)), lambda i: F.sha2(F.concat(F.col("id").cast("string"), i.cast("string")), 256))).alias("long")).write.parquet(str(tmp_path / "long"))
+    short = spark.createDataFrame([(1, "old gear"), (2, "old gears")], "key long, short string")
+    df = contained(short, spark.read.parquet(str(tmp_path / "long")))
+    assert sorted(tuple(x) for x in df.collect()) == [(1, i) for i in range(300)]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange hashpartitioning" in plan and not any("Exchange" in x and "long#" in x for x in plan.splitlines())
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("long#" in x for x in joins) and "MapInArrow" in plan
+
+
+def test_containment_of_odd_texts(spark, monkeypatch):
+    """Runs at borders of rows and slices, letters of several bytes, names inside names, against direct computation."""
+    import random
+
+    from kumihimo.plans import joins
+
+    monkeypatch.setattr(joins, "LOOKED_AT", 11)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ab é日𠮷") for _ in range(n))
+    longs = [word(r.randrange(0, 40)) for _ in range(150)] + ["", "ab", None, "日" * 30, "aaaaaa", "日本", "é日𠮷"]
+    shorts = sorted({*(word(r.randrange(1, 6)) for _ in range(120)), "aaa", "日日日", "日日日日", "ab", "", longs[3], "nowhere"})
+    rows = [(i, s) for i, s in enumerate(shorts)] + [(-1, "aaa"), (-2, None)]
+    got = joins.contained(spark.createDataFrame(rows, "key long, short string"), spark.createDataFrame(list(enumerate(longs)), "id long, long string").coalesce(2)).collect()
+    want = [(k, i) for k, s in rows for i, t in enumerate(longs) if s is not None and t is not None and len(s) >= 3 and s in t]
+    assert sorted(tuple(x) for x in got) == sorted(want) and len(want) > 100
