@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..sources.stored import shared_folder
+from ..sources.stored import remove, shared_folder
 from ..streaming import ingest
 from ..streaming.index import labels_of_tokens, read_index
 from .analytics import DATASET_KEYS, DATASET_SQL, dataset_frames, sink_datasets
@@ -245,11 +245,12 @@ def sink_geojson(g):
 
 
 def _stream(g):
-    """Labels of all entities as arriving files, ingested twice; returns the folder of the store."""
+    """Labels of all entities as arriving files, ingested twice and then removed; returns the folder of the store."""
     inbox, store, marks = landing(g), landing(g), landing(g)
     g.entities.where("label is not null").select("id", "label", "source", lit("2024-01-01T00:00:00").alias("seen"), "lat", "lon").write.json(inbox)
     for _ in range(2):
         ingest.ingest_new_labels(g.spark, inbox, store, marks).awaitTermination()
+    remove(g.spark, inbox)
     return store
 
 
@@ -271,6 +272,7 @@ def stream_index_refresh(g):
     store, index, marks = _stream(g), landing(g), landing(g)
     parts = max(1, len(g.spark.read.parquet(store).inputFiles()))
     ingest.refresh_index(g.spark, store, index, marks, files=-(-parts // 3)).awaitTermination()
+    remove(g.spark, store)
     grams = labels_of_tokens(g.spark, index).select(c("token").alias("key"), "n")
     once = g.entities.where(ingest.key_of("label") != "").groupBy(ingest.digest_of("label").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("id")
     cells = read_index(g.spark, index, "grid").join(once, "id", "left_semi").groupBy(F.concat_ws(":", "cy", "cx").alias("key")).agg(F.count("*").alias("n"))

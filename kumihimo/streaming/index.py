@@ -92,9 +92,10 @@ def with_token(spark: SparkSession, index: str, token: str, buckets: int) -> Dat
     return unpacked(_stored(spark, index, "postings", [bucket]).where(c("token") == token))
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    """A file for each bucket, or some of even size where one is large."""
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+def _write(rows: DataFrame, path: str, gather: bool = True) -> None:
+    """A file for each bucket, or some of even size where one is large; where rows are not gathered, one for each bucket of each task, and nothing is shuffled."""
+    placed = rows.hint("rebalance", "bucket") if gather else rows
+    placed.sortWithinPartitions("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def add_batch(spark: SparkSession, records: DataFrame, index: str, number: int, buckets: int = 16, most: int = MOST) -> None:
@@ -105,7 +106,8 @@ def add_batch(spark: SparkSession, records: DataFrame, index: str, number: int,
     parts = {"postings": words.withColumn("bucket", bucket_of(c("token"), buckets)), "grid": grid.withColumn("bucket", cell_bucket(c("cy"), c("cx"), buckets))}
     live = manifest(spark, index, before=number)
     for kind, rows in parts.items():
-        _write(rows, f"{index}/{kind}/v={number}")
+        # postings are several times the texts: they stay in the task that cut them until a bucket is written whole
+        _write(rows, f"{index}/{kind}/v={number}", gather=kind != "postings")
         folder, files = _at(spark, f"{index}/{kind}/v={number}")
         touched = sorted(int(n.split("=")[1]) for n in (s.getPath().getName() for s in files.listStatus(folder)) if n.startswith("bucket="))
         for b in touched:

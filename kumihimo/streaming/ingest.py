@@ -39,7 +39,7 @@ def ingest_new_labels(spark: SparkSession, incoming: str, store: str, checkpoint
         new = batch.dropDuplicates(["digest"])
         if known is not None:
             new = new.join(known.select("digest"), "digest", "left_anti")
-        new.select(*batch.columns, key_of("label").alias("key")).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(store)
+        new.select(*batch.columns, key_of("label").alias("key")).write.mode("append").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(store)
 
     return once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

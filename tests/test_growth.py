@@ -409,3 +409,35 @@ def test_containment_of_odd_texts(spark, monkeypatch):
     got = joins.contained(spark.createDataFrame(rows, "key long, short string"), spark.createDataFrame(list(enumerate(longs)), "id long, long string").coalesce(2)).collect()
     want = [(k, i) for k, s in rows for i, t in enumerate(longs) if s is not None and t is not None and len(s) >= 3 and s in t]
     assert sorted(tuple(x) for x in got) == sorted(want) and len(want) > 100
+
+
+def test_stream_postings_stay_in_the_task_that_cut_them(spark, tmp_path):
+    """Postings, several times the texts, were all shuffled into buckets; now each task writes its own, until a bucket is written whole."""
+    from kumihimo.streaming import index as streamed
+
+    index = str(tmp_path / "ix")
+    texts = [(i, f"{i} some label of number {i * 7919}", None, None) for i in range(300)]
+    for n in range(2):
+        batch = spark.createDataFrame(texts[n::2], "id long, label string, lat double, lon double").repartition(3)
+        streamed.add_batch(spark, batch, index, n, buckets=2, most=1)
+        makers = {f.name[:10] for f in (tmp_path / "ix" / "postings" / f"v={n}").rglob("part-*.parquet")}
+        assert len(makers) == (3 if n == 0 else 0)
+        live = streamed.manifest(spark, index)
+        assert {v for (k, _), vs in live.items() if k == "postings" for v in vs} == {"0" if n == 0 else "1c"}
+    assert all(len(list(b.glob("part-*.parquet"))) == 1 for b in (tmp_path / "ix" / "postings" / "v=1c").iterdir() if b.is_dir())
+    got = Counter(x["token"] for x in streamed.read_index(spark, index, "postings").collect())
+    assert got == Counter(t for _, s, *_ in texts for t in {s[i : i + 3] for i in range(len(s) - 2)})
+
+
+def test_stream_query_removes_what_it_landed(spark, tripled):
+    """The arriving files and the store were left beside the index, whole texts in each."""
+    from pathlib import Path
+
+    from kumihimo.sources.stored import shared_folder
+
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    compare(spark, tripled, "stream_index_refresh")
+    left = {p for d in set(shared.iterdir()) - before for p in d.rglob("*") if p.is_file() and "postings" not in p.parts and "grid" not in p.parts}
+    assert not any("able" in p.read_text(errors="ignore") for p in left if p.suffix == ".json" and "manifest" not in p.parts)
+    assert not any(p.suffix == ".parquet" for p in left)
